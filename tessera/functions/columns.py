@@ -21,8 +21,17 @@ def safe_div(a, b) -> Column:
     return F.try_divide(col(a), col(b))
 
 
-def r6(c) -> Column:
-    return F.round(col(c), 6)
+def r6(c, places: int = 6) -> Column:
+    """Round a double the same way in every engine: snap to 9 decimals as a
+    DECIMAL (absorbs the last-bit noise of summation order), then round the
+    decimal half-up. Plain ``round(double)`` breaks exact ties differently
+    in different engines. NULL stays NULL; callers keep NaN/inf out."""
+    return F.round(col(c).cast("decimal(38,9)"), places).cast("double")
+
+
+def sql_r6(expr: str, places: int = 6) -> str:
+    """The DuckDB/ANSI spelling of ``r6``."""
+    return f"CAST(round(CAST({expr} AS DECIMAL(38,9)), {places}) AS DOUBLE)"
 
 
 def epoch_seconds(c) -> Column:
