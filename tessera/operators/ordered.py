@@ -53,19 +53,16 @@ def cumulative_counts(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 # ------------------------------------------------------------------ T04-T07
 def time_to_n_next(df: DataFrame, keys: Sequence[str], order: Sequence[str], time: Column,
                    n: int = 1, fill=None, plus: float = 0.0, name: str | None = None) -> DataFrame:
-    """``time`` of the n-th next row of the same key minus
-    this row's ``time`` (+ ``plus``), missing -> ``fill``. n < 0 looks back
-    and keeps the sign (T05). ``time`` is a numeric Column."""
+    """``time`` of the n-th next row of the same key minus this
+    row's ``time`` (+ ``plus``), missing -> ``fill``. n < 0 looks back and
+    keeps the sign (T05). ``time`` is a numeric Column."""
     name = name or f"time_to_{n}_next__{'_'.join(keys)}"
     base = df.withColumn("_t", time)
-    pos = with_positions(base, keys, order, total=None)
-    right = pos.select(*[F.col(k) for k in keys], F.col("_pos").alias("_tpos"), F.col("_t").alias("_tn"))
-    j = pos.alias("l").join(right.alias("r"), _on("l", "r", keys) & (F.col("l._pos") + F.lit(n) == F.col("r._tpos")),
-                            "left")
-    val = F.col("r._tn") - F.col("l._t") + F.lit(plus)
+    pos = with_positions(base, keys, order, total=None, leads={"_tn": ("_t", n)})
+    val = F.col("_tn") - F.col("_t") + F.lit(plus)
     if fill is not None:
         val = F.coalesce(val, F.lit(fill))
-    return j.select(*[F.col(f"l.{c}") for c in df.columns], null_unless_keys(val, [F.col(f"l.{k}") for k in keys]).alias(name))
+    return pos.select(*df.columns, null_unless_keys(val, keys).alias(name))
 
 
 def gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str], time: Column,
@@ -73,15 +70,12 @@ def gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str], time: Column,
     """Gap to the next and to the previous row (both positive), missing -> -1."""
     p = prefix or "_".join(keys)
     base = df.withColumn("_t", time)
-    pos = with_positions(base, keys, order, total=None)
-    nb = pos.select(*[F.col(k) for k in keys], F.col("_pos").alias("_npos"), F.col("_t").alias("_nt"))
-    j = (pos.alias("l")
-         .join(nb.alias("nx"), _on("l", "nx", keys) & (F.col("l._pos") + 1 == F.col("nx._npos")), "left")
-         .join(nb.alias("pv"), _on("l", "pv", keys) & (F.col("l._pos") - 1 == F.col("pv._npos")), "left"))
-    kc = [F.col(f"l.{k}") for k in keys]
-    return j.select(*[F.col(f"l.{c}") for c in df.columns],
-                    null_unless_keys(F.coalesce(F.col("nx._nt") - F.col("l._t"), F.lit(missing)), kc).alias(f"gap_next__{p}"),
-                    null_unless_keys(F.coalesce(F.col("l._t") - F.col("pv._nt"), F.lit(missing)), kc).alias(f"gap_prev__{p}"))
+    pos = with_positions(base, keys, order, total=None, leads={"_nt": ("_t", 1), "_pt": ("_t", -1)})
+    return pos.select(*df.columns,
+                      null_unless_keys(F.coalesce(F.col("_nt") - F.col("_t"), F.lit(missing)), keys)
+                      .alias(f"gap_next__{p}"),
+                      null_unless_keys(F.coalesce(F.col("_t") - F.col("_pt"), F.lit(missing)), keys)
+                      .alias(f"gap_prev__{p}"))
 
 
 # ------------------------------------------------------------------ T08-T10
@@ -119,13 +113,13 @@ def horizon_counts(df: DataFrame, keys: Sequence[str], time: Column, id_col: str
     for pr in probes:
         allr = allr.unionByName(pr)
     pos = with_positions(allr, keys, ["_v", "_tie", "_id"], sums=["_flag"], total=None, split="_v")
-    reals = pos.where(F.col("_flag") == 1).select(F.col("_id"), (F.col("_cum__flag") - 1).alias("_rpos"))
     tags = [t for t, want in (("lt_lo", "prev" in which),
                               ("le_hi", "next" in which or "window" in which),
                               ("lt_t", "window" in which)) if want]
-    pv = (pos.where(F.col("_flag") == 0).groupBy("_id")
-          .agg(*[F.max(F.when(F.col("_tag") == t, F.col("_cum__flag"))).alias(t) for t in tags]))
-    j = reals.join(pv, "_id", "left")
+    # one grouping by row id collects the row's own rank and its probes
+    per = (pos.groupBy("_id")
+           .agg(F.max(F.when(F.col("_flag") == 1, F.col("_cum__flag") - 1)).alias("_rpos"),
+                *[F.max(F.when(F.col("_tag") == t, F.col("_cum__flag"))).alias(t) for t in tags]))
     feats = []
     if "prev" in which:
         feats.append((F.col("_rpos") - F.col("lt_lo")).alias(f"count_prev_{_fmt(n)}__{p}"))
@@ -133,7 +127,7 @@ def horizon_counts(df: DataFrame, keys: Sequence[str], time: Column, id_col: str
         feats.append((F.col("le_hi") - F.col("_rpos") - 1).alias(f"count_next_{_fmt(n)}__{p}"))
     if "window" in which:
         feats.append((F.col("le_hi") - F.col("lt_t")).alias(f"count_window_{_fmt(n)}__{p}"))
-    res = j.select(F.col("_id").alias(id_col), *feats)
+    res = per.select(F.col("_id").alias(id_col), *feats)
     out = df.join(res, id_col, "left")
     return out.select(*df.columns, *[null_unless_keys(F.col(c).cast("bigint"), keys).alias(c)
                                      for c in res.columns if c != id_col])

@@ -1,4 +1,4 @@
-"""Positions and running sums inside ordered key groups, without a
+"""Positions, running sums and lead/lag inside ordered key groups, without a
 one-task-per-key window.
 
 ``Window.partitionBy(key).orderBy(t)`` sends every row of a key to one task;
@@ -6,25 +6,29 @@ if one key holds a third of the table, that task holds a third of the table.
 
 Here a key is *hot* when it has more than ``chunk_rows`` rows. Hot keys are
 found with a partially aggregated count (map-side combine, so the hot key
-itself costs nothing), and there are at most ``rows / chunk_rows`` of them,
-which bounds the broadcast of that table. Each hot key is cut into contiguous
+itself costs nothing); there are at most ``rows / chunk_rows`` of them, which
+bounds the broadcast of that table. Each hot key is cut into contiguous
 chunks along the first order value (``split``): equal-width slices of its
 [min, max] range, about ``chunk_rows`` rows each. Cold keys form one chunk.
-Rows are then numbered by a window over ``(keys, chunk)``, and a table of hot
-chunk sizes (at most ``rows / chunk_rows + hot keys`` rows, also broadcast)
-turns local numbers into global ones.
 
-Everything is a deterministic function of the data (no sampling, no
-partition ids), so a lost executor recomputes the same chunks, and the two
-branches that read the chunked rows always agree.
+One hash exchange on ``(keys, chunk)`` then feeds one window that numbers
+rows locally, keeps running sums and takes leads/lags. Hot chunks are
+stitched together with two small broadcast tables, both computed from the
+rows *before* that exchange with partial aggregation:
+
+* chunk sizes and sums of hot chunks (at most ``rows / chunk_rows + hot
+  keys`` rows) turn local numbers into global ones;
+* a halo of the first (or last) ``|n|`` rows of every hot chunk supplies a
+  lead/lag that crosses a chunk edge.
 
-With no keys this is the distributed global rank (H02): the whole table is
-one hot key cut into value slices.
+Everything is a deterministic function of the data (no sampling, no
+partition ids), so a lost executor recomputes the same chunks and every
+branch agrees on them. With no keys this is the distributed global rank (H02).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,21 +62,27 @@ def chunk_rows(spark) -> int:
     return int(spark.conf.get(CHUNK_ROWS_CONF, str(DEFAULT_CHUNK_ROWS)))
 
 
-def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
+def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                    sums: Sequence[str] = (), pos: str = "_pos", total: str | None = "_n",
+                   leads: Mapping[str, tuple[str, int]] | None = None,
                    split: Column | str | None = None, rows_per_chunk: int | None = None,
                    descending: bool = False) -> DataFrame:
     """Add ``pos`` (0-based rank of the row inside its key group by ``order``),
-    ``total`` (rows in the group) and ``_cum_<c>`` (inclusive running sum of
-    each column in ``sums``).
-
-    ``order`` lists column names (or columns) sorted ascending, or all
-    descending with ``descending=True``; it must be a total order (end it with
-    a unique id). ``split`` is a numeric column non-decreasing along the order
-    (default: the first order column). ``keys`` are plain column names; rows
-    with NULL keys form their own group, callers NULL them out if needed.
+    ``total`` (rows in the group), ``_cum_<c>`` (inclusive running sum of each
+    column in ``sums``) and, for each ``name -> (column, n)`` in ``leads``, the
+    value of ``column`` at position ``pos + n`` of the same group (NULL if
+    none; n < 0 looks back).
+
+    ``order`` lists column names sorted ascending, or all descending with
+    ``descending=True``; it must be a total order (end it with a unique id).
+    ``split`` is a numeric column non-decreasing along the order (default:
+    the first order column). ``keys`` are column names; rows with NULL keys
+    form their own group, callers NULL their features out if needed.
     """
     keys = list(keys)
+    leads = dict(leads or {})
+    if leads and descending:
+        raise ValueError("leads need an ascending order")
     out_cols = list(df.columns)
     if not keys:
         # whole table = one group; a constant key keeps every join an equi-join
@@ -83,9 +93,9 @@ def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     v = _numeric(df, split if split is not None else order[0])
     if descending:
         v = -v
-        ocols = [(F.col(o) if isinstance(o, str) else o).desc() for o in order]
+        ocols = [F.col(o).desc() for o in order]
     else:
-        ocols = [(F.col(o) if isinstance(o, str) else o).asc() for o in order]
+        ocols = [F.col(o).asc() for o in order]
 
     base = df.withColumn("_v", v)
     # hot keys: > C rows; at most rows / C of them -> bounded broadcast
@@ -105,37 +115,95 @@ def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
              .otherwise(F.lit(0)).cast("long"))
     b = b.select("_b.*", chunk.alias("_chunk"), F.col("_h._hk").isNotNull().alias("_hot"))
 
-    w = Window.partitionBy(*kcols, F.col("_chunk")).orderBy(*ocols)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    grp = Window.partitionBy(*kcols, F.col("_chunk"))
-    loc = b.select("*", (F.row_number().over(w) - 1).alias("_lpos"),
-                   F.count(F.lit(1)).over(grp).alias("_lcnt"),
-                   *[F.sum(c).over(run).alias(f"_lcum_{c}") for c in sums],
-                   *[F.sum(c).over(grp).alias(f"_lsum_{c}") for c in sums])
-
-    # chunk sizes of hot keys only: at most rows / C + (#hot keys) rows
-    sizes = loc.where("_hot").groupBy(*keys, "_chunk").agg(
-        F.first("_lcnt").alias("_csz"), *[F.first(f"_lsum_{c}").alias(f"_csum_{c}") for c in sums])
+    # --- small tables from hot rows only, before the big exchange ---------
+    hot_rows = b.where("_hot")
+    sizes = hot_rows.groupBy(*keys, "_chunk").agg(
+        F.count(F.lit(1)).alias("_csz"), *[F.sum(c).alias(f"_csum_{c}") for c in sums])
     wk = Window.partitionBy(*kcols).orderBy("_chunk")
     before = wk.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*kcols)
+    # a window over the chunk table: at most rows / C + hot keys rows
     off = sizes.select(
-        *keys, "_chunk",
+        *keys, "_chunk", "_csz",
         F.coalesce(F.sum("_csz").over(before), F.lit(0)).alias("_off"),
         F.sum("_csz").over(whole).alias("_tot"),
         *[F.coalesce(F.sum(f"_csum_{c}").over(before), F.lit(0)).alias(f"_coff_{c}") for c in sums])
 
+    # --- the one big exchange: window over (keys, chunk) ------------------
+    w = Window.partitionBy(*kcols, F.col("_chunk")).orderBy(*ocols)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    grp = Window.partitionBy(*kcols, F.col("_chunk"))
+    lead_exprs = []
+    for name, (c, n) in leads.items():
+        e = F.lead(c, n).over(w) if n > 0 else F.lag(c, -n).over(w)
+        lead_exprs.append(e.alias(f"_ll_{name}"))
+    need_cnt = bool(total)
+    loc = b.select("*", (F.row_number().over(w) - 1).alias("_lpos"),
+                   *([F.count(F.lit(1)).over(grp).alias("_lcnt")] if need_cnt else []),
+                   *[F.sum(c).over(run).alias(f"_lcum_{c}") for c in sums],
+                   *lead_exprs)
+
     o = F.broadcast(off).alias("_o")
     j = loc.alias("_r").join(o, _on("_r", "_o", keys + ["_chunk"]), "left")
-    extra = [(F.col("_r._lpos") + F.coalesce(F.col("_o._off"), F.lit(0))).alias(pos)]
+    gpos = F.col("_r._lpos") + F.coalesce(F.col("_o._off"), F.lit(0))
+    cols = [F.col(f"_r.{c}") for c in out_cols] + [gpos.alias(pos)]
     if total:
-        extra.append(F.coalesce(F.col("_o._tot"), F.col("_r._lcnt")).alias(total))
-    extra += [(F.col(f"_r._lcum_{c}") + F.coalesce(F.col(f"_o._coff_{c}"), F.lit(0))).alias(f"_cum_{c}")
-              for c in sums]
-    return j.select(*[F.col(f"_r.{c}") for c in out_cols], *extra)
-
-
-def global_rank(df: DataFrame, order: Sequence[Column | str], pos: str = "_rank",
+        cols.append(F.coalesce(F.col("_o._tot"), F.col("_r._lcnt")).alias(total))
+    cols += [(F.col(f"_r._lcum_{c}") + F.coalesce(F.col(f"_o._coff_{c}"), F.lit(0))).alias(f"_cum_{c}")
+             for c in sums]
+    cols += [F.col(f"_r._ll_{name}").alias(f"_ll_{name}") for name in leads]
+    cols += [F.col(f"_r.{k}").alias(f"_k_{k}") for k in keys]
+    res = j.select(*cols, F.col("_r._hot").alias("_hot_"))
+
+    # --- leads that cross a hot chunk edge: broadcast halo ----------------
+    for name, (c, n) in leads.items():
+        halo = _halo(hot_rows, off, keys, order, c, n)
+        hl = F.broadcast(halo).alias("_hl")
+        cond = F.col("_m._hot_") & F.col(f"_m._ll_{name}").isNull()
+        for k in keys:
+            cond = cond & F.col(f"_m._k_{k}").eqNullSafe(F.col(f"_hl.{k}"))
+        cond = cond & (F.col(f"_m.{pos}") + F.lit(n) == F.col("_hl._hpos"))
+        keep = [F.col(f"_m.{x}") for x in res.columns if x != f"_ll_{name}"]
+        res = res.alias("_m").join(hl, cond, "left").select(
+            *keep, F.coalesce(F.col(f"_m._ll_{name}"), F.col("_hl._hval")).alias(f"_ll_{name}"))
+    final = [F.col(c) for c in out_cols] + [F.col(pos)]
+    if total:
+        final.append(F.col(total))
+    final += [F.col(f"_cum_{c}") for c in sums]
+    final += [F.col(f"_ll_{name}").alias(name) for name in leads]
+    return res.select(*final)
+
+
+def _halo(hot_rows: DataFrame, off: DataFrame, keys: list[str], order: Sequence[str],
+          value: str, n: int) -> DataFrame:
+    """First ``n`` (n > 0) or last ``-n`` rows of every hot chunk with their
+    global position: ``|n|`` rounds of ``min_by``/``max_by`` (partial
+    aggregation, no row shuffle). Size <= |n| x hot chunks."""
+    o = F.struct(*[F.col(c) for c in order])
+    pick = F.min_by if n > 0 else F.max_by
+    cand = hot_rows.select(*keys, "_chunk", o.alias("_ord"), F.col(value).alias("_val"))
+    rounds = []
+    for i in range(abs(n)):
+        r = cand.groupBy(*keys, "_chunk").agg(
+            pick(F.struct("_ord", "_val"), F.col("_ord")).alias("_p"))
+        r = r.select(*keys, "_chunk", F.col("_p._ord").alias("_ord"), F.col("_p._val").alias("_hval"),
+                     F.lit(i).alias("_i"))
+        rounds.append(r)
+        if i + 1 < abs(n):
+            edge = F.broadcast(r.select(*keys, "_chunk", F.col("_ord").alias("_edge"))).alias("_e")
+            c2 = cand.alias("_c").join(edge, _on("_c", "_e", keys + ["_chunk"]), "left")
+            keep = (F.col("_c._ord") > F.col("_e._edge")) if n > 0 else (F.col("_c._ord") < F.col("_e._edge"))
+            cand = c2.where(F.col("_e._edge").isNull() | keep).select("_c.*")
+    halo = rounds[0]
+    for r in rounds[1:]:
+        halo = halo.unionByName(r)
+    hh = halo.alias("_x").join(F.broadcast(off).alias("_y"), _on("_x", "_y", keys + ["_chunk"]))
+    local = F.col("_x._i") if n > 0 else F.col("_y._csz") - 1 - F.col("_x._i")
+    return hh.select(*[F.col(f"_x.{k}").alias(k) for k in keys],
+                     (F.col("_y._off") + local).alias("_hpos"), F.col("_x._hval").alias("_hval"))
+
+
+def global_rank(df: DataFrame, order: Sequence[str], pos: str = "_rank",
                 total: str | None = "_n", split: Column | str | None = None,
                 descending: bool = False) -> DataFrame:
     """0-based rank of every row over the whole table, computed in value
