@@ -14,7 +14,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from tessera.catalog.registry import register, table
-from tessera.functions.columns import r6
+from tessera.functions.columns import rnd
 from tessera.operators import group as G
 from tessera.operators import ordered as O
 from tessera.plans.fuse import apply_parts
@@ -42,8 +42,8 @@ def events_df(spark, sf):
         (F.col("event_type") == "purchase").cast("int").alias("y"))
 
 
-def _r(c, places=6):
-    return r6(c, places).alias(c)
+def _r(c):
+    return rnd(c).alias(c)
 
 
 # ----------------------------------------------------------------- F01-F07
@@ -70,7 +70,7 @@ def f02(spark, sf):
 
 @register("F03_unique_count_ratio", sql=f"""
 WITH a AS (SELECT user_id, count(DISTINCT k) AS u, count(event_id) AS n FROM {EV} x GROUP BY user_id)
-SELECT e.event_id, round(a.u / a.n, 6) AS unique_count_ratio__user_id_k
+SELECT e.event_id, RND(a.u / a.n, 6) AS unique_count_ratio__user_id_k
 FROM {EV} e JOIN a USING (user_id)""")
 def f03(spark, sf):
     ev = events_df(spark, sf)
@@ -80,8 +80,8 @@ def f03(spark, sf):
 
 @register("F04_variance", sql=f"""
 SELECT event_id,
-  round(coalesce(var_samp(value) OVER (PARTITION BY user_id), 0), 6) AS variance__user_id_value,
-  round(coalesce(var_samp(value) OVER (PARTITION BY user_id, event_type), 0), 6) AS variance__user_id_event_type_value
+  RND(coalesce(var_samp(value) OVER (PARTITION BY user_id), 0), 6) AS variance__user_id_value,
+  RND(coalesce(var_samp(value) OVER (PARTITION BY user_id, event_type), 0), 6) AS variance__user_id_event_type_value
 FROM {EV} e""", headline=True)
 def f04(spark, sf):
     ev = events_df(spark, sf)
@@ -92,7 +92,7 @@ def f04(spark, sf):
 @register("F05_count_std_over_mean", sql=f"""
 WITH c AS (SELECT user_id, event_type, count(event_id) AS c FROM {EV} x GROUP BY 1, 2),
      s AS (SELECT user_id, stddev_samp(c) AS s, avg(c) AS m FROM c GROUP BY 1)
-SELECT e.event_id, round(coalesce(100 * s.s / s.m, -1), 6) AS count_std_over_mean__user_id_event_type__coefficient_100
+SELECT e.event_id, RND(coalesce(100 * s.s / s.m, -1), 6) AS count_std_over_mean__user_id_event_type__coefficient_100
 FROM {EV} e JOIN s USING (user_id)""")
 def f05(spark, sf):
     ev = events_df(spark, sf)
@@ -101,7 +101,7 @@ def f05(spark, sf):
 
 
 @register("F06_count_ratio_nested", sql=f"""
-SELECT event_id, round(count(*) OVER (PARTITION BY user_id, event_type) / count(*) OVER (PARTITION BY user_id), 6)
+SELECT event_id, RND(count(*) OVER (PARTITION BY user_id, event_type) / count(*) OVER (PARTITION BY user_id), 6)
   AS count_ratio__user_id_event_type_by_user_id
 FROM {EV} e""")
 def f06(spark, sf):
@@ -111,7 +111,7 @@ def f06(spark, sf):
 
 
 @register("F07_count_ratio_pair", sql=f"""
-SELECT event_id, round(count(*) OVER (PARTITION BY k, hr) / count(*) OVER (PARTITION BY event_type, hr), 6)
+SELECT event_id, RND(count(*) OVER (PARTITION BY k, hr) / count(*) OVER (PARTITION BY event_type, hr), 6)
   AS count_ratio__k_hr_by_event_type_hr
 FROM {EV} e""")
 def f07(spark, sf):
@@ -143,7 +143,7 @@ def f08(spark, sf):
 
 @register("F09_history_mean", sql=f"""
 WITH h AS (SELECT user_id, avg(y) AS m FROM {_HIST} x GROUP BY 1)
-SELECT c.event_id, round(coalesce(h.m, -0.01), 6) AS history_mean__user_id_y
+SELECT c.event_id, RND(coalesce(h.m, -0.01), 6) AS history_mean__user_id_y
 FROM {_CUR} c LEFT JOIN h USING (user_id)""")
 def f09(spark, sf):
     hist, cur = _split(spark, sf)
@@ -154,33 +154,33 @@ def f09(spark, sf):
 @register("F10_history_regression", sql=f"""
 WITH h AS (SELECT user_id, regr_slope(y, t_us / 1e6 - {SHIFT_S}) AS b, regr_intercept(y, t_us / 1e6 - {SHIFT_S}) AS a
            FROM {_HIST} x GROUP BY 1)
-SELECT c.event_id, round(coalesce(h.a + h.b * (c.t_us / 1e6 - {SHIFT_S}), -0.5), 4) AS history_regression__user_id_y_ts
+SELECT c.event_id, RND(coalesce(h.a + h.b * (c.t_us / 1e6 - {SHIFT_S}), -0.5), 4) AS history_regression__user_id_y_ts
 FROM {_CUR} c LEFT JOIN h USING (user_id)""")
 def f10(spark, sf):
     hist, cur = _split(spark, sf)
     p = G.history_regression(hist, ["user_id"], "y", "ts", shift=SHIFT_S)
     # 4 places: OLS on epoch seconds loses a few digits in either engine
-    return apply_parts(cur, [p]).select("event_id", r6(p.name, 4).alias(p.name))
+    return apply_parts(cur, [p]).select("event_id", rnd(p.name).alias(p.name))
 
 
 # ----------------------------------------------------------------- F11-F14
 @register("F11_first_last_diff", sql=f"""
 SELECT event_id,
-  round((t_us - min(t_us) OVER (PARTITION BY user_id)) / 1e6, 6) AS first_last_diff__user_id_ts_from_first,
-  round((max(t_us) OVER (PARTITION BY user_id) - t_us) / 1e6, 6) AS first_last_diff__user_id_ts_to_last
+  RND((t_us - min(t_us) OVER (PARTITION BY user_id)) / 1e6, 6) AS first_last_diff__user_id_ts_from_first,
+  RND((max(t_us) OVER (PARTITION BY user_id) - t_us) / 1e6, 6) AS first_last_diff__user_id_ts_to_last
 FROM {EV} e""")
 def f11(spark, sf):
     ev = events_df(spark, sf)
     parts = G.first_last_diff(["user_id"], "t_us", time_expr=lambda c: F.col(c))
     out = apply_parts(ev, parts)
-    return out.select("event_id", *[r6(F.col(p.name) / 1e6).alias(p.name.replace("t_us", "ts"))
+    return out.select("event_id", *[rnd(F.col(p.name) / 1e6).alias(p.name.replace("t_us", "ts"))
                                     for p in parts])
 
 
 @register("F12_group_relative", sql=f"""
 SELECT event_id,
-  round(value - avg(value) OVER (PARTITION BY event_type), 6) AS diff_mean__event_type_value,
-  round(abs(value - avg(value) OVER (PARTITION BY event_type)), 6) AS diff_mean__event_type_value_abs
+  RND(value - avg(value) OVER (PARTITION BY event_type), 6) AS diff_mean__event_type_value,
+  RND(abs(value - avg(value) OVER (PARTITION BY event_type)), 6) AS diff_mean__event_type_value_abs
 FROM {EV} e""")
 def f12(spark, sf):
     ev = events_df(spark, sf)
@@ -235,7 +235,7 @@ def _f15_sql():
             sel.append(f"count(*) OVER (PARTITION BY {keys}) AS {s.feature_name}")
         else:
             keys = ", ".join(s.cols[:-1])
-            sel.append(f"round(coalesce(var_samp({s.cols[-1]}) OVER (PARTITION BY {keys}), 0), 6) AS {s.feature_name}")
+            sel.append(f"RND(coalesce(var_samp({s.cols[-1]}) OVER (PARTITION BY {keys}), 0), 6) AS {s.feature_name}")
     return f"SELECT event_id, {', '.join(sel)} FROM {EV} e"
 
 
@@ -278,11 +278,11 @@ def t03(spark, sf):
 
 # ----------------------------------------------------------------- T04-T07
 def _sec(c):
-    return r6(F.col(c) / 1e6).alias(c)
+    return rnd(F.col(c) / 1e6).alias(c)
 
 
 @register("T04_time_to_n_next", sql=f"""
-SELECT event_id, round(coalesce(lead(t_us, 2) OVER w - t_us, -1000000) / 1e6, 6) AS time_to_2_next__user_id
+SELECT event_id, RND(coalesce(lead(t_us, 2) OVER w - t_us, -1000000) / 1e6, 6) AS time_to_2_next__user_id
 FROM {EV} e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""", headline=True)
 def t04(spark, sf):
     out = O.time_to_n_next(events_df(spark, sf), ["user_id"], ORDER, F.col("t_us"), n=2, fill=-1_000_000)
@@ -290,7 +290,7 @@ def t04(spark, sf):
 
 
 @register("T05_time_to_n_previous", sql=f"""
-SELECT event_id, round((lag(t_us, 1) OVER w - t_us) / 1e6, 6) AS time_to_1_previous__user_id_event_type
+SELECT event_id, RND((lag(t_us, 1) OVER w - t_us) / 1e6, 6) AS time_to_1_previous__user_id_event_type
 FROM {EV} e WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)""")
 def t05(spark, sf):
     out = O.time_to_n_next(events_df(spark, sf), ["user_id", "event_type"], ORDER, F.col("t_us"), n=-1,
@@ -299,20 +299,20 @@ def t05(spark, sf):
 
 
 @register("T06_click_next", sql=f"""
-SELECT event_id, coalesce(round((lead(t_us, 1) OVER w - t_us) / 1e6 + 1, 6), 999999) AS next_click__user_id_day
+SELECT event_id, coalesce(RND((lead(t_us, 1) OVER w - t_us + 1000000) / 1e6), 999999) AS next_click__user_id_day
 FROM {EV} e WINDOW w AS (PARTITION BY user_id, day ORDER BY ts, event_id)""")
 def t06(spark, sf):
-    ev = events_df(spark, sf).withColumn("t_s", F.col("t_us") / 1e6)
-    out = O.time_to_n_next(ev, ["user_id", "day"], ORDER, F.col("t_s"), n=1, plus=1.0,
+    # lead(t) - t + 1 second, in integer microseconds until the last step
+    out = O.time_to_n_next(events_df(spark, sf), ["user_id", "day"], ORDER, F.col("t_us"), n=1, plus=1_000_000,
                            name="next_click__user_id_day")
-    return out.select("event_id", F.coalesce(r6("next_click__user_id_day"), F.lit(999999.0))
+    return out.select("event_id", F.coalesce(rnd(F.col("next_click__user_id_day") / 1e6), F.lit(999999.0))
                       .alias("next_click__user_id_day"))
 
 
 @register("T07_gaps", sql=f"""
 SELECT event_id,
-  round(coalesce(lead(t_us) OVER w - t_us, -1000000) / 1e6, 6) AS gap_next__user_id_event_type,
-  round(coalesce(t_us - lag(t_us) OVER w, -1000000) / 1e6, 6) AS gap_prev__user_id_event_type
+  RND(coalesce(lead(t_us) OVER w - t_us, -1000000) / 1e6, 6) AS gap_next__user_id_event_type,
+  RND(coalesce(t_us - lag(t_us) OVER w, -1000000) / 1e6, 6) AS gap_prev__user_id_event_type
 FROM {EV} e WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)""")
 def t07(spark, sf):
     out = O.gaps(events_df(spark, sf), ["user_id", "event_type"], ORDER, F.col("t_us"), missing=-1_000_000)
@@ -356,9 +356,9 @@ def t10(spark, sf):
 # ---------------------------------------------------------------------- T11
 @register("T11_running_label_mean", sql=f"""
 SELECT event_id,
-  round(avg(y) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6)
+  RND(avg(y) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6)
     AS running_mean_y__user_id,
-  round(avg(y) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6)
+  RND(avg(y) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6)
     AS running_mean_strict_y__user_id
 FROM {EV} e""")
 def t11(spark, sf):

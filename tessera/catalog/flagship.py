@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.catalog.events import EV, HOUR_US, ORDER, events_df
 from tessera.catalog.registry import register
-from tessera.functions.columns import r6
+from tessera.functions.columns import rnd
 from tessera.operators import group as G
 from tessera.operators import ordered as O
 from tessera.plans.fuse import apply_parts
@@ -25,7 +25,7 @@ def flagship(spark, sf):
                           HOUR_US, which=["prev"])
     return (base.select("event_id", "user_id", "event_type", "count__user_id", "count__user_id_event_type")
             .join(cum.select("event_id", "cum_count__user_id"), "event_id")
-            .join(nxt.select("event_id", r6(F.col("time_to_2_next__user_id") / 1e6)
+            .join(nxt.select("event_id", rnd(F.col("time_to_2_next__user_id") / 1e6)
                              .alias("time_to_2_next__user_id")), "event_id")
             .join(hz.select("event_id", f"count_prev_{HOUR_US}__user_id"), "event_id"))
 
@@ -35,7 +35,7 @@ SELECT e.event_id, e.user_id, e.event_type,
   count(e.event_id) OVER (PARTITION BY e.user_id) AS count__user_id,
   count(e.event_id) OVER (PARTITION BY e.user_id, e.event_type) AS count__user_id_event_type,
   row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) - 1 AS cum_count__user_id,
-  round(coalesce(lead(e.t_us, 2) OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) - e.t_us, -1000000) / 1e6, 6)
+  RND(coalesce(lead(e.t_us, 2) OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) - e.t_us, -1000000) / 1e6, 6)
     AS time_to_2_next__user_id,
   (SELECT count(*) FROM {EV} b WHERE b.user_id = e.user_id
      AND (b.ts < e.ts OR (b.ts = e.ts AND b.event_id < e.event_id)) AND b.t_us >= e.t_us - {HOUR_US})

@@ -3,7 +3,7 @@ operator is SQL-expressible) the equivalent DuckDB SQL over the same
 parquet tables.
 
 Conventions: every computed column is aliased identically in both; doubles
-are rounded to 6 places in both; counts are BIGINT; results carry the row id
+are rounded to 10 significant digits in both (``rnd`` / ``RND``); counts are BIGINT; results carry the row id
 so comparisons are order-insensitive.
 """
 
@@ -24,28 +24,26 @@ def register(name: str, sql: str | None = None, headline: bool = False):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            SQL[name] = decimal_rounds(sql.strip())
+            SQL[name] = normalise_sql(sql.strip())
         if headline:
             HEADLINE.append(name)
         return fn
     return deco
 
 
-def decimal_rounds(sql: str) -> str:
-    """Rewrite every ``round(expr, n)`` of the oracle SQL into the
-    engine-independent form used on the Spark side (``functions.columns.r6``):
-    ``CAST(round(CAST(expr AS DECIMAL(38,9)), n) AS DOUBLE)``."""
-    out, i, low = [], 0, sql.lower()
+def normalise_sql(sql: str) -> str:
+    """Expand every ``RND(expr[, n])`` marker of the oracle SQL into the
+    engine-independent rounding used on the Spark side
+    (``functions.columns.rnd``: 10 significant digits). Plain ``round`` is
+    left alone: it is part of a feature's definition."""
+    from tessera.functions.columns import sql_rnd
+    out, i = [], 0
     while True:
-        j = low.find("round(", i)
+        j = sql.find("RND(", i)
         if j < 0:
             out.append(sql[i:])
             return "".join(out)
-        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
-            out.append(sql[i:j + 6])
-            i = j + 6
-            continue
-        depth, k, cut = 0, j + 5, None
+        depth, k, cut = 0, j + 3, None
         while True:
             ch = sql[k]
             if ch == "(":
@@ -58,12 +56,8 @@ def decimal_rounds(sql: str) -> str:
                 cut = k
             k += 1
         out.append(sql[i:j])
-        if cut is None:
-            out.append(sql[j:k + 1])
-        else:
-            expr = decimal_rounds(sql[j + 6:cut])
-            places = sql[cut + 1:k].strip()
-            out.append(f"CAST(round(CAST({expr} AS DECIMAL(38,9)), {places}) AS DOUBLE)")
+        expr = sql[j + 4:(cut if cut is not None else k)]
+        out.append(sql_rnd(normalise_sql(expr)))
         i = k + 1
 
 

@@ -59,7 +59,7 @@ def time_to_n_next(df: DataFrame, keys: Sequence[str], order: Sequence[str], tim
     name = name or f"time_to_{n}_next__{'_'.join(keys)}"
     base = df.withColumn("_t", time)
     pos = with_positions(base, keys, order, total=None, leads={"_tn": ("_t", n)})
-    val = F.col("_tn") - F.col("_t") + F.lit(plus)
+    val = F.col("_tn") - F.col("_t") + F.lit(plus) if plus else F.col("_tn") - F.col("_t")
     if fill is not None:
         val = F.coalesce(val, F.lit(fill))
     return pos.select(*df.columns, null_unless_keys(val, keys).alias(name))
