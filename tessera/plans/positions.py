@@ -54,6 +54,9 @@ def _numeric(df: DataFrame, c: Column | str) -> Column:
             return F.unix_micros(c.cast("timestamp")).cast("double")
         if isinstance(dt, T.DateType):
             return F.unix_date(c).cast("double")
+        if isinstance(dt, T.StringType):
+            # first 7 bytes as a number: monotone in Spark's binary string order
+            return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("double")
         return c.cast("double")
     return c.cast("double")
 
