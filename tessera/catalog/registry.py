@@ -68,7 +68,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def load_all() -> None:
     """Import every catalog module so their ``register`` calls run."""
     import importlib
-    for m in ("events", "flagship", "rollup", "scalar", "target", "category", "missing",
+    for m in ("events", "flagship", "rollup", "scalar", "target", "category", "missing", "modeling",
               "sampling", "select", "model", "io"):
         try:
             importlib.import_module(f"tessera.catalog.{m}")
