@@ -56,8 +56,9 @@ def _n02_sql():
         for c in ("bal", "nat"):
             parts.append(f"""SELECT '{part}' AS part, '{c}' AS column, RND(max(CAST({c} AS DOUBLE))) AS max,
   RND(min(CAST({c} AS DOUBLE))) AS min, count(DISTINCT {c}) AS nunique,
-  RND(count(*) / count(DISTINCT {c})) AS rows_per_unique, RND(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)) AS null_rate
-FROM (SELECT *, CAST(c_custkey >= 1000 AS INTEGER) AS one_split FROM {CUST_SQL}) WHERE {cond}""")
+  RND(CASE WHEN count(DISTINCT {c}) > 0 THEN count(*) / count(DISTINCT {c}) END) AS rows_per_unique,
+  RND(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)) AS null_rate
+FROM (SELECT *, CAST(c_custkey >= 1000 AS INTEGER) AS one_split FROM {CUST_SQL}) WHERE {cond} HAVING count(*) > 0""")
     return "\nUNION ALL ".join(parts)
 
 

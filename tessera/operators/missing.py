@@ -46,7 +46,8 @@ def column_profile(df: DataFrame, cols_: Sequence[str], split: str | None = None
     else:
         g = df.agg(*exprs).withColumn("part", F.lit("all"))
     per = ", ".join(
-        f"'{c}', `{c}__max`, `{c}__min`, `{c}__nunique`, `{c}__rows` / `{c}__nunique`, `{c}__null_rate`" for c in cols_)
+        f"'{c}', `{c}__max`, `{c}__min`, `{c}__nunique`, try_divide(`{c}__rows`, `{c}__nunique`), `{c}__null_rate`"
+        for c in cols_)
     return g.select("part", F.expr(
         f"stack({len(cols_)}, {per}) as (column, max, min, nunique, rows_per_unique, null_rate)"))
 

@@ -1,24 +1,28 @@
-"""Every registered query with oracle SQL must agree with DuckDB at sf0.01
-(row count, column names, order-insensitive value hash)."""
+"""Every registered query with oracle SQL must agree with DuckDB (row count,
+column names, order-insensitive value hash); every other registered query
+must run. The scale factor is ``TESSERA_TEST_SF`` (default sf0.001, the
+driver checks sf0.01 with ``tools/oracle_check.py``)."""
+
+import os
 
 import pytest
 
 import __spark_entry__ as E
 from tools.oracle_check import digest, duck
 
-from .conftest import SF01
-
+SF = os.environ.get("TESSERA_TEST_SF", "/root/testdata/sf0.001")
 NAMES = sorted(E.oracle_sql())
+ROWS_ONLY = sorted(set(E.queries()) - set(NAMES))
 
 
 @pytest.fixture(scope="module")
 def con():
-    return duck(SF01)
+    return duck(SF)
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_duckdb(spark, con, name):
-    df = E.queries()[name](spark, SF01)
+    df = E.queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
     cur = con.execute(E.oracle_sql()[name])
     dcols = [d[0] for d in cur.description]
@@ -28,13 +32,19 @@ def test_query_matches_duckdb(spark, con, name):
     assert digest(df.columns, rows)[0] == digest(dcols, drows)[0]
 
 
+@pytest.mark.parametrize("name", ROWS_ONLY)
+def test_rows_only_query_runs(spark, name):
+    df = E.queries()[name](spark, SF)
+    assert df.count() >= 0
+    assert len(df.columns) >= 1
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert len(df.columns) >= 5
 
 
-def test_rows_only_queries_run(spark):
-    for name, fn in E.queries().items():
-        if name not in E.oracle_sql():
-            assert fn(spark, SF01).count() >= 0
+def test_every_survey_section_is_registered():
+    prefixes = {n.split("_")[0][0] for n in E.queries()}
+    assert {"S", "P", "F", "T", "G", "E", "C", "N", "H", "L", "M"} <= prefixes
