@@ -26,16 +26,16 @@ def rnd(c, digits: int = 10) -> Column:
     engine, so results can be compared across engines and partitionings.
 
     The mantissa is scaled by an exact power of ten, snapped to 12 decimals
-    as a DECIMAL (absorbs last-bit noise of summation order), rounded
-    half-up to ``digits - 1`` decimals and scaled back with the same exact
-    power. Plain ``round(double, n)`` breaks exact ties differently in
+    as a DECIMAL(18, 12) (absorbs last-bit noise of summation order; 18
+    digits keep Spark on its compact long decimals), rounded half-up to
+    ``digits - 1`` decimals and scaled back with the same exact power. Plain ``round(double, n)`` breaks exact ties differently in
     different engines and cannot keep 6 decimals of 1e10. NULL stays NULL;
     callers keep NaN and infinities out."""
     x = col(c).cast("double")
     e = F.floor(F.log10(F.abs(x)))
     p = F.pow(F.lit(10.0), F.abs(e))
     m = F.when(e >= 0, x / p).otherwise(x * p)
-    m = F.round(F.round(m.cast("decimal(38,18)"), 12), digits - 1).cast("double")
+    m = F.round(m.cast("decimal(18,12)"), digits - 1).cast("double")
     return F.when(x == 0, F.lit(0.0)).otherwise(F.when(e >= 0, m * p).otherwise(m / p))
 
 
@@ -44,7 +44,7 @@ def sql_rnd(expr: str, digits: int = 10) -> str:
     x = f"CAST(({expr}) AS DOUBLE)"
     e = f"floor(log10(abs({x})))"
     p = f"power(10.0, abs({e}))"
-    m = (f"CAST(round(round(CAST(CASE WHEN {e} >= 0 THEN {x} / {p} ELSE {x} * {p} END AS DECIMAL(38,18)), 12), "
+    m = (f"CAST(round(CAST(CASE WHEN {e} >= 0 THEN {x} / {p} ELSE {x} * {p} END AS DECIMAL(18,12)), "
          f"{digits - 1}) AS DOUBLE)")
     return f"(CASE WHEN {x} = 0 THEN 0.0 WHEN {e} >= 0 THEN {m} * {p} ELSE {m} / {p} END)"
 

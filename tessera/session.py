@@ -18,8 +18,10 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # nested key sets ({a} inside {a,b}) can share one hash partitioning
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # joins partition on their full key set: sharing a partitioning on a
+    # low-cardinality prefix ({event_type} inside {event_type, k}) would put
+    # the whole table into a handful of tasks
+    "spark.sql.requireAllClusterKeysForCoPartition": "true",
 }
 
 
