@@ -97,7 +97,7 @@ WITH t AS (SELECT conv_id * 1000 + turn AS doc, list_filter(string_split_regex(l
 g AS (SELECT doc, w[i] AS term FROM t, range(1, len(w) + 1) r(i)
       UNION ALL SELECT doc, w[i] || ' ' || w[i + 1] FROM t, range(1, len(w)) r(i)),
 tf AS (SELECT doc, term, count(*) AS tf FROM g GROUP BY ALL),
-nd AS (SELECT count(DISTINCT doc) AS n FROM tf),
+nd AS (SELECT count(*) AS n FROM conversations),
 st AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term),
 vocab AS (SELECT term, df FROM st, nd WHERE df >= 2 AND df <= 0.9 * nd.n ORDER BY cf DESC, term LIMIT 3000),
 w AS (SELECT tf.doc, tf.term, (1 + ln(tf.tf)) * (ln((1 + nd.n) / (1 + vocab.df)) + 1) AS w FROM tf JOIN vocab USING (term), nd)
@@ -105,7 +105,7 @@ SELECT doc, term, RND(w / sqrt(sum(w * w) OVER (PARTITION BY doc))) AS tfidf FRO
 def c09(spark, sf):
     conv = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc"), "text")
     terms = C.word_terms(conv, "doc", "text", ngram=(1, 2))
-    out = C.tfidf(terms, "doc", min_df=2, max_df=0.9, max_features=3000)
+    out = C.tfidf(terms, "doc", conv.count(), min_df=2, max_df=0.9, max_features=3000)
     return out.select("doc", "term", rnd("tfidf").alias("tfidf"))
 
 
@@ -113,14 +113,14 @@ def c09(spark, sf):
 WITH g AS (SELECT p_partkey AS doc, substr(p_name, i, n) AS term FROM part, range(2, 6) a(n), range(1, 200) b(i)
            WHERE i <= length(p_name) - n + 1),
 tf AS (SELECT doc, term, count(*) AS tf FROM g GROUP BY ALL),
-nd AS (SELECT count(DISTINCT doc) AS n FROM tf),
+nd AS (SELECT count(*) AS n FROM part),
 st AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 w AS (SELECT tf.doc, tf.term, (1 + ln(tf.tf)) * (ln((1 + nd.n) / (1 + st.df)) + 1) AS w FROM tf JOIN st USING (term), nd)
 SELECT doc, term, RND(w / sqrt(sum(w * w) OVER (PARTITION BY doc))) AS tfidf FROM w""")
 def c09c(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("doc"), "p_name")
     terms = C.char_terms(p, "doc", "p_name", ngram=(2, 5))
-    return C.tfidf(terms, "doc").select("doc", "term", rnd("tfidf").alias("tfidf"))
+    return C.tfidf(terms, "doc", p.count()).select("doc", "term", rnd("tfidf").alias("tfidf"))
 
 
 @register("C10_category2vec")

@@ -156,14 +156,14 @@ def char_terms(df: DataFrame, doc: str, text: str, ngram: tuple[int, int] = (2,
     return out.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf(terms: DataFrame, doc: str, n_docs: int | None = None, min_df: int = 1, max_df: float = 1.0,
+def tfidf(terms: DataFrame, doc: str, n_docs: int, min_df: int = 1, max_df: float = 1.0,
           max_features: int | None = None, sublinear: bool = True, norm: bool = True) -> DataFrame:
     """TF-IDF in long format, as scikit-learn's default: smooth idf
     ``ln((1 + n) / (1 + df)) + 1``, sublinear tf ``1 + ln(tf)``, l2 norm per
-    document. Terms are kept by ``min_df`` / ``max_df`` and, with
-    ``max_features``, the most frequent ones (ties by term)."""
-    if n_docs is None:
-        n_docs = terms.select(doc).distinct().count()
+    document. ``n_docs`` counts every input document (also those without a
+    term), as scikit-learn does; count the input table, not the terms. Terms
+    are kept by ``min_df`` / ``max_df`` and, with ``max_features``, the most
+    frequent ones (ties by term)."""
     stats = terms.groupBy("term").agg(F.count(F.lit(1)).alias("_df"), F.sum("tf").alias("_cf"))
     stats = stats.where((F.col("_df") >= min_df) & (F.col("_df") <= F.lit(max_df * n_docs)))
     if max_features is not None:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import col, epoch_micros, null_unless_keys
 from tessera.plans.positions import with_positions
+from tessera.plans.quantiles import group_quantiles
 
 
 def _on(l: str, r: str, keys):
@@ -176,18 +177,35 @@ def last_k_aggregates(child: DataFrame, parent_key: str, order: Sequence[str], v
                       ks: Sequence[int | None], aggs: Sequence[str] = LASTK_AGGS,
                       prefix: str = "") -> DataFrame:
     """Per parent, aggregates of the latest K child rows for every K
-    (None = all rows) in one grouped pass. ``order`` sorts oldest -> newest;
-    position 0 is the most recent row."""
+    (None = all rows) in one grouped pass. ``order`` sorts oldest -> newest
+    and ends with a unique id; position 0 is the most recent row.
+
+    Quantiles (median, iqr) of a finite K use ``percentile`` over at most K
+    values; over the whole history (K = None) they come from the rank-based
+    ``group_quantiles``, so a parent with a huge history is never one buffer."""
     pos = with_positions(child, [parent_key], order, total=None, descending=True, pos="_rec")
-    exprs = []
+    exprs, names, deferred = [], [], []
     for k in ks:
         keep = F.lit(True) if k is None else F.col("_rec") < k
         tag = "all" if k is None else f"last{k}"
         for v in values:
             x = F.when(keep, col(v).cast("double"))
             for a in aggs:
-                exprs.append(_lastk_agg(a, x).alias(f"{prefix}{tag}_{a}_{v}"))
-    return pos.groupBy(parent_key).agg(*exprs)
+                name = f"{prefix}{tag}_{a}_{v}"
+                names.append(name)
+                if k is None and a in ("median", "iqr"):
+                    deferred.append((name, a, v))
+                else:
+                    exprs.append(_lastk_agg(a, x).alias(name))
+    out = pos.groupBy(parent_key).agg(*exprs) if exprs else pos.select(parent_key).distinct()
+    for v in sorted({d[2] for d in deferred}):
+        q = group_quantiles(child, [parent_key], v, order[-1], [0.25, 0.5, 0.75], names=["_q25", "_q50", "_q75"])
+        cols_ = [F.col(parent_key)]
+        for name, a, vv in deferred:
+            if vv == v:
+                cols_.append((F.col("_q50") if a == "median" else F.col("_q75") - F.col("_q25")).alias(name))
+        out = out.join(q.select(*cols_), parent_key, "left")
+    return out.select(parent_key, *names)
 
 
 def last_k_fractions(table: DataFrame, pairs: Sequence[tuple[str, str, str]]) -> DataFrame:
