@@ -24,6 +24,10 @@ rows *before* that exchange with partial aggregation:
 Everything is a deterministic function of the data (no sampling, no
 partition ids), so a lost executor recomputes the same chunks and every
 branch agrees on them. With no keys this is the distributed global rank (H02).
+
+When no key has more than ``chunk_rows`` rows (one small counting job tells),
+the chunk machinery is skipped: a plain window over the keys is then already
+bounded by ``chunk_rows`` rows per group.
 """
 
 from __future__ import annotations
@@ -110,6 +114,10 @@ def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                    F.when(F.col("_hmax") > F.col("_hmin"),
                           (F.col("_hmax") - F.col("_hmin")) / F.ceil(F.col("_hn") / F.lit(C)))
                    .alias("_hw")))
+    if hot.count() == 0:
+        # no key above C rows: a plain window over the keys is already
+        # bounded by C rows per group (one small job decided this)
+        return _single_chunk(base, keys, kcols, ocols, sums, pos, total, leads, out_cols)
     h = F.broadcast(hot).alias("_h")
     b = base.alias("_b").join(h, _on("_b", "_h", keys), "left")
     chunk = (F.when(F.col("_h._hw").isNotNull(),
@@ -177,6 +185,18 @@ def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return res.select(*final)
 
 
+def _single_chunk(base, keys, kcols, ocols, sums, pos, total, leads, out_cols):
+    w = Window.partitionBy(*kcols).orderBy(*ocols)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cols = [F.col(c) for c in out_cols] + [(F.row_number().over(w) - 1).alias(pos)]
+    if total:
+        cols.append(F.count(F.lit(1)).over(Window.partitionBy(*kcols)).alias(total))
+    cols += [F.sum(c).over(run).alias(f"_cum_{c}") for c in sums]
+    for name, (c, n) in leads.items():
+        cols.append((F.lead(c, n).over(w) if n > 0 else F.lag(c, -n).over(w)).alias(name))
+    return base.select(*cols)
+
+
 def _halo(hot_rows: DataFrame, off: DataFrame, keys: list[str], order: Sequence[str],
           value: str, n: int) -> DataFrame:
     """First ``n`` (n > 0) or last ``-n`` rows of every hot chunk with their
