@@ -74,13 +74,33 @@ def _grouping_sets_tables(source: DataFrame, buckets: list[tuple[tuple[str, ...]
     return out
 
 
-def apply_parts(df: DataFrame, parts: Sequence[AggPart], grouping_sets: bool = True) -> DataFrame:
-    """Append every part's feature column to ``df`` (row grain preserved)."""
+GS_MIN_BYTES_CONF = "tessera.fuse.groupingSetsMinBytes"
+
+
+def _source_bytes(df: DataFrame) -> int:
+    """Size estimate of the optimized plan (file sizes for a scan): no job."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - unknown size: treat as large
+        return 1 << 62
+
+
+def apply_parts(df: DataFrame, parts: Sequence[AggPart], grouping_sets: bool | None = None) -> DataFrame:
+    """Append every part's feature column to ``df`` (row grain preserved).
+
+    ``grouping_sets`` (default: decided by size) computes all key sets of a
+    source in one grouping-sets pass: one scan instead of one per key set.
+    Below ``tessera.fuse.groupingSetsMinBytes`` (1 GiB) of input the
+    independent aggregates are cheaper than replicating rows, so they run
+    separately."""
     buckets: dict = {}
     for p in parts:
         buckets.setdefault(_bucket_key(p), []).append(p)
     # key sets over the same source with plain aggregates share one grouping-sets pass
     fused_tables: dict = {}
+    if grouping_sets is None:
+        limit = int(df.sparkSession.conf.get(GS_MIN_BYTES_CONF, str(1 << 30)))
+        grouping_sets = len(buckets) > 1 and _source_bytes(df) >= limit
     if grouping_sets:
         by_source: dict = {}
         for (src, frm, keys), ps in buckets.items():
