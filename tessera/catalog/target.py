@@ -164,7 +164,11 @@ def _e07_sql():
 
 @register("E07_pairwise_target_mean", sql=_e07_sql())
 def e07(spark, sf):
-    base = _roles(spark, sf)
+    # the fold assignment feeds three encoders: written once to the shared
+    # checkpoint folder instead of being recomputed by each branch
+    from tessera.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    base = _roles(spark, sf).checkpoint(eager=True)
     out = base
     names = []
     for a, b in itertools.combinations(E07_COLS, 2):

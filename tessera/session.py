@@ -18,6 +18,15 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # sizing for large inputs: AQE coalesces shuffle partitions towards
+    # 256 MB, scans split files at 256 MB, a partition 3x the median (and
+    # above 256 MB) counts as skewed and is split, and a join side is
+    # broadcast only when its measured size is below 64 MB
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
     # joins partition on their full key set: sharing a partitioning on a
     # low-cardinality prefix ({event_type} inside {event_type, k}) would put
     # the whole table into a handful of tasks
