@@ -9,7 +9,6 @@ from tessera.catalog.registry import register, table
 from tessera.functions.columns import rnd
 from tessera.operators import category as C
 from tessera.operators import sampling as H
-from tessera.operators.ordered import last_k_aggregates  # noqa: F401  (kept for symmetry)
 
 PART_NULL_BRAND = "CASE WHEN p_size <= 45 THEN p_brand END"
 

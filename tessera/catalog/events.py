@@ -9,8 +9,6 @@ integer microseconds.
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import functions as F
 
 from tessera.catalog.registry import register, table
@@ -18,7 +16,6 @@ from tessera.functions.columns import rnd
 from tessera.operators import group as G
 from tessera.operators import ordered as O
 from tessera.plans.fuse import apply_parts
-from tessera.spec import FeatureSpec
 
 ORDER = ["ts", "event_id"]
 HOUR_US = 3600 * 1_000_000

@@ -18,15 +18,15 @@ from tessera.plans.fuse import apply_parts
 def flagship(spark, sf):
     ev = events_df(spark, sf)
     base = apply_parts(ev, [G.count(["user_id"], "event_id"), G.count(["user_id", "event_type"], "event_id")])
-    cum = O.cumulative_counts(ev.select("event_id", "user_id", "ts"), ["user_id"], ORDER)
-    nxt = O.time_to_n_next(ev.select("event_id", "user_id", "ts", "t_us"), ["user_id"], ORDER, F.col("t_us"),
-                           n=2, fill=-1_000_000)
+    # T01 and T04 share the (user_id; ts, event_id) order: one positions pass
+    ordf = O.ordered_features(base.select("event_id", "user_id", "event_type", "ts", "t_us", "count__user_id",
+                                          "count__user_id_event_type"),
+                              ["user_id"], ORDER, time=F.col("t_us"), nexts=[(2, -1_000_000)])
     hz = O.horizon_counts(ev.select("event_id", "user_id", "t_us"), ["user_id"], F.col("t_us"), "event_id",
                           HOUR_US, which=["prev"])
-    return (base.select("event_id", "user_id", "event_type", "count__user_id", "count__user_id_event_type")
-            .join(cum.select("event_id", "cum_count__user_id"), "event_id")
-            .join(nxt.select("event_id", rnd(F.col("time_to_2_next__user_id") / 1e6)
-                             .alias("time_to_2_next__user_id")), "event_id")
+    return (ordf.select("event_id", "user_id", "event_type", "count__user_id", "count__user_id_event_type",
+                        "cum_count__user_id",
+                        rnd(F.col("time_to_2_next__user_id") / 1e6).alias("time_to_2_next__user_id"))
             .join(hz.select("event_id", f"count_prev_{HOUR_US}__user_id"), "event_id"))
 
 

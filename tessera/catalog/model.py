@@ -8,8 +8,6 @@ checked against SQL.
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 from pyspark.sql import functions as F
 

@@ -62,6 +62,11 @@ def normalise_sql(sql: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read one table. Time features are defined in UTC (epoch arithmetic on
+    ``timestamp_ntz`` columns goes through the session time zone), so the
+    session is pinned to UTC whatever session the caller built."""
+    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

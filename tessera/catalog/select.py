@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import functions as F
-
 from tessera.catalog.modeling import EVX, FEATS, evx
 from tessera.catalog.registry import register
 from tessera.functions.columns import rnd

@@ -9,24 +9,29 @@ format (doc, term, weight) until a vector is asked for.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.functions.columns import col
 from tessera.plans.positions import global_rank, with_positions
 
 
 # ------------------------------------------------------------------ C01-C02
+def _once(df: DataFrame) -> DataFrame:
+    """Write a dictionary table once to the shared checkpoint folder: the
+    rank and the counts that follow read it instead of recomputing it."""
+    from tessera.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def label_encode(df: DataFrame, c: str, name: str | None = None) -> DataFrame:
     """Category -> dense index 0..n-1 in ascending value order (as
     ``StringIndexer(stringOrderType='alphabetAsc')``); NULL gets its own
     index n. The dictionary is a distributed table, ranked without one task."""
     name = name or f"{c}_label"
-    vals = df.select(c).where(F.col(c).isNotNull()).distinct()
+    vals = _once(df.select(c).where(F.col(c).isNotNull()).distinct())
     ranked = global_rank(vals, [c], pos="_i", total="_n")
     out = df.join(ranked.select(c, "_i"), c, "left")
     # the NULL index is the number of values: one small aggregate, as a literal
@@ -42,7 +47,7 @@ def frequency_ordinal(df: DataFrame, c: str, na_values: Sequence = (), name: str
     valid = x.isNotNull()
     for v in na_values:
         valid = valid & (x != F.lit(v))
-    counts = df.where(valid).groupBy(c).agg(F.count(F.lit(1)).alias("_cnt"))
+    counts = _once(df.where(valid).groupBy(c).agg(F.count(F.lit(1)).alias("_cnt")))
     ranked = global_rank(counts, ["_cnt", c], pos="_fr", total=None, split="_cnt")
     out = df.join(ranked.select(c, (F.col("_fr") + 1).alias("_rk")), c, "left")
     return out.withColumn(name, F.when(valid, F.col("_rk")).otherwise(F.lit(-1)).cast("bigint")).drop("_rk")
@@ -167,10 +172,9 @@ def tfidf(terms: DataFrame, doc: str, n_docs: int, min_df: int = 1, max_df: floa
     stats = terms.groupBy("term").agg(F.count(F.lit(1)).alias("_df"), F.sum("tf").alias("_cf"))
     stats = stats.where((F.col("_df") >= min_df) & (F.col("_df") <= F.lit(max_df * n_docs)))
     if max_features is not None:
-        # top terms: the vocabulary cap is the feature, ranked without one task
-        ranked = global_rank(stats.withColumn("_neg", -F.col("_cf")), ["_neg", "term"], pos="_tr", total=None,
-                             split="_neg")
-        stats = ranked.where(F.col("_tr") < max_features).drop("_neg", "_tr")
+        # top terms: the vocabulary cap is the feature; each partition keeps
+        # its best max_features before one merge (bounded by the cap)
+        stats = stats.orderBy(F.desc("_cf"), F.asc("term")).limit(max_features)
     idf = F.log((F.lit(1.0 + n_docs)) / (F.col("_df") + 1)) + 1
     j = terms.join(stats.select("term", idf.alias("_idf")), "term")
     tf = (1 + F.log(F.col("tf"))) if sublinear else F.col("tf").cast("double")
@@ -278,7 +282,6 @@ def tag_rate_embedding(df: DataFrame, id_col: str, tags: str, item: str, label:
 
 
 def _svd_from_long(long: DataFrame, row: str, colname: str, val: str, k: int) -> DataFrame:
-    from pyspark.mllib.linalg import Vectors as MV
     from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
     ri = label_encode(long.select(row).distinct(), row, name="_ri").select(row, "_ri")
     ci = label_encode(long.select(colname).distinct(), colname, name="_ci").select(colname, "_ci")

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import col, epoch_micros, null_unless_keys
+from tessera.functions.columns import col, null_unless_keys
 from tessera.plans.positions import with_positions
 from tessera.plans.quantiles import group_quantiles
 
@@ -51,6 +51,29 @@ def cumulative_counts(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                       null_unless_keys(ratio, keys).alias(f"cum_count_ratio__{p}"))
 
 
+def ordered_features(df: DataFrame, keys: Sequence[str], order: Sequence[str], time: Column | None = None,
+                     cumulative: bool = True, reverse: bool = False, nexts: Sequence[tuple[int, object]] = (),
+                     prefix: str | None = None) -> DataFrame:
+    """Fusion of ordered features that share one key set and one order
+    (T01, T02, T04/T05): ONE positions pass, one window, one exchange.
+    ``nexts`` lists (n, fill) pairs for ``time_to_n_next`` on ``time``."""
+    p = prefix or "_".join(keys)
+    base = df.withColumn("_t", time) if time is not None else df
+    leads = {f"_tn{i}": ("_t", n) for i, (n, _) in enumerate(nexts)}
+    pos = with_positions(base, keys, order, total="_n" if reverse else None, leads=leads)
+    out = [F.col(c) for c in df.columns]
+    if cumulative:
+        out.append(null_unless_keys(F.col("_pos"), keys).cast("bigint").alias(f"cum_count__{p}"))
+    if reverse:
+        out.append(null_unless_keys(F.col("_n") - 1 - F.col("_pos"), keys).cast("bigint").alias(f"rev_cum_count__{p}"))
+    for i, (n, fill) in enumerate(nexts):
+        v = F.col(f"_tn{i}") - F.col("_t")
+        if fill is not None:
+            v = F.coalesce(v, F.lit(fill))
+        out.append(null_unless_keys(v, keys).alias(f"time_to_{n}_next__{p}"))
+    return pos.select(*out)
+
+
 # ------------------------------------------------------------------ T04-T07
 def time_to_n_next(df: DataFrame, keys: Sequence[str], order: Sequence[str], time: Column,
                    n: int = 1, fill=None, plus: float = 0.0, name: str | None = None) -> DataFrame:

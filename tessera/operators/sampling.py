@@ -10,6 +10,7 @@ task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +49,8 @@ def window_holdout(train: DataFrame, test: DataFrame, time_col: str, id_col: str
     the test rows shifted back ``days`` days. The test window is one small
     aggregate; the cap ``n`` is the sample size asked for."""
     w = test.agg(F.min(time_col).alias("lo"), F.max(time_col).alias("hi")).first()
-    lo = w["lo"] - __import__("datetime").timedelta(days=days)
-    hi = w["hi"] - __import__("datetime").timedelta(days=days)
+    lo = w["lo"] - timedelta(days=days)
+    hi = w["hi"] - timedelta(days=days)
     key, _ = _hash_cols(id_col, seed)
     cand = train.where((F.col(time_col) >= F.lit(lo)) & (F.col(time_col) <= F.lit(hi)))
     return cand.withColumn("_hk", key).orderBy("_hk", id_col).limit(n).drop("_hk")

@@ -13,7 +13,6 @@ of the row side otherwise.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame

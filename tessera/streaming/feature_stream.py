@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators import group as G
 
 
 def history_table(history: DataFrame, keys: Sequence[str], target: str) -> DataFrame:
@@ -43,4 +42,4 @@ def score_stream(spark: SparkSession, source_dir: str, schema: T.StructType, his
     return w.start()
 
 
-__all__ = ["history_table", "score_stream", "G"]
+__all__ = ["history_table", "score_stream"]
