@@ -195,6 +195,7 @@ def random_search(train: DataFrame, features: Sequence[str], label: str, fold: s
     from pyspark.ml.classification import LogisticRegression
     rng = np.random.RandomState(seed)
     rows = []
+    train = _materialise(train.select(*dict.fromkeys([id_col, label, fold, *features])))
     for i in range(n_iter):
         params = {kk: vv[rng.randint(len(vv))] for kk, vv in space.items()}
         est = (lambda p=params: LogisticRegression(featuresCol="features", labelCol=label, **p))
@@ -282,7 +283,8 @@ def adversarial_selection(train: DataFrame, test: DataFrame, features: Sequence[
     test-like ``drop_share`` of the remaining train rows each round until
     ``keep_n`` remain. Returns the kept train ids."""
     from tessera.operators.sampling import kfold
-    cur = train.select(id_col, *features)
+    cur = _materialise(train.select(id_col, *features))
+    test = _materialise(test.select(id_col, *features))
     while cur.count() > keep_n:
         both = (cur.withColumn("_is_test", F.lit(0))
                 .unionByName(test.select(id_col, *features).withColumn("_is_test", F.lit(1))))
@@ -303,10 +305,10 @@ def calibrated_svm(train: DataFrame, features: Sequence[str], label: str, fold:
     then a logistic regression on the score."""
     from pyspark.ml.classification import LinearSVC, LogisticRegression
     from pyspark.ml.functions import vector_to_array
-    tr = assemble(train.select(id_col, label, fold, *features), features)
+    tr = _materialise(assemble(train.select(id_col, label, fold, *features), features))
     raw = None
     for f in range(k):
-        m = LinearSVC(featuresCol="features", labelCol=label, maxIter=50).fit(tr.where(F.col(fold) != f))
+        m = LinearSVC(featuresCol="features", labelCol=label, maxIter=20).fit(tr.where(F.col(fold) != f))
         p = m.transform(tr.where(F.col(fold) == f)).select(id_col, label, vector_to_array("rawPrediction")[1]
                                                            .alias("svm_score"))
         raw = p if raw is None else raw.unionByName(p)
@@ -321,8 +323,8 @@ def bagging(train: DataFrame, test: DataFrame, features: Sequence[str], label: s
     """N models on hash-drawn row subsamples, test predictions averaged."""
     from pyspark.ml.functions import vector_to_array
     from tessera.functions.columns import hash_unit
-    tr = assemble(train.select(id_col, label, *features), features)
-    te = assemble(test.select(id_col, *features), features)
+    tr = _materialise(assemble(train.select(id_col, label, *features), features))
+    te = _materialise(assemble(test.select(id_col, *features), features))
     out = None
     for b in range(n_bags):
         bag = tr.where(hash_unit(id_col, F.lit(str(seed)), F.lit(str(b))) < fraction)

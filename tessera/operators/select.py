@@ -161,26 +161,35 @@ def importance_intersection(train: DataFrame, features: Sequence[str], label: st
 
 
 def _cv_auc(train, feats, label, fold, id_col, k) -> float:
-    """Out-of-fold AUC, scored while the assembled frame is still cached."""
-    from pyspark.ml.functions import vector_to_array
+    """Out-of-fold AUC, scored while the assembled frame is still cached
+    (exact ROC area: ``numBins=0`` keeps every distinct score)."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
     tr = M.assemble(train.select(id_col, label, fold, *feats), feats).persist()
     try:
         parts = []
         for f in range(k):
             m = M.default_estimator(label).fit(tr.where(F.col(fold) != f))
-            parts.append(m.transform(tr.where(F.col(fold) == f))
-                         .select(id_col, label, vector_to_array("probability")[1].alias("pred")))
+            parts.append(m.transform(tr.where(F.col(fold) == f)).select(label, "probability"))
         oof = parts[0]
         for p in parts[1:]:
             oof = oof.unionByName(p)
-        return M.auc(oof, label, "pred", id_col)
+        ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability",
+                                           metricName="areaUnderROC", numBins=0)
+        return ev.evaluate(oof.withColumn(label, F.col(label).cast("double")))
     finally:
         tr.unpersist()
 
 
+def _loop_input(train: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Selection loops refit many times: write the input once to the shared
+    checkpoint folder so no round recomputes its lineage."""
+    return M._materialise(train.select(*dict.fromkeys(cols)))
+
+
 def drop_one_report(train: DataFrame, features: Sequence[str], label: str, fold: str, id_col: str, k: int) -> DataFrame:
     """CV AUC with all features and without each one; the gain of
     dropping a feature = score without it - full score."""
+    train = _loop_input(train, [id_col, label, fold, *features])
     full = _cv_auc(train, features, label, fold, id_col, k)
     rows = [("<none>", full, 0.0)]
     for f in features:
@@ -193,6 +202,7 @@ def backward_elimination(train: DataFrame, features: Sequence[str], label: str,
                          min_features: int = 1) -> DataFrame:
     """Each round drop the feature whose removal improves CV most; stop
     when no removal improves. Returns one row per round."""
+    train = _loop_input(train, [id_col, label, fold, *features])
     cur = list(features)
     best = _cv_auc(train, cur, label, fold, id_col, k)
     rows = [(0, ",".join(cur), best)]
@@ -213,6 +223,7 @@ def forward_selection(train: DataFrame, candidates: Sequence[str], label: str, f
                       holdout: DataFrame | None = None, base: Sequence[str] = ()) -> DataFrame:
     """Greedy one pass: add a candidate when the CV score improves (and
     the holdout AUC too, when a holdout is given)."""
+    train = _loop_input(train, [id_col, label, fold, *base, *candidates])
     cur = list(base)
     best = _cv_auc(train, cur, label, fold, id_col, k) if cur else 0.5
     best_ho = 0.5
@@ -239,6 +250,7 @@ def forward_selection(train: DataFrame, candidates: Sequence[str], label: str, f
 def recursive_elimination(train: DataFrame, features: Sequence[str], label: str, n_keep: int) -> DataFrame:
     """Refit a logistic regression on standardised features and drop
     the smallest |coefficient| until ``n_keep`` remain."""
+    train = _loop_input(train, [label, *features])
     from pyspark.ml.feature import StandardScaler
     cur = list(features)
     order = []

@@ -70,3 +70,14 @@ def test_blend_search_matches_numpy(spark):
         p = np.clip(p, 1e-15, 1 - 1e-15)
         ref = float(np.mean(-(pdf.y * np.log(p) + (1 - pdf.y) * np.log(1 - p))))
         assert abs(ref - ll) < 1e-9
+
+
+def test_cv_auc_matches_rank_sum(spark):
+    """The evaluator used inside selection loops and the rank-sum AUC agree."""
+    from tessera.operators import select as L
+    ev = H.kfold(_events(spark), "event_id", 3, seed=1, label="y").withColumn("v", F.col("value").cast("double"))
+    a = L._cv_auc(ev, ["v"], "y", "fold", "event_id", 3)
+    # the same folds, scored by the rank-sum formula
+    oof, _ = M.oof_predict(ev, ["v"], "y", "fold", "event_id", 3, materialise=False)
+    b = M.auc(oof.join(ev.select("event_id", "y"), "event_id"), "y", "pred", "event_id")
+    assert abs(a - b) < 1e-9
