@@ -134,11 +134,19 @@ def _materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _model_names(d: DataFrame, model_col: str, limit: int = 1000) -> list[str]:
+    """Distinct model names (one column per model follows), checked small."""
+    names = [r[0] for r in d.select(model_col).distinct().limit(limit + 1).collect()]
+    if len(names) > limit:
+        raise ValueError(f"more than {limit} models to pivot")
+    return sorted(names)
+
+
 def stack_layer(preds_long: DataFrame, labels: DataFrame, id_col: str, label: str, fold: str, k: int,
                 model_col: str = "model", pred_col: str = "pred", test_long: DataFrame | None = None):
     """Layer-1 OOF predictions (long: id, model, pred) become the
     layer-2 inputs: pivot to one column per model, then M01 again."""
-    models = sorted(r[0] for r in preds_long.select(model_col).distinct().collect())  # model names: few
+    models = _model_names(preds_long, model_col)
     wide = preds_long.groupBy(id_col).pivot(model_col, models).agg(F.first(pred_col))
     tr = wide.join(labels.select(id_col, label, fold), id_col)
     te = test_long.groupBy(id_col).pivot(model_col, models).agg(F.first(pred_col)) if test_long is not None else None
@@ -263,7 +271,7 @@ def combine_predictions(preds_long: DataFrame, id_col: str, scores: DataFrame |
     d = preds_long
     if scores is not None and min_score is not None:
         d = d.join(scores.where(F.col("score") >= min_score).select(model_col), model_col, "left_semi")
-    models = sorted(r[0] for r in d.select(model_col).distinct().collect())  # few model names
+    models = _model_names(d, model_col)
     return d.groupBy(id_col).pivot(model_col, models).agg(F.first(pred_col))
 
 

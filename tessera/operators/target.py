@@ -21,8 +21,12 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import col, hash_unit
 
 
-def _fold_totals(train: DataFrame, fold: str, label: str) -> dict:
-    rows = train.groupBy(fold).agg(F.count(col(label)).alias("n"), F.sum(col(label)).alias("s")).collect()
+def _fold_totals(train: DataFrame, fold: str, label: str, limit: int = 10000) -> dict:
+    """Label count and sum per fold: one row per fold, checked small."""
+    rows = (train.groupBy(fold).agg(F.count(col(label)).alias("n"), F.sum(col(label)).alias("s"))
+            .limit(limit + 1).collect())
+    if len(rows) > limit:
+        raise ValueError(f"{fold} has more than {limit} values; it should name folds")
     return {r[fold]: (r["n"], r["s"] or 0) for r in rows}
 
 
