@@ -202,6 +202,8 @@ def combination_specs(columns: Sequence[str], sizes: Sequence[int], functions: S
         for combo in itertools.combinations(columns, n):
             for fn in functions:
                 cols = list(combo)
+                if fn == "count_ratio" and len(cols) < 2:
+                    continue  # the denominator needs a non-empty key set
                 if fn in ("unique_count", "unique_count_ratio", "variance", "count_std_over_mean"):
                     if value_col is None or value_col in cols:
                         continue
