@@ -58,13 +58,13 @@ def _n02_sql():
   RND(min(CAST({c} AS DOUBLE))) AS min, count(DISTINCT {c}) AS nunique,
   RND(CASE WHEN count(DISTINCT {c}) > 0 THEN count(*) / count(DISTINCT {c}) END) AS rows_per_unique,
   RND(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)) AS null_rate
-FROM (SELECT *, CAST(c_custkey >= 1000 AS INTEGER) AS one_split FROM {CUST_SQL}) WHERE {cond} HAVING count(*) > 0""")
+FROM (SELECT *, CAST(c_nationkey < 12 AS INTEGER) AS one_split FROM {CUST_SQL}) WHERE {cond} HAVING count(*) > 0""")
     return "\nUNION ALL ".join(parts)
 
 
 @register("N02_column_profile", sql=_n02_sql())
 def n02(spark, sf):
-    c = cust(spark, sf).withColumn("one_split", (F.col("c_custkey") >= 1000).cast("int"))
+    c = cust(spark, sf).withColumn("one_split", (F.col("c_nationkey") < 12).cast("int"))
     out = N.column_profile(c, ["bal", "nat"], split="one_split")
     return out.select("part", "column", rnd("max").alias("max"), rnd("min").alias("min"), "nunique",
                       rnd("rows_per_unique").alias("rows_per_unique"), rnd("null_rate").alias("null_rate"))
