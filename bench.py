@@ -27,7 +27,7 @@ def main() -> None:
     from tessera.session import get_spark
 
     load_all()
-    spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus),
+    spark = get_spark(f"local[{cpus}]", shuffle_partitions=cpus,
                       extra={"spark.driver.memory": "16g"})
     names = only or list(HEADLINE)
 
