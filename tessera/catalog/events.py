@@ -362,3 +362,37 @@ def t11(spark, sf):
     ev = events_df(spark, sf)
     out = O.running_mean(ev, ["user_id"], ORDER, "y", strict_name="running_mean_strict_y__user_id")
     return out.select("event_id", _r("running_mean_y__user_id"), _r("running_mean_strict_y__user_id"))
+
+
+# ------------------------------------------------------- F15 time horizons
+F15_HORIZONS_US = [300 * 1_000_000, 1800 * 1_000_000, 3600 * 1_000_000]   # 5 min, 30 min, 1 h
+F15_TIME_KEYS = [["user_id"], ["user_id", "event_type"]]
+
+
+def _f15_time_sql():
+    ctes, sel = [], []
+    for i, keys in enumerate(F15_TIME_KEYS):
+        on = " AND ".join(f"a.{k} = b.{k}" for k in keys)
+        name = "_".join(keys)
+        hmax = max(F15_HORIZONS_US)
+        cnt = ", ".join(f"count(b.event_id) FILTER (WHERE b.t_us >= a.t_us - {h}) AS count_prev_{h}__{name}"
+                        for h in F15_HORIZONS_US)
+        ctes.append(f"""c{i} AS (SELECT a.event_id, {cnt} FROM {EV} a LEFT JOIN {EV} b
+  ON {on} AND (b.ts < a.ts OR (b.ts = a.ts AND b.event_id < a.event_id)) AND b.t_us >= a.t_us - {hmax}
+  GROUP BY a.event_id)""")
+        sel += [f"c{i}.count_prev_{h}__{name}" for h in F15_HORIZONS_US]
+    joins = " ".join(f"JOIN c{i} USING (event_id)" for i in range(1, len(F15_TIME_KEYS)))
+    return f"WITH {', '.join(ctes)} SELECT c0.event_id, {', '.join(sel)} FROM c0 {joins}"
+
+
+@register("F15_time_horizon_combinations", sql=_f15_time_sql())
+def f15t(spark, sf):
+    """F15 time functions: previous-window counts for every key set and
+    every horizon; all horizons of a key set share one positions pass."""
+    ev = events_df(spark, sf).select("event_id", "user_id", "event_type", "t_us")
+    out = ev.select("event_id")
+    for keys in F15_TIME_KEYS:
+        h = O.horizon_counts(ev, keys, F.col("t_us"), "event_id", which=["prev"], ns=F15_HORIZONS_US)
+        cols = [f"count_prev_{x}__{'_'.join(keys)}" for x in F15_HORIZONS_US]
+        out = out.join(h.select("event_id", *cols), "event_id")
+    return out

@@ -104,8 +104,8 @@ def gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str], time: Column,
 
 # ------------------------------------------------------------------ T08-T10
 def horizon_counts(df: DataFrame, keys: Sequence[str], time: Column, id_col: str,
-                   n: float, which: Sequence[str] = ("prev", "next", "window"),
-                   prefix: str | None = None) -> DataFrame:
+                   n: float | None = None, which: Sequence[str] = ("prev", "next", "window"),
+                   prefix: str | None = None, ns: Sequence[float] | None = None) -> DataFrame:
     """Counts of same-key rows within a time horizon ``n`` (same units as
     ``time``), rows ordered by ``(time, id)``:
 
@@ -115,42 +115,44 @@ def horizon_counts(df: DataFrame, keys: Sequence[str], time: Column, id_col: str
 
     Probe rows at ``t - n``, ``t`` and ``t + n`` ride in the same ordered
     stream as the rows; the running count of real rows at a probe is the
-    number of rows before (tie 0) or up to (tie 2) that instant.
+    number of rows before (tie 0) or up to (tie 2) that instant. Several
+    horizons (``ns``) share the one stream: one positions pass for all.
     """
     p = prefix or "_".join(keys)
+    horizons = list(ns) if ns is not None else [n]
     kc = [F.col(k) for k in keys]
     real = df.select(*kc, time.alias("_v"), F.lit(1).alias("_tie"), F.col(id_col).alias("_id"),
                      F.lit(1).alias("_flag"), F.lit(None).cast("string").alias("_tag"))
-    probes = []
+    probes, tags = [], []
 
     def probe(tag, v, tie):
+        tags.append(tag)
         probes.append(df.select(*kc, v.alias("_v"), F.lit(tie).alias("_tie"), F.col(id_col).alias("_id"),
                                 F.lit(0).alias("_flag"), F.lit(tag).alias("_tag")))
 
-    if "prev" in which:
-        probe("lt_lo", time - F.lit(n), 0)          # rows with t' <  t - n
-    if "next" in which or "window" in which:
-        probe("le_hi", time + F.lit(n), 2)          # rows with t' <= t + n
+    for i, h in enumerate(horizons):
+        if "prev" in which:
+            probe(f"lt_lo{i}", time - F.lit(h), 0)      # rows with t' <  t - h
+        if "next" in which or "window" in which:
+            probe(f"le_hi{i}", time + F.lit(h), 2)      # rows with t' <= t + h
     if "window" in which:
-        probe("lt_t", time, 0)                      # rows with t' <  t
+        probe("lt_t", time, 0)                          # rows with t' <  t
     allr = real
     for pr in probes:
         allr = allr.unionByName(pr)
     pos = with_positions(allr, keys, ["_v", "_tie", "_id"], sums=["_flag"], total=None, split="_v")
-    tags = [t for t, want in (("lt_lo", "prev" in which),
-                              ("le_hi", "next" in which or "window" in which),
-                              ("lt_t", "window" in which)) if want]
     # one grouping by row id collects the row's own rank and its probes
     per = (pos.groupBy("_id")
            .agg(F.max(F.when(F.col("_flag") == 1, F.col("_cum__flag") - 1)).alias("_rpos"),
                 *[F.max(F.when(F.col("_tag") == t, F.col("_cum__flag"))).alias(t) for t in tags]))
     feats = []
-    if "prev" in which:
-        feats.append((F.col("_rpos") - F.col("lt_lo")).alias(f"count_prev_{_fmt(n)}__{p}"))
-    if "next" in which:
-        feats.append((F.col("le_hi") - F.col("_rpos") - 1).alias(f"count_next_{_fmt(n)}__{p}"))
-    if "window" in which:
-        feats.append((F.col("le_hi") - F.col("lt_t")).alias(f"count_window_{_fmt(n)}__{p}"))
+    for i, h in enumerate(horizons):
+        if "prev" in which:
+            feats.append((F.col("_rpos") - F.col(f"lt_lo{i}")).alias(f"count_prev_{_fmt(h)}__{p}"))
+        if "next" in which:
+            feats.append((F.col(f"le_hi{i}") - F.col("_rpos") - 1).alias(f"count_next_{_fmt(h)}__{p}"))
+        if "window" in which:
+            feats.append((F.col(f"le_hi{i}") - F.col("lt_t")).alias(f"count_window_{_fmt(h)}__{p}"))
     res = per.select(F.col("_id").alias(id_col), *feats)
     out = df.join(res, id_col, "left")
     return out.select(*df.columns, *[null_unless_keys(F.col(c).cast("bigint"), keys).alias(c)
