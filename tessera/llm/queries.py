@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm import licence_scan
 from tessera.llm.decontam import decontaminate
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.html_extract import extract_text
+from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mix
+from tessera.llm.ngram_lm import score_texts
+from tessera.llm.pii import find_pii, joined
 from tessera.llm.simhash import simhash_dups
 from tessera.llm.toxicity import score_toxicity
 
@@ -19,25 +25,53 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("locator")
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.scan_licences(table(spark, sf_dir, "documents"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dups(table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def pii_digest(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
+                        F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(find_pii(table(spark, sf_dir, "documents")))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), order=2)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("hits")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"), similarity=0.8)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_simhash, op6_mixing, op8_toxicity, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (
+    op1_exact_dedup, op2_licences, op3_html_text, op4_simhash, op5_pii, op6_mixing, op7_lm_score, op8_toxicity,
+    op9_line_dedup, op10_decontamination)}
 
-SQL = {}
+SQL = {"op2_licences": licence_scan.oracle_sql()}
 
 SQL["op1_exact_dedup"] = r"""
 with d as (
