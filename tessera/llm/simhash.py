@@ -78,7 +78,7 @@ def planes(fps: np.ndarray) -> np.ndarray:
     n = len(fps)
     bits = np.zeros((-(-n // 64) * 64, 64), np.uint8)
     bits[:n] = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view("<u8")
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
 def within(query: np.ndarray, plane: np.ndarray, radius: int) -> np.ndarray:
