@@ -147,16 +147,16 @@ def oracle_sql() -> str:
     def reading(line_end: str) -> str:
         t = f"regexp_replace(lower(coalesce(text, '')), '[\\r\\n]+', {line_end}, 'g')"
         t = f"regexp_replace({t}, '[.!?:]+(?:[ \\t\\n\\x0B\\f\\r]+|$)', chr(10), 'g')"
-        s = f"list_transform(string_split({t}, chr(10)), s -> trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')))"
-        return (f"list_aggregate(list_transform(list_filter({s}, s -> s <> ''), "
-                f"s -> lpad(coalesce(list_position({known}, s), 0)::varchar, 2, '0') || ';'), 'string_agg', '')")
+        s = f"list_transform(string_split({t}, chr(10)), lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')))"
+        return (f"list_aggregate(list_transform(list_filter({s}, lambda s: s <> ''), "
+                f"lambda s: lpad(coalesce(list_position({known}, s), 0)::varchar, 2, '0') || ';'), 'string_agg', '')")
 
     return rf"""
 with r as (select doc_id, coalesce({reading('chr(10)')}, '') as ids, coalesce({reading("' '")}, '') as wrapped
            from documents),
 f as (select doc_id, ids, list_sort(list_distinct(list_transform(
         list_concat(regexp_extract_all(ids, '{ALL_RULES}'), regexp_extract_all(wrapped, '{ALL_RULES}')),
-        m -> case {cases} end))) as names from r)
+        lambda m: case {cases} end))) as names from r)
 select doc_id, coalesce(list_aggregate(names, 'string_agg', ','), '') as licences, len(names)::bigint as n_licences,
        (length(replace(ids, '00;', '')) // 3)::bigint as n_sentences
 from f
