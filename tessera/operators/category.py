@@ -48,7 +48,7 @@ def frequency_ordinal(df: DataFrame, c: str, na_values: Sequence = (), name: str
     for v in na_values:
         valid = valid & (x != F.lit(v))
     counts = _once(df.where(valid).groupBy(c).agg(F.count(F.lit(1)).alias("_cnt")))
-    ranked = global_rank(counts, ["_cnt", c], pos="_fr", total=None, split="_cnt")
+    ranked = global_rank(counts, ["_cnt", c], pos="_fr", total=None)
     out = df.join(ranked.select(c, (F.col("_fr") + 1).alias("_rk")), c, "left")
     return out.withColumn(name, F.when(valid, F.col("_rk")).otherwise(F.lit(-1)).cast("bigint")).drop("_rk")
 

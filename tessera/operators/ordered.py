@@ -140,7 +140,7 @@ def horizon_counts(df: DataFrame, keys: Sequence[str], time: Column, id_col: str
     allr = real
     for pr in probes:
         allr = allr.unionByName(pr)
-    pos = with_positions(allr, keys, ["_v", "_tie", "_id"], sums=["_flag"], total=None, split="_v")
+    pos = with_positions(allr, keys, ["_v", "_tie", "_id"], sums=["_flag"], total=None)
     # one grouping by row id collects the row's own rank and its probes
     per = (pos.groupBy("_id")
            .agg(F.max(F.when(F.col("_flag") == 1, F.col("_cum__flag") - 1)).alias("_rpos"),

@@ -32,7 +32,7 @@ def kfold(df: DataFrame, id_col: str, k: int, seed=42, label: str | None = None,
     key, unit = _hash_cols(id_col, seed)
     base = df.withColumn("_hk", key).withColumn("_hu", unit)
     keys = [label] if label else []
-    ranked = with_positions(base, keys, ["_hk", id_col], pos="_fr", total=None, split="_hu")
+    ranked = with_positions(base, keys, ["_hk", id_col], pos="_fr", total=None)
     return ranked.withColumn(name, (F.col("_fr") % k).cast("int")).drop("_hk", "_hu", "_fr")
 
 
@@ -70,7 +70,7 @@ def negative_downsample(df: DataFrame, label: str, id_col: str, ratio: float | N
     for d in range(draws):
         key, unit = _hash_cols(id_col, seed, [d])
         neg = df.where(F.col(label) == 0).withColumn("_hk", key).withColumn("_hu", unit)
-        ranked = global_rank(neg, ["_hk", id_col], pos="_dr", total=None, split="_hu")
+        ranked = global_rank(neg, ["_hk", id_col], pos="_dr", total=None)
         picked = ranked.where(F.col("_dr") < keep).drop("_hk", "_hu", "_dr")
         part = df.where(F.col(label) == 1).unionByName(picked).withColumn("draw", F.lit(d))
         out = part if out is None else out.unionByName(part)

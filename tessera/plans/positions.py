@@ -4,30 +4,33 @@ one-task-per-key window.
 ``Window.partitionBy(key).orderBy(t)`` sends every row of a key to one task;
 if one key holds a third of the table, that task holds a third of the table.
 
-Here a key is *hot* when it has more than ``chunk_rows`` rows. Hot keys are
-found with a partially aggregated count (map-side combine, so the hot key
-itself costs nothing); there are at most ``rows / chunk_rows`` of them, which
-bounds the broadcast of that table. Each hot key is cut into contiguous
-chunks along the first order value (``split``): equal-width slices of its
-[min, max] range, about ``chunk_rows`` rows each. Cold keys form one chunk.
-
-One hash exchange on ``(keys, chunk)`` then feeds one window that numbers
-rows locally, keeps running sums and takes leads/lags. Hot chunks are
-stitched together with two small broadcast tables, both computed from the
-rows *before* that exchange with partial aggregation:
-
-* chunk sizes and sums of hot chunks (at most ``rows / chunk_rows + hot
-  keys`` rows) turn local numbers into global ones;
-* a halo of the first (or last) ``|n|`` rows of every hot chunk supplies a
-  lead/lag that crosses a chunk edge.
-
-Everything is a deterministic function of the data (no sampling, no
-partition ids), so a lost executor recomputes the same chunks and every
-branch agrees on them. With no keys this is the distributed global rank (H02).
-
-When no key has more than ``chunk_rows`` rows (one small counting job tells),
-the chunk machinery is skipped: a plain window over the keys is then already
-bounded by ``chunk_rows`` rows per group.
+Here every key group is cut into contiguous slices of its order, whatever its
+size. The cuts are rows of the group itself: a row is a cut if a hash of its
+key and its whole order tuple falls into a fixed residue class, which picks one
+row in ``chunk_rows / 8``. So slices follow the distribution of the data
+(outliers, ties in the leading columns and long common prefixes do not matter:
+cuts compare the whole tuple, NULLs first and NaN last like the window does),
+a slice has ``chunk_rows / 8`` rows on average and more than ``chunk_rows`` with
+probability e^-8, and small groups mostly have no cut at all.
+
+A row finds its slice by binary search in the sorted cuts of its key. One hash
+exchange on ``(keys, slice)`` then feeds one window that numbers rows locally,
+keeps running sums and takes leads/lags. Groups with cuts are stitched together
+with two small tables, both computed with partial aggregation before that
+exchange:
+
+* slice sizes and sums turn local numbers into global ones;
+* a halo of the first (or last) ``|n|`` rows of every slice supplies a
+  lead/lag that crosses a slice edge.
+
+The cuts, sizes and halos have one entry (``|n|`` for a halo) per
+``chunk_rows / 8`` rows: 4 million for 10^12 rows at the default, which is what
+bounds their broadcast; a larger ``tessera.positions.chunkRows`` shrinks them.
+
+There is one algorithm at every size, nothing runs while the query is built,
+and everything is a deterministic function of the data (no partition ids), so
+a lost executor recomputes the same slices and every branch agrees on them.
+With no keys this is the distributed global rank (H02).
 """
 
 from __future__ import annotations
@@ -36,10 +39,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 CHUNK_ROWS_CONF = "tessera.positions.chunkRows"
 DEFAULT_CHUNK_ROWS = 2_000_000
+# slices per chunk_rows rows on average
+SLICES = 8
 
 
 def _on(left: str, right: str, names: Sequence[str]) -> Column:
@@ -49,41 +53,43 @@ def _on(left: str, right: str, names: Sequence[str]) -> Column:
     return cond
 
 
-def _numeric(df: DataFrame, c: Column | str) -> Column:
-    """Monotone numeric view of an order column, used to cut chunks."""
-    if isinstance(c, str):
-        dt = df.schema[c].dataType
-        c = F.col(c)
-        if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-            return F.unix_micros(c.cast("timestamp")).cast("double")
-        if isinstance(dt, T.DateType):
-            return F.unix_date(c).cast("double")
-        if isinstance(dt, T.StringType):
-            # first 7 bytes as a number: monotone in Spark's binary string order
-            return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("double")
-        return c.cast("double")
-    return c.cast("double")
-
-
 def chunk_rows(spark) -> int:
     return int(spark.conf.get(CHUNK_ROWS_CONF, str(DEFAULT_CHUNK_ROWS)))
 
 
+def with_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_chunk: int,
+                descending: bool = False) -> DataFrame:
+    """``df`` with ``_chunk`` (slice number along the order) and ``_hot`` (does
+    the key group have cuts)."""
+    mean = max(1, rows_per_chunk // SLICES)
+    tuple_ = F.struct(*[F.col(o) for o in order])
+    cuts = (df.where(F.pmod(F.xxhash64(*keys, *order), F.lit(mean)) == 0)
+            .groupBy(*keys).agg(F.sort_array(F.collect_set(tuple_)).alias("_cuts")))
+    j = df.alias("_b").join(F.broadcast(cuts).alias("_h"), _on("_b", "_h", keys), "left")
+    mine = F.struct(*[F.col(f"_b.{o}") for o in order])
+    n = F.size("_h._cuts")
+    # number of cuts at or before the row, bit by bit from the highest
+    below = F.aggregate(
+        F.transform(F.sequence(F.floor(F.log2(n.cast("double"))).cast("int"), F.lit(0)), lambda b: F.pow(F.lit(2), b).cast("int")),
+        F.lit(0), lambda k, step: F.when(
+            (k + step <= n) & (F.get(F.col("_h._cuts"), k + step - 1) <= mine), k + step).otherwise(k))
+    chunk = F.when(F.col("_h._cuts").isNotNull(), (n - below) if descending else below).otherwise(F.lit(0))
+    return j.select("_b.*", chunk.cast("long").alias("_chunk"), F.col("_h._cuts").isNotNull().alias("_hot"))
+
+
 def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                    sums: Sequence[str] = (), pos: str = "_pos", total: str | None = "_n",
                    leads: Mapping[str, tuple[str, int]] | None = None,
-                   split: Column | str | None = None, rows_per_chunk: int | None = None,
-                   descending: bool = False) -> DataFrame:
+                   rows_per_chunk: int | None = None, descending: bool = False) -> DataFrame:
     """Add ``pos`` (0-based rank of the row inside its key group by ``order``),
     ``total`` (rows in the group), ``_cum_<c>`` (inclusive running sum of each
     column in ``sums``) and, for each ``name -> (column, n)`` in ``leads``, the
     value of ``column`` at position ``pos + n`` of the same group (NULL if
     none; n < 0 looks back).
 
-    ``order`` lists column names sorted ascending, or all descending with
-    ``descending=True``; it must be a total order (end it with a unique id).
-    ``split`` is a numeric column non-decreasing along the order (default:
-    the first order column). ``keys`` are column names; rows with NULL keys
+    ``order`` lists column names sorted ascending (NULLs first), or all
+    descending (NULLs last) with ``descending=True``; it must be a total order
+    (end it with a unique id). ``keys`` are column names; rows with NULL keys
     form their own group, callers NULL their features out if needed.
     """
     keys = list(keys)
@@ -96,51 +102,24 @@ def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         df = df.withColumn("_g", F.lit(0))
         keys = ["_g"]
     kcols = [F.col(k) for k in keys]
-    C = rows_per_chunk or chunk_rows(df.sparkSession)
-    v = _numeric(df, split if split is not None else order[0])
-    if descending:
-        v = -v
-        ocols = [F.col(o).desc() for o in order]
-    else:
-        ocols = [F.col(o).asc() for o in order]
-
-    base = df.withColumn("_v", v)
-    # hot keys: > C rows; at most rows / C of them -> bounded broadcast
-    hot = (base.groupBy(*keys)
-           .agg(F.count(F.lit(1)).alias("_hn"), F.min("_v").alias("_hmin"), F.max("_v").alias("_hmax"))
-           .where(F.col("_hn") > C)
-           .select(*keys, "_hmin",
-                   F.ceil(F.col("_hn") / F.lit(C)).alias("_hk"),
-                   F.when(F.col("_hmax") > F.col("_hmin"),
-                          (F.col("_hmax") - F.col("_hmin")) / F.ceil(F.col("_hn") / F.lit(C)))
-                   .alias("_hw")))
-    if hot.count() == 0:
-        # no key above C rows: a plain window over the keys is already
-        # bounded by C rows per group (one small job decided this)
-        return _single_chunk(base, keys, kcols, ocols, sums, pos, total, leads, out_cols)
-    h = F.broadcast(hot).alias("_h")
-    b = base.alias("_b").join(h, _on("_b", "_h", keys), "left")
-    chunk = (F.when(F.col("_h._hw").isNotNull(),
-                    F.least(F.floor((F.col("_b._v") - F.col("_h._hmin")) / F.col("_h._hw")),
-                            F.col("_h._hk") - 1))
-             .otherwise(F.lit(0)).cast("long"))
-    b = b.select("_b.*", chunk.alias("_chunk"), F.col("_h._hk").isNotNull().alias("_hot"))
-
-    # --- small tables from hot rows only, before the big exchange ---------
+    ocols = [F.col(o).desc() if descending else F.col(o).asc() for o in order]
+    b = with_slices(df, keys, order, rows_per_chunk or chunk_rows(df.sparkSession), descending)
+
+    # --- small tables from groups with cuts, before the big exchange --------
     hot_rows = b.where("_hot")
     sizes = hot_rows.groupBy(*keys, "_chunk").agg(
         F.count(F.lit(1)).alias("_csz"), *[F.sum(c).alias(f"_csum_{c}") for c in sums])
     wk = Window.partitionBy(*kcols).orderBy("_chunk")
     before = wk.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*kcols)
-    # a window over the chunk table: at most rows / C + hot keys rows
+    # a window over the slices of a key, not over its rows
     off = sizes.select(
         *keys, "_chunk", "_csz",
         F.coalesce(F.sum("_csz").over(before), F.lit(0)).alias("_off"),
         F.sum("_csz").over(whole).alias("_tot"),
-        *[F.coalesce(F.sum(f"_csum_{c}").over(before), F.lit(0)).alias(f"_coff_{c}") for c in sums])
+        *[F.sum(f"_csum_{c}").over(before).alias(f"_coff_{c}") for c in sums])
 
-    # --- the one big exchange: window over (keys, chunk) ------------------
+    # --- the one big exchange: window over (keys, slice) ------------------
     w = Window.partitionBy(*kcols, F.col("_chunk")).orderBy(*ocols)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     grp = Window.partitionBy(*kcols, F.col("_chunk"))
@@ -148,6 +127,9 @@ def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     for name, (c, n) in leads.items():
         e = F.lead(c, n).over(w) if n > 0 else F.lag(c, -n).over(w)
         lead_exprs.append(e.alias(f"_ll_{name}"))
+        # a value that is NULL itself is not a missing one
+        inside = F.lead(F.lit(True), n).over(w) if n > 0 else F.lag(F.lit(True), -n).over(w)
+        lead_exprs.append(inside.alias(f"_li_{name}"))
     need_cnt = bool(total)
     loc = b.select("*", (F.row_number().over(w) - 1).alias("_lpos"),
                    *([F.count(F.lit(1)).over(grp).alias("_lcnt")] if need_cnt else []),
@@ -160,21 +142,23 @@ def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     cols = [F.col(f"_r.{c}") for c in out_cols] + [gpos.alias(pos)]
     if total:
         cols.append(F.coalesce(F.col("_o._tot"), F.col("_r._lcnt")).alias(total))
-    cols += [(F.col(f"_r._lcum_{c}") + F.coalesce(F.col(f"_o._coff_{c}"), F.lit(0))).alias(f"_cum_{c}")
-             for c in sums]
-    cols += [F.col(f"_r._ll_{name}").alias(f"_ll_{name}") for name in leads]
+    for c in sums:
+        # a slice without a value yet goes on with the sum of the slices before
+        local, earlier = F.col(f"_r._lcum_{c}"), F.col(f"_o._coff_{c}")
+        cols.append(F.coalesce(local + earlier, local, earlier).alias(f"_cum_{c}"))
+    cols += [F.col(f"_r._l{x}_{name}").alias(f"_l{x}_{name}") for name in leads for x in "li"]
     cols += [F.col(f"_r.{k}").alias(f"_k_{k}") for k in keys]
     res = j.select(*cols, F.col("_r._hot").alias("_hot_"))
 
-    # --- leads that cross a hot chunk edge: broadcast halo ----------------
+    # --- leads that cross a slice edge: broadcast halo ---------------------
     for name, (c, n) in leads.items():
         halo = _halo(hot_rows, off, keys, order, c, n)
         hl = F.broadcast(halo).alias("_hl")
-        cond = F.col("_m._hot_") & F.col(f"_m._ll_{name}").isNull()
+        cond = F.col("_m._hot_") & F.col(f"_m._li_{name}").isNull()
         for k in keys:
             cond = cond & F.col(f"_m._k_{k}").eqNullSafe(F.col(f"_hl.{k}"))
         cond = cond & (F.col(f"_m.{pos}") + F.lit(n) == F.col("_hl._hpos"))
-        keep = [F.col(f"_m.{x}") for x in res.columns if x != f"_ll_{name}"]
+        keep = [F.col(f"_m.{x}") for x in res.columns if x not in (f"_ll_{name}", f"_li_{name}")]
         res = res.alias("_m").join(hl, cond, "left").select(
             *keep, F.coalesce(F.col(f"_m._ll_{name}"), F.col("_hl._hval")).alias(f"_ll_{name}"))
     final = [F.col(c) for c in out_cols] + [F.col(pos)]
@@ -185,18 +169,6 @@ def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return res.select(*final)
 
 
-def _single_chunk(base, keys, kcols, ocols, sums, pos, total, leads, out_cols):
-    w = Window.partitionBy(*kcols).orderBy(*ocols)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cols = [F.col(c) for c in out_cols] + [(F.row_number().over(w) - 1).alias(pos)]
-    if total:
-        cols.append(F.count(F.lit(1)).over(Window.partitionBy(*kcols)).alias(total))
-    cols += [F.sum(c).over(run).alias(f"_cum_{c}") for c in sums]
-    for name, (c, n) in leads.items():
-        cols.append((F.lead(c, n).over(w) if n > 0 else F.lag(c, -n).over(w)).alias(name))
-    return base.select(*cols)
-
-
 def _halo(hot_rows: DataFrame, off: DataFrame, keys: list[str], order: Sequence[str],
           value: str, n: int) -> DataFrame:
     """First ``n`` (n > 0) or last ``-n`` rows of every hot chunk with their
@@ -227,8 +199,7 @@ def _halo(hot_rows: DataFrame, off: DataFrame, keys: list[str], order: Sequence[
 
 
 def global_rank(df: DataFrame, order: Sequence[str], pos: str = "_rank",
-                total: str | None = "_n", split: Column | str | None = None,
-                descending: bool = False) -> DataFrame:
-    """0-based rank of every row over the whole table, computed in value
+                total: str | None = "_n", descending: bool = False) -> DataFrame:
+    """0-based rank of every row over the whole table, computed in
     slices (never a single-task window)."""
-    return with_positions(df, [], order, pos=pos, total=total, split=split, descending=descending)
+    return with_positions(df, [], order, pos=pos, total=total, descending=descending)

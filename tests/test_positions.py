@@ -4,7 +4,7 @@ that is forced across many chunks."""
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.plans.positions import global_rank, with_positions
+from tessera.plans.positions import global_rank, with_positions, with_slices
 
 from .conftest import SF01
 
@@ -60,3 +60,48 @@ def test_hot_key_leads_match_window(spark):
     bad = j.where(~F.col("n2").eqNullSafe(F.col("r2")) | ~F.col("p1").eqNullSafe(F.col("r1"))
                   | ~F.col("n5").eqNullSafe(F.col("r5")))
     assert bad.count() == 0
+
+
+def _awkward(spark):
+    """NULLs, NaN, infinities, an outlier, heavy ties and a long common prefix."""
+    rows = []
+    for i in range(4000):
+        x = [None, float("nan"), float("inf"), float("-inf"), 1e18, 5.0, 5.0, 5.0, i / 7.0][i % 9 if i % 4 == 0 else 8]
+        rows.append((i, None if i % 11 == 0 else i % 3, x, f"Customer#{'0' * 12}{i:09d}", None if i % 5 == 0 else float(i)))
+    return spark.createDataFrame(rows, "id long, k int, x double, s string, v double")
+
+
+def test_nulls_ties_and_outliers_match_window(spark):
+    df = _awkward(spark)
+    for keys, order in ((["k"], ["x", "id"]), ([], ["s"]), (["k"], ["s"]), ([], ["x", "id"])):
+        for desc in (False, True):
+            p = with_positions(df, keys, order, sums=["v"], rows_per_chunk=160, descending=desc)
+            o = [F.col(c).desc() if desc else F.col(c).asc() for c in order]
+            w = W.partitionBy(*keys).orderBy(*o)
+            ref = df.select("id", (F.row_number().over(w) - 1).alias("rp"),
+                            F.count("*").over(W.partitionBy(*keys)).alias("rn"),
+                            F.sum("v").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("rc"))
+            j = p.join(ref, "id")
+            assert j.count() == 4000
+            assert j.where((F.col("_pos") != F.col("rp")) | (F.col("_n") != F.col("rn"))
+                           | ~F.round("_cum_v", 3).eqNullSafe(F.round("rc", 3))).count() == 0, (keys, order, desc)
+
+
+def test_leads_of_null_values_and_short_slices(spark):
+    df = _awkward(spark)
+    p = with_positions(df, ["k"], ["x", "id"], rows_per_chunk=24, leads={"a": ("v", 3), "b": ("v", -2)})
+    w = W.partitionBy("k").orderBy("x", "id")
+    ref = df.select("id", F.lead("v", 3).over(w).alias("ra"), F.lag("v", 2).over(w).alias("rb"))
+    bad = p.join(ref, "id").where(~F.col("a").eqNullSafe(F.col("ra")) | ~F.col("b").eqNullSafe(F.col("rb")))
+    assert bad.count() == 0
+
+
+def test_slices_stay_small_and_build_runs_no_job(spark):
+    df = _awkward(spark).select("*", F.lit(1).alias("one"))
+    for order in (["x", "id"], ["s"], ["one", "id"]):
+        sliced = with_slices(df, ["one"], order, 400)
+        sizes = [r["count"] for r in sliced.groupBy("_chunk").count().collect()]
+        assert max(sizes) <= 800 and len(sizes) > 20, order
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    with_positions(df, ["k"], ["x", "id"], sums=["v"], leads={"a": ("v", 1)}, rows_per_chunk=100)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
