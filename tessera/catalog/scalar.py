@@ -216,13 +216,35 @@ def p17(spark, sf):
     return g.select("event_id", S.gap_band(-F.col("_lag") / 1e6).alias("gap_band"))
 
 
-@register("P18_loan_estimate")
+def _rate_sql(pv, p, n):
+    """Index of the grid rate, digit by digit in base 10 from the left."""
+    def cost(k):
+        return f"({pv} * (({k}) / 100000.0) / (1 - pow(1 + ({k}) / 100000.0, -{n})))"
+    digits = ", ".join(str(10 ** e) for e in range(4, -1, -1) for _ in range(9))
+    k = (f"list_reduce([{digits}], lambda k, d: CASE WHEN {cost('k + d')} <= {p} THEN k + d ELSE k END, 0)")
+    return k, cost
+
+
+_K, _COST = _rate_sql("l_extendedprice", "payment", "t")
+
+
+@register("P18_loan_estimate", sql=f"""
+WITH li AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax,
+                   l_extendedprice * (0.09 + l_discount + l_tax) AS payment, 12 AS low_len,
+                   row_number() OVER () AS rid FROM lineitem),
+o AS (SELECT *, unnest([18.0, 24.0, 30.0, 36.0, 42.0, 48.0, 54.0, 60.0]::DOUBLE[]) AS t FROM li),
+k AS (SELECT *, {_K} AS k FROM o WHERE t * payment >= l_extendedprice),
+r AS (SELECT *, (CASE WHEN k > 0 AND k < 99999 AND {_COST('k + 1')} - payment <= payment - {_COST('k')}
+                      THEN k + 1 ELSE k END) / 100000.0 AS rate FROM k),
+b AS (SELECT rid, arg_min(struct_pack(rate := rate, t := t), (abs(rate - 0.025), -t)) AS x FROM r GROUP BY rid)
+SELECT li.* EXCLUDE (rid), RND(x.rate) AS estimate_apr, x.t AS estimate_terms FROM li LEFT JOIN b USING (rid)""")
 def p18(spark, sf):
     li = table(spark, sf, "lineitem").select(*LI_ID, "l_extendedprice", "l_discount", "l_tax")
     # monthly payment between 9 % and 27 % of the amount; at least 12 months
     li = li.withColumn("payment", F.col("l_extendedprice") * (0.09 + F.col("l_discount") + F.col("l_tax")))
     li = li.withColumn("low_len", F.lit(12))
-    return S.loan_estimates(li, "l_extendedprice", "payment", "low_len", t_apr=0.025)
+    out = S.loan_estimates(li, "l_extendedprice", "payment", "low_len", t_apr=0.025)
+    return out.withColumn("estimate_apr", rnd("estimate_apr"))
 
 
 def _inv_norm_sql(p: str) -> str:

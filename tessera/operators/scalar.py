@@ -13,11 +13,8 @@ from __future__ import annotations
 import itertools
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.columns import col, inv_norm, safe_div
 from tessera.plans.positions import global_rank
@@ -232,87 +229,41 @@ def gap_band(c, low: float = 30, high: float = 1800) -> Column:
 
 
 # --------------------------------------------------------------------- P18
-def _payment(pv, n, r):
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return r * pv / (1 - (1 + r) ** (-n))
-
-
-def _rate(pv, n, p, grid_size: int = 100000, step: float = 1e-5):
-    """Vectorised bisection of the annuity rate on the grid k * step."""
-    pv, n, p = (np.asarray(a, dtype=float) for a in (pv, n, p))
-    lo = np.zeros(pv.shape, dtype=np.int64)
-    up = np.full(pv.shape, grid_size, dtype=np.int64)
-    hit = np.full(pv.shape, -1, dtype=np.int64)
-    for _ in range(int(np.ceil(np.log2(grid_size))) + 1):
-        act = (up - lo > 1) & (hit < 0)
-        cur = (lo + up) // 2
-        cal = _payment(pv, n, cur * step)
-        hit = np.where(act & (cal == p), cur, hit)
-        lo = np.where(act & (cal < p), cur, lo)
-        up = np.where(act & ~(cal < p) & ~(cal == p), cur, up)
-    up = np.where(up == grid_size, up - 1, up)
-    uc, lc = _payment(pv, n, up * step), _payment(pv, n, lo * step)
-    with np.errstate(invalid="ignore"):
-        pick_up = np.abs(uc - p) <= np.abs(lc - p)
-    out = np.where(pick_up, up, lo) * step
-    out = np.where(hit >= 0, hit * step, out)
-    return np.where(n * p >= pv, out, np.nan)
-
-
-def _terms(pv, p, ns, t_apr: float, nu: int, step: int):
-    """Vectorised term search: every row's candidate terms ``start, start +
-    step, ..., <= nu`` (start = next multiple of ``step`` above ``ns``) get
-    their rates in one batch, then a bisection over candidate indices runs
-    for all rows at once."""
-    pv, p, ns = (np.asarray(a, dtype=float) for a in (pv, p, ns))
-    rows = len(pv)
-    ok = ~(np.isnan(pv) | np.isnan(p) | np.isnan(ns))
-    start = np.where(ok, ns + step - np.mod(np.where(ok, ns, 0), step), nu + 1)
-    width = max(1, (nu // step) + 1)
-    cand = start[:, None] + step * np.arange(width)[None, :]
-    valid = cand <= nu
-    lens = valid.sum(axis=1)
-    rates = _rate(np.repeat(pv, width), cand.ravel(), np.repeat(p, width)).reshape(rows, width)
-    rates = np.where(valid, rates, np.nan)
-    idx = np.arange(rows)
-    lo = np.zeros(rows, dtype=np.int64)
-    up = lens.astype(np.int64)
-    hit = np.full(rows, -1, dtype=np.int64)
-    for _ in range(int(np.ceil(np.log2(width + 1))) + 1):
-        act = (up - lo > 1) & (hit < 0)
-        cur = (lo + up) // 2
-        cr = rates[idx, np.minimum(cur, width - 1)]
-        hit = np.where(act & (cr == t_apr), cur, hit)
-        lo = np.where(act & (cr < t_apr), cur, lo)
-        up = np.where(act & ~(cr < t_apr) & ~(cr == t_apr), cur, up)
-    up = np.where(up == lens, up - 1, up)
-    up = np.clip(up, 0, width - 1)
-    uc, lc = rates[idx, up], rates[idx, lo]
-    with np.errstate(invalid="ignore"):
-        pick = np.where(np.abs(uc - t_apr) <= np.abs(lc - t_apr), up, lo)
-    pick = np.where(hit >= 0, hit, pick)
-    r = rates[idx, pick]
-    t = cand[idx, pick].astype(float)
-    empty = lens == 0
-    return np.where(empty, np.nan, r), np.where(empty, np.nan, t)
+RATE_GRID = 100_000  # rates k / RATE_GRID, k = 0 .. RATE_GRID - 1
+
+
+def annuity_rate(pv: Column, payment: Column, n: Column) -> Column:
+    """Grid rate whose annuity payment is nearest to ``payment``. The payment
+    grows with the rate, so the bits of the largest rate that still costs at
+    most ``payment`` are fixed from the highest down; its upper neighbour wins
+    if it is as near. NULL where n payments do not cover ``pv``."""
+    def cost(k: Column) -> Column:
+        r = k / RATE_GRID
+        return pv * r / (1 - F.pow(1 + r, -n))
+
+    bits = F.array(*[F.lit(1 << b) for b in reversed(range((RATE_GRID - 1).bit_length()))])
+    below = F.aggregate(bits, F.lit(0), lambda k, b: F.when(
+        (k + b < RATE_GRID) & (cost(k + b) <= payment), k + b).otherwise(k))
+    # the rate 0 has no payment in the formula, and the grid ends below 1
+    nearest = F.transform(F.array(below), lambda k: F.when(
+        (k > 0) & (k < RATE_GRID - 1) & (cost(k + 1) - payment <= payment - cost(k)), k + 1).otherwise(k))[0]
+    return F.when(n * payment >= pv, nearest / RATE_GRID)
 
 
 def loan_estimates(df: DataFrame, pv: str, payment: str, low_len: str, t_apr: float = 0.025,
                    max_len: int = 60, step: int = 6, prefix: str = "estimate_") -> DataFrame:
-    """Annual-rate and term estimate of each loan (annuity formula
-    ``r*pv / (1 - (1+r)^-n)``; the rate by bisection on a 1e-5 grid, the term
-    by bisection over ``low_len..max_len`` in steps of ``step``). A
-    vectorised numpy kernel per Arrow batch: no expression can loop."""
-    schema = T.StructType([T.StructField(f"{prefix}apr", T.DoubleType()),
-                           T.StructField(f"{prefix}terms", T.DoubleType())])
-
-    @F.pandas_udf(schema)
-    def est(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.DataFrame:
-        r, t = _terms(a.to_numpy(), b.to_numpy(), c.to_numpy(), t_apr, max_len, step)
-        return pd.DataFrame({f"{prefix}apr": r, f"{prefix}terms": t})
-
-    e = est(col(pv).cast("double"), col(payment).cast("double"), col(low_len).cast("double"))
-    return df.withColumn("_est", e).select("*", "_est.*").drop("_est")
+    """Rate and term estimate of each loan: of the terms that are
+    multiples of ``step`` above ``low_len`` and at most ``max_len``, the one
+    whose rate is nearest to ``t_apr`` (the longer of two as near). Columns
+    only; NULL if there is no such term."""
+    v, p, low = (col(c).cast("double") for c in (pv, payment, low_len))
+    first = low + step - low % step
+    terms = F.filter(F.array(*[F.lit(float(t)) for t in range(step, max_len + 1, step)]), lambda t: t >= first)
+    rated = F.transform(terms, lambda t: F.struct(annuity_rate(v, p, t).alias("r"), t.alias("t")))
+    best = F.array_min(F.transform(F.filter(rated, lambda x: x["r"].isNotNull()), lambda x: F.struct(
+        F.abs(x["r"] - t_apr).alias("off"), (-x["t"]).alias("shorter"), x["r"].alias("r"))))
+    return df.withColumn("_est", best).select(
+        "*", F.col("_est.r").alias(f"{prefix}apr"), (-F.col("_est.shorter")).alias(f"{prefix}terms")).drop("_est")
 
 
 # --------------------------------------------------------------------- P19

@@ -1,5 +1,4 @@
-"""Scalar operators against brute-force Python versions of the reference
-semantics (P15 string cleanup, P18 loan estimate)."""
+"""Scalar operators against brute force (P15 string cleanup, P18 loan estimate)."""
 
 import re
 import urllib.parse
@@ -10,53 +9,23 @@ from pyspark.sql import functions as F
 from tessera.operators import scalar as S
 
 
-def _payment(pv, n, r):
-    return r * pv / (1 - (1 + r) ** (-n)) if r > 0 else float("nan")
-
-
-def _rate(pv, n, p):
-    space = np.arange(0, 1, 0.00001)
-    low, up = 0, len(space)
-    while up - low > 1:
-        cur = (low + up) // 2
-        cal = _payment(pv, n, space[cur])
-        if cal == p:
-            return space[cur]
-        if cal < p:
-            low = cur
-        else:
-            up = cur
-    if up == len(space):
-        up -= 1
-    uc, lc = _payment(pv, n, space[up]), _payment(pv, n, space[low])
-    return space[up] if abs(uc - p) <= abs(lc - p) else space[low]
-
-
-def _terms(pv, p, ns, t, nu=60, step=6):
-    space = list(range(int(ns + step - ns % step), nu + 1, step))
-    low, up = 0, len(space)
-    while up - low > 1:
-        cur = (low + up) // 2
-        r = _rate(pv, space[cur], p)
-        if r == t:
-            return r, space[cur]
-        if r < t:
-            low = cur
-        else:
-            up = cur
-    if up == len(space):
-        up -= 1
-    ur, lr = _rate(pv, space[up], p), _rate(pv, space[low], p)
-    return (ur, space[up]) if abs(ur - t) <= abs(lr - t) else (lr, space[low])
-
-
-def test_loan_estimate_matches_bruteforce(spark):
-    rows = [(1, 470790.0, 47041.0, 12), (2, 58500.0, 6597.0, 12), (3, 100000.0, 9500.0, 13), (4, 2e5, 2e4, 12)]
+def test_loan_estimate_is_the_nearest_of_the_whole_grid(spark):
+    rows = [(1, 470790.0, 47041.0, 12), (2, 58500.0, 6597.0, 12), (3, 100000.0, 9500.0, 13), (4, 2e5, 2e4, 12),
+            (5, 1000.0, 16.7, 12), (6, 1000.0, 999.0, 12), (7, 1000.0, 10.0, 12), (8, 1000.0, 50.0, 60), (9, None, 1.0, 1)]
     df = spark.createDataFrame(rows, "id long, pv double, p double, ns long")
     out = {r["id"]: r for r in S.loan_estimates(df, "pv", "p", "ns", t_apr=0.025).collect()}
+    grid = np.arange(1, 100_000) / 100_000
     for i, pv, p, ns in rows:
-        r, t = _terms(pv, p, ns, 0.025)
-        assert abs(out[i]["estimate_apr"] - r) < 1e-12 and out[i]["estimate_terms"] == t
+        offers = []
+        for n in range((ns // 6 + 1) * 6, 61, 6):
+            if pv is not None and n * p >= pv:
+                off = np.abs(pv * grid / (1 - (1 + grid) ** -n) - p)
+                offers.append((grid[len(off) - 1 - off[::-1].argmin()], n))
+        if not offers:
+            assert out[i]["estimate_apr"] is None and out[i]["estimate_terms"] is None
+            continue
+        rate, term = min(offers, key=lambda o: (abs(o[0] - 0.025), -o[1]))
+        assert abs(out[i]["estimate_apr"] - rate) < 1e-12 and out[i]["estimate_terms"] == term
 
 
 def _clean(s):
