@@ -28,18 +28,11 @@ _SQL_STAT = {
 
 
 def _chi_sql(S, N_, P, T):
-    n11, n12 = f"({S})", f"(({N_}) - ({S}))"
-    n21 = f"(({P}) - {n11})"
-    n22 = f"(({T}) - {n11} - {n12} - {n21})"
-    e = {
-        "11": f"(({n11} + {n12}) * ({n11} + {n21}) / ({T}))",
-        "12": f"(({n11} + {n12}) * ({n12} + {n22}) / ({T}))",
-        "21": f"(({n21} + {n22}) * ({n11} + {n21}) / ({T}))",
-        "22": f"(({n21} + {n22}) * ({n12} + {n22}) / ({T}))",
-    }
-    obs = {"11": n11, "12": n12, "21": n21, "22": n22}
-    return " + ".join(f"CASE WHEN {e[c]} = 0 THEN NULL ELSE ({obs[c]} - {e[c]}) * ({obs[c]} - {e[c]}) / {e[c]} END"
-                      for c in ("11", "12", "21", "22"))
+    """Squared z statistic of the difference of two proportions."""
+    n, rest = f"CAST({N_} AS DOUBLE)", f"(({T}) - ({N_}))"
+    gap = f"(({S}) / nullif({n}, 0) - (({P}) - ({S})) / nullif({rest}, 0))"
+    rate = f"(({P}) / ({T}))"
+    return f"{gap} * {gap} / nullif({rate} * (1 - {rate}) * (1 / nullif({n}, 0) + 1 / nullif({rest}, 0)), 0)"
 
 
 def _stat_sql(stat, S, N_, P, T):

@@ -39,16 +39,10 @@ def _woe(s, n, P, N, smooth=0.5):
 
 
 def _chi2(s, n, P, T):
-    """2x2 chi-square of key vs label; any zero expected cell -> NULL."""
-    n11, n12 = s, n - s
-    n21 = P - n11
-    n22 = T - n11 - n12 - n21
-    e11 = (n11 + n12) * (n11 + n21) / T
-    e12 = (n11 + n12) * (n12 + n22) / T
-    e21 = (n21 + n22) * (n11 + n21) / T
-    e22 = (n21 + n22) * (n12 + n22) / T
-    parts = [F.try_divide((a - e) * (a - e), e) for a, e in ((n11, e11), (n12, e12), (n21, e21), (n22, e22))]
-    return parts[0] + parts[1] + parts[2] + parts[3]
+    """Chi-square of a 2x2 table in closed form from its margins: T (sT - nP)^2
+    over the product of the four margins. NULL if a margin is empty."""
+    lean = s * T - n * P
+    return F.try_divide(T * lean * lean, n * (T - n) * (P * (T - P)))
 
 
 STATS = {
