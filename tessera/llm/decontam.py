@@ -7,8 +7,10 @@ size; each block is compiled once and broadcast, and every document meets
 every block in Arrow batches, so documents are never shuffled.
 
 1. Count filter (loses nothing): k edits spoil at most 2k of an item's n - 1
-   word pairs, so windows with fewer than n - 1 - 2k known pairs of items of
-   that length cannot match.
+   word pairs, so windows with fewer than n - 1 - 2k pairs of an item cannot
+   match it. Pairs of more than ``COMMON`` items of a block, and of a word
+   with itself, are left out on both sides of that inequality, unless an item
+   has hardly any other.
 2. CGK: ``repeats`` random walks embed each remaining item-sized window. At
    step j the walk writes the word it stands on and moves on if a random bit
    of (repeat, j, word) says so; equal words keep two walks together, and
@@ -41,6 +43,7 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\W_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FLAGS = 1 << 20  # slots of the word-pair pre-test
+COMMON = 64      # items of a block a counted pair may be in
 
 
 def item_words(text: str) -> list[str]:
@@ -69,15 +72,26 @@ class ItemBlock:
         steps = 2 * self.sizes[-1]
         self.odd = rng.integers(0, 2**63, (steps, repeats), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.coords = {n: np.sort(rng.integers(0, 2 * n, (repeats, samples)), axis=1) for n in self.sizes}
-        pairs: dict[int, set[int]] = {}
-        for s in self.seq:
-            c = self.sizes.index(len(s))
-            for p in (s[:-1] * self.base + s[1:]).tolist():
-                pairs.setdefault(p, set()).add(c)
-        self.pair = np.array(sorted(pairs), np.int64)
-        per = [sorted(pairs[p]) for p in self.pair.tolist()]
+        own = [np.unique(s[:-1] * self.base + s[1:]) for s in self.seq]
+        pairs, shared = np.unique(np.concatenate(own), return_counts=True)
+        frequent = pairs[shared > COMMON]
+        where: dict[int, list[int]] = {}
+        need = []
+        for i, s in enumerate(self.seq):
+            # pairs of one word twice say little: a text may repeat it for pages
+            left_out = np.isin(s[:-1] * self.base + s[1:], frequent) | (s[:-1] == s[1:])
+            n, k = len(s), self.edits[len(s)]
+            if n - 1 - int(left_out.sum()) - 2 * k < 1:
+                left_out[:] = False  # an item of frequent pairs only: all of them count
+            need.append(max(1, n - 1 - int(left_out.sum()) - 2 * k))
+            for p in np.unique((s[:-1] * self.base + s[1:])[~left_out]).tolist():
+                where.setdefault(p, []).append(i)
+        self.need = np.array(need)
+        self.span = np.array([len(s) + self.edits[len(s)] - 1 for s in self.seq])
+        self.pair = np.array(sorted(where), np.int64)
+        per = [where[p] for p in self.pair.tolist()]
         self.ptr = np.concatenate(([0], np.cumsum([len(x) for x in per])))
-        self.cls = np.array([c for x in per for c in x], np.int64)
+        self.item = np.array([i for x in per for i in x], np.int64)
         self.flag = np.zeros(FLAGS, bool)
         self.flag[self._slot(self.pair)] = True
         self.table: list[dict[tuple, list[int]]] = [{} for _ in range(repeats)]
@@ -119,34 +133,37 @@ class ItemBlock:
         hit = self.pair[np.minimum(at, len(self.pair) - 1)] == pair[pos]
         pos, at = pos[hit], at[hit]
         reps = self.ptr[at + 1] - self.ptr[at]
-        where = np.repeat(pos, reps)
-        offset = np.arange(len(where)) - np.repeat(np.cumsum(reps) - reps, reps)
-        cls = self.cls[np.repeat(self.ptr[at], reps) + offset]
-        for c in np.unique(cls).tolist():
-            n = self.sizes[c]
+        offset = np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
+        item = self.item[np.repeat(self.ptr[at], reps) + offset]
+        place = item * (len(seq) + 2**20) + np.repeat(pos, reps)
+        order = np.argsort(place, kind="stable")
+        place, item, where = place[order], item[order], np.repeat(pos, reps)[order]
+        # pairs of one match lie within n + k words
+        span = np.minimum(self.span[item], 2**19)
+        dense = np.searchsorted(place, place + span) - np.arange(len(place)) >= self.need[item]
+        if not dense.any():
+            return found
+        item, where = item[dense], where[dense]
+        size = np.array([len(s) for s in self.seq])[item]
+        for n in np.unique(size).tolist():
             k = self.edits[n]
-            p = where[cls == c]
-            need = max(1, n - 1 - 2 * k)
-            # pairs of one match lie within n + k words
-            dense = np.searchsorted(p, p + n + k - 1) - np.arange(len(p)) >= need
-            starts = np.unique((p[dense][:, None] - np.arange(min(2 * k, 3) + 1)).ravel())
+            # a match may begin with spoilt pairs in front of its first known one
+            starts = np.unique((where[size == n][:, None] - np.arange(min(2 * k, 3) + 1)).ravel())
             starts = starts[starts >= 0]
-            if not len(starts):
-                continue
             long = np.concatenate([seq, np.zeros(n, np.int64)])
             tried: dict[int, int] = {}
             for i in range(0, len(starts), 4096):
                 part = starts[i:i + 4096]
                 for s, keys in zip(part.tolist(), self.keys(long[part[:, None] + np.arange(n)])):
                     for r, key in enumerate(keys):
-                        for item in self.table[r].get((n, *key), ()):
-                            if tried.get(item, -n) + k >= s or found.get(item, (1,))[0] == 0:
+                        for c in self.table[r].get((n, *key), ()):
+                            if tried.get(c, -n) + k >= s or found.get(c, (1,))[0] == 0:
                                 continue  # inside a stretch that is verified already
-                            tried[item] = s
+                            tried[c] = s
                             lo = max(0, s - 2 * k)
-                            d, end = sellers(self.seq[item], seq[lo:s + n + 3 * k])
-                            if d <= k and d < found.get(item, (k + 1,))[0]:
-                                found[item] = (d, max(0, lo + end - n))
+                            d, end = sellers(self.seq[c], seq[lo:s + n + 3 * k])
+                            if d <= k and d < found.get(c, (k + 1,))[0]:
+                                found[c] = (d, max(0, lo + end - n))
         return found
 
 
