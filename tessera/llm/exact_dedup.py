@@ -27,8 +27,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import WS, materialise, work_dir
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# disk-backed state; many small stores must not each reserve megabytes of disk
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 STAGED = "id long, sha string, digest string, uid long, file string"
 
 
@@ -57,8 +62,9 @@ class DedupState:
                      (sha if self.digest is sha256 else self.digest(norm)).alias("digest"),
                      F.monotonically_increasing_id().alias("uid"), F.input_file_name().alias("file"))
          .write.mode("append").parquet(f"{self.root}/staged"))
-        old = self.spark.conf.get(PROVIDER, None)
-        self.spark.conf.set(PROVIDER, ROCKSDB)
+        old = {k: self.spark.conf.get(k, None) for k in STATE}
+        for k, v in STATE.items():
+            self.spark.conf.set(k, v)
         try:
             rows = (self.spark.readStream.schema(STAGED).option("maxBytesPerTrigger", str(self.batch))
                     .parquet(f"{self.root}/staged"))
@@ -69,10 +75,11 @@ class DedupState:
              .option("checkpointLocation", f"{self.root}/stream")
              .trigger(availableNow=True).start().awaitTermination())
         finally:
-            if old is None:
-                self.spark.conf.unset(PROVIDER)
-            else:
-                self.spark.conf.set(PROVIDER, old)
+            for k, v in old.items():
+                if v is None:
+                    self.spark.conf.unset(k)
+                else:
+                    self.spark.conf.set(k, v)
 
     def staged(self) -> DataFrame:
         return self.spark.read.schema(STAGED).parquet(f"{self.root}/staged")
