@@ -9,16 +9,20 @@ link at Jaccard ``similarity`` or more; a line is removed when an earlier line
    total order that puts rare tokens first and is the same everywhere, which
    is all that exactness needs.
 2. Prefixes: a line posts its rarest ``n - ceil(similarity n) + 1`` tokens with
-   its size and their positions, as packed arrays dealt by token hash.
-3. Per token, each distinct set once: the length filter and the positional
-   filter (tokens left on either side) leave pairs of sets.
+   its size, their positions and a 128-bit parity bitmap of the set, as packed
+   arrays dealt by token hash.
+3. Per token, each distinct set once: pairs pass the length filter, the
+   positional filter (tokens left on either side) and the bitmap filter (the
+   sets differ in at least as many tokens as the bitmaps differ in bits; all
+   three only drop pairs that cannot reach the threshold).
 4. The lines of candidate pairs are read once more, their tokens compared in
    full, and pairs below the threshold dropped.
 5. Classes (equal sets) and links decide which lines go, per document.
 
-A copied line is one posting per task and one class, whatever its number; a
-pair is only formed between different sets. Sets under ``4 / 5`` similarity can
-only equal sets of their own size below four tokens and post nothing.
+A copied line is one posting per batch and one class, whatever its number; a
+pair is only formed between different sets. Sets too small to be within the
+threshold of a larger one (under four tokens at 0.8) only have copies and post
+nothing. Words are told apart by 64-bit hashes.
 
 Defined cases: NULL text counts as empty (no lines); lines without a word are
 never removed; ties go to the smaller line number; NULL ids sort last; rows
@@ -31,85 +35,112 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import LOWER_BYTES, materialise
 
 SKETCH = 1 << 18
-PACKED = ("kind string, bucket int, token array<long>, set array<long>, size array<int>, pos array<int>, "
-          "doc array<long>, line array<int>")
-
-
-def token_lines(text: bytes | None) -> list[list[bytes]]:
-    return [x.split() for x in text.translate(LOWER_BYTES).split(b"\n")] if text else []
-
-
-class Hasher(dict):
-    """word -> 64-bit hash, remembered for one batch."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+PIECE = 1 << 20  # bytes hashed at a time
+READ = "kind string, set array<long>, doc array<long>, line array<int>, n array<long>"
+POSTED = "bucket int, token array<int>, set array<long>, size array<int>, pos array<int>, low array<long>, high array<long>"
+
+_RNG = np.random.default_rng(20)
+_BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)[np.frombuffer(LOWER_BYTES, np.uint8)]
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_STEP = int(_RNG.integers(0, 2**62)) * 2 + 1
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate(([np.uint64(1)], np.full(n - 1, np.uint64(base & (2**64 - 1)), np.uint64))))
+
+
+class Hasher:
+    """64-bit hashes of all words of a text buffer at once: a word's bytes,
+    weighted by powers of an odd number, are the difference of two prefix
+    sums (modulo 2^64), shifted back by the inverse power."""
+
+    def __init__(self):
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def __call__(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, line number) of every word; lines end at each newline."""
+        hashes, lines, at, line = [], [], 0, 0
+        while at < len(data):
+            end = min(len(data), at + PIECE)
+            if end < len(data):  # cut at white space, further on if a word is longer
+                space = np.flatnonzero(_SPACE[data[at:end]])
+                while not len(space) and end < len(data):
+                    end = min(len(data), end + PIECE)
+                    space = np.flatnonzero(_SPACE[data[at:end]])
+                if end < len(data):
+                    end = at + int(space[-1]) + 1
+            h, n = self._piece(data[at:end])
+            hashes.append(h)
+            lines.append(n + line)
+            line += int((data[at:end] == 10).sum())
+            at = end
+        if not hashes:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.concatenate(hashes), np.concatenate(lines)
+
+    def _piece(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < len(data):
+            self.up, self.down = _powers(_STEP, len(data)), _powers(pow(_STEP, -1, 2**64), len(data))
+        word = np.concatenate(([False], ~_SPACE[data], [False]))
+        start = np.flatnonzero(word[1:-1] & ~word[:-2])
+        end = np.flatnonzero(word[1:-1] & ~word[2:]) + 1
+        total = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[data] * self.up[:len(data)])))
+        h = _mixed((total[end] - total[start]) * self.down[start])
+        return h, np.searchsorted(np.flatnonzero(data == 10), start)
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(46)).astype(np.int64)
 
 
-def _flat(texts: list[bytes | None]):
-    """Token hashes of all lines, line number per token, and the lines per text."""
-    hashed, tokens, sizes, lines = Hasher(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
-    for t in texts:
-        rows = token_lines(t)
-        lines.append(len(rows))
-        tokens.append(np.array([hashed[w] for r in rows for w in r], np.uint64))
-        sizes.append(np.array([len(r) for r in rows], np.int64))
-    n = np.concatenate(sizes)
-    return np.concatenate(tokens), np.repeat(np.arange(len(n)), n), np.array(lines, np.int64)
-
-
-def token_sets(tok: np.ndarray, line: np.ndarray, freq: np.ndarray):
-    """Distinct tokens per line, rarest first: (token, line, position, size of line by line)."""
-    order = np.lexsort((tok, freq[_slot(tok)], line))
+def token_sets(tok: np.ndarray, line: np.ndarray, rank: np.ndarray | None):
+    """Distinct tokens per line, by rank of their slot, then hash: (tokens,
+    line of each set, size, start)."""
+    if rank is None:
+        order = np.lexsort((tok, line)) if len(tok) and line[-1] >= 1 << 24 else \
+            np.argsort((line.astype(np.uint64) << np.uint64(40)) | (tok >> np.uint64(24)))
+    elif len(tok) and line[-1] >= 1 << 20:
+        order = np.lexsort((tok, rank[_slot(tok)], line))
+    else:  # one key: line, rank (18 bits), 26 bits of the hash that the slot leaves
+        order = np.argsort((line.astype(np.uint64) << np.uint64(44)) | (rank[_slot(tok)] << np.uint64(26))
+                           | ((tok >> np.uint64(20)) & np.uint64((1 << 26) - 1)))
     tok, line = tok[order], line[order]
     new = np.ones(len(tok), bool)
     new[1:] = (tok[1:] != tok[:-1]) | (line[1:] != line[:-1])
     tok, line = tok[new], line[new]
     start = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, int)
-    size = np.diff(np.append(start, len(line)))
-    return tok, line, np.arange(len(tok)) - np.repeat(start, size), size, start
+    return tok, line[start], np.diff(np.append(start, len(line))), start
 
 
-def set_keys(tok: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64-bit key of each token set (independent of order)."""
-    x = tok * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(31)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(29)
-    s = np.add.reduceat(x, start) if len(start) else np.zeros(0, np.uint64)
-    s = (s ^ (s >> np.uint64(32))) * np.uint64(0x94D049BB133111EB) + size.astype(np.uint64)
-    return s ^ (s >> np.uint64(31))
+def set_keys(tok: np.ndarray, size: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """64-bit key of each token set, independent of the order."""
+    s = np.add.reduceat(_mixed(tok + np.uint64(0x9E3779B97F4A7C15)), start) if len(start) else np.zeros(0, np.uint64)
+    return _mixed(s + size.astype(np.uint64)).view(np.int64)
 
 
-def _needed(size: np.ndarray, similarity: float) -> np.ndarray:
-    return np.ceil(similarity * size - 1e-9).astype(np.int64)
+def bitmaps(tok: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 parity bits per set."""
+    bit = np.uint64(1) << (tok & np.uint64(63))
+    upper = (tok >> np.uint64(6)) & np.uint64(1) == 1
+    none = np.zeros(0, np.int64)
+    return tuple(np.bitwise_xor.reduceat(np.where(m, bit, np.uint64(0)), start).view(np.int64) if len(start) else none
+                 for m in (~upper, upper))
 
 
-def frequencies(docs: DataFrame, text_col: str) -> np.ndarray:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
-        for b in batches:
-            total += np.bincount(_slot(_flat(b.column(0).to_pylist())[0]), minlength=SKETCH)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
-
-    rows = (docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "slot long, n long")
-            .groupBy("slot").agg(F.sum("n").alias("n")).toArrow())  # at most SKETCH rows
-    freq = np.zeros(SKETCH, np.int64)
-    freq[np.asarray(rows.column("slot"))] = np.asarray(rows.column("n"))
-    return freq
+def _needed(size: np.ndarray, similarity: float) -> np.ndarray:
+    return np.ceil(similarity * size - 1e-9).astype(np.int64)
 
 
 def _list(parts: list[np.ndarray], kind) -> pa.ListArray:
@@ -117,79 +148,104 @@ def _list(parts: list[np.ndarray], kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat, kind))
 
 
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
-    cols = list(zip(*rows))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()),
-         *[_list(list(c), k) for c, k in zip(cols[2:], kinds)]],
-        names=[x.split()[0] for x in PACKED.split(", ")])
-
-
-def _index(freq, buckets: int, similarity: float):
-    """Postings, memberships and line counts of a batch of documents."""
-    none = np.zeros(0, np.int64)
-
+def _chunks(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, lines per text, joined text) of a few megabytes of rows at a time."""
+    ids, texts, total = [], [], 0
+    for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+        ids.append(2**63 - 1 if i is None else i)
+        texts.append(t.as_py() or b"")
+        total += len(texts[-1])
+        if total >= most:
+            yield _joined(ids, texts)
+            ids, texts, total = [], [], 0
+    if ids:
+        yield _joined(ids, texts)
+
+
+def _joined(ids, texts):
+    lines = np.array([t.count(b"\n") + 1 if t else 0 for t in texts], np.int64)
+    return np.array(ids, np.int64), lines, np.frombuffer(b"\n".join(t for t in texts if t), np.uint8)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Token frequencies, set key of every line, lines of every document."""
+    hasher, freq, none = Hasher(), np.zeros(SKETCH, np.int64), np.zeros(0, np.int64)
+
+    def packed(rows):
+        kind, *cols = zip(*rows)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), *[_list(list(c), k) for c, k in zip(cols, kinds)]],
+                                          names=["kind", "set", "doc", "line", "n"])
+
+    for b in batches:
+        for ids, lines, data in _chunks(b):
+            tok, line = hasher(data)
+            freq += np.bincount(_slot(tok), minlength=SKETCH)
+            tok, own, size, start = token_sets(tok, line, None)
+            number = np.arange(int(lines.sum())) - np.repeat(np.cumsum(lines) - lines, lines)
+            yield packed([("doc", none, ids, none, lines),
+                          ("line", set_keys(tok, size, start), np.repeat(ids, lines)[own], number[own], none)])
+    at = np.flatnonzero(freq)
+    yield packed([("freq", none, none, at, freq[at])])
+
+
+def _post(rank, buckets: int, similarity: float):
+    """Postings of the distinct sets of each batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, order = Hasher(), rank.value
         for b in batches:
-            ids = np.array([2**63 - 1 if i is None else i for i in b.column(0).to_pylist()], np.int64)
-            tok, line, lines = _flat(b.column(1).to_pylist())
-            doc_of = np.repeat(ids, lines)
-            first = np.cumsum(lines) - lines
-            number = np.arange(int(lines.sum())) - np.repeat(first, lines)
-            tok, line, pos, size, start = token_sets(tok, line, freq.value)
-            key = set_keys(tok, start, size)
-            own = line[start] if len(start) else none
-            out = [("doc", 0, none, none, none, none, ids, lines),
-                   ("line", 0, none, key.view(np.int64), size, none, doc_of[own], number[own])]
-            # each distinct set of the batch posts its prefix once
-            _, rep = np.unique(key, return_index=True)
-            once = np.zeros(len(key), bool)
-            once[rep] = True
-            prefix = size - _needed(size, similarity) + 1
-            by_token = np.repeat(np.arange(len(size)), size)
-            # sets too small to be within the threshold of a larger set only have copies
-            able = once & (_needed(size + 1, similarity) <= size)
-            keep = able[by_token] & (pos < prefix[by_token])
-            t, w, p = tok[keep], by_token[keep], pos[keep]
-            bucket = ((t & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            t, w, p, bucket = t[order], w[order], p[order], bucket[order]
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            for x in np.flatnonzero(np.diff(cut)):
-                s = slice(cut[x], cut[x + 1])
-                out.append(("post", int(x), t[s].view(np.int64), key[w[s]].view(np.int64), size[w[s]], p[s], none, none))
-            yield _packed(out)
+            for _, _, data in _chunks(b):
+                tok, line = hasher(data)
+                tok, _, size, start = token_sets(tok, line, order)
+                key, (low, high) = set_keys(tok, size, start), bitmaps(tok, start)
+                once = np.zeros(len(key), bool)
+                once[np.unique(key, return_index=True)[1]] = True
+                # sets too small to be within the threshold of a larger set only have copies
+                able = np.flatnonzero(once & (_needed(size + 1, similarity) <= size))
+                n = size[able] - _needed(size[able], similarity) + 1
+                w = np.repeat(able, n)
+                pos = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+                t = tok[start[w] + pos]
+                bucket = ((t & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                by = np.argsort(bucket, kind="stable")
+                cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
+                full = np.flatnonzero(np.diff(cut))
+                cols = [(t[by] >> np.uint64(32)).astype(np.uint32).view(np.int32), key[w][by], size[w][by], pos[by],
+                        low[w][by], high[w][by]]
+                edge = np.append(cut[full], len(by))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(full, pa.int32()), *[pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(c, k))
+                     for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))]],
+                    names=[x.split()[0] for x in POSTED.split(", ")])
     return run
 
 
 def _candidates(similarity: float):
     def run(table: pa.Table) -> pa.Table:
-        def flat(c):
-            return np.asarray(table.column(c).combine_chunks().flatten())
-        tok, key, size, pos = flat("token"), flat("set"), flat("size").astype(np.int64), flat("pos").astype(np.int64)
+        tok, key, size, pos, low, high = (np.asarray(table.column(c).combine_chunks().flatten()) for c in
+                                          ("token", "set", "size", "pos", "low", "high"))
+        size, pos = size.astype(np.int64), pos.astype(np.int64)
         order = np.lexsort((key, size, tok))
-        tok, key, size, pos = tok[order], key[order], size[order], pos[order]
         new = np.ones(len(tok), bool)
-        new[1:] = (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])
-        tok, key, size, pos = tok[new], key[new], size[new], pos[new]
+        new[1:] = (tok[order][1:] != tok[order][:-1]) | (key[order][1:] != key[order][:-1])
+        tok, key, size, pos, low, high = (x[order[new]] for x in (tok, key, size, pos, low, high))
         start = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
-        end = np.append(start[1:], len(tok))
-        # sorted by size: partners of i are i+1 .. the last of at most size / similarity
-        group_end = np.repeat(end, end - start)
-        limit = np.floor(size / similarity + 1e-9).astype(np.int64)
-        rank = np.repeat(np.arange(len(start)), end - start) * (1 << 32)
-        last = np.minimum(np.searchsorted(rank + size, rank + limit, side="right"), group_end)
+        group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(tok))))
+        # sorted by size: partners of i are i + 1 .. the last of at most size / similarity
+        place = group * (1 << 32) + size
+        last = np.searchsorted(place, group * (1 << 32) + np.floor(size / similarity + 1e-9).astype(np.int64), side="right")
         n = last - np.arange(len(tok)) - 1
-        found = []
-        step, i = 4_000_000, 0
-        while i < len(tok):  # bounded scratch: a few million pairs at a time
-            j = max(i + 1, int(np.searchsorted(np.cumsum(n[i:]), step, side="right")) + i)
+        done = np.cumsum(n)
+        found, i = [], 0
+        while i < len(tok):  # bounded scratch: some million pairs at a time, or those of one row
+            j = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + 2_000_000, side="right")))
             a = np.repeat(np.arange(i, j), n[i:j])
-            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n[i:j]) - n[i:j], n[i:j])
-            overlap = np.ceil((size[a] + size[b]) * similarity / (1 + similarity) - 1e-9)
-            # exact in the group of the first token two sets share, stricter elsewhere
-            ok = np.minimum(size[a] - pos[a], size[b] - pos[b]) >= overlap
+            b = a + 1 + np.arange(len(a)) - np.repeat(done[i:j] - n[i:j] - (done[i - 1] if i else 0), n[i:j])
+            both = size[a] + size[b]
+            overlap = np.ceil(both * similarity / (1 + similarity) - 1e-9).astype(np.int64)
+            most = np.minimum(pos[a], pos[b]) + np.minimum(size[a] - pos[a], size[b] - pos[b])
+            differ = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b])
+            ok = (most >= overlap) & (differ <= both - 2 * overlap)
             x, y = key[a[ok]], key[b[ok]]
             found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
             i = j
@@ -198,6 +254,25 @@ def _candidates(similarity: float):
     return run
 
 
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of the wanted lines of each text."""
+    hasher = Hasher()
+    for b in batches:
+        names, sets = [], []
+        for text, want in zip(b.column(0), b.column(1).to_pylist()):
+            rows = (text.as_py() or b"").split(b"\n")
+            for w in want:
+                if w["line"] < len(rows):
+                    tok = np.unique(hasher(np.frombuffer(rows[w["line"]], np.uint8))[0])
+                    # another row of the same id may hold the line
+                    if len(tok) and int(set_keys(tok, np.array([len(tok)]), np.array([0]))[0]) == w["set"]:
+                        names.append(w["set"])
+                        sets.append(tok.view(np.int64))
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _list(sets, pa.int64())],
+                                             names=["set", "tokens"])
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8,
                block_rows: int = 4096) -> DataFrame:
     """One row per document: ``doc_id``, ``n_lines``, ``n_removed``, ``n_links``
@@ -219,42 +294,27 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``docs`` (doc, n_lines), ``lines`` (doc, line, set, gone, n_links) and
     ``links`` (pairs a, b of linked sets, verified)."""
     src = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("t"))
-    freq = docs.sparkSession.sparkContext.broadcast(frequencies(docs, text_col))
+    read = materialise(src.mapInArrow(_read, READ), "line-sets")
+    freq = np.zeros(SKETCH, np.int64)
+    for r in (read.where("kind = 'freq'").select(F.explode(F.arrays_zip("line", "n")).alias("x"))
+              .groupBy("x.line").agg(F.sum("x.n").alias("n")).toArrow().to_pylist()):  # at most SKETCH rows
+        freq[r["line"]] = r["n"]
+    rank = np.empty(SKETCH, np.uint64)
+    rank[np.argsort(freq, kind="stable")] = np.arange(SKETCH, dtype=np.uint64)
+    rank = docs.sparkSession.sparkContext.broadcast(rank)
     buckets = max(1, -(-docs.count() // block_rows))
-    packed = materialise(src.mapInArrow(_index(freq, buckets, similarity), PACKED), "line-index")
-    pairs = materialise(
-        packed.where("kind = 'post'").select("bucket", "token", "set", "size", "pos").groupBy("bucket")
-        .applyInArrow(_candidates(similarity), "a long, b long").distinct(), "line-pairs")
-    lines = packed.where("kind = 'line'").select(F.explode(F.arrays_zip("set", "doc", "line")).alias("x")).select("x.*")
+    pairs = materialise(src.mapInArrow(_post(rank, buckets, similarity), POSTED).groupBy("bucket")
+                        .applyInArrow(_candidates(similarity), "a long, b long").distinct(), "line-pairs")
+    lines = read.where("kind = 'line'").select(F.explode(F.arrays_zip("set", "doc", "line")).alias("x")).select("x.*")
     classes = materialise(lines.groupBy("set").agg(
         F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("n")), "line-classes")
 
     # full tokens of one line of every set in a candidate pair
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(classes, "set").groupBy(
         F.col("first.doc").alias("d")).agg(F.collect_list(F.struct("first.line", "set")).alias("want"))
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zero = np.zeros(SKETCH, np.int64)
-        for b in batches:
-            names, sets = [], []
-            for text, want in zip(b.column(0), b.column(1).to_pylist()):
-                rows = token_lines(text.as_py())
-                for w in want:
-                    if w["line"] >= len(rows) or not rows[w["line"]]:
-                        continue
-                    tok = np.array([xxhash.xxh64_intdigest(x) for x in set(rows[w["line"]])], np.uint64)
-                    tok, _, _, size, start = token_sets(tok, np.zeros(len(tok), np.int64), zero)
-                    key = int(set_keys(tok, start, size).view(np.int64)[0])
-                    if key == w["set"]:  # another row of the same id may hold it
-                        names.append(key)
-                        sets.append(tok.view(np.int64))
-            if names:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _list(sets, pa.int64())],
-                                                 names=["set", "tokens"])
-
     id_of = F.coalesce(F.col("doc"), F.lit(2**63 - 1))
     sets = materialise(src.join(wanted, id_of == F.col("d")).select("t", "want")
-                       .mapInArrow(fetch, "set long, tokens array<long>").dropDuplicates(["set"]), "line-sets")
+                       .mapInArrow(_fetch, "set long, tokens array<long>").dropDuplicates(["set"]), "line-tokens")
     both = (pairs.join(sets.select(F.col("set").alias("a"), F.col("tokens").alias("x")), "a")
             .join(sets.select(F.col("set").alias("b"), F.col("tokens").alias("y")), "b"))
     common = F.size(F.array_intersect("x", "y"))
@@ -269,8 +329,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     judged = lines.join(known, "set", "left").select(
         "doc", "line", "set", F.coalesce(F.struct("doc", "line") > F.col("keep"), F.lit(False)).alias("gone"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    counts = packed.where("kind = 'doc'").select(F.explode(F.arrays_zip("doc", "line")).alias("x")).select(
-        "x.doc", F.col("x.line").alias("n_lines"))
+    counts = read.where("kind = 'doc'").select(F.explode(F.arrays_zip("doc", "n")).alias("x")).select(
+        "x.doc", F.col("x.n").alias("n_lines"))
     return {"docs": counts, "lines": judged, "links": links}
 
 
