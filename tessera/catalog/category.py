@@ -84,14 +84,17 @@ def c07(spark, sf):
 TAGS = "concat(replace(p_name, ' ', ','), ',', p_type, ',', p_brand)"
 
 
-@register("C08_tag_count_vector")
+@register("C08_tag_counts", sql=f"""
+WITH t AS (SELECT p_partkey, unnest(list_filter(string_split({TAGS}, ','), lambda s: s <> '')) AS tag FROM part),
+c AS (SELECT p_partkey, tag, count(*) AS cnt FROM t GROUP BY ALL)
+SELECT * FROM c WHERE tag IN (SELECT tag FROM c GROUP BY tag HAVING count(*) >= 2)""")
 def c08(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", F.expr(TAGS).alias("tags"))
-    return C.tag_count_vector(p, "tags", min_df=2.0).select("p_partkey", "tags_counts")
+    return C.tag_counts(p, "p_partkey", "tags", min_df=2)
 
 
 @register("C09_tfidf_word_ngrams", sql="""
-WITH t AS (SELECT conv_id * 1000 + turn AS doc, list_filter(string_split_regex(lower(text), '[^0-9A-Za-z_]+'), lambda s: s <> '') AS w
+WITH t AS (SELECT conv_id * 1000 + turn AS doc, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda s: s <> '') AS w
            FROM conversations),
 g AS (SELECT doc, w[i] AS term FROM t, range(1, len(w) + 1) r(i)
       UNION ALL SELECT doc, w[i] || ' ' || w[i + 1] FROM t, range(1, len(w)) r(i)),
@@ -193,7 +196,7 @@ def c18(spark, sf):
 
 
 @register("C19_naive_bayes_ratio", sql="""
-WITH t AS (SELECT d.doc_id, unnest(list_filter(string_split_regex(lower(d.text), '[^0-9A-Za-z_]+'), lambda s: s <> '')) AS term
+WITH t AS (SELECT d.doc_id, unnest(list_filter(string_split_regex(lower(d.text), '[^\\p{L}\\p{N}_]+'), lambda s: s <> '')) AS term
            FROM documents d),
 tf AS (SELECT doc_id, term, count(*) AS x FROM t GROUP BY ALL),
 j AS (SELECT tf.*, l.toxic FROM tf JOIN labels l USING (doc_id)),

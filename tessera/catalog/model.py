@@ -8,6 +8,8 @@ checked against SQL.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -55,7 +57,7 @@ def m02(spark, sf):
 @register("M03_result_repository")
 def m03(spark, sf):
     tr, te = _train_test(spark, sf)
-    root = ensure_checkpoint_dir(spark).rstrip("/") + "/prediction_repository"
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/prediction_repository-{uuid.uuid4().hex}"
     repo = M.PredictionRepository(spark, root)
     for name, feats in (("lr_a", ["value"]), ("lr_b", SMALL)):
         oof, tp = M.oof_predict(tr, feats, "y", "fold", "event_id", K, test=te)

@@ -274,14 +274,14 @@ SELECT c.c_custkey, a.n_orders, a.n_types, RND(a.n_orders / a.n_types, 6) AS ord
   RND(coalesce(a.open_total, 0) / a.total, 6) AS open_share_amount,
   RND(a.n_open / a.n_orders, 6) AS open_share_count,
   RND(CASE WHEN c.c_acctbal = 0 THEN NULL ELSE a.total / c.c_acctbal END, 6) AS total_over_balance
-FROM customer c JOIN a ON a.o_custkey = c.c_custkey""")
+FROM customer c LEFT JOIN a ON a.o_custkey = c.c_custkey""")
 def g11(spark, sf):
     customer, orders = _t(spark, sf, "customer", "orders")
     a = orders.groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("n_orders"), F.count_distinct("o_orderpriority").alias("n_types"),
         F.coalesce(F.sum(F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice"))), F.lit(0.0)).alias("open_total"),
         F.sum("o_totalprice").alias("total"), F.count_if(F.col("o_orderstatus") == "O").alias("n_open"))
-    j = customer.join(a, customer.c_custkey == a.o_custkey)
+    j = customer.join(a, customer.c_custkey == a.o_custkey, "left")
     out = j.select("c_custkey", "n_orders", "n_types",
                    F.try_divide("n_orders", "n_types").alias("orders_per_type"),
                    F.try_divide("open_total", "total").alias("open_share_amount"),

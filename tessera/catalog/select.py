@@ -60,8 +60,9 @@ p AS (SELECT feature, sum(CASE WHEN y = 1 THEN value ELSE 0 END) AS o1, sum(CASE
 c AS (SELECT feature, (o1 - p1 * tot) * (o1 - p1 * tot) / (p1 * tot) + (o0 - (1 - p1) * tot) * (o0 - (1 - p1) * tot) / ((1 - p1) * tot) AS chi2 FROM p)
 SELECT feature, RND(chi2) AS chi2 FROM c ORDER BY chi2 DESC, feature LIMIT 3""")
 def l03(spark, sf):
-    long = L.long_format(evx(spark, sf), "event_id", FEATS, "y")
-    out = L.top_k(L.chi2_scores(long, "y"), "chi2", 3)
+    ev = evx(spark, sf)
+    long = L.long_format(ev, "event_id", FEATS, "y").where("value <> 0")  # zeros may be left out
+    out = L.top_k(L.chi2_scores(long, "y", ev), "chi2", 3)
     return out.select("feature", rnd("chi2").alias("chi2"))
 
 
@@ -72,8 +73,9 @@ t AS (SELECT feature, sum(n) AS "N", sum(s) AS "S", sum(ss) AS "SS", count(*) AS
 f AS (SELECT feature, (("B" - "S" * "S" / "N") / (k - 1)) / (("SS" - "B") / ("N" - k)) AS f FROM t)
 SELECT feature, RND(f) AS f, f >= (SELECT quantile_cont(f, 0.1) FROM f) AS keep FROM f""")
 def l04(spark, sf):
-    long = L.long_format(evx(spark, sf), "event_id", FEATS, "y")
-    out = L.percentile_keep(L.anova_f(long, "y"), "f", 90)
+    ev = evx(spark, sf)
+    long = L.long_format(ev, "event_id", FEATS, "y").where("value <> 0")
+    out = L.percentile_keep(L.anova_f(long, "y", ev), "f", 90)
     return out.select("feature", rnd("f").alias("f"), "keep")
 
 

@@ -55,17 +55,14 @@ def frequency_ordinal(df: DataFrame, c: str, na_values: Sequence = (), name: str
 
 # ------------------------------------------------------------------ C03-C06
 def one_hot_dense(df: DataFrame, c: str, values: Sequence[str] | None = None, prefix: str | None = None,
-                  na_value: str = "NA_NOT_FOUND", drop_first: bool = False, limit: int = 1000) -> DataFrame:
+                  na_value: str = "NA_NOT_FOUND", drop_first: bool = False) -> DataFrame:
     """One 0/1 column per value ``{prefix}_{value}``; NULL is its own
-    category ``NA_NOT_FOUND``. Values are collected only up to ``limit``
-    (use C04 beyond that)."""
+    category ``NA_NOT_FOUND``. Without ``values`` all distinct values become
+    columns (C04 is the form for many)."""
     p = prefix or c
     x = F.coalesce(F.col(c).cast("string"), F.lit(na_value))
     if values is None:
-        vals = [r[0] for r in df.select(x.alias("v")).distinct().limit(limit + 1).collect()]
-        if len(vals) > limit:
-            raise ValueError(f"{c}: more than {limit} values, use one_hot_sparse")
-        values = sorted(vals)
+        values = sorted(r[0] for r in df.select(x.alias("v")).distinct().collect())
     if drop_first:
         values = values[1:]
     return df.select("*", *[(x == F.lit(v)).cast("int").alias(f"{p}_{v}") for v in values])
@@ -119,17 +116,29 @@ def feature_hash(df: DataFrame, cols_: Sequence[str], n: int = 100, name: str =
                          categoricalCols=list(cols_)).transform(df)
 
 
-def tag_count_vector(df: DataFrame, c: str, min_df: float = 1.0, sep: str = ",", name: str | None = None):
-    """Comma-separated tags -> count vector (CountVectorizer, ``minDF``)."""
-    from pyspark.ml.feature import CountVectorizer
+def tag_counts(df: DataFrame, id_col: str, c: str, min_df: int = 1, sep: str = ",") -> DataFrame:
+    """Comma-separated tags -> (id, tag, cnt), tags of at least ``min_df``
+    rows. The dictionary stays a distributed table, whatever its size."""
+    tags = df.select(id_col, F.explode(F.filter(F.split(F.col(c), sep), lambda s: s != "")).alias("tag"))
+    cnt = tags.groupBy(id_col, "tag").agg(F.count(F.lit(1)).alias("cnt"))
+    if min_df <= 1:
+        return cnt
+    cnt = _once(cnt)
+    often = cnt.groupBy("tag").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") >= min_df).select("tag")
+    return cnt.join(often, "tag", "left_semi")
+
+
+def tag_count_vector(df: DataFrame, c: str, vocabulary: Sequence[str], sep: str = ",", name: str | None = None):
+    """C08 as an ML vector over a vocabulary the caller gives."""
+    from pyspark.ml.feature import CountVectorizerModel
     name = name or f"{c}_counts"
     toks = df.withColumn("_toks", F.filter(F.split(F.coalesce(F.col(c), F.lit("")), sep), lambda s: s != ""))
-    model = CountVectorizer(inputCol="_toks", outputCol=name, minDF=min_df).fit(toks)
+    model = CountVectorizerModel.from_vocabulary(list(vocabulary), inputCol="_toks", outputCol=name)
     return model.transform(toks).drop("_toks")
 
 
 # ---------------------------------------------------------------------- C09
-TOKEN_PATTERN = r"[^0-9A-Za-z_]+"
+TOKEN_PATTERN = r"[^\p{L}\p{N}_]+"
 
 
 def word_terms(df: DataFrame, doc: str, text: str, ngram: tuple[int, int] = (1, 1),
@@ -185,16 +194,6 @@ def tfidf(terms: DataFrame, doc: str, n_docs: int, min_df: int = 1, max_df: floa
     return w.join(nrm, doc).select(doc, "term", (F.col("w") / F.col("_nrm")).alias("tfidf"))
 
 
-def tfidf_vectors(df: DataFrame, text: str, vocab: int = 1 << 18, min_df: float = 1.0, name: str = "tfidf"):
-    """C09 as ML vectors: RegexTokenizer -> CountVectorizer -> IDF."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer
-    pipe = Pipeline(stages=[RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN_PATTERN),
-                            CountVectorizer(inputCol="_tok", outputCol="_tf", vocabSize=vocab, minDF=min_df),
-                            IDF(inputCol="_tf", outputCol=name)])
-    return pipe.fit(df).transform(df).drop("_tok", "_tf")
-
-
 # ------------------------------------------------------------------ C10-C16
 def category2vec(df: DataFrame, id_col: str, cols_: Sequence[str], size: int = 8, seed: int = 0,
                  name: str = "cat2vec") -> DataFrame:

@@ -32,8 +32,8 @@ def null_share(df: DataFrame, cols_: Sequence[str] | None = None) -> DataFrame:
 
 def column_profile(df: DataFrame, cols_: Sequence[str], split: str | None = None) -> DataFrame:
     """Max, min, distinct count, rows per distinct value and NULL rate of
-    each numeric column, per split value and for all rows (grouping sets:
-    one pass over the data)."""
+    each numeric column, per split value (NULL is a part named NULL) and for
+    all rows (part ``all``; grouping sets: one pass over the data)."""
     exprs = []
     for c in cols_:
         x = F.col(c).cast("double")
@@ -41,7 +41,9 @@ def column_profile(df: DataFrame, cols_: Sequence[str], split: str | None = None
                   F.count_distinct(x).alias(f"{c}__nunique"), F.count(F.lit(1)).alias(f"{c}__rows"),
                   F.avg(x.isNull().cast("double")).alias(f"{c}__null_rate")]
     if split:
-        g = df.cube(split).agg(*exprs).withColumn("part", F.coalesce(F.col(split).cast("string"), F.lit("all")))
+        # the total is told by grouping(), so a NULL split value stays a part of its own
+        g = df.cube(split).agg(*exprs, F.grouping(split).alias("_total")).withColumn(
+            "part", F.when(F.col("_total") == 1, F.lit("all")).otherwise(F.col(split).cast("string")))
     else:
         g = df.agg(*exprs).withColumn("part", F.lit("all"))
     per = ", ".join(
@@ -155,11 +157,12 @@ def drop_report(df: DataFrame, cols_: Sequence[str], null_limit: float = 0.9) ->
 
 
 def crosstab_normalised(df: DataFrame, a: str, b: str, values: Sequence[str]) -> DataFrame:
-    """Counts of a x b, and each count divided by its row total."""
-    piv = df.groupBy(a).pivot(b, list(values)).count().fillna(0)
-    total = sum((F.col(f"`{v}`") for v in values), F.lit(0))
-    return piv.select(a, *[F.col(f"`{v}`").cast("bigint").alias(f"n_{v}") for v in values],
-                      *[(F.col(f"`{v}`") / total).alias(f"share_{v}") for v in values])
+    """Counts of a x b, and each count divided by its row total (all
+    non-NULL values of b, also those without a column)."""
+    n = [F.count_if(F.col(b) == F.lit(v)).alias(f"n_{v}") for v in values]
+    rows = df.groupBy(a).agg(*n, F.count(b).alias("_total"))
+    return rows.select(a, *[f"n_{v}" for v in values],
+                       *[F.try_divide(F.col(f"n_{v}"), F.col("_total")).alias(f"share_{v}") for v in values])
 
 
 def describe(df: DataFrame, cols_: Sequence[str], id_col: str) -> DataFrame:

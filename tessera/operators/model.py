@@ -10,6 +10,7 @@ are kept long (id, model, pred) and pivoted only when stacked.
 
 from __future__ import annotations
 
+import time
 import json
 from collections.abc import Callable, Mapping, Sequence
 
@@ -134,12 +135,9 @@ def _materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _model_names(d: DataFrame, model_col: str, limit: int = 1000) -> list[str]:
-    """Distinct model names (one column per model follows), checked small."""
-    names = [r[0] for r in d.select(model_col).distinct().limit(limit + 1).collect()]
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} models to pivot")
-    return sorted(names)
+def _model_names(d: DataFrame, model_col: str) -> list[str]:
+    """Distinct model names: one column per model follows."""
+    return sorted(r[0] for r in d.select(model_col).distinct().collect())
 
 
 def stack_layer(preds_long: DataFrame, labels: DataFrame, id_col: str, label: str, fold: str, k: int,
@@ -167,11 +165,17 @@ class PredictionRepository:
                 (d.withColumn("model_id", F.lit(model_id)).write.mode("overwrite")
                  .option("partitionOverwriteMode", "dynamic").partitionBy("model_id")
                  .parquet(f"{self.root}/{kind}"))
-        s = self.spark.createDataFrame([(model_id, float(score))], "model_id string, score double")
+        self._note(model_id, float(score))
+
+    def _note(self, model_id: str, score: float | None) -> None:
+        """Append to the score log; a NULL score says the model was removed."""
+        s = self.spark.createDataFrame([(model_id, score, time.time_ns())], "model_id string, score double, saved long")
         s.write.mode("append").parquet(f"{self.root}/scores")
 
     def scores(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/scores").groupBy("model_id").agg(F.last("score").alias("score"))
+        """The latest score of every model that is still here."""
+        log = self.spark.read.parquet(f"{self.root}/scores")
+        return log.groupBy("model_id").agg(F.max_by("score", "saved").alias("score")).where("score is not null")
 
     def select(self, kind: str = "oof", min_score: float | None = None, ids: Sequence[str] | None = None) -> DataFrame:
         d = self.spark.read.parquet(f"{self.root}/{kind}")
@@ -186,13 +190,21 @@ class PredictionRepository:
         """Copy the other repository's models that are not here yet."""
         mine = self.spark.read.parquet(f"{self.root}/{kind}").select("model_id").distinct()
         new = other.spark.read.parquet(f"{other.root}/{kind}").join(mine, "model_id", "left_anti")
+        new = _materialise(new)
         new.write.mode("append").partitionBy("model_id").parquet(f"{self.root}/{kind}")
-
-    def remove(self, model_id: str, kind: str = "oof") -> None:
-        d = self.spark.read.parquet(f"{self.root}/{kind}").where(F.col("model_id") != model_id)
-        tmp = f"{self.root}/{kind}__rewrite"
-        d.write.mode("overwrite").partitionBy("model_id").parquet(tmp)
-        self.spark.read.parquet(tmp).write.mode("overwrite").partitionBy("model_id").parquet(f"{self.root}/{kind}")
+        ids = new.select("model_id").distinct().join(other.scores(), "model_id").collect()  # one row per model
+        for r in ids:
+            self._note(r["model_id"], r["score"])
+
+    def remove(self, model_id: str) -> None:
+        """Delete the model's partitions and note that its score is void; no
+        other model's files are touched."""
+        jvm = self.spark.sparkContext._jvm
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(model_id)
+        for kind in ("oof", "test"):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}/model_id={name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._note(model_id, None)
 
 
 # --------------------------------------------------------------------- M04

@@ -109,14 +109,12 @@ def conditional_aggregates(child: DataFrame, key: str, spec: Mapping[str, Sequen
     return child.groupBy(key).agg(*exprs)
 
 
-def distinct_values(df: DataFrame, column: str, limit: int = 1000) -> list:
+def distinct_values(df: DataFrame, column: str) -> list:
     """Sorted distinct values of a categorical column, for generating one
-    column per value. Bounded: raises beyond ``limit`` (use the sparse
-    encoders for high cardinality)."""
-    vals = [r[0] for r in df.select(column).distinct().limit(limit + 1).collect()]
-    if len(vals) > limit:
-        raise ValueError(f"{column} has more than {limit} values; use a sparse encoding")
-    return sorted(v for v in vals if v is not None)
+    output column per value: the list is as long as the schema it becomes.
+    Pass a value list of your own, or use the long encoders, where that is
+    too wide."""
+    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
 
 
 def attach(parent: DataFrame, tables: Sequence[tuple[DataFrame, Mapping[str, str]]]) -> DataFrame:

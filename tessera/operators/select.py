@@ -12,6 +12,8 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,11 +28,46 @@ def long_format(df: DataFrame, id_col: str | None, features: Sequence[str], labe
 
 
 def correlation_matrix(df: DataFrame, features: Sequence[str]) -> dict:
-    """All pairwise Pearson correlations in one aggregate (pairwise-complete
-    rows, as pandas)."""
-    pairs = list(itertools.combinations(features, 2))
-    row = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)]).first()
-    return {p: row[f"{i}"] for i, p in enumerate(pairs)}
+    """All pairwise Pearson correlations (pairwise-complete rows, as pandas).
+
+    Every task reduces its rows to four p x p matrices by matrix products
+    (counts, sums, squares and cross products of centred values under the
+    masks of non-NULL pairs), one row per feature; Spark adds them up by
+    feature. The plan has p aggregates for the means, not p (p - 1) / 2, and
+    the driver gets the p x p result."""
+    features = list(features)
+    p = len(features)
+    mean = df.agg(*[F.coalesce(F.avg(F.col(f).cast("double")), F.lit(0.0)) for f in features]).first()
+    centre = np.array(list(mean), float)
+    parts = "i int, n array<double>, x array<double>, xx array<double>, xy array<double>"
+
+    def rows(mats):
+        cols = [pa.ListArray.from_arrays(pa.array(np.arange(p + 1) * p, pa.int32()), pa.array(m.ravel())) for m in mats]
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(p), pa.int32()), *cols], names=["i", "n", "x", "xx", "xy"])
+
+    def partial(batches):
+        total = np.zeros((4, p, p))
+        for b in batches:
+            v = np.stack([np.asarray(c.fill_null(float("nan")), float) for c in b.columns], axis=1) - centre
+            known = ~np.isnan(v)
+            v, m = np.where(known, v, 0.0), known.astype(float)
+            total += np.stack([m.T @ m, v.T @ m, (v * v).T @ m, v.T @ v])
+        yield rows(total)
+
+    def add(table):
+        mats = [np.asarray(table.column(c).combine_chunks().flatten()).reshape(-1, p).sum(axis=0) for c in ("n", "x", "xx", "xy")]
+        return pa.table([table.column("i").slice(0, 1), *[pa.array([m], pa.list_(pa.float64())) for m in mats]],
+                        names=["i", "n", "x", "xx", "xy"])
+
+    got = (df.select(*[F.col(f).cast("double") for f in features]).mapInArrow(partial, parts)
+           .groupBy("i").applyInArrow(add, parts).collect())
+    n, x, xx, xy = np.zeros((4, p, p))
+    for r in got:
+        n[r.i], x[r.i], xx[r.i], xy[r.i] = r.n, r.x, r.xx, r.xy
+    with np.errstate(divide="ignore", invalid="ignore"):
+        corr = (n * xy - x * x.T) / np.sqrt((n * xx - x * x) * (n * xx.T - x.T * x.T))
+    return {(features[i], features[j]): None if n[i, j] < 2 or not np.isfinite(corr[i, j]) else float(corr[i, j])
+            for i, j in itertools.combinations(range(p), 2)}
 
 
 def correlation_cut(df: DataFrame, features: Sequence[str], threshold: float = 0.9) -> DataFrame:
@@ -54,15 +91,24 @@ def target_correlation(df: DataFrame, features: Sequence[str], label: str) -> Da
                                            "feature string, abs_corr double, rank long")
 
 
-def chi2_scores(long: DataFrame, label: str) -> DataFrame:
+def class_counts(labels: DataFrame, label: str) -> dict:
+    """Rows per class, from the table that has one row per example."""
+    return {r[label]: r["n"] for r in labels.where(F.col(label).isNotNull()).groupBy(label)
+            .agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def chi2_scores(long: DataFrame, label: str, labels: DataFrame) -> DataFrame:
     """Scikit-learn's ``chi2`` for non-negative features: per class the
-    observed sum of feature values against class share x feature total."""
+    observed sum of feature values against class share x feature total. The
+    class shares come from ``labels`` (one row per example), so ``long`` may
+    leave out its zeros."""
+    n = class_counts(labels, label)
+    p1 = F.lit(n.get(1, 0) / max(1, sum(n.values())))
     per = long.groupBy("feature").agg(
         F.sum(F.when(F.col(label) == 1, F.col("value")).otherwise(0.0)).alias("o1"),
         F.sum(F.when(F.col(label) == 0, F.col("value")).otherwise(0.0)).alias("o0"),
-        F.sum("value").alias("tot"),
-        F.avg(F.col(label).cast("double")).alias("p1"))
-    e1, e0 = F.col("p1") * F.col("tot"), (1 - F.col("p1")) * F.col("tot")
+        F.sum("value").alias("tot"))
+    e1, e0 = p1 * F.col("tot"), (1 - p1) * F.col("tot")
     chi = F.try_divide((F.col("o1") - e1) * (F.col("o1") - e1), e1) + \
         F.try_divide((F.col("o0") - e0) * (F.col("o0") - e0), e0)
     return per.select("feature", chi.alias("chi2"))
@@ -73,18 +119,20 @@ def top_k(scores: DataFrame, score: str, k: int) -> DataFrame:
     return scores.orderBy(F.desc_nulls_last(score), "feature").limit(k)
 
 
-def anova_f(long: DataFrame, label: str) -> DataFrame:
+def anova_f(long: DataFrame, label: str, labels: DataFrame) -> DataFrame:
     """One-way ANOVA F statistic of each feature across label classes
-    (``f_classif``), NULL values counted as 0."""
+    (``f_classif``), NULL and left out values counted as 0: class sizes come
+    from ``labels`` (one row per example)."""
+    n = class_counts(labels, label)
+    total, k = sum(n.values()), len(n)
+    size = F.create_map(*[F.lit(x) for kv in n.items() for x in (kv[0], float(kv[1]))]) if n else F.lit(None)
     v = F.coalesce(F.col("value"), F.lit(0.0))
-    g = long.groupBy("feature", label).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("s"),
-                                           F.sum(v * v).alias("ss"))
-    t = g.groupBy("feature").agg(F.sum("n").alias("N"), F.sum("s").alias("S"), F.sum("ss").alias("SS"),
-                                 F.count(F.lit(1)).alias("k"),
-                                 F.sum(F.col("s") * F.col("s") / F.col("n")).alias("B"))
-    ss_between = F.col("B") - F.col("S") * F.col("S") / F.col("N")
-    ss_within = F.col("SS") - F.col("B")
-    f = F.try_divide(ss_between / (F.col("k") - 1), ss_within / (F.col("N") - F.col("k")))
+    g = long.where(F.col(label).isNotNull()).groupBy("feature", label).agg(F.sum(v).alias("s"), F.sum(v * v).alias("ss"))
+    t = g.groupBy("feature").agg(F.sum("s").alias("S"), F.sum("ss").alias("SS"),
+                                 F.sum(F.col("s") * F.col("s") / F.element_at(size, F.col(label))).alias("B"))
+    ss_between = F.col("B") - F.col("S") * F.col("S") / total
+    f = F.try_divide(ss_between / (k - 1), (F.col("SS") - F.col("B")) / (total - k)) if 1 < k < total \
+        else F.lit(None).cast("double")
     return t.select("feature", f.alias("f"))
 
 

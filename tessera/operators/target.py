@@ -3,8 +3,8 @@
 Out-of-fold statistics use the subtraction trick: one aggregate by
 ``(key, fold)`` and key totals over that small table; the statistics of
 "every fold but f" are ``total - fold f``. One shuffle of combined rows, no
-loop over folds, and the cost does not grow with K. Fold totals (one row per
-fold, K is small) are fitted once and enter the plan as literals.
+loop over folds, and the cost does not grow with K. Fold totals are a table
+(one row per fold) joined to it.
 
 The encoded value is computed on the small per-(key, fold) table and joined
 to the rows once: AQE broadcasts it when it is small and splits a skewed key
@@ -21,19 +21,6 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import col, hash_unit
 
 
-def _fold_totals(train: DataFrame, fold: str, label: str, limit: int = 10000) -> dict:
-    """Label count and sum per fold: one row per fold, checked small."""
-    rows = (train.groupBy(fold).agg(F.count(col(label)).alias("n"), F.sum(col(label)).alias("s"))
-            .limit(limit + 1).collect())
-    if len(rows) > limit:
-        raise ValueError(f"{fold} has more than {limit} values; it should name folds")
-    return {r[fold]: (r["n"], r["s"] or 0) for r in rows}
-
-
-def _map(d: dict, idx: int) -> Column:
-    return F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(float(v[idx])))])
-
-
 def _woe(s, n, P, N, smooth=0.5):
     return F.log(F.try_divide(F.try_divide(s + smooth, P), F.try_divide(n - s + smooth, N)))
 
@@ -68,20 +55,20 @@ def leave_fold_out(df: DataFrame, keys: Sequence[str], label: str, fold: str, is
     fn = STATS[stat]
     train = df.where(is_train)
     src = train if stats_filter is None else train.where(stats_filter)
-    ft = _fold_totals(src, fold, label)                      # K rows
-    n_all = float(sum(v[0] for v in ft.values()))
-    s_all = float(sum(v[1] for v in ft.values()))
     kf = src.groupBy(*keys, fold).agg(F.count(col(label)).alias("_nkf"), F.sum(col(label)).alias("_skf"))
     kt = kf.groupBy(*keys).agg(F.sum("_nkf").alias("_nk"), F.sum("_skf").alias("_sk"))
+    ft = kf.groupBy(fold).agg(F.sum("_nkf").cast("double").alias("_nf"), F.sum("_skf").cast("double").alias("_sf"))
+    tot = ft.agg(F.sum("_nf").alias("n"), F.sum("_sf").alias("s")).first()
+    n_all, s_all = float(tot["n"] or 0), float(tot["s"] or 0)
     # every fold of every train row's key: the key may have no stats row in
     # the filtered source, so rows drive the (key, fold) set
     row_kf = train.select(*keys, fold).distinct()
-    t = (row_kf.join(kf, [*keys, fold], "left").join(kt, keys, "left")
-         .fillna(0, subset=["_nkf", "_skf", "_nk", "_sk"]))
+    t = (row_kf.join(kf, [*keys, fold], "left").join(kt, keys, "left").join(ft, fold, "left")
+         .fillna(0, subset=["_nkf", "_skf", "_nk", "_sk", "_nf", "_sf"]))
     n_ex = F.col("_nk") - F.col("_nkf")
     s_ex = F.col("_sk") - F.col("_skf")
-    p_ex = F.lit(s_all) - F.coalesce(F.element_at(_map(ft, 1), F.col(fold)), F.lit(0.0))
-    t_ex = F.lit(n_all) - F.coalesce(F.element_at(_map(ft, 0), F.col(fold)), F.lit(0.0))
+    p_ex = F.lit(s_all) - F.col("_sf")
+    t_ex = F.lit(n_all) - F.col("_nf")
     enc = F.when(n_ex > 0, fn(s_ex, n_ex, p_ex, t_ex - p_ex))
     tr_table = t.select(*keys, fold, F.coalesce(enc, F.lit(missing)).alias(name))
     te_table = kt.select(*keys, F.coalesce(F.when(F.col("_nk") > 0, fn(F.col("_sk"), F.col("_nk"), F.lit(s_all),

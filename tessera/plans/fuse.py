@@ -69,38 +69,26 @@ def _grouping_sets_tables(source: DataFrame, buckets: list[tuple[tuple[str, ...]
     out = {}
     for keys, ps in buckets:
         gid = sum(1 << (n - 1 - i) for i, k in enumerate(allkeys) if k not in keys)
-        names = [str(a._jc.toString()).split(" AS ")[-1].strip("`") for p in ps for a in p.aggs]
+        names = source.groupBy(*keys).agg(*[a for p in ps for a in p.aggs]).columns[len(keys):]  # analysis only
         out[tuple(keys)] = g.where(F.col("_gid") == gid).select(*keys, *names)
     return out
 
 
-GS_MIN_BYTES_CONF = "tessera.fuse.groupingSetsMinBytes"
-
-
-def _source_bytes(df: DataFrame) -> int:
-    """Size estimate of the optimized plan (file sizes for a scan): no job."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - unknown size: treat as large
-        return 1 << 62
-
-
-def apply_parts(df: DataFrame, parts: Sequence[AggPart], grouping_sets: bool | None = None) -> DataFrame:
+def apply_parts(df: DataFrame, parts: Sequence[AggPart], grouping_sets: bool = False) -> DataFrame:
     """Append every part's feature column to ``df`` (row grain preserved).
 
-    ``grouping_sets`` (default: decided by size) computes all key sets of a
-    source in one grouping-sets pass: one scan instead of one per key set.
-    Below ``tessera.fuse.groupingSetsMinBytes`` (1 GiB) of input the
-    independent aggregates are cheaper than replicating rows, so they run
-    separately."""
+    ``grouping_sets`` computes all key sets of a source in one grouping-sets
+    pass: one scan instead of one per key set, at the price of one copy of
+    each row per key set before the partial aggregate. The caller chooses;
+    the plan does not depend on the size of the data."""
+    names = [p.name for p in parts]
+    if len(set(names)) < len(names):
+        raise ValueError(f"feature names occur twice: {sorted({n for n in names if names.count(n) > 1})}")
     buckets: dict = {}
     for p in parts:
         buckets.setdefault(_bucket_key(p), []).append(p)
     # key sets over the same source with plain aggregates share one grouping-sets pass
     fused_tables: dict = {}
-    if grouping_sets is None:
-        limit = int(df.sparkSession.conf.get(GS_MIN_BYTES_CONF, str(1 << 30)))
-        grouping_sets = len(buckets) > 1 and _source_bytes(df) >= limit
     if grouping_sets:
         by_source: dict = {}
         for (src, frm, keys), ps in buckets.items():

@@ -83,14 +83,16 @@ class FeatureStore:
 
 
 def append_by_id(base: DataFrame, extra: DataFrame, id_col: str, check: bool = True) -> DataFrame:
-    """Inner-join external features on the id and verify that no row was
-    lost or duplicated (one count of each side)."""
-    out = base.join(extra, id_col, "inner")
+    """Inner-join external features on the id and verify that no row is
+    lost (every id of ``base`` is in ``extra``) or duplicated (once)."""
     if check:
-        n_base, n_out = base.count(), out.count()
-        if n_base != n_out:
-            raise ValueError(f"append by {id_col}: {n_base} rows in, {n_out} rows out")
-    return out
+        twice = extra.groupBy(id_col).count().where("count > 1").join(base, id_col, "left_semi").limit(1).collect()
+        if twice:
+            raise ValueError(f"append by {id_col}: {twice[0][id_col]} occurs {twice[0]['count']} times")
+        lost = base.join(extra, id_col, "left_anti").limit(1).collect()
+        if lost:
+            raise ValueError(f"append by {id_col}: {lost[0][id_col]} has no row to append")
+    return base.join(extra, id_col, "inner")
 
 
 def append_metrics(spark: SparkSession, path: str, rows: Sequence[Mapping]) -> DataFrame:
