@@ -36,12 +36,12 @@ def words(text: bytes) -> list[bytes]:
 
 
 def n_words(text: Column) -> Column:
-    """Number of words; NULL and blank texts have none. One codegen'd pass:
-    white space folds to one space, then spaces are counted."""
-    t = F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "))
-    runs = F.regexp_replace(t, " {2,}", " ")
-    return F.when(runs == "", F.lit(0)).otherwise(
-        F.length(runs) - F.length(F.translate(runs, " ", "")) + 1).cast("long")
+    """Number of words; NULL and blank texts have none. Every word with the
+    white space around it becomes one character, which are counted."""
+    runs = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"
+    t = F.coalesce(text, F.lit(""))
+    return F.when(t.rlike(r"[^\x20\x09-\x0D]"), F.length(F.regexp_replace(t, runs, "x"))) \
+        .otherwise(F.lit(0)).cast("long")
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:

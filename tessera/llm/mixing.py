@@ -67,7 +67,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple[int, ...] = WEIGHTS, cap: int = 3, seed: int = 6, slice_rows: int = 50_000) -> DataFrame:
+        weights: tuple[int, ...] = WEIGHTS, cap: int = 3, seed: int = 6, slice_rows: int = 5_000) -> DataFrame:
     """``doc_id``, ``size``, ``source_size``, ``target``, ``taken``, ``source``."""
     rows = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"),
                                    n_words(F.col(text_col)).alias("size"),
