@@ -11,8 +11,11 @@ n-gram is one entry per block, already counted.
 
 Each block then builds its part of the automaton: known contexts are states,
 known n-grams are arcs with a log-probability, and every state has a failure
-arc to its longest shorter context with the backoff weight. One traversal from
-left to right carries the state and adds up.
+arc to its longest shorter context with the backoff weight. States and arcs are
+numbered like the block's n-grams, so the state after each token is known from
+the n-grams that end there, and the texts of a block are traversed together,
+left to right in one array: where the state has an arc for the next token its
+weight is added, elsewhere the backoff weight is, and the failure arc followed.
 
 Smoothing is Jelinek-Mercer: p(w | h) = (1 - l) c(hw) / c(h) + l p(w | h'),
 where l, per order, is the leave-one-out share of training n-grams that would
@@ -39,8 +42,8 @@ from tessera.llm.common import materialise, words
 
 BEGIN, END = np.uint64(1), np.uint64(2)
 MULT = np.uint64(0x9FB21C651E98DF25)
-COUNTS = "block int, kind int, bucket int, keys array<long>, n array<int>"
-SUMS = "block int, kind int, bucket int, c array<long>, tokens long, types long, once long"
+COUNTS = "block int, kind int, bucket int, keys binary, n binary"
+SUMS = "block int, kind int, bucket int, c binary, tokens long, types long, once long"
 
 
 def word_key(word: bytes) -> int:
@@ -54,6 +57,29 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(28))
 
 
+def pack_keys(sorted_keys: np.ndarray) -> bytes:
+    """Gaps of ascending keys, byte plane by byte plane: the high planes are
+    zeros, which the shuffle's compression takes away."""
+    gaps = np.diff(sorted_keys, prepend=np.uint64(0))
+    return gaps.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def pack_counts(n: np.ndarray) -> bytes:
+    """Counts in the fewest bytes each (1, 2, 4 or 8; told by the first byte)."""
+    top = int(n.max()) if len(n) else 0
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
+    return bytes([width]) + n.astype(f"<u{width}").tobytes()
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
 class Block:
     """Token sequences of a block and its distinct n-grams per order."""
 
@@ -81,7 +107,7 @@ class Block:
             self.keys.append(u)
             self.inv.append(full)
             self.at.append(where[first] if len(where) else where)
-            self.n.append(np.bincount(inv, weights=train[valid], minlength=len(u)).astype(np.int32))
+            self.n.append(np.bincount(inv, weights=train[valid], minlength=len(u)).astype(np.int64))
 
     def rows(self, block: int, buckets: int) -> Iterator[tuple]:
         for k, (u, n) in enumerate(zip(self.keys, self.n), 1):
@@ -89,93 +115,64 @@ class Block:
             cut = np.searchsorted(part, np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cut)):
                 s = slice(cut[b], cut[b + 1])
-                yield block, k, int(b), u[s].view(np.int64), n[s]
+                yield block, k, int(b), pack_keys(u[s]), pack_counts(n[s])
 
 
 class Automaton:
-    """States, arcs and failure arcs for the n-grams of one block."""
+    """States, arcs and failure arcs for the n-grams of one block. The state
+    of a context of k words is its number among the block's k-grams, an arc
+    that of the n-gram it completes."""
 
     def __init__(self, block: Block, counts: list[np.ndarray], total: int, types: int, backoff: list[float]):
-        order, size = len(counts), block.n_local
-        self.size, self.order = size, order
-        self.first = np.concatenate(([1], 1 + np.cumsum([len(c) for c in counts])))  # state ids per context length
-        n_states = int(self.first[order - 1])
-        self.fail = np.zeros(n_states, np.int64)
-        self.bow = np.zeros(n_states)
-        c1 = np.zeros(size, np.int64)
-        c1[block.local[block.at[0]]] = counts[0]
-        self.count = c1  # by local word; BEGIN holds the training documents
-        p = (c1 + 0.5) / (total + 0.5 * (types + 1))
+        self.block, self.counts = block, counts
+        p = (np.zeros(block.n_local) + 0.5) / (total + 0.5 * (types + 1))
+        self.known = np.zeros(block.n_local, bool)  # by local word; BEGIN is no token
+        word = block.local[block.at[0]]
+        p[word] = (counts[0] + 0.5) / (total + 0.5 * (types + 1))
+        self.known[word] = counts[0] > 0
         self.base = np.log10(p)
-        state_of = np.zeros(size, np.int64)  # state after a word alone
-        if order > 1:
-            known = counts[0] > 0
-            state_of[block.local[block.at[0][known]]] = self.first[0] + np.flatnonzero(known)
-        arcs, weight, goto = [np.arange(size)], [self.base], [state_of]
-        low = p[block.local[block.at[0]]]
-        for k in range(2, order + 1):
-            at, c, l = block.at[k - 1], counts[k - 1], backoff[k - 1]
-            ctx = block.inv[k - 2][at - 1]
-            h = counts[k - 2][ctx]
-            lower = low[block.inv[k - 2][at]]
-            prob = np.where(h > 0, (1 - l) * c / np.maximum(h, 1) + l * lower, lower)
-            known = c > 0
-            arcs.append((self.first[k - 2] + ctx[known]) * size + block.local[at[known]])
-            weight.append(np.log10(prob[known]))
-            # after the arc: the n-gram itself if it can be a context, else its longest suffix
-            nxt = (self.first[k - 1] + np.flatnonzero(known)) if k < order else \
-                self._suffix(block, counts, at[known], k - 1, state_of)
-            goto.append(nxt)
-            s = slice(int(self.first[k - 2]), int(self.first[k - 1]))
-            has = counts[k - 2] > 0
-            self.bow[s] = np.where(has, np.log10(max(l, 1e-12)), 0.0)
-            if k > 2:
-                self.fail[s] = self._suffix(block, counts, block.at[k - 2], k - 2, state_of)
-            low = prob
-        arcs, weight, goto = map(np.concatenate, (arcs, weight, goto))
-        self.arcs = dict(zip(arcs.tolist(), zip(weight.tolist(), goto.tolist())))
-        self.fail, self.bow = self.fail.tolist(), self.bow.tolist()
-
-    def _suffix(self, block, counts, at, longest, state_of):
-        """State of the longest known context of at most ``longest`` words that ends at ``at``."""
-        out = state_of[block.local[at]]
-        for k in range(2, longest + 1):
-            i = block.inv[k - 1][at]
-            ok = (i >= 0) & (counts[k - 1][np.maximum(i, 0)] > 0)
-            out = np.where(ok, self.first[k - 1] + i, out)
+        self.bow = [0.0]           # backoff weight of the states of k words
+        self.weight = [self.base[word]]  # of the arcs that complete an n-gram
+        low = p[word]
+        for k in range(2, len(counts) + 1):
+            at, share = block.at[k - 1], backoff[k - 1]
+            h = counts[k - 2][block.inv[k - 2][at - 1]]
+            low = low[block.inv[k - 2][at]]
+            low = np.where(h > 0, (1 - share) * counts[k - 1] / np.maximum(h, 1) + share * low, low)
+            self.weight.append(np.log10(low))
+            self.bow.append(float(np.log10(share)))
+
+    def score(self) -> np.ndarray:
+        """log10 probability of every token (0 for BEGIN), all texts at once."""
+        b, order = self.block, len(self.counts)
+        out = np.zeros(len(b.local))
+        todo = np.flatnonzero(b.local != 0)
+        for k in range(order, 1, -1):
+            # tokens whose state is a known context of k - 1 words
+            state = b.inv[k - 2][todo - 1]
+            has = (b.inv[k - 1][todo] >= 0) & (state >= 0)
+            has[has] = self.counts[k - 2][state[has]] > 0
+            arc = b.inv[k - 1][todo]
+            ok = has.copy()
+            ok[has] = self.counts[k - 1][arc[has]] > 0
+            out[todo[ok]] += self.weight[k - 1][arc[ok]]
+            out[todo[has & ~ok]] += self.bow[k - 1]  # the failure arc
+            todo = todo[~ok]
+        out[todo] += self.base[b.local[todo]]
         return out
 
-    def score(self, seq: list[int]) -> float:
-        """log10 probability of the local words ``seq`` after BEGIN."""
-        arcs, fail, bow, size = self.arcs, self.fail, self.bow, self.size
-        state, total = (arcs[0][1] if self.order > 1 else 0), 0.0
-        for w in seq:
-            arc = arcs.get(state * size + w)
-            while arc is None:
-                total += bow[state]
-                state = fail[state]
-                arc = arcs.get(state * size + w)
-            total += arc[0]
-            state = arc[1]
-        return total
-
-
-def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
-    flat = np.concatenate(parts) if parts else np.zeros(0)
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat, kind))
-
 
 def _sum_counts(table: pa.Table) -> pa.Table:
-    keys, n = (table.column(c).combine_chunks() for c in ("keys", "n"))
-    flat = np.asarray(keys.flatten()).view(np.uint64)
-    u, inv = np.unique(flat, return_inverse=True)
-    c = np.bincount(inv, weights=np.asarray(n.flatten())).astype(np.int64)
-    cut = np.cumsum(np.asarray(keys.value_lengths()))[:-1]
+    keys = [unpack_keys(x) for x in table.column("keys").to_pylist()]
+    u, inv = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.concatenate([unpack_counts(x) for x in table.column("n").to_pylist()])
+    c = np.bincount(inv, weights=n).astype(np.int64)
+    cut = np.cumsum([len(k) for k in keys])[:-1]
     own = u != BEGIN
     zero = [0] * (table.num_rows - 1)
     stat = [int(c[own].sum()), int((c[own] > 0).sum()), int((c[own] == 1).sum())]
     return pa.table([table.column("block"), table.column("kind"), table.column("bucket"),
-                     _lists(np.split(c[inv], cut), pa.int64()),
+                     pa.array([pack_counts(x) for x in np.split(c[inv], cut)], pa.binary()),
                      *[pa.array([x, *zero], pa.int64()) for x in stat]],
                     names=["block", "kind", "bucket", "c", "tokens", "types", "once"])
 
@@ -194,8 +191,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         b = Block(table.column("t").to_pylist(), table.column("held").to_pylist(), order)
         rows = list(b.rows(table.column("block")[0].as_py(), n_blocks))
         head = list(zip(*[r[:3] for r in rows]))
-        return pa.table([*[pa.array(x, pa.int32()) for x in head], _lists([r[3] for r in rows], pa.int64()),
-                         _lists([r[4] for r in rows], pa.int32())], names=["block", "kind", "bucket", "keys", "n"])
+        return pa.table([*[pa.array(x, pa.int32()) for x in head], pa.array([r[3] for r in rows], pa.binary()),
+                         pa.array([r[4] for r in rows], pa.binary())], names=["block", "kind", "bucket", "keys", "n"])
 
     sums = materialise(src.groupBy("block").applyInArrow(count, COUNTS)
                        .groupBy("kind", "bucket").applyInArrow(_sum_counts, SUMS), "lm-counts")
@@ -210,18 +207,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         b = Block(table.column("t").to_pylist(), held, order)
         where = sorted((k, p, i) for i, (k, p) in enumerate(
             zip(got.column("kind").to_pylist(), got.column("bucket").to_pylist())))
-        lists = got.column("c").combine_chunks()
-        counts = [np.concatenate([np.asarray(lists[i].values) for kind, _, i in where if kind == k] or [np.zeros(0, int)])
-                  .astype(np.int64) for k in range(1, order + 1)]
+        lists = [unpack_counts(x) for x in got.column("c").to_pylist()]
+        counts = [np.concatenate([lists[i] for kind, _, i in where if kind == k] or [np.zeros(0, np.int64)])
+                  for k in range(1, order + 1)]
         a = Automaton(b, counts, total, types, backoff)
-        local = b.local.tolist()
-        spans = [(s + 1, s + n) for s, n in zip(b.begin.tolist(), b.length.tolist())]
-        base = [float(a.base[b.local[s:e]].sum()) for s, e in spans]
-        known = [int((a.count[b.local[s:e]] > 0).sum()) for s, e in spans]
-        return pa.table([table.column("doc_id"), pa.array(held, pa.bool_()),
-                         pa.array([e - s for s, e in spans], pa.int64()), pa.array(known, pa.int64()),
-                         pa.array([total] * len(held), pa.int64()), pa.array(base, pa.float64()),
-                         pa.array([a.score(local[s:e]) for s, e in spans], pa.float64())],
+        token = b.local != 0
+        sums = [np.add.reduceat(x, b.begin) for x in (np.where(token, a.base[b.local], 0.0), a.score(),
+                                                      (token & a.known[b.local]).astype(np.int64))]
+        return pa.table([table.column("doc_id"), pa.array(held, pa.bool_()), pa.array(b.length - 1, pa.int64()),
+                         pa.array(sums[2], pa.int64()), pa.array([total] * len(held), pa.int64()),
+                         pa.array(sums[0], pa.float64()), pa.array(sums[1], pa.float64())],
                         names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return src.groupBy("block").cogroup(sums.select("block", "kind", "bucket", "c").groupBy("block")).applyInArrow(
