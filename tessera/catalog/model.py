@@ -70,8 +70,9 @@ def m03(spark, sf):
 @register("M04_random_parameter_search")
 def m04(spark, sf):
     tr, _ = _train_test(spark, sf)
-    space = {"regParam": [0.0, 0.01, 0.1], "maxIter": [10, 25], "elasticNetParam": [0.0, 0.5]}
-    return M.random_search(tr, SMALL, "y", "fold", "event_id", K, space, n_iter=2, seed=0)
+    spaces = {"logistic": {"regParam": [0.0, 0.01, 0.1], "maxIter": [10, 25], "elasticNetParam": [0.0, 0.5]},
+              "random_forest": {"maxDepth": [3, 5], "numTrees": [5, 10], "seed": [1]}}
+    return M.random_search(tr, SMALL, "y", "fold", "event_id", K, spaces, n_iter=1, seed=0)
 
 
 @register("M05_top_n_configurations", sql=f"""
@@ -201,14 +202,14 @@ def m12(spark, sf):
 
 @register("M13_probability_calibration")
 def m13(spark, sf):
-    tr, _ = _train_test(spark, sf)
-    return M.calibrated_svm(tr, SMALL, "y", "fold", "event_id", K)
+    tr, te = _train_test(spark, sf)
+    return M.calibrated_svm(tr, SMALL, "y", "fold", "event_id", K, test=te)
 
 
 @register("M14_bagging")
 def m14(spark, sf):
     tr, te = _train_test(spark, sf)
-    return M.bagging(tr, te, SMALL, "y", "event_id", n_bags=3, fraction=0.7)
+    return M.bagging(tr, te, SMALL, "y", "event_id", n_bags=3, fraction=0.7, column_fraction=0.7)
 
 
 def _m15_sql():

@@ -14,7 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import hash_unit
 from tessera.plans.positions import global_rank, with_positions
+from tessera.session import shuffle_partitions
 
 
 # ------------------------------------------------------------------ C01-C02
@@ -196,14 +198,16 @@ def tfidf(terms: DataFrame, doc: str, n_docs: int, min_df: int = 1, max_df: floa
 
 # ------------------------------------------------------------------ C10-C16
 def category2vec(df: DataFrame, id_col: str, cols_: Sequence[str], size: int = 8, seed: int = 0,
-                 name: str = "cat2vec") -> DataFrame:
+                 name: str = "cat2vec", partitions: int | None = None) -> DataFrame:
     """Each row is a sentence of ``col=value`` tokens; Word2Vec learns a
     vector per token; a row gets the concatenation of its columns' vectors
-    (unseen tokens -> zeros)."""
+    (unseen tokens -> zeros). Training runs over ``partitions`` (default: the
+    shuffle partitions of the session)."""
     from pyspark.ml.feature import Word2Vec
     toks = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("nan"))) for c in cols_]
     sent = df.select(id_col, F.array(*toks).alias("_s"))
-    model = Word2Vec(vectorSize=size, minCount=1, seed=seed, inputCol="_s", outputCol="_v", windowSize=len(cols_)).fit(sent)
+    model = Word2Vec(vectorSize=size, minCount=1, seed=seed, inputCol="_s", outputCol="_v", windowSize=len(cols_),
+                     numPartitions=partitions or shuffle_partitions(df.sparkSession)).fit(sent)
     from pyspark.ml.functions import vector_to_array
     vecs = model.getVectors().select(F.col("word").alias("_w"), vector_to_array("vector").alias("_a"))
     out = sent.select(id_col, F.posexplode("_s").alias("_p", "_w")).join(vecs, "_w", "left")
@@ -257,16 +261,30 @@ def svd_embedding(df: DataFrame, key: str, value: str, k: int = 5, binary: bool
 
 
 def nmf_embedding(df: DataFrame, key: str, value: str, k: int = 5, seed: int = 0, max_iter: int = 10) -> DataFrame:
-    """C14: non-negative factors of the same matrix (ALS, nonnegative)."""
-    from pyspark.ml.recommendation import ALS
-    ki = label_encode(df.select(key).distinct(), key, name="_ki").select(key, "_ki")
-    vi = label_encode(df.select(value).distinct(), value, name="_vi").select(value, "_vi")
-    bag = df.groupBy(key, value).agg(F.count(F.lit(1)).cast("float").alias("cnt")).join(ki, key).join(vi, value)
-    als = ALS(rank=k, maxIter=max_iter, nonnegative=True, seed=seed, userCol="_ki", itemCol="_vi", ratingCol="cnt",
-              coldStartStrategy="drop")
-    model = als.fit(bag)
-    f = model.userFactors.withColumnRenamed("id", "_ki")
-    return ki.join(f, "_ki").select(key, *[F.col("features")[i].alias(f"nmf_{key}_{value}_{i}") for i in range(k)])
+    """C14: non-negative factors W H of the key x value count matrix (zero
+    cells count as zeros) by multiplicative updates. A factor is a table of
+    one row per key or value; V H' is a join and a partially aggregated sum
+    over the non-zero cells, and only the k x k matrix H H' is a literal."""
+    bag = _once(df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(key).alias("_r"), F.col(value).alias("_c"))
+                .agg(F.count(F.lit(1)).cast("double").alias("_v")))
+
+    def start(c):
+        return bag.select(c).distinct().select(c, *[(0.1 + hash_unit(F.col(c).cast("string"), F.lit(f"{seed}:{c}:{i}"))).alias(f"_{i}")
+                                                    for i in range(k)])
+
+    def step(mine, other, me, you):
+        """One update of the factor over ``me`` given the one over ``you``."""
+        gram = other.agg(*[F.sum(F.col(f"_{i}") * F.col(f"_{j}")).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).first()
+        top = bag.join(other, you).groupBy(me).agg(*[F.sum(F.col("_v") * F.col(f"_{i}")).alias(f"t{i}") for i in range(k)])
+        new = [(F.col(f"_{i}") * F.col(f"t{i}") / (sum((F.col(f"_{j}") * gram[f"g{j}_{i}"] for j in range(k)), F.lit(1e-12)))).alias(f"_{i}")
+               for i in range(k)]
+        return _once(mine.join(top, me).select(me, *new))
+
+    w, h = _once(start("_r")), _once(start("_c"))
+    for _ in range(max_iter):
+        w = step(w, h, "_r", "_c")
+        h = step(h, w, "_c", "_r")
+    return w.select(F.col("_r").alias(key), *[F.col(f"_{i}").alias(f"nmf_{key}_{value}_{i}") for i in range(k)])
 
 
 def tag_rate_embedding(df: DataFrame, id_col: str, tags: str, item: str, label: str, k: int = 4,

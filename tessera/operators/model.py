@@ -10,11 +10,13 @@ are kept long (id, model, pred) and pivoted only when stacked.
 
 from __future__ import annotations
 
-import time
+import functools
 import json
+import time
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -208,21 +210,43 @@ class PredictionRepository:
 
 
 # --------------------------------------------------------------------- M04
+FAMILIES: dict[str, Callable] = {}
+
+
+def _families() -> dict[str, Callable]:
+    """Estimators by family name: ``(label, **params) -> estimator``."""
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
+    return {"logistic": lambda y, **p: LogisticRegression(featuresCol="features", labelCol=y, **p),
+            "boosted_trees": lambda y, **p: GBTClassifier(featuresCol="features", labelCol=y, **p),
+            "random_forest": lambda y, **p: RandomForestClassifier(featuresCol="features", labelCol=y, **p),
+            "naive_bayes": lambda y, **p: NaiveBayes(featuresCol="features", labelCol=y, modelType="gaussian", **p),
+            **FAMILIES}
+
+
 def random_search(train: DataFrame, features: Sequence[str], label: str, fold: str, id_col: str, k: int,
-                  space: Mapping[str, Sequence], n_iter: int, seed: int = 0) -> DataFrame:
-    """``n_iter`` parameter draws (seeded) for a logistic model, each
-    scored by out-of-fold AUC; one result row per draw."""
-    from pyspark.ml.classification import LogisticRegression
+                  spaces: Mapping[str, Mapping[str, Sequence]], n_iter: int, seed: int = 0,
+                  valid: Column | None = None) -> DataFrame:
+    """``n_iter`` seeded draws per model family from its parameter space
+    (add families to ``FAMILIES``), scored by cross-validated AUC, or by the
+    AUC on the ``valid`` rows of a model fitted on the others."""
+    from pyspark.ml.functions import vector_to_array
     rng = np.random.RandomState(seed)
-    rows = []
-    train = _materialise(train.select(*dict.fromkeys([id_col, label, fold, *features])))
-    for i in range(n_iter):
-        params = {kk: vv[rng.randint(len(vv))] for kk, vv in space.items()}
-        est = (lambda p=params: LogisticRegression(featuresCol="features", labelCol=label, **p))
-        oof, _ = oof_predict(train, features, label, fold, id_col, k, estimator=est)
-        score = auc(oof.join(train.select(id_col, label), id_col), label, "pred", id_col)
-        rows.append((i, json.dumps(params, sort_keys=True), float(score)))
-    return train.sparkSession.createDataFrame(rows, "run long, params string, auc double")
+    families, rows = _families(), []
+    train = _materialise(train.select(*dict.fromkeys([id_col, label, fold, *features]),
+                                      *([valid.alias("_valid")] if valid is not None else [])))
+    for family, space in spaces.items():
+        for _ in range(n_iter):
+            params = {kk: vv[rng.randint(len(vv))] for kk, vv in space.items()}
+            if valid is None:
+                est = (lambda f=family, p=params: families[f](label, **p))
+                oof, _ = oof_predict(train, features, label, fold, id_col, k, estimator=est)
+            else:
+                x = assemble(train, features)
+                m = families[family](label, **params).fit(x.where("not _valid"))
+                oof = m.transform(x.where("_valid")).select(id_col, vector_to_array("probability")[1].alias("pred"))
+            score = auc(oof.join(train.select(id_col, label), id_col), label, "pred", id_col)
+            rows.append((len(rows), family, json.dumps(params, sort_keys=True), float(score)))
+    return train.sparkSession.createDataFrame(rows, "run long, family string, params string, auc double")
 
 
 def top_n(results: DataFrame, metric: str, n: int, ascending: bool = False, tie: str | None = None) -> DataFrame:
@@ -258,22 +282,31 @@ def blend_weight_search(df: DataFrame, preds: Sequence[str], label: str, n_weigh
                         seed: int = 0) -> DataFrame:
     """Random integer weight vectors in [0, n_weight) (seeded; all-zero
     draws skipped), each scored by log-loss of the weighted mean prediction.
-    All candidates are scored in ONE aggregate pass (one column each): no
-    candidate x row expansion. Returns (candidate, weights, logloss)."""
+    A task multiplies blocks of its rows with the matrix of all candidates
+    and returns one loss sum per candidate; Spark adds them. Rows with a NULL
+    prediction or label are left out. Returns (candidate, weights, logloss)."""
     rng = np.random.RandomState(seed)
-    cands = []
-    for _ in range(n_search):
-        w = rng.randint(n_weight, size=len(preds))
-        if w.sum() == 0:
-            continue
-        cands.append([int(x) for x in w])
-    exprs = []
-    for i, w in enumerate(cands):
-        p = sum((F.col(c) * F.lit(float(x)) for c, x in zip(preds, w)), F.lit(0.0)) / F.lit(float(sum(w)))
-        exprs.append(F.avg(logloss_expr(label, p)).alias(f"c{i}"))
-    row = df.agg(*exprs).first()
-    rows = [(i, ",".join(map(str, w)), float(row[f"c{i}"])) for i, w in enumerate(cands)]
-    return df.sparkSession.createDataFrame(rows, "candidate long, weights string, logloss double")
+    cands = [[int(x) for x in w] for w in (rng.randint(n_weight, size=len(preds)) for _ in range(n_search)) if w.sum()]
+    w = np.array(cands, float).T
+    w = w / w.sum(axis=0)
+
+    def losses(batches):
+        total, n = np.zeros(len(cands)), 0
+        for b in batches:
+            x = np.stack([np.asarray(c, float) for c in b.columns], axis=1)
+            for i in range(0, len(x), 1024):
+                y, p = x[i:i + 1024, :1], np.clip(x[i:i + 1024, 1:] @ w, EPS, 1 - EPS)
+                total -= (y * np.log(p) + (1 - y) * np.log1p(-p)).sum(axis=0)
+            n += len(x)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cands))), pa.array(total),
+                                          pa.array(np.full(len(cands), n))], names=["candidate", "loss", "n"])
+
+    d = df.select(F.col(label).cast("double"), *[F.col(p).cast("double") for p in preds]).dropna()
+    sums = d.mapInArrow(losses, "candidate long, loss double, n long").groupBy("candidate").agg(
+        (F.sum("loss") / F.sum("n")).alias("logloss"))
+    names = df.sparkSession.createDataFrame([(i, ",".join(map(str, c))) for i, c in enumerate(cands)],
+                                            "candidate long, weights string")
+    return names.join(sums, "candidate").select("candidate", "weights", "logloss")
 
 
 def combine_predictions(preds_long: DataFrame, id_col: str, scores: DataFrame | None = None,
@@ -320,38 +353,54 @@ def adversarial_selection(train: DataFrame, test: DataFrame, features: Sequence[
 
 
 def calibrated_svm(train: DataFrame, features: Sequence[str], label: str, fold: str, id_col: str, k: int,
-                   test: DataFrame | None = None):
-    """Sigmoid calibration of a linear SVM: out-of-fold raw SVM scores,
-    then a logistic regression on the score."""
+                   test: DataFrame | None = None) -> DataFrame:
+    """Sigmoid calibration of a linear SVM. A train row gets the raw
+    score of the SVM that did not see its fold, calibrated by a logistic
+    regression on the scores of the other folds; a test row the mean raw
+    score of the K SVMs, calibrated on all folds. (id, part, svm_score,
+    calibrated)."""
     from pyspark.ml.classification import LinearSVC, LogisticRegression
     from pyspark.ml.functions import vector_to_array
     tr = _materialise(assemble(train.select(id_col, label, fold, *features), features))
-    raw = None
+    te = _materialise(assemble(test.select(id_col, *features), features)) if test is not None else None
+    margin = vector_to_array("rawPrediction")[1].alias("svm_score")
+    raw, new = [], []
     for f in range(k):
         m = LinearSVC(featuresCol="features", labelCol=label, maxIter=20).fit(tr.where(F.col(fold) != f))
-        p = m.transform(tr.where(F.col(fold) == f)).select(id_col, label, vector_to_array("rawPrediction")[1]
-                                                           .alias("svm_score"))
-        raw = p if raw is None else raw.unionByName(p)
-    cal_in = assemble(raw, ["svm_score"])
-    cal = LogisticRegression(featuresCol="features", labelCol=label).fit(cal_in)
-    out = cal.transform(cal_in).select(id_col, "svm_score", vector_to_array("probability")[1].alias("calibrated"))
-    return out
+        raw.append(m.transform(tr.where(F.col(fold) == f)).select(id_col, label, fold, margin))
+        if te is not None:
+            new.append(m.transform(te).select(id_col, margin))
+    raw = _materialise(assemble(functools.reduce(DataFrame.unionByName, raw), ["svm_score"], "_score"))
+
+    def calibrate(on: DataFrame, rows: DataFrame, part: str) -> DataFrame:
+        m = LogisticRegression(featuresCol="_score", labelCol=label).fit(on)
+        return m.transform(rows).select(id_col, F.lit(part).alias("part"), "svm_score",
+                                        vector_to_array("probability")[1].alias("calibrated"))
+
+    out = [calibrate(raw.where(F.col(fold) != f), raw.where(F.col(fold) == f), "train") for f in range(k)]
+    if te is not None:
+        mean = functools.reduce(DataFrame.unionByName, new).groupBy(id_col).agg(F.avg("svm_score").alias("svm_score"))
+        out.append(calibrate(raw, assemble(mean, ["svm_score"], "_score"), "test"))
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def bagging(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, id_col: str, n_bags: int = 3,
-            fraction: float = 0.7, seed: int = 0) -> DataFrame:
-    """N models on hash-drawn row subsamples, test predictions averaged."""
+            fraction: float = 0.7, seed: int = 0, column_fraction: float = 1.0) -> DataFrame:
+    """N models, each on a hash-drawn subsample of the rows and a seeded
+    draw of ``column_fraction`` of the columns; test predictions averaged."""
     from pyspark.ml.functions import vector_to_array
     from tessera.functions.columns import hash_unit
-    tr = _materialise(assemble(train.select(id_col, label, *features), features))
-    te = _materialise(assemble(test.select(id_col, *features), features))
-    out = None
+    rng = np.random.RandomState(seed)
+    tr = _materialise(train.select(id_col, label, *features))
+    te = _materialise(test.select(id_col, *features))
+    out = []
     for b in range(n_bags):
+        n = max(1, round(column_fraction * len(features)))
+        cols = [features[i] for i in sorted(rng.choice(len(features), n, replace=False))]
         bag = tr.where(hash_unit(id_col, F.lit(str(seed)), F.lit(str(b))) < fraction)
-        m = default_estimator(label).fit(bag)
-        p = m.transform(te).select(id_col, vector_to_array("probability")[1].alias("pred"))
-        out = p if out is None else out.unionByName(p)
-    return out.groupBy(id_col).agg(F.avg("pred").alias("bag_pred"))
+        m = default_estimator(label).fit(assemble(bag, cols))
+        out.append(m.transform(assemble(te, cols)).select(id_col, vector_to_array("probability")[1].alias("pred")))
+    return functools.reduce(DataFrame.unionByName, out).groupBy(id_col).agg(F.avg("pred").alias("bag_pred"))
 
 
 def score_agreement(runs: DataFrame, cols_: Sequence[str]) -> DataFrame:

@@ -104,3 +104,55 @@ def test_many_values_lose_none(spark):
     folds = spark.range(24_000).select((F.col("id") % 12_000).alias("f"), (F.col("id") % 3).alias("k"), (F.col("id") % 2).alias("y"))
     out = E.leave_fold_out(folds, ["k"], "y", "f", F.lit(True), stat="mean")
     assert out.count() == 24_000 and out.where("mean__k = -1").count() == 0
+
+
+def _labelled(spark, n=1200):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(n, 3))
+    y = (x[:, 0] + 0.5 * x[:, 1] + rng.normal(size=n) > 0).astype(int)
+    return spark.createDataFrame([(i, int(y[i]), i % 3, *map(float, x[i])) for i in range(n)],
+                                 "id long, y int, fold int, a double, b double, c double")
+
+
+def test_calibration_scores_new_rows_and_is_held_out(spark):
+    df = _labelled(spark)
+    new = df.where("id % 4 = 0").withColumn("id", F.col("id") + 10_000)
+    got = M.calibrated_svm(df, ["a", "b", "c"], "y", "fold", "id", 3, test=new)
+    assert {r.part: r["count"] for r in got.groupBy("part").count().collect()} == {"train": 1200, "test": 300}
+    j = got.where("part = 'train'").join(df, "id")
+    assert M.auc(j.withColumn("pred", F.col("calibrated")), "y", "pred", "id") > 0.75
+    assert abs(j.agg(F.avg("calibrated") - F.avg("y")).first()[0]) < 0.05
+    # the label of a fold does not move its own calibration
+    flipped = df.withColumn("y", F.when(F.col("fold") == 1, 1 - F.col("y")).otherwise(F.col("y")))
+    again = M.calibrated_svm(flipped, ["a", "b", "c"], "y", "fold", "id", 3).join(df.where("fold = 1"), "id")
+    both = {r.id: r.svm_score for r in j.where("fold = 1").collect()}
+    assert all(abs(r.svm_score - both[r.id]) < 1e-6 for r in again.collect())
+
+
+def test_blend_search_of_many_candidates(spark):
+    df = _labelled(spark).select("id", "y", *[F.expr(f"1 / (1 + exp(-{c}))").alias(c) for c in "abc"])
+    got = {r.weights: r.logloss for r in M.blend_weight_search(df, ["a", "b", "c"], "y", n_weight=9, n_search=3000).collect()}
+    pdf = df.toPandas()
+    for w in list(got)[:20]:
+        v = np.array([float(x) for x in w.split(",")])
+        p = pdf[["a", "b", "c"]].to_numpy() @ v / v.sum()
+        assert got[w] == pytest.approx(-np.mean(pdf.y * np.log(p) + (1 - pdf.y) * np.log(1 - p)))
+
+
+def test_search_over_families_and_a_validation_split(spark):
+    df = _labelled(spark, 600)
+    spaces = {"logistic": {"regParam": [0.0]}, "naive_bayes": {}}
+    for valid in (None, F.col("id") % 5 == 0):
+        got = M.random_search(df, ["a", "b", "c"], "y", "fold", "id", 3, spaces, n_iter=1, valid=valid).collect()
+        assert {r.family for r in got} == set(spaces) and all(r.auc > 0.7 for r in got)
+
+
+def test_nmf_counts_the_zeros(spark):
+    rng = np.random.default_rng(2)
+    v = (rng.random((12, 2)) * 4).round() @ (rng.random((2, 9)) * 3).round()
+    df = spark.createDataFrame([(int(i), int(j)) for i in range(12) for j in range(9) for _ in range(int(v[i, j]))], "r long, c long")
+    w = C.nmf_embedding(df, "r", "c", k=2, max_iter=15).toPandas().sort_values("r")
+    e = w.drop(columns="r").to_numpy()
+    full = v[w.r.to_numpy()]
+    h = np.linalg.lstsq(e, full, rcond=None)[0]
+    assert (e >= 0).all() and np.linalg.norm(full - e @ h) < 0.15 * np.linalg.norm(full)

@@ -33,10 +33,19 @@ def test_query_matches_duckdb(spark, con, name):
 
 
 @pytest.mark.parametrize("name", ROWS_ONLY)
-def test_rows_only_query_runs(spark, name):
+def test_query_without_oracle(spark, name):
+    """No oracle: the result has rows, every column holds a value, scores are
+    probabilities, and a second run gives the same rows."""
     df = E.queries()[name](spark, SF)
-    assert df.count() >= 0
-    assert len(df.columns) >= 1
+    rows = df.collect()
+    assert rows and len(set(df.columns)) == len(df.columns)
+    for i, c in enumerate(df.columns):
+        values = [r[i] for r in rows if r[i] is not None]
+        assert values, c
+        if c in ("pred", "stack_pred", "bag_pred", "calibrated", "score", "auc") and not name.startswith("op7"):
+            assert all(0 <= v <= 1 for v in values), c
+    again = E.queries()[name](spark, SF).collect()
+    assert digest(df.columns, [tuple(r) for r in again])[0] == digest(df.columns, [tuple(r) for r in rows])[0]
 
 
 def test_entry_smoke(spark):
