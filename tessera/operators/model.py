@@ -288,15 +288,15 @@ def blend_weight_search(df: DataFrame, preds: Sequence[str], label: str, n_weigh
     rng = np.random.RandomState(seed)
     cands = [[int(x) for x in w] for w in (rng.randint(n_weight, size=len(preds)) for _ in range(n_search)) if w.sum()]
     w = np.array(cands, float).T
-    w = w / w.sum(axis=0)
+    whole = w.sum(axis=0)
 
     def losses(batches):
         total, n = np.zeros(len(cands)), 0
         for b in batches:
             x = np.stack([np.asarray(c, float) for c in b.columns], axis=1)
             for i in range(0, len(x), 1024):
-                y, p = x[i:i + 1024, :1], np.clip(x[i:i + 1024, 1:] @ w, EPS, 1 - EPS)
-                total -= (y * np.log(p) + (1 - y) * np.log1p(-p)).sum(axis=0)
+                y, p = x[i:i + 1024, :1], np.clip(x[i:i + 1024, 1:] @ w / whole, EPS, 1 - EPS)
+                total -= (y * np.log(p) + (1 - y) * np.log(1 - p)).sum(axis=0)
             n += len(x)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cands))), pa.array(total),
                                           pa.array(np.full(len(cands), n))], names=["candidate", "loss", "n"])

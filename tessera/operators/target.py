@@ -103,22 +103,25 @@ def kfold_target_mean(df: DataFrame, keys: Sequence[str], label: str, fold: str,
     keys = list(keys)
     name = name or f"target_mean__{'_'.join(keys)}"
     train = df.where(F.col(role) == "train")
-    kf = train.groupBy(*keys, fold).agg(F.count(col(label)).alias("_nkf"), F.sum(col(label)).alias("_skf"))
-    kt = kf.groupBy(*keys).agg(F.sum("_nkf").alias("_nk"), F.sum("_skf").alias("_sk"),
-                               F.count(F.lit(1)).alias("_folds"))
-    t = kf.join(kt, keys)
-    m = F.when(F.col("_nk") - F.col("_nkf") > 0, (F.col("_sk") - F.col("_skf")) / (F.col("_nk") - F.col("_nkf")))
-    per = t.select(*keys, fold, m.alias("_m"), "_nk", "_sk", "_folds")
-    tr = train.join(per.select(*keys, fold, F.col("_m").alias(name)), [*keys, fold], "left")
-    # K-fold average for holdout/test: absent folds map the key to sk/nk
-    avg = per.groupBy(*keys).agg(
-        F.count(F.when(F.col("_m").isNull(), 1)).alias("_bad"), F.sum("_m").alias("_sm"),
-        F.first("_folds").alias("_folds"), F.first("_nk").alias("_nk"), F.first("_sk").alias("_sk"))
-    te_val = F.when(F.col("_bad") == 0,
-                    (F.col("_sm") + (F.lit(k) - F.col("_folds")) * F.col("_sk") / F.col("_nk")) / F.lit(k))
-    te_table = avg.select(*keys, te_val.alias(name))
-    other = df.where(F.col(role) != "train").join(te_table, keys, "left")
-    return tr.unionByName(other)
+    # one row per key: its totals and a map of its (at most k) folds, so rows
+    # of every role are served by one join
+    stats = (train.groupBy(*keys, fold).agg(F.count(col(label)).alias("_n"), F.sum(col(label)).alias("_s"))
+             .groupBy(*keys).agg(F.sum("_n").alias("_nk"), F.sum("_s").alias("_sk"),
+                                 F.map_from_entries(F.collect_list(F.struct(
+                                     F.col(fold).alias("f"), F.struct("_n", "_s")))).alias("_by")))
+    n, total = F.col("_nk"), F.col("_sk")
+
+    def without(f: Column) -> Column:
+        return F.when(n - f["_n"] > 0, (total - f["_s"]) / (n - f["_n"]))
+
+    means = F.transform(F.map_values("_by"), without)
+    summed = F.aggregate(means, F.lit(0.0), lambda acc, m: acc + m)
+    # a fold without the key maps it to the mean of all folds
+    average = F.when(F.forall(means, lambda m: m.isNotNull()),
+                     (summed + (F.lit(k) - F.size("_by")) * total / n) / F.lit(k))
+    own = without(F.element_at("_by", F.col(fold)))
+    value = F.when(F.col(role) == "train", own).otherwise(average)
+    return df.join(stats, keys, "left").select(*df.columns, value.alias(name))
 
 
 def count_and_rate_encoding(df: DataFrame, column: str, label: str, is_train: Column, seed=0,
