@@ -21,8 +21,9 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import WS, materialise, work_dir
@@ -131,15 +132,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns."""
-    res = exact_dedup(docs, id_col, text_col)
-    gone = materialise(res.where("not kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"),
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("__again")), "dedup-gone")
-    cols = docs.columns
-    rows = docs.withColumn("__key", sha256(normalise(F.col(text_col))))
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha"))
+    """The rows of ``docs`` that stay, with their columns. Whole rows travel
+    once, to the state of their digest; the byte check moves hits only."""
+    book = DedupState(docs.sparkSession)
+    book.ingest(docs, id_col, text_col)
+    state = materialise(book.state(), "dedup-state")
+    rid, norm = F.col(id_col).cast("long"), normalise(F.col(text_col))
+    rows = materialise(docs.withColumn("__digest", sha256(norm)).join(
+        state.select(F.col("digest").alias("__digest"), F.col("first.id").alias("__first"), F.col("n").alias("__n")),
+        "__digest"), "dedup-rows")
+    is_first = rid.eqNullSafe(F.col("__first"))
+
+    hits = rows.where("__n > 1").select("__digest", norm.alias("norm"), is_first.alias("is_first"))
+    held = hits.where("is_first").groupBy("__digest").agg(F.min("norm").alias("held"))
+    mixed = materialise(hits.join(held, "__digest").where("norm <> held").select("__digest").distinct(), "dedup-mixed")
     # rows that repeat the identifier of the row that stays: one of them stays
-    again = gone.where("__again").select("__id", "__sha").distinct()
-    once = rows.join(again, on, "left_semi").dropDuplicates([id_col, "__key"])
-    return rows.join(gone.select("__id", "__sha"), on, "left_anti").select(*cols).unionByName(once.select(*cols))
+    again = materialise(rows.where(is_first & (F.col("__n") > 1)).groupBy("__digest").count().where("count > 1")
+                        .select("__digest"), "dedup-again")
+    whole = rows.where(is_first).join(mixed, "__digest", "left_anti")
+    split = rows.join(mixed, "__digest", "left_semi").withColumn("__rank", F.row_number().over(
+        Window.partitionBy("__digest", norm).orderBy(rid.asc_nulls_last()))).where("__rank = 1")
+    parts = [whole.join(again, "__digest", "left_anti"),
+             whole.join(again, "__digest", "left_semi").dropDuplicates(["__digest"]), split]
+    return reduce(DataFrame.unionByName, [p.select(*docs.columns) for p in parts])
