@@ -28,12 +28,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import WS, materialise, work_dir
 
-# disk-backed state; many small stores must not each reserve megabytes of disk
+# disk-backed state; many small stores neither reserve megabytes of disk each
+# nor grow the executor's memory together, and go soon after their stream
 STATE = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
 }
 STAGED = "id long, sha string, digest string, uid long, file string"
 
