@@ -36,12 +36,15 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img
              "samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 PLAIN = set("p li td th dd dt h1 h2 h3 h4 h5 h6 div pre blockquote figcaption section".split())
-NOISE = re.compile(
-    r"\b(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo|promotion|sidebar|side-?bar|menu|nav|navbar|navigation|"
-    r"breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notice|alert|banner|popup|modal|overlay|newsletter|"
-    r"subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|trending|popular|"
-    r"comments?|comment-?list|respond|reply|replies|disqus|widget|pagination|pager|tags|toolbar|search|hidden|"
-    r"copyright|legal|disclaimer|contentinfo|complementary)\b", re.I)
+NOISE = ("ads?|adverts?|advertisements?|adsense|sponsor(?:ed)?|promo|promotion|sidebar|side-?bar|aside|menu|nav|navbar|"
+         "navigation|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notice|alert|banner|popup|modal|overlay|"
+         "newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|"
+         "trending|popular|comments?|comment-?list|respond|reply|replies|disqus|widget|pagination|pager|tags|toolbar|"
+         "search|hidden|copyright|legal|disclaimer|contentinfo|complementary")
+# a class word is noise if it is, begins with or ends in one of these ...
+NOISY = re.compile(rf"(?:{NOISE})(?:[-_].*)?|.*[-_](?:{NOISE})", re.I)
+# ... unless it says what the element has, or names the head of an article
+HARMLESS = re.compile(r"(?:has|no|with|without|is|hide|show)[-_].*|(?:article|entry|post|story|page)[-_]header", re.I)
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
@@ -89,21 +92,29 @@ def runs(page: str) -> Iterator[Run]:
                 top = stack[at]
                 del stack[at:]
         elif name not in VOID and not m["attr"].endswith("/"):
-            noisy = not edge and (name in SKIP or any(NOISE.search(a) for a in ATTR.findall(m["attr"])))
-            if edge and not NOISE.search(" ".join(ATTR.findall(m["attr"]))) and top[1] and not top[2]:
+            noise = noisy(name, m["attr"])  # an article may be a reader's comment
+            if edge and not noise and top[1] and not top[2]:
                 stack.clear()  # an element before the article was left open
                 top = ("", 0, False)
             if name in ("p", "li") and top[0] == name or name == "p" and any(s[0] == "p" for s in stack[-3:]):
                 at = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)
                 del stack[at:]  # the end tag of these may be left out
                 top = stack[-1] if stack else ("", 0, False)
-            if noisy and not top[1]:
+            if noise and not top[1]:
                 marks += 1
-            stack.append((name, top[1] or (marks if noisy else 0), top[2] or edge))
+            stack.append((name, top[1] or (marks if noise else 0), top[2] or (edge and not noise)))
             top = stack[-1]
         yield Run(f"<{name}>", 0, "", block, top[1], top[2], edge and not top[1])
 
 
+def noisy(name: str, attributes: str) -> bool:
+    """Does the element announce boilerplate, by its name or class words?"""
+    if name in SKIP:
+        return True
+    words = [w for a in ATTR.findall(attributes) for w in a.strip("\"'").split()]
+    return name != "html" and name != "body" and any(NOISY.fullmatch(w) and not HARMLESS.fullmatch(w) for w in words)
+
+
 # --- weights -------------------------------------------------------------------
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

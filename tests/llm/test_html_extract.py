@@ -39,6 +39,14 @@ def test_unmarked_pages_keep_the_article_and_drop_the_rest(spark):
     assert extract(page(body), {}) == want  # defaults alone
 
 
+def test_class_words():
+    from tessera.llm.html_extract import noisy
+    for attr, want in (("class='ad'", True), ('class="post-comments x"', True), ("id=sidebar-left", True), ("class='grid no-sidebar'", False),
+                       ("class='entry-header'", False), ("class='advice shadow'", False), ("role='navigation'", True)):
+        assert noisy("div", attr) is want, attr
+    assert not noisy("body", "class='sidebar'") and noisy("nav", "")
+
+
 def test_edges(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "plain words", "x"), (4, "u", "<p>a<p>b", "x"),
             (5, "u", "<nav>unclosed <li>menu <article><p>kept text</article>", "x"), (6, "u", "<script>var a", "x"),
