@@ -14,9 +14,12 @@ link at Jaccard ``similarity`` or more; a line is removed when an earlier line
 3. Per token, each distinct set once: pairs pass the length filter, the
    positional filter (tokens left on either side) and the bitmap filter (the
    sets differ in at least as many tokens as the bitmaps differ in bits; all
-   three only drop pairs that cannot reach the threshold).
-4. The lines of candidate pairs are read once more, their tokens compared in
-   full, and pairs below the threshold dropped.
+   three only drop pairs that cannot reach the threshold). What leaves the
+   task are the sets that are in a pair, not the pairs.
+4. One line of each such set is read once more and its tokens are sent where
+   the set is in a pair; there the pairs are compared in full. A pair counts
+   where its first common token is, so once, and a set leaves with its number
+   of links and its earliest linked line.
 5. Classes (equal sets) and links decide which lines go, per document.
 
 A copied line is one posting per batch and one class, whatever its number; a
@@ -206,7 +209,7 @@ def _post(rank, buckets: int, similarity: float):
                 w = np.repeat(able, n)
                 pos = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
                 t = tok[start[w] + pos]
-                bucket = ((t & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                bucket = _bucket(t, buckets)
                 by = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
                 full = np.flatnonzero(np.diff(cut))
@@ -220,7 +223,40 @@ def _post(rank, buckets: int, similarity: float):
     return run
 
 
+def _bucket(tok: np.ndarray, buckets: int) -> np.ndarray:
+    return ((tok & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _pairs(tok, size, pos, low, high, similarity: float):
+    """Pairs (x, y, overlap they need) of postings, sorted by token and size,
+    that share a token and pass the length, positional and bitmap filters;
+    some million pairs at a time, or those of one posting."""
+    if not len(tok):
+        return
+    start = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
+    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(tok))))
+    # partners of i are i + 1 .. the last of at most size / similarity
+    limit = np.floor(size / similarity + 1e-9).astype(np.int64)
+    last = np.searchsorted(group * (1 << 32) + size, group * (1 << 32) + limit, side="right")
+    n = last - np.arange(len(tok)) - 1
+    done = np.cumsum(n)
+    i = 0
+    while i < len(tok):
+        before = done[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(done, before + 2_000_000, side="right")))
+        x = np.repeat(np.arange(i, j), n[i:j])
+        y = x + 1 + np.arange(len(x)) - np.repeat(done[i:j] - n[i:j] - before, n[i:j])
+        both = size[x] + size[y]
+        overlap = np.ceil(both * similarity / (1 + similarity) - 1e-9).astype(np.int64)
+        most = np.minimum(pos[x], pos[y]) + np.minimum(size[x] - pos[x], size[y] - pos[y])
+        differ = np.bitwise_count(low[x] ^ low[y]).astype(np.int64) + np.bitwise_count(high[x] ^ high[y])
+        ok = (most >= overlap) & (differ <= both - 2 * overlap)
+        yield x[ok], y[ok], overlap[ok]
+        i = j
+
+
 def _candidates(similarity: float):
+    """Sets of one bucket that are in a pair."""
     def run(table: pa.Table) -> pa.Table:
         tok, key, size, pos, low, high = (np.asarray(table.column(c).combine_chunks().flatten()) for c in
                                           ("token", "set", "size", "pos", "low", "high"))
@@ -229,48 +265,68 @@ def _candidates(similarity: float):
         new = np.ones(len(tok), bool)
         new[1:] = (tok[order][1:] != tok[order][:-1]) | (key[order][1:] != key[order][:-1])
         tok, key, size, pos, low, high = (x[order[new]] for x in (tok, key, size, pos, low, high))
-        start = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
-        group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(tok))))
-        # sorted by size: partners of i are i + 1 .. the last of at most size / similarity
-        place = group * (1 << 32) + size
-        last = np.searchsorted(place, group * (1 << 32) + np.floor(size / similarity + 1e-9).astype(np.int64), side="right")
-        n = last - np.arange(len(tok)) - 1
-        done = np.cumsum(n)
-        found, i = [], 0
-        while i < len(tok):  # bounded scratch: some million pairs at a time, or those of one row
-            j = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + 2_000_000, side="right")))
-            a = np.repeat(np.arange(i, j), n[i:j])
-            b = a + 1 + np.arange(len(a)) - np.repeat(done[i:j] - n[i:j] - (done[i - 1] if i else 0), n[i:j])
-            both = size[a] + size[b]
-            overlap = np.ceil(both * similarity / (1 + similarity) - 1e-9).astype(np.int64)
-            most = np.minimum(pos[a], pos[b]) + np.minimum(size[a] - pos[a], size[b] - pos[b])
-            differ = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b])
-            ok = (most >= overlap) & (differ <= both - 2 * overlap)
-            x, y = key[a[ok]], key[b[ok]]
-            found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
-            i = j
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        found = [np.unique(np.concatenate([key[x], key[y]])) for x, y, _ in _pairs(tok, size, pos, low, high, similarity)]
+        sets = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return pa.table([pa.array(np.full(len(sets), table.column("bucket")[0].as_py()), pa.int32()), pa.array(sets)],
+                        names=["bucket", "set"])
     return run
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of the wanted lines of each text."""
-    hasher = Hasher()
-    for b in batches:
-        names, sets = [], []
-        for text, want in zip(b.column(0), b.column(1).to_pylist()):
-            rows = (text.as_py() or b"").split(b"\n")
-            for w in want:
-                if w["line"] < len(rows):
-                    tok = np.unique(hasher(np.frombuffer(rows[w["line"]], np.uint8))[0])
-                    # another row of the same id may hold the line
-                    if len(tok) and int(set_keys(tok, np.array([len(tok)]), np.array([0]))[0]) == w["set"]:
-                        names.append(w["set"])
-                        sets.append(tok.view(np.int64))
-        if names:
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _list(sets, pa.int64())],
-                                             names=["set", "tokens"])
+def _verify(buckets: int, similarity: float):
+    """Links of the sets of one bucket, compared on their tokens."""
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        tokens = table.column("tokens").combine_chunks()
+        size = np.asarray(tokens.value_lengths()).astype(np.int64)
+        flat = np.asarray(tokens.flatten()).view(np.uint64)
+        start = np.cumsum(size) - size
+        low, high = bitmaps(flat, start)
+        n = size - _needed(size, similarity) + 1
+        own = np.repeat(np.arange(len(size)), n)
+        pos = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        tok = flat[start[own] + pos]
+        here = _bucket(tok, buckets) == bucket
+        tok, own, pos = tok[here], own[here], pos[here]
+        order = np.lexsort((size[own], tok))
+        tok, own, pos = tok[order], own[order], pos[order]
+        lists = [x.tolist() for x in np.split(flat, start[1:])]
+        sets = [frozenset(x) for x in lists]
+        first = list(zip(table.column("doc").to_pylist(), table.column("line").to_pylist()))
+        links, near = [0] * len(sets), [None] * len(sets)
+        for x, y, overlap in _pairs(tok, size[own], pos, low[own], high[own], similarity):
+            for i, j, k, least in zip(own[x].tolist(), own[y].tolist(), pos[x].tolist(), overlap.tolist()):
+                # both sides of a pair meet in the group of every token they share
+                if len(sets[i] & sets[j]) >= least and not any(t in sets[j] for t in lists[i][:k]):
+                    for p, q in ((i, j), (j, i)):
+                        links[p] += 1
+                        near[p] = first[q] if near[p] is None else min(near[p], first[q])
+        some = [i for i, c in enumerate(links) if c]
+        return pa.table([table.column("set").take(pa.array(some, pa.int64())), pa.array([links[i] for i in some], pa.int64()),
+                         pa.array([near[i][0] for i in some], pa.int64()), pa.array([near[i][1] for i in some], pa.int32())],
+                        names=["set", "n_links", "doc", "line"])
+    return run
+
+
+def _fetch(rank):
+    """Tokens, rarest first, of the wanted lines of each text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for b in batches:
+            names, sets = [], []
+            for text, want in zip(b.column(0), b.column(1).to_pylist()):
+                rows = (text.as_py() or b"").split(b"\n")
+                for w in want:
+                    if w["line"] < len(rows):
+                        tok = hasher(np.frombuffer(rows[w["line"]], np.uint8))[0]
+                        tok, _, size, start = token_sets(tok, np.zeros(len(tok), np.int64), rank.value)
+                        # another row of the same id may hold the line
+                        if len(tok) and int(set_keys(tok, size, start)[0]) == w["set"]:
+                            names.append(w["set"])
+                            sets.append(tok.view(np.int64))
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _list(sets, pa.int64())],
+                                                 names=["set", "tokens"])
+    return run
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8,
@@ -292,7 +348,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8,
                  block_rows: int = 4096) -> dict[str, DataFrame]:
     """``docs`` (doc, n_lines), ``lines`` (doc, line, set, gone, n_links) and
-    ``links`` (pairs a, b of linked sets, verified)."""
+    ``sets`` (set, keep, n_links: those that repeat or have links)."""
     src = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("t"))
     read = materialise(src.mapInArrow(_read, READ), "line-sets")
     freq = np.zeros(SKETCH, np.int64)
@@ -303,26 +359,22 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rank[np.argsort(freq, kind="stable")] = np.arange(SKETCH, dtype=np.uint64)
     rank = docs.sparkSession.sparkContext.broadcast(rank)
     buckets = max(1, -(-docs.count() // block_rows))
-    pairs = materialise(src.mapInArrow(_post(rank, buckets, similarity), POSTED).groupBy("bucket")
-                        .applyInArrow(_candidates(similarity), "a long, b long").distinct(), "line-pairs")
+    cands = materialise(src.mapInArrow(_post(rank, buckets, similarity), POSTED).groupBy("bucket")
+                        .applyInArrow(_candidates(similarity), "bucket int, set long"), "line-candidates")
     lines = read.where("kind = 'line'").select(F.explode(F.arrays_zip("set", "doc", "line")).alias("x")).select("x.*")
     classes = materialise(lines.groupBy("set").agg(
         F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("n")), "line-classes")
 
     # full tokens of one line of every set in a candidate pair
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(classes, "set").groupBy(
-        F.col("first.doc").alias("d")).agg(F.collect_list(F.struct("first.line", "set")).alias("want"))
+    wanted = cands.select("set").distinct().join(classes, "set")
+    per_doc = wanted.groupBy(F.col("first.doc").alias("d")).agg(F.collect_list(F.struct("first.line", "set")).alias("want"))
     id_of = F.coalesce(F.col("doc"), F.lit(2**63 - 1))
-    sets = materialise(src.join(wanted, id_of == F.col("d")).select("t", "want")
-                       .mapInArrow(_fetch, "set long, tokens array<long>").dropDuplicates(["set"]), "line-tokens")
-    both = (pairs.join(sets.select(F.col("set").alias("a"), F.col("tokens").alias("x")), "a")
-            .join(sets.select(F.col("set").alias("b"), F.col("tokens").alias("y")), "b"))
-    common = F.size(F.array_intersect("x", "y"))
-    links = materialise(both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9)
-                        .select("a", "b"), "line-links")
-    either = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = either.join(classes.select(F.col("set").alias("b"), "first"), "b").groupBy(F.col("a").alias("set")).agg(
-        F.min("first").alias("near"), F.count(F.lit(1)).alias("n_links"))
+    tokens = src.join(per_doc, id_of == F.col("d")).select("t", "want").mapInArrow(
+        _fetch(rank), "set long, tokens array<long>").dropDuplicates(["set"])
+    sets = materialise(tokens.join(wanted.select("set", "first.doc", "first.line"), "set"), "line-tokens")
+    linked = (cands.join(sets, "set").groupBy("bucket")
+              .applyInArrow(_verify(buckets, similarity), "set long, n_links long, doc long, line int")
+              .groupBy("set").agg(F.min(F.struct("doc", "line")).alias("near"), F.sum("n_links").alias("n_links")))
     known = classes.join(linked, "set", "left").where("n > 1 or n_links > 0").select(
         "set", F.least("first", F.coalesce("near", "first")).alias("keep"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -331,7 +383,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce("n_links", F.lit(0)).alias("n_links"))
     counts = read.where("kind = 'doc'").select(F.explode(F.arrays_zip("doc", "n")).alias("x")).select(
         "x.doc", F.col("x.n").alias("n_lines"))
-    return {"docs": counts, "lines": judged, "links": links}
+    return {"docs": counts, "lines": judged, "sets": known}
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
