@@ -125,6 +125,25 @@ def c09c(spark, sf):
     return C.tfidf(terms, "doc", p.count()).select("doc", "term", rnd("tfidf").alias("tfidf"))
 
 
+@register("C09_tfidf_train_test", sql=r"""
+WITH c AS (SELECT conv_id, conv_id * 1000 + turn AS doc, strip_accents(lower(text)) AS t FROM conversations),
+w AS (SELECT conv_id, doc, list_filter(string_split_regex(t, '[^\p{L}\p{N}_]+'),
+             lambda s: s <> '' AND NOT list_contains(['the', 'of', 'and', 'a', 'to', 'in', 'de', 'la'], s)) AS w FROM c),
+g AS (SELECT conv_id, doc, w[i] AS term FROM w, range(1, len(w) + 1) r(i)),
+tf AS (SELECT conv_id, doc, term, count(*) AS tf FROM g GROUP BY ALL),
+nd AS (SELECT count(*) AS n FROM conversations WHERE conv_id % 4 <> 0),
+idf AS (SELECT term, ln((1 + max(nd.n)) / (1 + count(*))) + 1 AS idf FROM tf, nd WHERE conv_id % 4 <> 0 GROUP BY term HAVING count(*) >= 2),
+x AS (SELECT doc, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (term) WHERE conv_id % 4 = 0)
+SELECT doc, term, RND(w / sqrt(sum(w * w) OVER (PARTITION BY doc))) AS tfidf FROM x""")
+def c09_train_test(spark, sf):
+    conv = table(spark, sf, "conversations").select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("doc"), "text")
+    train, test = conv.where("conv_id % 4 <> 0"), conv.where("conv_id % 4 = 0")
+    how = {"stop_words": ["the", "of", "and", "a", "to", "in", "de", "la"], "accents": False}
+    idf = C.tfidf_fit(C.word_terms(train, "doc", "text", **how), train.count(), min_df=2)
+    out = C.tfidf_apply(C.word_terms(test, "doc", "text", **how), "doc", idf)
+    return out.select("doc", "term", rnd("tfidf").alias("tfidf"))
+
+
 @register("C10_category2vec")
 def c10(spark, sf):
     ev = events_df(spark, sf)

@@ -161,6 +161,14 @@ def n09(spark, sf):
                       *[rnd(f"share_{v}").alias(f"share_{v}") for v in ("F", "O", "P")])
 
 
+@register("N10_group_means", sql="""
+SELECT o_orderpriority, RND(avg(o_totalprice)) AS mean_o_totalprice, RND(avg(o_custkey)) AS mean_o_custkey
+FROM orders GROUP BY o_orderpriority""")
+def n10_means(spark, sf):
+    out = N.group_means(table(spark, sf, "orders"), "o_orderpriority", ["o_totalprice", "o_custkey"])
+    return out.select("o_orderpriority", *[rnd(c).alias(c) for c in ("mean_o_totalprice", "mean_o_custkey")])
+
+
 @register("N10_describe", sql="""
 SELECT * FROM (
   SELECT 'o_totalprice' AS column, s.stat, RND(s.value) AS value FROM (

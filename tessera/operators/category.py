@@ -9,6 +9,7 @@ format (doc, term, weight) until a vector is asked for.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -143,12 +144,25 @@ def tag_count_vector(df: DataFrame, c: str, vocabulary: Sequence[str], sep: str
 TOKEN_PATTERN = r"[^\p{L}\p{N}_]+"
 
 
+def strip_accents(c: Column) -> Column:
+    """Latin letters without their marks (``é`` -> ``e``); the table follows
+    from Unicode's canonical decomposition."""
+    pairs = [(chr(x), unicodedata.normalize("NFD", chr(x))) for x in range(0xC0, 0x250)]
+    pairs = [(x, d[0]) for x, d in pairs if len(d) > 1 and all(unicodedata.combining(m) for m in d[1:])]
+    return F.translate(c, "".join(x for x, _ in pairs), "".join(d for _, d in pairs))
+
+
 def word_terms(df: DataFrame, doc: str, text: str, ngram: tuple[int, int] = (1, 1),
-               lowercase: bool = True) -> DataFrame:
-    """(doc, term, tf) for word n-grams: split on non-word characters;
-    n-grams join consecutive tokens with one space."""
+               lowercase: bool = True, stop_words: Sequence[str] = (), accents: bool = True) -> DataFrame:
+    """(doc, term, tf) for word n-grams: split on non-word characters of any
+    script, drop ``stop_words``; n-grams join consecutive tokens with one
+    space. ``accents=False`` strips accents first."""
     t = F.lower(F.col(text)) if lowercase else F.col(text)
-    toks = df.select(doc, F.filter(F.split(t, TOKEN_PATTERN), lambda s: s != "").alias("_t"))
+    if not accents:
+        t = strip_accents(t)
+    stop = F.array(*[F.lit(w) for w in stop_words]) if stop_words else None
+    toks = df.select(doc, F.filter(F.split(t, TOKEN_PATTERN), lambda s: (s != "") if stop is None else
+                                   (s != "") & ~F.array_contains(stop, s)).alias("_t"))
     parts = []
     for n in range(ngram[0], ngram[1] + 1):
         grams = F.transform(F.sequence(F.lit(0), F.size("_t") - n),
@@ -172,30 +186,40 @@ def char_terms(df: DataFrame, doc: str, text: str, ngram: tuple[int, int] = (2,
     return out.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf(terms: DataFrame, doc: str, n_docs: int, min_df: int = 1, max_df: float = 1.0,
-          max_features: int | None = None, sublinear: bool = True, norm: bool = True) -> DataFrame:
-    """TF-IDF in long format, as scikit-learn's default: smooth idf
-    ``ln((1 + n) / (1 + df)) + 1``, sublinear tf ``1 + ln(tf)``, l2 norm per
-    document. ``n_docs`` counts every input document (also those without a
-    term), as scikit-learn does; count the input table, not the terms. Terms
-    are kept by ``min_df`` / ``max_df`` and, with ``max_features``, the most
-    frequent ones (ties by term)."""
+def tfidf_fit(terms: DataFrame, n_docs: int, min_df: int = 1, max_df: float = 1.0,
+              max_features: int | None = None) -> DataFrame:
+    """(term, idf) of the training documents: smooth idf ``ln((1 + n) /
+    (1 + df)) + 1``. ``n_docs`` counts every input document (also those without
+    a term); count the input table, not the terms. Terms are kept by
+    ``min_df`` / ``max_df`` and, with ``max_features``, the most frequent ones
+    (ties by term)."""
     stats = terms.groupBy("term").agg(F.count(F.lit(1)).alias("_df"), F.sum("tf").alias("_cf"))
     stats = stats.where((F.col("_df") >= min_df) & (F.col("_df") <= F.lit(max_df * n_docs)))
     if max_features is not None:
         # top terms: the vocabulary cap is the feature; each partition keeps
         # its best max_features before one merge (bounded by the cap)
         stats = stats.orderBy(F.desc("_cf"), F.asc("term")).limit(max_features)
-    idf = F.log((F.lit(1.0 + n_docs)) / (F.col("_df") + 1)) + 1
-    j = terms.join(stats.select("term", idf.alias("_idf")), "term")
+    return stats.select("term", (F.log((F.lit(1.0 + n_docs)) / (F.col("_df") + 1)) + 1).alias("idf"))
+
+
+def tfidf_apply(terms: DataFrame, doc: str, idf: DataFrame, sublinear: bool = True, norm: bool = True) -> DataFrame:
+    """Weights of any documents under a fitted ``idf`` table: sublinear
+    tf ``1 + ln(tf)``, l2 norm per document; terms not fitted are dropped."""
     tf = (1 + F.log(F.col("tf"))) if sublinear else F.col("tf").cast("double")
-    w = j.select(doc, "term", (tf * F.col("_idf")).alias("w"))
+    w = terms.join(idf, "term").select(doc, "term", (tf * F.col("idf")).alias("w"))
     if not norm:
         return w.withColumnRenamed("w", "tfidf")
     nrm = w.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_nrm"))
     return w.join(nrm, doc).select(doc, "term", (F.col("w") / F.col("_nrm")).alias("tfidf"))
 
 
+def tfidf(terms: DataFrame, doc: str, n_docs: int, min_df: int = 1, max_df: float = 1.0,
+          max_features: int | None = None, sublinear: bool = True, norm: bool = True) -> DataFrame:
+    """TF-IDF in long format, as scikit-learn's default, fitted on and
+    applied to the same documents."""
+    return tfidf_apply(terms, doc, tfidf_fit(terms, n_docs, min_df, max_df, max_features), sublinear, norm)
+
+
 # ------------------------------------------------------------------ C10-C16
 def category2vec(df: DataFrame, id_col: str, cols_: Sequence[str], size: int = 8, seed: int = 0,
                  name: str = "cat2vec", partitions: int | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import ensure_checkpoint_dir
 from tessera.plans.quantiles import group_quantiles
 
 
@@ -122,8 +123,12 @@ def model_impute(df: DataFrame, cols_: Sequence[str], features: Sequence[str], m
                   *[F.count_distinct(c).alias(f"d_{c}") for c in cols_], F.count(F.lit(1)).alias("rows")).first()
     todo = [c for c in cols_ if prof[f"n_{c}"] < prof["rows"] and prof[f"d_{c}"] >= min_distinct]
     todo.sort(key=lambda c: -prof[f"n_{c}"])
+    # each column's model reads the columns filled before it: written once, so
+    # neither the plan nor the work grows with the number of columns
+    ensure_checkpoint_dir(df.sparkSession)
     out = df
     for c in todo:
+        out = out.checkpoint(eager=True)
         feats = [f for f in features if f != c]
         va = VectorAssembler(inputCols=feats, outputCol="_fv", handleInvalid="keep")
         train = va.transform(out.where(F.col(c).isNotNull()))

@@ -43,6 +43,12 @@ def tail_split(df: DataFrame, order: Sequence[str], ratio: float, name: str = "i
             .drop("_tr", "_tn")
 
 
+def listed_split(df: DataFrame, id_col: str, valid_ids: DataFrame, name: str = "is_valid") -> DataFrame:
+    """The rows whose id is in ``valid_ids`` are validation rows."""
+    ids = valid_ids.select(id_col).distinct().withColumn("_listed", F.lit(1))
+    return df.join(ids, id_col, "left").withColumn(name, F.coalesce("_listed", F.lit(0))).drop("_listed")
+
+
 def window_holdout(train: DataFrame, test: DataFrame, time_col: str, id_col: str, days: int, n: int,
                    seed=42) -> DataFrame:
     """Up to ``n`` train rows drawn (hash order) from the time window of

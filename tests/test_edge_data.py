@@ -156,3 +156,29 @@ def test_nmf_counts_the_zeros(spark):
     full = v[w.r.to_numpy()]
     h = np.linalg.lstsq(e, full, rcond=None)[0]
     assert (e >= 0).all() and np.linalg.norm(full - e @ h) < 0.15 * np.linalg.norm(full)
+
+
+def test_bucketed_feature_sets_join_without_an_exchange(spark):
+    import uuid
+    store = S.FeatureStore(spark)
+    names = [f"fs_{x}_{uuid.uuid4().hex}" for x in "ab"]
+    for n in names:
+        store.write_bucketed(n, spark.range(500).select("id", F.rand(1).alias(n)), "id", 4)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = store.assemble_bucketed(names[0], names[1:], "id")
+        assert out.count() == 500 and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        for n in names:
+            spark.sql(f"DROP TABLE {n}")
+
+
+def test_listed_split_and_accents(spark):
+    from tessera.operators import sampling as H
+    df = spark.range(5)
+    got = {r.id: r.is_valid for r in H.listed_split(df, "id", spark.createDataFrame([(1,), (1,), (9,)], "id long")).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 0, 4: 0}
+    out = spark.range(1).select(C.strip_accents(F.lit("Éàçñüß ő ž 数")).alias("x")).first().x
+    assert out == "Eacnuß o z 数"
