@@ -151,7 +151,7 @@ def _list(parts: list[np.ndarray], kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat, kind))
 
 
-def _chunks(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _chunks(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, lines per text, joined text) of a few megabytes of rows at a time."""
     ids, texts, total = [], [], 0
     for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -289,14 +289,14 @@ def _verify(buckets: int, similarity: float):
         tok, own, pos = tok[here], own[here], pos[here]
         order = np.lexsort((size[own], tok))
         tok, own, pos = tok[order], own[order], pos[order]
-        lists = [x.tolist() for x in np.split(flat, start[1:])]
-        sets = [frozenset(x) for x in lists]
+        sets = [frozenset(x.tolist()) for x in np.split(flat, start[1:])]
         first = list(zip(table.column("doc").to_pylist(), table.column("line").to_pylist()))
         links, near = [0] * len(sets), [None] * len(sets)
         for x, y, overlap in _pairs(tok, size[own], pos, low[own], high[own], similarity):
             for i, j, k, least in zip(own[x].tolist(), own[y].tolist(), pos[x].tolist(), overlap.tolist()):
                 # both sides of a pair meet in the group of every token they share
-                if len(sets[i] & sets[j]) >= least and not any(t in sets[j] for t in lists[i][:k]):
+                if len(sets[i] & sets[j]) >= least and \
+                        not any(t in sets[j] for t in flat[start[i]:start[i] + k].tolist()):
                     for p, q in ((i, j), (j, i)):
                         links[p] += 1
                         near[p] = first[q] if near[p] is None else min(near[p], first[q])
@@ -330,7 +330,7 @@ def _fetch(rank):
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8,
-               block_rows: int = 4096) -> DataFrame:
+               block_rows: int = 1024) -> DataFrame:
     """One row per document: ``doc_id``, ``n_lines``, ``n_removed``, ``n_links``
     (linked other sets, summed over its lines), ``removed`` (line numbers,
     from 0, ascending)."""
@@ -346,7 +346,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8,
-                 block_rows: int = 4096) -> dict[str, DataFrame]:
+                 block_rows: int = 1024) -> dict[str, DataFrame]:
     """``docs`` (doc, n_lines), ``lines`` (doc, line, set, gone, n_links) and
     ``sets`` (set, keep, n_links: those that repeat or have links)."""
     src = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("t"))
