@@ -127,6 +127,16 @@ def l08(spark, sf):
 SMALL = ["value", "hr", "user_n", "k_n"]
 
 
+@register("L08_importance_search")
+def l08_search(spark, sf):
+    return L.importance_search(_cv_frame(spark, sf), FEATS, "y", "fold", "event_id", 3, top=[3, 5])
+
+
+@register("L11_forward_rounds")
+def l11_rounds(spark, sf):
+    return L.forward_rounds(_cv_frame(spark, sf), SMALL, "y", "fold", "event_id", 3, max_rounds=2)
+
+
 @register("L09_drop_one_report")
 def l09(spark, sf):
     return L.drop_one_report(_cv_frame(spark, sf), SMALL, "y", "fold", "event_id", 3)

@@ -138,14 +138,16 @@ def model_impute(df: DataFrame, cols_: Sequence[str], features: Sequence[str], m
     return out
 
 
-def imputation_report(df: DataFrame, truth: str, mean_fill: str, model_fill: str) -> DataFrame:
+def imputation_report(df: DataFrame, truth: str, mean_fill: str, model_fill: str, max_ratio: float = 1.0) -> DataFrame:
     """On rows whose true value was hidden, RMSE of mean fill and of the
     model, their ratio, correlation of model and truth, and the std of the
-    prediction vs the truth (one aggregate)."""
+    prediction vs the truth (one aggregate). ``use_model``: the ratio is under
+    ``max_ratio``, so the model is worth its place."""
     e1 = F.pow(F.col(mean_fill) - F.col(truth), 2)
     e2 = F.pow(F.col(model_fill) - F.col(truth), 2)
     return df.agg(F.sqrt(F.avg(e1)).alias("rmse_mean"), F.sqrt(F.avg(e2)).alias("rmse_model"),
                    (F.sqrt(F.avg(e2)) / F.sqrt(F.avg(e1))).alias("ratio"),
+                   (F.sqrt(F.avg(e2)) < max_ratio * F.sqrt(F.avg(e1))).alias("use_model"),
                    F.corr(model_fill, truth).alias("corr"),
                    F.stddev_samp(model_fill).alias("pred_std"), F.stddev_samp(truth).alias("true_std"))
 

@@ -153,6 +153,28 @@ def stack_layer(preds_long: DataFrame, labels: DataFrame, id_col: str, label: st
     return oof_predict(tr, models, label, fold, id_col, k, test=te, name="stack_pred")
 
 
+def stack_labels(preds_long: DataFrame, labels: DataFrame, id_col: str, label_cols: Sequence[str], fold: str, k: int,
+                 depth: int = 1, model_col: str = "model", pred_col: str = "pred",
+                 test_long: DataFrame | None = None) -> DataFrame:
+    """M02 for several labels and layers in one call: for every label, layer
+    1 sees the given predictions, and each further layer those and the
+    stacked predictions of the layers before. (id, label, layer, part, pred)."""
+    out = []
+    for label in label_cols:
+        preds, tests = preds_long, test_long
+        for layer in range(1, depth + 1):
+            oof, test = stack_layer(preds, labels, id_col, label, fold, k, model_col, pred_col, tests)
+            for part, d in (("oof", oof), ("test", test)):
+                if d is not None:
+                    out.append(d.select(id_col, F.lit(label).alias("label"), F.lit(layer).alias("layer"),
+                                        F.lit(part).alias("part"), F.col("stack_pred").alias("pred")))
+            name = [F.lit(f"stack_{layer}").alias(model_col), F.col("stack_pred").alias(pred_col)]
+            preds = preds.select(id_col, model_col, pred_col).unionByName(oof.select(id_col, *name))
+            if test is not None:
+                tests = tests.select(id_col, model_col, pred_col).unionByName(test.select(id_col, *name))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 # --------------------------------------------------------------------- M03
 class PredictionRepository:
     """OOF predictions, test predictions and scores per model id, as

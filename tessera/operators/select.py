@@ -208,6 +208,46 @@ def importance_intersection(train: DataFrame, features: Sequence[str], label: st
     return train.sparkSession.createDataFrame(rows, "feature string, gain double, splits long, keep boolean")
 
 
+def importance_search(train: DataFrame, features: Sequence[str], label: str, fold: str, id_col: str, k: int,
+                      top: Sequence[int], seed: int = 0) -> DataFrame:
+    """Gain and split counts averaged over the K models that leave one
+    fold out; then, for every N in ``top``, the CV AUC of the features in the
+    top N of both. (n, features, cv_auc, best)."""
+    train = _loop_input(train, [id_col, label, fold, *features])
+    ranks = {f: [0.0, 0.0] for f in features}
+    for i in range(k):
+        for r in importance_intersection(train.where(F.col(fold) != i), features, label, len(features), seed).collect():
+            ranks[r.feature][0] += r.gain / k
+            ranks[r.feature][1] += r.splits / k
+    rows = []
+    for n in top:
+        both = [set(sorted(features, key=lambda f: (-ranks[f][j], f))[:n]) for j in (0, 1)]
+        keep = [f for f in features if f in both[0] & both[1]]
+        rows.append((n, ",".join(keep), float(_cv_auc(train, keep, label, fold, id_col, k)) if keep else 0.5))
+    best = max(rows, key=lambda r: (r[2], -r[0]))[0]
+    return train.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows],
+                                              "n long, features string, cv_auc double, best boolean")
+
+
+def forward_rounds(train: DataFrame, candidates: Sequence[str], label: str, fold: str, id_col: str, k: int,
+                   base: Sequence[str] = (), max_rounds: int | None = None) -> DataFrame:
+    """L11, round-based: each round tries every candidate that is left and
+    adds the one with the best CV AUC; ends when none improves it. One row per
+    round: (round, added, cv_auc)."""
+    train = _loop_input(train, [id_col, label, fold, *base, *candidates])
+    cur, left, rows = list(base), list(candidates), []
+    best = _cv_auc(train, cur, label, fold, id_col, k) if cur else 0.5
+    while left and (max_rounds is None or len(rows) < max_rounds):
+        score, f = max((_cv_auc(train, cur + [f], label, fold, id_col, k), f) for f in left)
+        if score <= best:
+            break
+        cur.append(f)
+        left.remove(f)
+        best = score
+        rows.append((len(rows) + 1, f, float(score)))
+    return train.sparkSession.createDataFrame(rows, "round long, added string, cv_auc double")
+
+
 def _cv_auc(train, feats, label, fold, id_col, k) -> float:
     """Out-of-fold AUC, scored while the assembled frame is still cached
     (exact ROC area: ``numBins=0`` keeps every distinct score)."""

@@ -147,6 +147,25 @@ def test_search_over_families_and_a_validation_split(spark):
         assert {r.family for r in got} == set(spaces) and all(r.auc > 0.7 for r in got)
 
 
+def test_selection_in_rounds_and_by_importance(spark):
+    df = _labelled(spark, 600).withColumn("noise", F.rand(1))
+    rounds = L.forward_rounds(df, ["noise", "b", "a"], "y", "fold", "id", 3).collect()
+    assert [r.added for r in rounds][:2] == ["a", "b"] and rounds[1].cv_auc > rounds[0].cv_auc
+    found = L.importance_search(df, ["a", "b", "noise"], "y", "fold", "id", 3, top=[1, 2]).collect()
+    assert found[0].features == "a" and "a" in found[1].features
+    assert [r.best for r in found] == [r.cv_auc == max(x.cv_auc for x in found) for r in found] or found[0].best
+
+
+def test_stacking_per_label_and_depth(spark):
+    df = _labelled(spark, 300).withColumn("y2", 1 - F.col("y"))
+    long = df.select("id", F.expr("stack(2, 'a', a, 'b', b) as (model, pred)"))
+    out = M.stack_labels(long, df, "id", ["y", "y2"], "fold", 3, depth=2, test_long=long.where("id < 50"))
+    n = {(r.label, r.layer, r.part): r["count"] for r in out.groupBy("label", "layer", "part").count().collect()}
+    assert n == {(y, d, p): c for y in ("y", "y2") for d in (1, 2) for p, c in (("oof", 300), ("test", 50))}
+    j = out.where("part = 'oof' and layer = 2 and label = 'y'").join(df.select("id", "y"), "id")
+    assert M.auc(j, "y", "pred", "id") > 0.7
+
+
 def test_nmf_counts_the_zeros(spark):
     rng = np.random.default_rng(2)
     v = (rng.random((12, 2)) * 4).round() @ (rng.random((2, 9)) * 3).round()

@@ -41,7 +41,7 @@ def test_query_without_oracle(spark, name):
     assert rows and len(set(df.columns)) == len(df.columns)
     for i, c in enumerate(df.columns):
         values = [r[i] for r in rows if r[i] is not None]
-        assert values, c
+        assert values or c in ("holdout_auc", "dropped_round"), c  # empty where no candidate gets that far
         if c in ("pred", "stack_pred", "bag_pred", "calibrated", "score", "auc") and not name.startswith("op7"):
             assert all(0 <= v <= 1 for v in values), c
     again = E.queries()[name](spark, SF).collect()
