@@ -230,7 +230,7 @@ def _bucket(tok: np.ndarray, buckets: int) -> np.ndarray:
 def _pairs(tok, size, pos, low, high, similarity: float):
     """Pairs (x, y, overlap they need) of postings, sorted by token and size,
     that share a token and pass the length, positional and bitmap filters;
-    some million pairs at a time, or those of one posting."""
+    some 100,000 pairs at a time, or those of one posting."""
     if not len(tok):
         return
     start = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
@@ -243,7 +243,7 @@ def _pairs(tok, size, pos, low, high, similarity: float):
     i = 0
     while i < len(tok):
         before = done[i - 1] if i else 0
-        j = max(i + 1, int(np.searchsorted(done, before + 2_000_000, side="right")))
+        j = max(i + 1, int(np.searchsorted(done, before + 500_000, side="right")))
         x = np.repeat(np.arange(i, j), n[i:j])
         y = x + 1 + np.arange(len(x)) - np.repeat(done[i:j] - n[i:j] - before, n[i:j])
         both = size[x] + size[y]

@@ -42,3 +42,18 @@ def test_stages_keep_the_columns_and_take_an_empty_table(spark):
         out = stage(spark, docs, SF001)
         assert out.columns == docs.columns and out.count() == 0, name
     assert P.STAGES[-1][1](spark, docs, SF001).count() == 0
+
+
+def test_stages_take_awkward_rows(spark):
+    """NULLs in every column, blank and very long texts, repeated rows, extra
+    columns: nothing crashes, clean documents stay, copies and blanks merge."""
+    from tests.llm.helpers import EDGE, docs
+    out = docs(spark, [*EDGE, (70, "clean words of one kind", None), (71, "you idiot"), (72, None, None)])
+    for name, stage in P.STAGES[:-1]:
+        new = stage(spark, out, SF001)
+        assert new.columns == out.columns, name
+        out = P.materialise(new, "test-stage")
+    ids = {r.doc_id for r in out.collect()}
+    assert {1, 4, 5, 6, 7, 8, 70} <= ids and not ids & {2, 3, 71, 72}
+    last = P.STAGES[-1][1](spark, out, SF001)
+    assert last.count() == out.count()
