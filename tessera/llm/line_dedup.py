@@ -45,6 +45,7 @@ from tessera.llm.common import LOWER_BYTES, materialise
 
 SKETCH = 1 << 18
 PIECE = 1 << 20  # bytes hashed at a time
+HEAD = 4         # rarest tokens compared before whole sets are
 READ = "kind string, set array<long>, doc array<long>, line array<int>, n array<long>"
 POSTED = "bucket int, token array<int>, set array<long>, size array<int>, pos array<int>, low array<long>, high array<long>"
 
@@ -289,14 +290,28 @@ def _verify(buckets: int, similarity: float):
         tok, own, pos = tok[here], own[here], pos[here]
         order = np.lexsort((size[own], tok))
         tok, own, pos = tok[order], own[order], pos[order]
-        sets = [frozenset(x.tolist()) for x in np.split(flat, start[1:])]
+        head = flat[start[:, None] + np.minimum(np.arange(HEAD), size[:, None] - 1)]
         first = list(zip(table.column("doc").to_pylist(), table.column("line").to_pylist()))
-        links, near = [0] * len(sets), [None] * len(sets)
+        sets: dict[int, frozenset] = {}
+        links, near = [0] * len(size), [None] * len(size)
+
+        def tokens_of(i: int) -> frozenset:
+            if i not in sets:
+                sets[i] = frozenset(flat[start[i]:start[i] + size[i]].tolist())
+            return sets[i]
+
         for x, y, overlap in _pairs(tok, size[own], pos, low[own], high[own], similarity):
-            for i, j, k, least in zip(own[x].tolist(), own[y].tolist(), pos[x].tolist(), overlap.tolist()):
-                # both sides of a pair meet in the group of every token they share
-                if len(sets[i] & sets[j]) >= least and \
-                        not any(t in sets[j] for t in flat[start[i]:start[i] + k].tolist()):
+            # both sides of a pair meet in the group of every token they share;
+            # most of those are told by their rarest tokens
+            a, b, k, m = own[x], own[y], pos[x], pos[y]
+            again = np.zeros(len(x), bool)
+            for p in range(HEAD):
+                for q in range(HEAD):
+                    again |= (p < k) & (q < m) & (head[a, p] == head[b, q])
+            for i, j, k, least in zip(a[~again].tolist(), b[~again].tolist(), k[~again].tolist(), overlap[~again].tolist()):
+                other = tokens_of(j)
+                if len(tokens_of(i) & other) >= least and \
+                        not any(t in other for t in flat[start[i]:start[i] + k].tolist()):
                     for p, q in ((i, j), (j, i)):
                         links[p] += 1
                         near[p] = first[q] if near[p] is None else min(near[p], first[q])
