@@ -111,11 +111,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = materialise(
         docs.select(F.col(id_col).cast("long").alias("id"), norm.alias("norm"), digest(norm).alias("digest"))
         .join(hits, "digest"), "dedup-hits")
-    # written, so that the join below starts from two exchanges and a hot digest can be split
+    # written before and after, so that nothing but the join needs a digest's rows
+    # together, and those of a hot digest can be split
     first = materialise(texts.where(F.col("id").eqNullSafe(F.col("keep"))).groupBy("digest")
                         .agg(F.min("norm").alias("held")), "dedup-held")
-    mixed = materialise(texts.join(first, "digest").where("norm <> held").select("digest").distinct(),
-                        "dedup-mixed")
+    mixed = materialise(texts.join(first, "digest").where("norm <> held").select("digest"), "dedup-mixed").distinct()
 
     plain = (book.staged().join(mixed, "digest", "left_anti").join(state, "digest")
              .select(F.col("id").alias("doc_id"), F.col("first.id").alias("keep_id"),
@@ -150,7 +150,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     hits = rows.where("__n > 1").select("__digest", norm.alias("norm"), is_first.alias("is_first"))
     held = materialise(hits.where("is_first").groupBy("__digest").agg(F.min("norm").alias("held")), "dedup-held")
-    mixed = materialise(hits.join(held, "__digest").where("norm <> held").select("__digest").distinct(), "dedup-mixed")
+    mixed = materialise(hits.join(held, "__digest").where("norm <> held").select("__digest"), "dedup-mixed").distinct()
     # rows that repeat the identifier of the row that stays: one of them stays
     again = materialise(rows.where(is_first & (F.col("__n") > 1)).groupBy("__digest").count().where("count > 1")
                         .select("__digest"), "dedup-again")
