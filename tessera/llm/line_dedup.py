@@ -327,20 +327,22 @@ def _fetch(rank):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for b in batches:
-            names, sets = [], []
+            keys, texts = [], []
             for text, want in zip(b.column(0), b.column(1).to_pylist()):
                 rows = (text.as_py() or b"").split(b"\n")
                 for w in want:
                     if w["line"] < len(rows):
-                        tok = hasher(np.frombuffer(rows[w["line"]], np.uint8))[0]
-                        tok, _, size, start = token_sets(tok, np.zeros(len(tok), np.int64), rank.value)
-                        # another row of the same id may hold the line
-                        if len(tok) and int(set_keys(tok, size, start)[0]) == w["set"]:
-                            names.append(w["set"])
-                            sets.append(tok.view(np.int64))
-            if names:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _list(sets, pa.int64())],
-                                                 names=["set", "tokens"])
+                        keys.append(w["set"])
+                        texts.append(rows[w["line"]])
+            tok, line = hasher(np.frombuffer(b"\n".join(texts), np.uint8))
+            tok, own, size, start = token_sets(tok, line, rank.value)
+            # another row of the same id may hold the line
+            same = np.array(keys, np.int64)[own] == set_keys(tok, size, start)
+            if same.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.array(keys, np.int64)[own][same]),
+                     _list([x for x, ok in zip(np.split(tok.view(np.int64), start[1:]), same) if ok], pa.int64())],
+                    names=["set", "tokens"])
     return run
 
 
