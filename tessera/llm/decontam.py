@@ -11,13 +11,14 @@ every block in Arrow batches, so documents are never shuffled.
    match it. Pairs of more than ``COMMON`` items of a block, and of a word
    with itself, are left out on both sides of that inequality, unless an item
    has hardly any other.
-2. CGK: ``repeats`` random walks embed each remaining item-sized window. At
-   step j the walk writes the word it stands on and moves on if a random bit
-   of (repeat, j, word) says so; equal words keep two walks together, and
-   after an edit they drift back into step, so few edits mean few differing
-   coordinates.
+2. CGK: ``repeats`` random walks embed each remaining item-sized window: where
+   a counted pair stands says where its item would start, give or take k
+   words, so words left out of the count shift no window. At step j the walk
+   writes the word it stands on and moves on if a random bit of (repeat, j,
+   word) says so; equal words keep two walks together, and after an edit they
+   drift back into step, so few edits mean few differing coordinates.
 3. Bit sampling: per repeat, ``samples`` coordinates of the embedding are the
-   LSH key; a window is a candidate of the items with the same key.
+   LSH key; a window is a candidate of an item counted there with the same key.
 4. Exact verification: Sellers' edit distance of the item against the
    document around the window, ends free.
 
@@ -51,7 +52,7 @@ def item_words(text: str) -> list[str]:
 
 
 class ItemBlock:
-    """Compiled items: vocabulary, word-pair filter, walks and LSH tables."""
+    """Compiled items: vocabulary, word-pair filter, walks and LSH keys."""
 
     def __init__(self, items: list[tuple[int, str]], similarity: float = 0.8, min_words: int = 5,
                  repeats: int = 24, samples: int = 2, seed: int = 7):
@@ -76,6 +77,7 @@ class ItemBlock:
         pairs, shared = np.unique(np.concatenate(own), return_counts=True)
         frequent = pairs[shared > COMMON]
         where: dict[int, list[int]] = {}
+        offsets: dict[tuple[int, int], list[int]] = {}
         need = []
         for i, s in enumerate(self.seq):
             # pairs of one word twice say little: a text may repeat it for pages
@@ -84,40 +86,55 @@ class ItemBlock:
             if n - 1 - int(left_out.sum()) - 2 * k < 1:
                 left_out[:] = False  # an item of frequent pairs only: all of them count
             need.append(max(1, n - 1 - int(left_out.sum()) - 2 * k))
-            for p in np.unique((s[:-1] * self.base + s[1:])[~left_out]).tolist():
-                where.setdefault(p, []).append(i)
+            for o in np.flatnonzero(~left_out).tolist():
+                p = int(s[o] * self.base + s[o + 1])
+                if (p, i) not in offsets:
+                    where.setdefault(p, []).append(i)
+                offsets.setdefault((p, i), []).append(o)
         self.need = np.array(need)
-        self.span = np.array([len(s) + self.edits[len(s)] - 1 for s in self.seq])
+        self.length = np.array([len(s) for s in self.seq])
+        self.budget = np.array([self.edits[len(s)] for s in self.seq])
+        self.span = self.length + self.budget - 1
         self.pair = np.array(sorted(where), np.int64)
         per = [where[p] for p in self.pair.tolist()]
         self.ptr = np.concatenate(([0], np.cumsum([len(x) for x in per])))
         self.item = np.array([i for x in per for i in x], np.int64)
+        # the places of a pair in an item, in the order of self.item
+        places = [offsets[p, i] for p, x in zip(self.pair.tolist(), per) for i in x]
+        self.offset_ptr = np.concatenate(([0], np.cumsum([len(x) for x in places])))
+        self.offset = np.array([o for x in places for o in x], np.int64)
         self.flag = np.zeros(FLAGS, bool)
         self.flag[self._slot(self.pair)] = True
-        self.table: list[dict[tuple, list[int]]] = [{} for _ in range(repeats)]
-        for k, s in enumerate(self.seq):
-            for r, key in enumerate(self.keys(s[None, :])[0]):
-                self.table[r].setdefault((len(s), *key), []).append(k)
+        self.key = self.keys_of(self.seq)
 
     @staticmethod
     def _slot(p: np.ndarray) -> np.ndarray:
         return (p.astype(np.uint64) * MIX >> np.uint64(44)).astype(np.int64)
 
-    def keys(self, win: np.ndarray) -> list[list[tuple]]:
-        """Sampled coordinates (windows x repeats) of the CGK embedding."""
+    def keys_of(self, parts: list[np.ndarray]) -> np.ndarray:
+        """Keys (parts x repeats) of sequences of any indexed length."""
+        out = np.zeros((len(parts), self.repeats), np.uint64)
+        size = np.array([len(x) for x in parts])
+        for n in np.unique(size).tolist():
+            at = np.flatnonzero(size == n)
+            for i in range(0, len(at), 4096):
+                out[at[i:i + 4096]] = self.keys(np.stack([parts[x] for x in at[i:i + 4096]]))
+        return out
+
+    def keys(self, win: np.ndarray) -> np.ndarray:
+        """Sampled coordinates of the CGK embedding, hashed (windows x repeats)."""
         m, n = win.shape
         coords = self.coords[n]
         padded = np.concatenate([win, np.full((m, 1), self.base, np.int64)], axis=1)
         at = np.zeros((m, self.repeats), np.int64)
         rows = np.arange(m)[:, None]
-        out = np.zeros((m, *coords.shape), np.int64)
+        out = np.zeros((m, self.repeats), np.uint64)
         for j in range(int(coords.max()) + 1):
-            sym = padded[rows, at]
-            for r, c in zip(*np.nonzero(coords == j)):
-                out[:, r, c] = sym[:, r]
-            bit = ((sym.astype(np.uint64) + np.uint64(1)) * self.odd[j] >> np.uint64(63)).astype(np.int64)
-            at = np.minimum(at + bit, n)
-        return [[tuple(k) for k in w] for w in out.tolist()]
+            sym = padded[rows, at].astype(np.uint64) + np.uint64(1)
+            for r in np.nonzero(coords == j)[0]:  # a repeat once for each of its samples at j
+                out[:, r] = (out[:, r] + sym[:, r]) * MIX
+            at = np.minimum(at + (sym * self.odd[j] >> np.uint64(63)).astype(np.int64), n)
+        return out
 
     def search(self, seq: np.ndarray) -> dict[int, tuple[int, int]]:
         """item index -> (edit distance, start word) for one long sequence."""
@@ -132,40 +149,66 @@ class ItemBlock:
         at = np.searchsorted(self.pair, pair[pos])
         hit = self.pair[np.minimum(at, len(self.pair) - 1)] == pair[pos]
         pos, at = pos[hit], at[hit]
-        reps = self.ptr[at + 1] - self.ptr[at]
-        offset = np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
-        item = self.item[np.repeat(self.ptr[at], reps) + offset]
-        place = item * (len(seq) + 2**20) + np.repeat(pos, reps)
+        entry, of = ranges(self.ptr[at], self.ptr[at + 1])
+        item, where = self.item[entry], pos[of]
+        place = item * (len(seq) + 2**20) + where
         order = np.argsort(place, kind="stable")
-        place, item, where = place[order], item[order], np.repeat(pos, reps)[order]
+        place, item, where, entry = place[order], item[order], where[order], entry[order]
         # pairs of one match lie within n + k words
         span = np.minimum(self.span[item], 2**19)
         dense = np.searchsorted(place, place + span) - np.arange(len(place)) >= self.need[item]
         if not dense.any():
             return found
-        item, where = item[dense], where[dense]
-        size = np.array([len(s) for s in self.seq])[item]
-        for n in np.unique(size).tolist():
-            k = self.edits[n]
-            # a match may begin with spoilt pairs in front of its first known one
-            starts = np.unique((where[size == n][:, None] - np.arange(min(2 * k, 3) + 1)).ravel())
-            starts = starts[starts >= 0]
-            long = np.concatenate([seq, np.zeros(n, np.int64)])
-            tried: dict[int, int] = {}
-            for i in range(0, len(starts), 4096):
-                part = starts[i:i + 4096]
-                for s, keys in zip(part.tolist(), self.keys(long[part[:, None] + np.arange(n)])):
-                    for r, key in enumerate(keys):
-                        for c in self.table[r].get((n, *key), ()):
-                            if tried.get(c, -n) + k >= s or found.get(c, (1,))[0] == 0:
-                                continue  # inside a stretch that is verified already
-                            tried[c] = s
-                            lo = max(0, s - 2 * k)
-                            d, end = sellers(self.seq[c], seq[lo:s + n + 3 * k])
-                            if d <= k and d < found.get(c, (k + 1,))[0]:
-                                found[c] = (d, max(0, lo + end - n))
+        for c, s in self.candidates(seq, item[dense], where[dense], entry[dense]):
+            if found.get(c, (1,))[0] == 0:
+                continue
+            k, n = int(self.budget[c]), int(self.length[c])
+            lo, hi = max(0, s - 2 * k), s + n + 3 * k
+            d, end = sellers(self.seq[c], seq[lo:hi])
+            if d <= k and d < found.get(c, (k + 1,))[0]:
+                found[c] = (d, max(0, lo + end - n))
         return found
 
+    def candidates(self, seq: np.ndarray, item: np.ndarray, where: np.ndarray,
+                   entry: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Items and their start words in the document, of windows that share
+        a key with the item. ``entry``: index of a counted pair of ``item`` in
+        ``self.item``, seen at ``where``."""
+        offset, of = ranges(self.offset_ptr[entry], self.offset_ptr[entry + 1])
+        # the item would start here, but for up to k insertions or deletions in front of the pair
+        front = self.sizes[-1]
+        wide = len(seq) + 2 * front
+        start = np.unique(item[of] * wide + where[of] - self.offset[offset] + front)
+        item, start = start // wide, start % wide - front
+        k = self.budget[item]
+        low = start - k
+        low[1:] = np.where(item[1:] == item[:-1], np.maximum(low[1:], start[:-1] + k[1:] + 1), low[1:])
+        start, of = ranges(low, start + k + 1)
+        item = item[of]
+        inside = (start >= 0) & (start < len(seq))
+        item, start = item[inside], start[inside]
+        hit = np.zeros(len(item), bool)
+        long = np.concatenate([np.zeros(front, np.int64), seq, np.zeros(front, np.int64)])
+        for n in np.unique(self.length[item]).tolist():
+            mine = np.flatnonzero(self.length[item] == n)
+            at, back = np.unique(start[mine], return_inverse=True)
+            for i in range(0, len(at), 4096):
+                keys = self.keys(long[at[i:i + 4096, None] + front + np.arange(n)])
+                now = (back >= i) & (back < i + 4096)
+                hit[mine[now]] = (keys[back[now] - i] == self.key[item[mine[now]]]).any(axis=1)
+        last, until = -1, 0
+        for c, s in zip(item[hit].tolist(), start[hit].tolist()):
+            if c != last or s > until:  # else inside a stretch that is verified already
+                last, until = c, s + int(self.budget[c])
+                yield c, s
+
+
+def ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges start[i]..stop[i] - 1, and the i of each."""
+    size = stop - start
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + start[of], of
+
 
 def sellers(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """Smallest edit distance of ``pattern`` to any substring of ``text`` and

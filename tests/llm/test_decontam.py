@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tessera.llm.decontam import WORD, decontaminate, drop_contaminated, sellers
+from tessera.llm.decontam import COMMON, WORD, ItemBlock, _found, decontaminate, drop_contaminated, sellers
 from tests.llm.helpers import EDGE, docs, prose
 
 
@@ -86,3 +86,45 @@ def test_edges(spark):
     assert decontaminate(docs(spark, rows), bench(spark, [])).count() == 0
     left = drop_contaminated(docs(spark, rows), bench(spark, items))
     assert left.columns == docs(spark, []).columns and left.count() == len(EDGE)
+
+
+def contained(block, items, texts):
+    """Pairs (text, item) found and those of brute force."""
+    found = {(t, block.ids[c]) for t, x in enumerate(texts) for c in _found(block, x)}
+    want = set()
+    for t, x in enumerate(texts):
+        text, words = x.split(), set(x.split())
+        for i, y in items:
+            item = y.split()
+            k = len(item) // 5
+            # every edit spoils one word of the item at most
+            if sum(w in words for w in item) >= len(item) - k and slow_distance(item, text) <= k:
+                want.add((t, i))
+    return found, want
+
+
+def edited(rng, words, edits):
+    w = list(words)
+    for _ in range(edits):
+        at, kind = rng.randrange(len(w)), rng.random()
+        w[at:at + (kind < 0.7)] = [] if kind < 0.3 else ["edit"]
+    return w
+
+
+def test_items_of_one_template():
+    """More than COMMON items share their first words, as in benchmarks made of a template."""
+    rng = random.Random(3)
+    for n in (24, 32, 40, 50):
+        head = [f"template{j}" for j in range(n // 3 + 1)]
+        items = [(i, " ".join(head + prose(1000 * n + i, n - len(head), 3000))) for i in range(COMMON + 16)]
+        block = ItemBlock(items)
+        picked = rng.sample(items, 30)
+        texts = [" ".join(prose(j, 40, 3000) + t.split() + prose(50 + j, 40, 3000)) for j, (_, t) in enumerate(picked)]
+        found, want = contained(block, items, texts)
+        assert len(want) == 30 and found == want
+        texts = [" ".join(prose(j, 40, 3000) + edited(rng, t.split(), n // 5) + prose(50 + j, 40, 3000))
+                 for j, (_, t) in enumerate(picked)]
+        found, want = contained(block, items, texts)
+        assert len(want) >= 30 and found <= want and len(found) >= 0.95 * len(want)
+    found, want = contained(block, items, [" ".join(head), " ".join(head * 3)])
+    assert found == want == set()
