@@ -185,7 +185,7 @@ class ItemBlock:
         low[1:] = np.where(item[1:] == item[:-1], np.maximum(low[1:], start[:-1] + k[1:] + 1), low[1:])
         start, of = ranges(low, start + k + 1)
         item = item[of]
-        inside = (start >= 0) & (start < len(seq))
+        inside = (start > -self.length[item]) & (start < len(seq))  # a head may be missing
         item, start = item[inside], start[inside]
         hit = np.zeros(len(item), bool)
         long = np.concatenate([np.zeros(front, np.int64), seq, np.zeros(front, np.int64)])

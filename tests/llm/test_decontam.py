@@ -128,3 +128,17 @@ def test_items_of_one_template():
         assert len(want) >= 30 and found <= want and len(found) >= 0.95 * len(want)
     found, want = contained(block, items, [" ".join(head), " ".join(head * 3)])
     assert found == want == set()
+
+
+def test_edits_at_the_head():
+    """All edits in the first words, or the head cut off, also at the start of a document."""
+    for n in (12, 24, 40, 50, 60):
+        items = [(i, " ".join(prose(2000 * n + i, n, 3000))) for i in range(25)]
+        block, k = ItemBlock(items), n // 5
+        for put in (lambda j: prose(9000 + j, k, 3000), lambda j: []):
+            body = [(put(j), t.split()[k:]) for j, (_, t) in enumerate(items)]
+            for front in (30, 0):
+                texts = [" ".join(prose(j, front, 3000) + head + t + prose(50 + j, 30, 3000))
+                         for j, (head, t) in enumerate(body)]
+                found, want = contained(block, items, texts)
+                assert len(want) >= 25 and found <= want and len(found) >= 0.95 * len(want), (n, front)
