@@ -34,3 +34,74 @@ def test_notices_headers_and_order(spark):
     assert got[11].n_licences == 2 and got[11].n_sentences == 2 and got[1].licences == "" and got[1].n_licences == 0
     assert scan_licences(docs(spark, rows)).count() == len(rows)
     assert scan_licences(docs(spark, [])).count() == 0
+
+
+BSD_HEAD = """Copyright (c) 2020, Some Holder
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+"""
+BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+"""
+BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE.
+"""
+MIT = """MIT License
+
+Copyright (c) 2020 Some Holder
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.
+"""
+ISC = """Copyright 2020 Some Holder
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+
+
+def commented(text):
+    return "/*\n" + "".join(f" * {x}".rstrip() + "\n" for x in text.splitlines()) + " */\n"
+
+
+def check(spark, cases):
+    rows = [(2 * i + j, form(x)) for i, (x, _) in enumerate(cases) for j, form in enumerate((str, commented))]
+    got = {r.doc_id: r.licences for r in scan_licences(docs(spark, rows)).collect()}
+    assert got == {2 * i + j: name for i, (_, name) in enumerate(cases) for j in (0, 1)}
+
+
+def test_whole_texts(spark):
+    named = BSD_THIRD.replace("the copyright holder", "Foo Inc.")
+    check(spark, [
+        (BSD_HEAD + BSD_THIRD + BSD_TAIL, "BSD-3-Clause"), (BSD_HEAD + BSD_TAIL, "BSD-2-Clause"),
+        (BSD_HEAD + named + BSD_TAIL, "BSD-3-Clause"),
+        ((BSD_HEAD + BSD_THIRD + BSD_TAIL).replace("1.", "(1)").replace("2.", "b)").replace("3.", "3)"), "BSD-3-Clause"),
+        (MIT, "MIT"), (ISC, "ISC")])
