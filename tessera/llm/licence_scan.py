@@ -17,7 +17,7 @@ Defined cases: NULL and empty texts hold no licence; repeated rows are each
 scanned; an empty table gives no rows; other columns are ignored.
 
 The oracle SQL has the plain cut of sentences and two readings: it agrees on
-one-line notices, not on whole BSD texts.
+one-line notices, not on whole BSD texts or GPL-2.0 and MPL-2.0 headers.
 """
 
 from __future__ import annotations
@@ -95,8 +95,11 @@ RULES = (
 )
 ANCHOR = r"(?i)licen[sc]e|copyright|permission|warrant|public domain|redistribut"
 GAP = 3  # other sentences allowed between two of a rule
-# Published wordings brought to the stored one before sentences are cut (lower case): names of holders vary.
+# Published wordings brought to the stored one before sentences are cut (lower case): names of holders and programs
+# vary, "free software;" ends no sentence, "v." would.
 AS_STORED = (
+    (r"\bv\.[^\w\n]+(?=[0-9])", "v "),
+    (r"\bfree[^\w\n]+software[;,:][^\w\n]+you[^\w\n]+can[^\w\n]+redistribute\b", "free software: you can redistribute"),
     (r"\bneither[^\w\n]+the[^\w\n]+name[^\w\n]+of\b[^\n]{1,200}?\bnor[^\w\n]+the[^\w\n]+names?[^\w\n]+of"
      r"[^\w\n]+(?:its|their|any)[^\w\n]+contributors\b",
      "neither the name of the copyright holder nor the names of its contributors"),

@@ -1,5 +1,8 @@
+import os
 import re
 
+import pytest
+
 from tessera.llm.licence_scan import ANCHOR, RULES, SENTENCES, scan_licences
 from tests.llm.helpers import EDGE, docs
 
@@ -105,3 +108,35 @@ def test_whole_texts(spark):
         (BSD_HEAD + named + BSD_TAIL, "BSD-3-Clause"),
         ((BSD_HEAD + BSD_THIRD + BSD_TAIL).replace("1.", "(1)").replace("2.", "b)").replace("3.", "3)"), "BSD-3-Clause"),
         (MIT, "MIT"), (ISC, "ISC")])
+
+
+GPL2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+PUBLISHED = "/usr/share/common-licenses"
+
+
+def test_headers_as_published(spark):
+    check(spark, [(GPL2, "GPL-2.0-or-later"), (GPL2.replace("This program is", "Foobar is"), "GPL-2.0-or-later"),
+                  (GPL2.replace("version 2", "version 3").replace("software;", "software:"), "GPL-3.0-or-later"),
+                  (MPL, "MPL-2.0"), (MPL.replace("2.0", "1.1"), "")])
+
+
+@pytest.mark.skipif(not os.path.isdir(PUBLISHED), reason="no licence texts on this machine")
+def test_texts_of_the_system(spark):
+    names = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "GPL-2": "GPL-2.0-or-later",
+             "GPL-3": "GPL-3.0-or-later", "MPL-2.0": "MPL-2.0"}
+    rows = [(i, open(f"{PUBLISHED}/{n}", encoding="utf-8").read()) for i, n in enumerate(names)]
+    got = {r.doc_id: r.licences for r in scan_licences(docs(spark, rows)).collect()}
+    assert got == dict(enumerate(names.values()))
