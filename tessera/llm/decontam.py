@@ -11,14 +11,17 @@ every block in Arrow batches, so documents are never shuffled.
    match it. Pairs of more than ``COMMON`` items of a block, and of a word
    with itself, are left out on both sides of that inequality, unless an item
    has hardly any other.
-2. CGK: ``repeats`` random walks embed each remaining item-sized window: where
-   a counted pair stands says where its item would start, give or take k
-   words, so words left out of the count shift no window. At step j the walk
-   writes the word it stands on and moves on if a random bit of (repeat, j,
-   word) says so; equal words keep two walks together, and after an edit they
-   drift back into step, so few edits mean few differing coordinates.
+2. CGK: ``repeats`` random walks embed each remaining item-sized window, or
+   windows of the size of an item's pieces if it has more than ``PIECE`` words
+   (k edits cannot give every piece more than its share). Where a counted pair
+   stands says where its item would start, give or take k words, so words left
+   out of the count shift no window. At step j the walk writes the word it
+   stands on and moves on if a random bit of (repeat, j, word) says so; equal
+   words keep two walks together, and after an edit they drift back into step,
+   so few edits mean few differing coordinates.
 3. Bit sampling: per repeat, ``samples`` coordinates of the embedding are the
-   LSH key; a window is a candidate of an item counted there with the same key.
+   LSH key; a window is a candidate of an item counted there with the same key
+   (of one of its pieces).
 4. Exact verification: Sellers' edit distance of the item against the
    document around the window, ends free.
 
@@ -45,6 +48,7 @@ WORD = re.compile(r"[^\W_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FLAGS = 1 << 20  # slots of the word-pair pre-test
 COMMON = 64      # items of a block a counted pair may be in
+PIECE = 64       # words of a window at most
 
 
 def item_words(text: str) -> list[str]:
@@ -70,9 +74,16 @@ class ItemBlock:
         if not self.seq:
             return
         rng = np.random.default_rng(seed)
-        steps = 2 * self.sizes[-1]
+        # pieces of equal length: one of them has at most its share of an item's edits
+        cuts = [[len(s) * j // m for j in range(m + 1)] for s in self.seq for m in [-(-len(s) // PIECE)]]
+        pieces = [s[a:b] for s, c in zip(self.seq, cuts) for a, b in zip(c, c[1:])]
+        self.piece_ptr = np.concatenate(([0], np.cumsum([len(c) - 1 for c in cuts])))
+        self.piece_at = np.array([a for c in cuts for a in c[:-1]])
+        self.piece_size = np.array([len(x) for x in pieces])
+        lengths = np.unique(self.piece_size).tolist()
+        steps = 2 * lengths[-1]
         self.odd = rng.integers(0, 2**63, (steps, repeats), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.coords = {n: np.sort(rng.integers(0, 2 * n, (repeats, samples)), axis=1) for n in self.sizes}
+        self.coords = {n: np.sort(rng.integers(0, 2 * n, (repeats, samples)), axis=1) for n in lengths}
         own = [np.unique(s[:-1] * self.base + s[1:]) for s in self.seq]
         pairs, shared = np.unique(np.concatenate(own), return_counts=True)
         frequent = pairs[shared > COMMON]
@@ -105,7 +116,7 @@ class ItemBlock:
         self.offset = np.array([o for x in places for o in x], np.int64)
         self.flag = np.zeros(FLAGS, bool)
         self.flag[self._slot(self.pair)] = True
-        self.key = self.keys_of(self.seq)
+        self.key = self.keys_of(pieces)
 
     @staticmethod
     def _slot(p: np.ndarray) -> np.ndarray:
@@ -185,17 +196,21 @@ class ItemBlock:
         low[1:] = np.where(item[1:] == item[:-1], np.maximum(low[1:], start[:-1] + k[1:] + 1), low[1:])
         start, of = ranges(low, start + k + 1)
         item = item[of]
-        inside = (start > -self.length[item]) & (start < len(seq))  # a head may be missing
-        item, start = item[inside], start[inside]
         hit = np.zeros(len(item), bool)
-        long = np.concatenate([np.zeros(front, np.int64), seq, np.zeros(front, np.int64)])
-        for n in np.unique(self.length[item]).tolist():
-            mine = np.flatnonzero(self.length[item] == n)
-            at, back = np.unique(start[mine], return_inverse=True)
+        piece, of = ranges(self.piece_ptr[item], self.piece_ptr[item + 1])
+        begin = start[of] + self.piece_at[piece]
+        inside = (begin > -self.piece_size[piece]) & (begin < len(seq))  # a head may be missing
+        piece, begin, of = piece[inside], begin[inside], of[inside]
+        size = self.piece_size[piece]
+        long = np.concatenate([np.zeros(PIECE, np.int64), seq, np.zeros(PIECE, np.int64)])
+        for n in np.unique(size).tolist():
+            mine = np.flatnonzero(size == n)
+            at, back = np.unique(begin[mine], return_inverse=True)
             for i in range(0, len(at), 4096):
-                keys = self.keys(long[at[i:i + 4096, None] + front + np.arange(n)])
+                keys = self.keys(long[at[i:i + 4096, None] + PIECE + np.arange(n)])
                 now = (back >= i) & (back < i + 4096)
-                hit[mine[now]] = (keys[back[now] - i] == self.key[item[mine[now]]]).any(axis=1)
+                same = (keys[back[now] - i] == self.key[piece[mine[now]]]).any(axis=1)
+                hit[of[mine[now][same]]] = True
         last, until = -1, 0
         for c, s in zip(item[hit].tolist(), start[hit].tolist()):
             if c != last or s > until:  # else inside a stretch that is verified already

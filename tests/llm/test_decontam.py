@@ -142,3 +142,14 @@ def test_edits_at_the_head():
                          for j, (head, t) in enumerate(body)]
                 found, want = contained(block, items, texts)
                 assert len(want) >= 25 and found <= want and len(found) >= 0.95 * len(want), (n, front)
+
+
+def test_long_items():
+    """Reading passages, with all the edits allowed at random places."""
+    for n in (65, 100, 200, 400):
+        rng = random.Random(n)
+        items = [(i, " ".join(prose(3000 * n + i, n, 3000))) for i in range(40)]
+        texts = [" ".join(prose(j, 30, 3000) + edited(rng, t.split(), n // 5) + prose(50 + j, 30, 3000))
+                 for j, t in items]
+        found, want = contained(ItemBlock(items), items, texts)
+        assert len(want) >= 40 and found <= want and len(found) >= 0.95 * len(want), n
