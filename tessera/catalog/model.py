@@ -72,7 +72,7 @@ def m04(spark, sf):
     tr, _ = _train_test(spark, sf)
     spaces = {"logistic": {"regParam": [0.0, 0.01, 0.1], "maxIter": [10, 25], "elasticNetParam": [0.0, 0.5]},
               "random_forest": {"maxDepth": [3, 5], "numTrees": [5, 10], "seed": [1]}}
-    return M.random_search(tr, SMALL, "y", "fold", "event_id", K, spaces, n_iter=1, seed=0)
+    return M.random_search(tr, SMALL, "y", "fold", "event_id", K, spaces, n_iter=4, seed=0)
 
 
 @register("M05_top_n_configurations", sql=f"""

@@ -43,3 +43,10 @@ def test_grouping_sets_fusion_same_result(spark):
     rb = b.select(*[F.round(c, 6).alias(c) if c != "event_id" else c for c in cols])
     assert ra.exceptAll(rb).count() == 0 and rb.exceptAll(ra).count() == 0
     assert FeatureSpec.of("count", ["a"]).feature_name == "count__a"
+
+
+def test_m04_draws_several_configurations_per_family(spark):
+    from tessera.catalog import model
+    runs = model.m04(spark, SF001).collect()
+    drawn = {f: {r.params for r in runs if r.family == f} for f in {r.family for r in runs}}
+    assert len(drawn) == 2 and all(len(x) > 1 for x in drawn.values()) and all(0 <= r.auc <= 1 for r in runs)
