@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, with DuckDB SQL where there is one."""
+"""Registered queries of the thirteen operators, with DuckDB SQL where there is one."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import licence_scan
+from tessera.llm.conversation import repair
 from tessera.llm.decontam import decontaminate
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.html_extract import extract_text
@@ -14,6 +15,8 @@ from tessera.llm.mixing import mix
 from tessera.llm.ngram_lm import score_texts
 from tessera.llm.pii import find_pii, joined
 from tessera.llm.simhash import simhash_dups
+from tessera.llm.spelling import spelling_variants
+from tessera.llm.topk import top_k
 from tessera.llm.toxicity import score_toxicity
 
 
@@ -67,9 +70,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), k=5, scale=256, every=50)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_licences, op3_html_text, op4_simhash, op5_pii, op6_mixing, op7_lm_score, op8_toxicity,
-    op9_line_dedup, op10_decontamination)}
+    op9_line_dedup, op10_decontamination, op11_conversation_repair, op12_spelling_variants, op13_top_k)}
 
 SQL = {"op2_licences": licence_scan.oracle_sql()}
 
@@ -82,6 +97,18 @@ select doc_id, min(doc_id) over g as keep_id, count(*) over g as group_size,
 from d window g as (partition by text_sha256)
 """
 
+SQL["op13_top_k"] = r"""
+with v as (
+  select row_number() over () as r, vec_id, [floor(256 * x::double)::bigint for x in embedding] as x
+  from embeddings
+  where len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0),
+s as (
+  select q.r as q, q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and q.r <> c.r and len(q.x) = len(c.x)),
+n as (select *, row_number() over (partition by q order by score desc, vec_id nulls last)::int as rank from s)
+select query_id, rank, vec_id, score from n where rank <= 5
+"""
+
 # water-filling in closed form: capped sources are a prefix by cap / weight
 SQL["op6_mixing"] = r"""
 with d as (
