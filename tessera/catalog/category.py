@@ -176,6 +176,28 @@ def c14(spark, sf):
     return C.nmf_embedding(events_df(spark, sf), "user_id", "k", k=4, max_iter=5)
 
 
+PAIRS = [(a, b) for a in ("event_type", "k", "hr") for b in ("event_type", "k", "hr") if a != b]
+
+
+def _pair_rows(factor, k):
+    return factor.select(F.col("_g").alias("pair"), F.col("_r").alias("key"), *[F.col(f"_{i}").alias(f"dim_{i}") for i in range(k)])
+
+
+@register("C12_topics_all_pairs")
+def c12_pairs(spark, sf):
+    return _pair_rows(C.topic_pairs(events_df(spark, sf), PAIRS, k=5, max_iter=5), 5)
+
+
+@register("C13_svd_all_pairs")
+def c13_pairs(spark, sf):
+    return _pair_rows(C.svd_pairs(events_df(spark, sf), PAIRS, k=3), 3)
+
+
+@register("C14_nmf_all_pairs")
+def c14_pairs(spark, sf):
+    return _pair_rows(C.nmf_pairs(events_df(spark, sf), PAIRS, k=4, max_iter=5), 4)
+
+
 @register("C15_tag_click_rate_svd")
 def c15(spark, sf):
     li = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -229,3 +251,20 @@ def c19(spark, sf):
     terms = C.word_terms(docs, "doc_id", "text").withColumnRenamed("tf", "x")
     r = C.nb_ratios(terms, "doc_id", "term", "x", labels, "toxic")
     return r.select("term", rnd("nb_ratio").alias("nb_ratio"))
+
+
+@register("C19_naive_bayes_feature", sql="""
+WITH t AS (SELECT d.doc_id, unnest(list_filter(string_split_regex(lower(d.text), '[^\\p{L}\\p{N}_]+'), lambda s: s <> '')) AS term
+           FROM documents d),
+tf AS (SELECT doc_id, term, count(*) AS x FROM t GROUP BY ALL),
+n AS (SELECT count(*) FILTER (WHERE toxic = 1) AS n1, count(*) FILTER (WHERE toxic = 0) AS n0 FROM labels),
+r AS (SELECT term, ln((coalesce(sum(x) FILTER (WHERE toxic = 1), 0) + 1) / (any_value(n.n1) + 1))
+               - ln((coalesce(sum(x) FILTER (WHERE toxic = 0), 0) + 1) / (any_value(n.n0) + 1)) AS r
+      FROM tf JOIN labels l USING (doc_id), n GROUP BY term)
+SELECT doc_id, term, RND(x * r) AS nb FROM tf JOIN r USING (term)""")
+def c19_feature(spark, sf):
+    """The form multiplied into x, for every document (labelled or not)."""
+    terms = C.word_terms(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("tf", "x")
+    ratios = C.nb_ratios(terms, "doc_id", "term", "x", table(spark, sf, "labels"), "toxic")
+    out = C.nb_log_ratio(terms, "doc_id", "term", "x", ratios)
+    return out.select("doc_id", "term", rnd("nb").alias("nb"))

@@ -12,23 +12,15 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import hash_unit
+from tessera.plans.factor import non_negative, once as _once, pair_cells, randomised_svd, topics
 from tessera.plans.positions import global_rank, with_positions
-from tessera.session import shuffle_partitions
 
 
 # ------------------------------------------------------------------ C01-C02
-def _once(df: DataFrame) -> DataFrame:
-    """Write a dictionary table once to the shared checkpoint folder: the
-    rank and the counts that follow read it instead of recomputing it."""
-    from tessera.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def label_encode(df: DataFrame, c: str, name: str | None = None) -> DataFrame:
     """Category -> dense index 0..n-1 in ascending value order (as
     ``StringIndexer(stringOrderType='alphabetAsc')``); NULL gets its own
@@ -221,21 +213,42 @@ def tfidf(terms: DataFrame, doc: str, n_docs: int, min_df: int = 1, max_df: floa
 
 
 # ------------------------------------------------------------------ C10-C16
+def category_vectors(df: DataFrame, cols_: Sequence[str], size: int = 8, seed: int = 0) -> DataFrame:
+    """C10 fit: (``token``, ``vector``) of every ``col=value``. Each row is a
+    sentence of its tokens; the vectors factorise their positive pointwise
+    mutual information, the matrix a skip-gram model over the whole sentence
+    approaches. Pairs are counted with partial aggregation, the factors are
+    joins and sums: the training is spread over all tasks and two runs agree."""
+    toks = _tokens(cols_)
+    pairs = F.array(*[F.struct(a.alias("_r"), b.alias("_c")) for i, a in enumerate(toks) for b in toks[i + 1:]])
+    half = df.select(F.explode(pairs).alias("p")).groupBy("p._r", "p._c").agg(F.count(F.lit(1)).alias("n"))
+    both = _once(half.unionByName(half.select(F.col("_c").alias("_r"), F.col("_r").alias("_c"), "n")))
+    single = _once(both.groupBy("_r").agg(F.sum("n").alias("nr")))
+    total = single.agg(F.sum("nr")).first()[0] or 0
+    pmi = F.log(F.col("n") * F.lit(float(total)) / (F.col("nr") * F.col("nc")))
+    cells = both.join(single, "_r").join(single.select(F.col("_r").alias("_c"), F.col("nr").alias("nc")), "_c") \
+        .select(F.lit("").alias("_g"), "_r", "_c", pmi.alias("_v")).where("_v > 0")
+    rows, sigma = randomised_svd(cells, size, max_iter=6, seed=seed)
+    # U sqrt(S): half of the weight on either side of a pair
+    root = [1 / np.sqrt(s) if s > 0 else 0.0 for s in sigma.get("", np.zeros(size))] + [0.0] * size
+    vec = F.array(*[F.col(f"_{i}") * F.lit(float(root[i])) for i in range(size)])
+    # a token without positive information is at the origin
+    return single.select(F.col("_r").alias("token")).join(rows.select(F.col("_r").alias("token"), vec.alias("vector")), "token", "left") \
+        .select("token", F.coalesce("vector", F.array_repeat(F.lit(0.0), size)).alias("vector"))
+
+
+def _tokens(cols_: Sequence[str]) -> list[Column]:
+    return [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("nan"))) for c in cols_]
+
+
 def category2vec(df: DataFrame, id_col: str, cols_: Sequence[str], size: int = 8, seed: int = 0,
-                 name: str = "cat2vec", partitions: int | None = None) -> DataFrame:
-    """Each row is a sentence of ``col=value`` tokens; Word2Vec learns a
-    vector per token; a row gets the concatenation of its columns' vectors
-    (unseen tokens -> zeros). Training runs over ``partitions`` (default: the
-    shuffle partitions of the session)."""
-    from pyspark.ml.feature import Word2Vec
-    toks = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("nan"))) for c in cols_]
-    sent = df.select(id_col, F.array(*toks).alias("_s"))
-    model = Word2Vec(vectorSize=size, minCount=1, seed=seed, inputCol="_s", outputCol="_v", windowSize=len(cols_),
-                     numPartitions=partitions or shuffle_partitions(df.sparkSession)).fit(sent)
-    from pyspark.ml.functions import vector_to_array
-    vecs = model.getVectors().select(F.col("word").alias("_w"), vector_to_array("vector").alias("_a"))
-    out = sent.select(id_col, F.posexplode("_s").alias("_p", "_w")).join(vecs, "_w", "left")
-    out = out.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("_p", "_a"))).alias("_l"))
+                 name: str = "cat2vec", fit_on: DataFrame | None = None) -> DataFrame:
+    """A row gets the concatenation of its tokens' vectors, fitted on
+    ``fit_on`` (default: the rows themselves); unseen tokens -> zeros."""
+    vecs = _once(category_vectors(df if fit_on is None else fit_on, cols_, size, seed))
+    sent = df.select(id_col, F.posexplode(F.array(*_tokens(cols_))).alias("_p", "token"))
+    out = sent.join(vecs, "token", "left").groupBy(id_col).agg(
+        F.sort_array(F.collect_list(F.struct("_p", F.col("vector").alias("_a")))).alias("_l"))
     flat = F.flatten(F.transform("_l", lambda s: F.coalesce(s["_a"], F.array_repeat(F.lit(0.0), size))))
     return out.select(id_col, flat.alias(name))
 
@@ -249,66 +262,44 @@ def key_value_document(df: DataFrame, key: str, value: str) -> DataFrame:
                                                                       F.col("cnt")))).alias("doc"))
 
 
-def _bag_vectors(df: DataFrame, key: str, value: str):
-    """(key, sparse count vector over a distributed value index)."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-    vals = label_encode(df.select(value).distinct(), value, name="_vi").select(value, "_vi")
-    size = vals.count()
-    bag = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("cnt")).join(vals, value)
-    grouped = bag.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_vi", "cnt"))).alias("_e"))
+def _pair_table(factor: DataFrame, pair: tuple[str, str], df: DataFrame, prefix: str, k: int) -> DataFrame:
+    key, value = pair
+    return factor.where(F.col("_g") == f"{key}|{value}").select(
+        F.col("_r").cast(df.schema[key].dataType).alias(key), *[F.col(f"_{i}").alias(f"{prefix}_{key}_{value}_{i}") for i in range(k)])
 
-    @F.udf(VectorUDT())
-    def to_vec(entries):
-        return SparseVector(size, [int(e[0]) for e in entries], [float(e[1]) for e in entries])
 
-    return grouped.select(key, to_vec("_e").alias("features")), size
+def topic_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], k: int = 5, seed: int = 0, max_iter: int = 30) -> DataFrame:
+    """C12 for many (key, value) pairs at once: ``_g`` = ``key|value``, ``_r``
+    = the key, and its topic shares. The jobs of all pairs are those of one."""
+    return topics(pair_cells(df, pairs), k, max_iter, seed)[0]
 
 
-def lda_topics(df: DataFrame, key: str, value: str, k: int = 5, seed: int = 0, max_iter: int = 10) -> DataFrame:
-    """Topic mixture per key from its value document (ML ``LDA``)."""
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.functions import vector_to_array
-    vec, _ = _bag_vectors(df, key, value)
-    model = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online").fit(vec)
-    t = model.transform(vec)
-    return t.select(key, *[vector_to_array("topicDistribution")[i].alias(f"lda_{key}_{value}_{i}") for i in range(k)])
+def lda_topics(df: DataFrame, key: str, value: str, k: int = 5, seed: int = 0, max_iter: int = 30) -> DataFrame:
+    """Topic mixture per key from its value document."""
+    return _pair_table(topic_pairs(df, [(key, value)], k, seed, max_iter), (key, value), df, "lda", k)
+
+
+def svd_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], k: int = 5, binary: bool = False) -> DataFrame:
+    """C13 for many pairs at once: rows of U S per ``_g``, ``_r``."""
+    cells = pair_cells(df, pairs)
+    return randomised_svd(cells.withColumn("_v", F.lit(1.0)) if binary else cells, k, tol=1e-6)[0]
 
 
 def svd_embedding(df: DataFrame, key: str, value: str, k: int = 5, binary: bool = False) -> DataFrame:
     """Truncated SVD of the key x value count (or 0/1) matrix; the key
-    embedding is ``U * S`` (IndexedRowMatrix.computeSVD, distributed)."""
-    bag = df.groupBy(key, value).agg(F.count(F.lit(1)).cast("double").alias("_c"))
-    if binary:
-        bag = bag.withColumn("_c", F.lit(1.0))
-    emb = _svd_from_long(bag, key, value, "_c", k)
-    return emb.select(key, *[F.col(f"_e{i}").alias(f"svd_{key}_{value}_{i}") for i in range(k)])
+    embedding is ``U * S``."""
+    return _pair_table(svd_pairs(df, [(key, value)], k, binary), (key, value), df, "svd", k)
+
+
+def nmf_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], k: int = 5, seed: int = 0, max_iter: int = 10) -> DataFrame:
+    """C14 for many pairs at once: rows of W per ``_g``, ``_r``."""
+    return non_negative(pair_cells(df, pairs), k, max_iter, seed)[0]
 
 
 def nmf_embedding(df: DataFrame, key: str, value: str, k: int = 5, seed: int = 0, max_iter: int = 10) -> DataFrame:
     """C14: non-negative factors W H of the key x value count matrix (zero
-    cells count as zeros) by multiplicative updates. A factor is a table of
-    one row per key or value; V H' is a join and a partially aggregated sum
-    over the non-zero cells, and only the k x k matrix H H' is a literal."""
-    bag = _once(df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(key).alias("_r"), F.col(value).alias("_c"))
-                .agg(F.count(F.lit(1)).cast("double").alias("_v")))
-
-    def start(c):
-        return bag.select(c).distinct().select(c, *[(0.1 + hash_unit(F.col(c).cast("string"), F.lit(f"{seed}:{c}:{i}"))).alias(f"_{i}")
-                                                    for i in range(k)])
-
-    def step(mine, other, me, you):
-        """One update of the factor over ``me`` given the one over ``you``."""
-        gram = other.agg(*[F.sum(F.col(f"_{i}") * F.col(f"_{j}")).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).first()
-        top = bag.join(other, you).groupBy(me).agg(*[F.sum(F.col("_v") * F.col(f"_{i}")).alias(f"t{i}") for i in range(k)])
-        new = [(F.col(f"_{i}") * F.col(f"t{i}") / (sum((F.col(f"_{j}") * gram[f"g{j}_{i}"] for j in range(k)), F.lit(1e-12)))).alias(f"_{i}")
-               for i in range(k)]
-        return _once(mine.join(top, me).select(me, *new))
-
-    w, h = _once(start("_r")), _once(start("_c"))
-    for _ in range(max_iter):
-        w = step(w, h, "_r", "_c")
-        h = step(h, w, "_c", "_r")
-    return w.select(F.col("_r").alias(key), *[F.col(f"_{i}").alias(f"nmf_{key}_{value}_{i}") for i in range(k)])
+    cells count as zeros) by multiplicative updates."""
+    return _pair_table(nmf_pairs(df, [(key, value)], k, seed, max_iter), (key, value), df, "nmf", k)
 
 
 def tag_rate_embedding(df: DataFrame, id_col: str, tags: str, item: str, label: str, k: int = 4,
@@ -316,27 +307,11 @@ def tag_rate_embedding(df: DataFrame, id_col: str, tags: str, item: str, label:
     """Tag x item click-rate matrix (clicks / impressions), SVD, and a
     row's embedding = the sum of its tags' vectors."""
     ex = df.select(id_col, item, label, F.explode(F.filter(F.split(F.col(tags), sep), lambda s: s != "")).alias("_tag"))
-    rates = ex.groupBy("_tag", item).agg((F.sum(label) / F.count(F.lit(1))).alias("_rate"))
-    emb = _svd_from_long(rates, "_tag", item, "_rate", k)
-    j = ex.select(id_col, "_tag").join(emb, "_tag")
-    return j.groupBy(id_col).agg(*[F.sum(f"_e{i}").alias(f"tag_svd_{i}") for i in range(k)])
-
-
-def _svd_from_long(long: DataFrame, row: str, colname: str, val: str, k: int) -> DataFrame:
-    from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
-    ri = label_encode(long.select(row).distinct(), row, name="_ri").select(row, "_ri")
-    ci = label_encode(long.select(colname).distinct(), colname, name="_ci").select(colname, "_ci")
-    e = long.join(ri, row).join(ci, colname).select("_ri", "_ci", val)
-    cm = CoordinateMatrix(e.rdd.map(lambda r: MatrixEntry(int(r[0]), int(r[1]), float(r[2]))))
-    irm = cm.toIndexedRowMatrix()
-    svd = irm.computeSVD(k, computeU=True)
-    s = svd.s.toArray()
-    u = svd.U.rows.map(lambda r: (int(r.index), *[float(x) * float(sv) for x, sv in zip(r.vector.toArray(), s)]))
-    ud = u.toDF(["_ri", *[f"_e{i}" for i in range(len(s))]])
-    out = ri.join(ud, "_ri").drop("_ri")
-    for i in range(len(s), k):
-        out = out.withColumn(f"_e{i}", F.lit(0.0))
-    return out
+    cells = ex.where(F.col(item).isNotNull()).groupBy(F.col("_tag").alias("_r"), F.col(item).cast("string").alias("_c")) \
+        .agg((F.sum(label) / F.count(F.lit(1))).alias("_v"))
+    emb = randomised_svd(cells.select(F.lit("").alias("_g"), "_r", "_c", "_v"), k)[0]
+    j = ex.select(id_col, "_tag").join(emb.drop("_g").withColumnRenamed("_r", "_tag"), "_tag")
+    return j.groupBy(id_col).agg(*[F.sum(f"_{i}").alias(f"tag_svd_{i}") for i in range(k)])
 
 
 def mf_oof_feature(df: DataFrame, user: str, item: str, label: str, fold: str, k_folds: int, rank: int = 4,
@@ -392,16 +367,7 @@ def nb_ratios(long: DataFrame, doc: str, feature: str, value: str, labels: DataF
                     .alias("nb_ratio"))
 
 
-def nb_log_ratio(long: DataFrame, doc: str, feature: str, value: str, labels: DataFrame, label: str,
-                 name: str = "nb") -> DataFrame:
-    """The naive-Bayes ratio multiplied into x. Long format throughout."""
-    j = long.join(labels.select(doc, label), doc)
-    cnt = labels.groupBy(label).count().collect()
-    n = {r[label]: r["count"] for r in cnt}
-    n1, n0 = n.get(1, 0), n.get(0, 0)
-    r = j.groupBy(feature).agg(F.sum(F.when(F.col(label) == 1, F.col(value)).otherwise(0)).alias("_p"),
-                               F.sum(F.when(F.col(label) == 0, F.col(value)).otherwise(0)).alias("_q"))
-    r = r.select(feature, (F.log((F.col("_p") + 1) / F.lit(n1 + 1)) - F.log((F.col("_q") + 1) / F.lit(n0 + 1)))
-                 .alias("_r"))
-    return long.join(labels.select(doc), doc, "left_semi").join(r, feature) \
-               .select(doc, feature, (F.col(value) * F.col("_r")).alias(name))
+def nb_log_ratio(long: DataFrame, doc: str, feature: str, value: str, ratios: DataFrame, name: str = "nb") -> DataFrame:
+    """C19 apply: the fitted ratio multiplied into x, long format; features
+    that were not fitted are dropped."""
+    return long.join(ratios, feature).select(doc, feature, (F.col(value) * F.col("nb_ratio")).alias(name))
