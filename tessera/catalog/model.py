@@ -108,6 +108,27 @@ def m06(spark, sf):
     return out.select(*[rnd(c).alias(c) for c in out.columns])
 
 
+PART = "CASE WHEN day_i <= 20 THEN 'train' WHEN day_i <= 24 THEN 'valid' ELSE 'holdout' END"
+
+
+@register("M06_metric_gaps", sql=f"""
+WITH e AS (SELECT {PART} AS part, y, p_a FROM {EVX}), d AS (SELECT * FROM e UNION ALL SELECT 'all', y, p_a FROM e),
+r AS (SELECT part, y, rank() OVER (PARTITION BY part ORDER BY p_a) + (count(*) OVER (PARTITION BY part, p_a) - 1) / 2.0 AS rk FROM d),
+a AS (SELECT part, (sum(rk) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0)
+        / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)) AS auc FROM r GROUP BY part),
+m AS (SELECT part, count(*) AS n, avg(-(y * ln(least(greatest(p_a, 1e-15), 1 - 1e-15)) + (1 - y) * ln(1 - least(greatest(p_a, 1e-15), 1 - 1e-15))))
+        AS logloss, sqrt(avg((p_a - y) * (p_a - y))) AS rmse, corr(p_a, y) AS corr FROM d GROUP BY part),
+p AS (SELECT * FROM a JOIN m USING (part)), t AS (SELECT * FROM p WHERE part = 'train')
+SELECT p.part, p.n AS "rows", RND(p.auc) AS auc, RND(p.logloss) AS logloss, RND(p.rmse) AS rmse, round(p.corr, 6) AS corr,
+  round(p.auc - t.auc, 6) AS auc_gap, round(p.logloss - t.logloss, 6) AS logloss_gap, round(p.rmse - t.rmse, 6) AS rmse_gap,
+  round(p.corr - t.corr, 6) AS corr_gap FROM p, t""")
+def m06_gaps(spark, sf):
+    d = evx(spark, sf).withColumn("part", F.expr(PART))
+    out = M.metric_gaps(d, "part", "y", "p_a")
+    return out.select("part", "rows", *[rnd(c).alias(c) for c in ("auc", "logloss", "rmse")],
+                      *[F.round(c, 6).alias(c) for c in ("corr", "auc_gap", "logloss_gap", "rmse_gap", "corr_gap")])
+
+
 @register("M07_rank_weighted_blend", sql=f"""
 WITH d AS (SELECT event_id, p_a, p_b, count(*) OVER () AS n,
              rank() OVER (ORDER BY p_a) + (count(*) OVER (PARTITION BY p_a) - 1) / 2.0 AS ra,

@@ -21,43 +21,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import col
-from tessera.plans.positions import global_rank
+from tessera.plans.positions import average_rank as mean_rank
+from tessera.plans.positions import global_rank, value_ranks
+from tessera.session import written
 
 EPS = 1e-15
 
 
 # ------------------------------------------------------------------- ranks
 def average_rank(df: DataFrame, value: str, id_col: str, name: str = "rank") -> DataFrame:
-    """pandas ``rank()`` (1-based, ties share the mean rank), distributed:
-    positions from the skew-safe rank, tie groups combined by value."""
-    r = global_rank(df.select(id_col, value), [value, id_col], pos="_p", total=None)
-    ties = r.groupBy(value).agg(((F.min("_p") + F.max("_p")) / 2 + 1).alias(name))
-    return df.join(ties, value, "left")
+    """pandas ``rank()`` (1-based, ties share the mean rank): the different
+    values are ranked with their counts, then joined back."""
+    return average_ranks(df, [value], {value: name})
+
+
+def average_ranks(df: DataFrame, values: Sequence[str], names: Mapping[str, str]) -> DataFrame:
+    """``average_rank`` of several columns: all are ranked in one pass over a
+    long table of their different values. NULL has no rank."""
+    pairs = F.array(*[F.struct(F.lit(v).alias("_what"), F.col(v).cast("double").alias("_x")) for v in values])
+    long = df.select(F.explode(pairs).alias("p")).select("p._what", "p._x").where("_x is not null")
+    ranked = written(value_ranks(long, ["_what"], "_x").select("_what", "_x", mean_rank().alias("_rank")), "ranks")
+    out = df
+    for v in values:
+        mine = ranked.where(F.col("_what") == v).select(F.col("_x").alias(f"_x_{v}"), F.col("_rank").alias(names[v]))
+        out = out.join(mine, F.col(v).cast("double") == F.col(f"_x_{v}"), "left").drop(f"_x_{v}")
+    return out
 
 
 # ----------------------------------------------------------------- metrics
 def auc(df: DataFrame, label: str, score: str, id_col: str) -> float | None:
     """ROC-AUC by the rank-sum formula with average ranks for ties."""
-    r = average_rank(df.select(id_col, label, score).where(F.col(score).isNotNull()), score, id_col, "_rk")
-    row = r.agg(F.sum(F.when(F.col(label) == 1, F.col("_rk"))).alias("s"),
-                F.count_if(F.col(label) == 1).alias("n1"), F.count_if(F.col(label) == 0).alias("n0")).first()
-    if not row["n1"] or not row["n0"]:
-        return None
-    return (row["s"] - row["n1"] * (row["n1"] + 1) / 2) / (row["n1"] * row["n0"])
+    row = auc_by_group(df.withColumn("_one", F.lit(1)), "_one", label, score, id_col).first()
+    return row["auc"] if row else None
 
 
 def auc_by_group(df: DataFrame, group: str, label: str, score: str, id_col: str) -> DataFrame:
     """ROC-AUC per group (e.g. per candidate feature or per fold), all groups
-    in one distributed pass: rank inside the group, then a grouped sum."""
-    from tessera.plans.positions import with_positions
-    nn = df.select(group, id_col, label, score).where(F.col(score).isNotNull())
-    r = with_positions(nn, [group], [score, id_col], pos="_p", total=None)
-    ties = r.groupBy(group, score).agg(((F.min("_p") + F.max("_p")) / 2 + 1).alias("_rk"),
-                                       F.count_if(F.col(label) == 1).alias("_pos"))
-    s = ties.groupBy(group).agg(F.sum(F.col("_rk") * F.col("_pos")).alias("_s"))
-    n = nn.groupBy(group).agg(F.count_if(F.col(label) == 1).alias("_n1"), F.count_if(F.col(label) == 0).alias("_n0"))
-    return s.join(n, group).select(group, ((F.col("_s") - F.col("_n1") * (F.col("_n1") + 1) / 2)
-                                           / (F.col("_n1") * F.col("_n0"))).alias("auc"))
+    in one distributed pass: the different scores of a group with their
+    counts and positives are ranked, then summed. NULL for a group of one
+    class."""
+    v = value_ranks(df.where(F.col(score).isNotNull()), [group], score,
+                    _pos=F.count_if(F.col(label) == 1), _neg=F.count_if(F.col(label) == 0))
+    n1, n0 = F.sum("_pos"), F.sum("_neg")
+    return v.groupBy(group).agg(F.try_divide(F.sum(mean_rank() * F.col("_pos")) - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"))
 
 
 def logloss_expr(label, p) -> Column:
@@ -72,17 +78,43 @@ def metrics(df: DataFrame, label: str, score: str) -> DataFrame:
                   F.corr(score, label).alias("corr"))
 
 
+def part_metrics(df: DataFrame, part: str, label: str, score: str) -> DataFrame:
+    """M06 per part (a fold, or train / valid / holdout): ``rows``, ``auc``,
+    ``logloss`` (clipped), ``rmse`` and ``corr`` of score and 0/1 label, all from
+    one table of the different scores with their positives and negatives.
+    Rows without score or label count nowhere."""
+    v = value_ranks(df.where(F.col(score).isNotNull() & F.col(label).isNotNull()), [part], score,
+                    _pos=F.count_if(F.col(label) == 1), _neg=F.count_if(F.col(label) == 0))
+    s, n1, n0 = F.col(score).cast("double"), F.sum("_pos"), F.sum("_neg")
+    n = n1 + n0
+    loss = F.col("_pos") * logloss_expr(F.lit(1), score) + F.col("_neg") * logloss_expr(F.lit(0), score)
+    square = F.col("_pos") * F.pow(s - 1, 2) + F.col("_neg") * F.pow(s, 2)
+    both = F.col("_pos") + F.col("_neg")
+    sx, sxx, sxy = F.sum(s * both), F.sum(s * s * both), F.sum(s * F.col("_pos"))
+    corr = F.try_divide(n * sxy - sx * n1, F.sqrt((n * sxx - sx * sx) * (n * n1 - n1 * n1)))
+    return v.groupBy(part).agg(
+        n.alias("rows"), F.try_divide(F.sum(mean_rank() * F.col("_pos")) - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"),
+        F.try_divide(F.sum(loss), n).alias("logloss"), F.sqrt(F.try_divide(F.sum(square), n)).alias("rmse"), corr.alias("corr"))
+
+
 def fold_metrics(df: DataFrame, label: str, score: str, fold: str, id_col: str) -> DataFrame:
     """AUC, log-loss and RMSE per fold, then their mean and std over
     folds (one row per statistic)."""
-    a = auc_by_group(df, fold, label, score, id_col)
-    m = df.groupBy(fold).agg(F.avg(logloss_expr(label, score)).alias("logloss"),
-                             F.sqrt(F.avg(F.pow(F.col(score) - F.col(label), 2))).alias("rmse"))
-    per = a.join(m, fold)
+    per = part_metrics(df, fold, label, score)
     return per.agg(*[f(c).alias(f"{c}_{n}") for c in ("auc", "logloss", "rmse")
                      for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
 
 
+def metric_gaps(df: DataFrame, part: str, label: str, score: str, base: str = "train") -> DataFrame:
+    """``part_metrics`` with each part's gap to ``base`` (e.g. validation
+    and holdout against train) and a row ``all`` over every part."""
+    rows = df.select(F.explode(F.array(F.col(part).cast("string"), F.lit("all"))).alias(part), label, score)
+    per = written(part_metrics(rows, part, label, score), "part-metrics")
+    at = per.where(F.col(part) == base).select(*[F.col(c).alias(f"_{c}") for c in ("auc", "logloss", "rmse", "corr")])
+    return per.join(at, F.lit(True), "left").select(  # one row: the base
+        *per.columns, *[(F.col(c) - F.col(f"_{c}")).alias(f"{c}_gap") for c in ("auc", "logloss", "rmse", "corr")])
+
+
 # ---------------------------------------------------------------- M01-M02
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
@@ -285,9 +317,8 @@ def rank_weighted_blend(df: DataFrame, preds: Sequence[str], weights: Sequence[f
     """Each prediction becomes ``p * (rank + 1) / N`` (pandas average
     rank), the weighted average of those is taken, then ranked again."""
     n = df.count()
-    out = df
+    out = average_ranks(df, preds, {p: f"_r_{p}" for p in preds})
     for p in preds:
-        out = average_rank(out, p, id_col, name=f"_r_{p}")
         out = out.withColumn(f"{p}_rank", F.col(p) * (F.col(f"_r_{p}") + 1) / F.lit(n)).drop(f"_r_{p}")
     tot = float(sum(weights))
     blend = sum((F.col(f"{p}_rank") * F.lit(float(w)) for p, w in zip(preds, weights)), F.lit(0.0)) / F.lit(tot)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import col, inv_norm, safe_div
-from tessera.plans.positions import global_rank
+from tessera.plans.positions import average_rank, global_rank, value_ranks
 from tessera.plans.quantiles import column_quantiles
 
 
@@ -270,13 +270,11 @@ def loan_estimates(df: DataFrame, pv: str, payment: str, low_len: str, t_apr: fl
 def rank_to_normal(df: DataFrame, c: str, id_col: str, name: str | None = None, clip: float = 1e-7) -> DataFrame:
     """Quantile position -> standard normal. p = average 0-based rank of
     the value (ties share it) / (n - 1), clipped to [clip, 1 - clip], then the
-    inverse normal CDF. Ranks come from the distributed rank; tie groups are
-    combined by a grouped aggregate (a hot value combines map-side)."""
+    inverse normal CDF. Only the different values are
+    ranked, with their counts (a hot value combines map-side)."""
     name = name or f"{c}_normal"
-    nn = df.where(F.col(c).isNotNull()).select(id_col, c)
-    ranked = global_rank(nn, [c, id_col], pos="_r", total="_N")
-    ties = ranked.groupBy(c).agg(((F.min("_r") + F.max("_r")) / 2).alias("_ar"), F.first("_N").alias("_N"))
-    p = F.when(F.col("_N") > 1, F.col("_ar") / (F.col("_N") - 1)).otherwise(F.lit(0.5))
+    ties = value_ranks(df.where(F.col(c).isNotNull()).select(c), [], c)
+    p = F.when(F.col("_rows") > 1, (average_rank() - 1) / (F.col("_rows") - 1)).otherwise(F.lit(0.5))
     p = F.least(F.greatest(p, F.lit(clip)), F.lit(1 - clip))
     z = ties.select(c, inv_norm(p).alias(name))
     return df.join(z, c, "left")

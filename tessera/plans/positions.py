@@ -13,17 +13,21 @@ cuts compare the whole tuple, NULLs first and NaN last like the window does),
 a slice has ``chunk_rows / 8`` rows on average and more than ``chunk_rows`` with
 probability e^-8, and small groups mostly have no cut at all.
 
-A row finds its slice by binary search in the sorted cuts of its key. One hash
-exchange on ``(keys, slice)`` then feeds one window that numbers rows locally,
-keeps running sums and takes leads/lags. Groups with cuts are stitched together
-with two small tables, both computed with partial aggregation before that
-exchange:
-
-* slice sizes and sums turn local numbers into global ones;
-* a halo of the first (or last) ``|n|`` rows of every slice supplies a
-  lead/lag that crosses a slice edge.
-
-The cuts, sizes and halos have one entry (``|n|`` for a halo) per
+A row finds its slice by binary search in the sorted cuts of its key and is
+dealt by ``(keys, slice)``, once. One window over that exchange numbers the
+rows locally, keeps running sums and takes leads/lags. The same exchange is
+read a second time by an aggregate per slice (both readers ask for the same
+columns, so Spark keeps one exchange and runs its input once): size, sums and
+the first and last ``|n|`` rows of every slice of a group with cuts. From these
+one small table has, per slice, what lies outside of it: the rows and sums
+before it, the rows of the whole group, the next ``n`` and the previous ``n``
+values across any number of short slices. Every row joins its slice's entry.
+
+So the input is read twice, whatever the leads and sums: for the cuts (keys and
+order only) and for the rows. Select the columns you need before: all that are
+passed are dealt.
+
+The cuts and the slice table have one entry (with ``|n|`` values for leads) per
 ``chunk_rows / 8`` rows: 4 million for 10^12 rows at the default, which is what
 bounds their broadcast; a larger ``tessera.positions.chunkRows`` shrinks them.
 
@@ -40,6 +44,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import written
+
 CHUNK_ROWS_CONF = "tessera.positions.chunkRows"
 DEFAULT_CHUNK_ROWS = 2_000_000
 # slices per chunk_rows rows on average
@@ -80,10 +86,12 @@ def with_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_p
 def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                    sums: Sequence[str] = (), pos: str = "_pos", total: str | None = "_n",
                    leads: Mapping[str, tuple[str, int]] | None = None,
-                   rows_per_chunk: int | None = None, descending: bool = False) -> DataFrame:
+                   rows_per_chunk: int | None = None, descending: bool = False,
+                   sum_totals: bool = False) -> DataFrame:
     """Add ``pos`` (0-based rank of the row inside its key group by ``order``),
     ``total`` (rows in the group), ``_cum_<c>`` (inclusive running sum of each
-    column in ``sums``) and, for each ``name -> (column, n)`` in ``leads``, the
+    column in ``sums``; with ``sum_totals`` also ``_all_<c>``, the sum over the
+    group) and, for each ``name -> (column, n)`` in ``leads``, the
     value of ``column`` at position ``pos + n`` of the same group (NULL if
     none; n < 0 looks back).
 
@@ -104,98 +112,66 @@ def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     kcols = [F.col(k) for k in keys]
     ocols = [F.col(o).desc() if descending else F.col(o).asc() for o in order]
     b = with_slices(df, keys, order, rows_per_chunk or chunk_rows(df.sparkSession), descending)
+    dealt = b.repartition(*kcols, F.col("_chunk"))
+    # zero, but needs every column: keeps the exchange of both readers the same
+    same = F.xxhash64(*[F.col(f.name) for f in b.schema if "map<" not in f.dataType.simpleString()]).bitwiseAND(F.lit(0))
 
-    # --- small tables from groups with cuts, before the big exchange --------
-    hot_rows = b.where("_hot")
-    sizes = hot_rows.groupBy(*keys, "_chunk").agg(
-        F.count(F.lit(1)).alias("_csz"), *[F.sum(c).alias(f"_csum_{c}") for c in sums])
-    wk = Window.partitionBy(*kcols).orderBy("_chunk")
-    before = wk.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*kcols)
-    # a window over the slices of a key, not over its rows
-    off = sizes.select(
-        *keys, "_chunk", "_csz",
-        F.coalesce(F.sum("_csz").over(before), F.lit(0)).alias("_off"),
-        F.sum("_csz").over(whole).alias("_tot"),
-        *[F.sum(f"_csum_{c}").over(before).alias(f"_coff_{c}") for c in sums])
-
-    # --- the one big exchange: window over (keys, slice) ------------------
+    # --- first reader: one window over (keys, slice) -----------------------
     w = Window.partitionBy(*kcols, F.col("_chunk")).orderBy(*ocols)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     grp = Window.partitionBy(*kcols, F.col("_chunk"))
-    lead_exprs = []
-    for name, (c, n) in leads.items():
-        e = F.lead(c, n).over(w) if n > 0 else F.lag(c, -n).over(w)
-        lead_exprs.append(e.alias(f"_ll_{name}"))
-        # a value that is NULL itself is not a missing one
-        inside = F.lead(F.lit(True), n).over(w) if n > 0 else F.lag(F.lit(True), -n).over(w)
-        lead_exprs.append(inside.alias(f"_li_{name}"))
-    need_cnt = bool(total)
-    loc = b.select("*", (F.row_number().over(w) - 1).alias("_lpos"),
-                   *([F.count(F.lit(1)).over(grp).alias("_lcnt")] if need_cnt else []),
-                   *[F.sum(c).over(run).alias(f"_lcum_{c}") for c in sums],
-                   *lead_exprs)
-
-    o = F.broadcast(off).alias("_o")
-    j = loc.alias("_r").join(o, _on("_r", "_o", keys + ["_chunk"]), "left")
-    gpos = F.col("_r._lpos") + F.coalesce(F.col("_o._off"), F.lit(0))
-    cols = [F.col(f"_r.{c}") for c in out_cols] + [gpos.alias(pos)]
+    local = [(F.row_number().over(w) - 1).alias("_lpos")]
+    if total or leads:
+        local.append(F.count(F.lit(1)).over(grp).alias("_lcnt"))
+    loc = dealt.select("*", *local)
+    mine = [F.sum(c).over(run).alias(f"_lcum_{c}") for c in sums]
+    mine += [F.sum(c).over(grp).alias(f"_lall_{c}") for c in sums if sum_totals]
+    mine += [(F.lead(c, n) if n > 0 else F.lag(c, -n)).over(w).alias(f"_ll_{name}") for name, (c, n) in leads.items()]
+    rows = loc.select("*", same.alias("_same"), *mine).alias("_r")
+
+    # --- second reader: what every slice of a group with cuts holds --------
+    values = sorted({c for c, _ in leads.values()})
+    ahead, back = max([0, *(n for _, n in leads.values())]), max([0, *(-n for _, n in leads.values())])
+    entry = F.struct("_lpos", *[F.col(c).alias(f"v{i}") for i, c in enumerate(values)])
+    edge = [F.collect_list(F.when(F.col("_hot") & (F.col("_lpos") < ahead), entry)).alias("_head")] if ahead else []
+    edge += [F.collect_list(F.when(F.col("_hot") & (F.col("_lpos") >= F.col("_lcnt") - back), entry)).alias("_tail")] if back else []
+    slices = (loc if leads else dealt).groupBy(*kcols, "_chunk").agg(
+        F.count(F.lit(1)).alias("_csz"), *[F.sum(c).alias(f"_csum_{c}") for c in sums], F.max("_hot").alias("_cut"),
+        F.max(same).alias("_same"), *edge).where("_cut")
+
+    # --- what lies outside of a slice: a window over the slices of a key ---
+    wk = Window.partitionBy(*kcols).orderBy("_chunk")
+    before = wk.rowsBetween(Window.unboundedPreceding, -1)
+    outside = [(F.coalesce(F.sum("_csz").over(before), F.lit(0)) + F.col("_same")).alias("_off"),
+               F.sum("_csz").over(Window.partitionBy(*kcols)).alias("_tot"),
+               *[F.sum(f"_csum_{c}").over(before).alias(f"_coff_{c}") for c in sums],
+               *[F.sum(f"_csum_{c}").over(Window.partitionBy(*kcols)).alias(f"_call_{c}") for c in sums if sum_totals]]
+    if ahead:  # every slice has a row, so the next ``ahead`` slices have enough
+        near = F.flatten(F.collect_list(F.array_sort("_head")).over(wk.rowsBetween(1, ahead)))
+        outside.append(F.slice(near, 1, ahead).alias("_after"))
+    if back:
+        outside.append(F.flatten(F.collect_list(F.array_sort("_tail")).over(wk.rowsBetween(-back, -1))).alias("_before"))
+    o = F.broadcast(slices.select(*keys, "_chunk", *outside)).alias("_o")
+
+    j = rows.join(o, _on("_r", "_o", keys + ["_chunk"]), "left")
+    lpos = F.col("_r._lpos")
+    cols = [F.col(f"_r.{c}") for c in out_cols]
+    cols.append((lpos + F.coalesce(F.col("_o._off"), F.lit(0)) + F.col("_r._same")).alias(pos))
     if total:
         cols.append(F.coalesce(F.col("_o._tot"), F.col("_r._lcnt")).alias(total))
     for c in sums:
         # a slice without a value yet goes on with the sum of the slices before
-        local, earlier = F.col(f"_r._lcum_{c}"), F.col(f"_o._coff_{c}")
-        cols.append(F.coalesce(local + earlier, local, earlier).alias(f"_cum_{c}"))
-    cols += [F.col(f"_r._l{x}_{name}").alias(f"_l{x}_{name}") for name in leads for x in "li"]
-    cols += [F.col(f"_r.{k}").alias(f"_k_{k}") for k in keys]
-    res = j.select(*cols, F.col("_r._hot").alias("_hot_"))
-
-    # --- leads that cross a slice edge: broadcast halo ---------------------
+        here, earlier = F.col(f"_r._lcum_{c}"), F.col(f"_o._coff_{c}")
+        cols.append(F.coalesce(here + earlier, here, earlier).alias(f"_cum_{c}"))
+        if sum_totals:
+            cols.append(F.coalesce(F.col(f"_o._call_{c}"), F.col(f"_r._lall_{c}")).alias(f"_all_{c}"))
     for name, (c, n) in leads.items():
-        halo = _halo(hot_rows, off, keys, order, c, n)
-        hl = F.broadcast(halo).alias("_hl")
-        cond = F.col("_m._hot_") & F.col(f"_m._li_{name}").isNull()
-        for k in keys:
-            cond = cond & F.col(f"_m._k_{k}").eqNullSafe(F.col(f"_hl.{k}"))
-        cond = cond & (F.col(f"_m.{pos}") + F.lit(n) == F.col("_hl._hpos"))
-        keep = [F.col(f"_m.{x}") for x in res.columns if x not in (f"_ll_{name}", f"_li_{name}")]
-        res = res.alias("_m").join(hl, cond, "left").select(
-            *keep, F.coalesce(F.col(f"_m._ll_{name}"), F.col("_hl._hval")).alias(f"_ll_{name}"))
-    final = [F.col(c) for c in out_cols] + [F.col(pos)]
-    if total:
-        final.append(F.col(total))
-    final += [F.col(f"_cum_{c}") for c in sums]
-    final += [F.col(f"_ll_{name}").alias(name) for name in leads]
-    return res.select(*final)
-
-
-def _halo(hot_rows: DataFrame, off: DataFrame, keys: list[str], order: Sequence[str],
-          value: str, n: int) -> DataFrame:
-    """First ``n`` (n > 0) or last ``-n`` rows of every hot chunk with their
-    global position: ``|n|`` rounds of ``min_by``/``max_by`` (partial
-    aggregation, no row shuffle). Size <= |n| x hot chunks."""
-    o = F.struct(*[F.col(c) for c in order])
-    pick = F.min_by if n > 0 else F.max_by
-    cand = hot_rows.select(*keys, "_chunk", o.alias("_ord"), F.col(value).alias("_val"))
-    rounds = []
-    for i in range(abs(n)):
-        r = cand.groupBy(*keys, "_chunk").agg(
-            pick(F.struct("_ord", "_val"), F.col("_ord")).alias("_p"))
-        r = r.select(*keys, "_chunk", F.col("_p._ord").alias("_ord"), F.col("_p._val").alias("_hval"),
-                     F.lit(i).alias("_i"))
-        rounds.append(r)
-        if i + 1 < abs(n):
-            edge = F.broadcast(r.select(*keys, "_chunk", F.col("_ord").alias("_edge"))).alias("_e")
-            c2 = cand.alias("_c").join(edge, _on("_c", "_e", keys + ["_chunk"]), "left")
-            keep = (F.col("_c._ord") > F.col("_e._edge")) if n > 0 else (F.col("_c._ord") < F.col("_e._edge"))
-            cand = c2.where(F.col("_e._edge").isNull() | keep).select("_c.*")
-    halo = rounds[0]
-    for r in rounds[1:]:
-        halo = halo.unionByName(r)
-    hh = halo.alias("_x").join(F.broadcast(off).alias("_y"), _on("_x", "_y", keys + ["_chunk"]))
-    local = F.col("_x._i") if n > 0 else F.col("_y._csz") - 1 - F.col("_x._i")
-    return hh.select(*[F.col(f"_x.{k}").alias(k) for k in keys],
-                     (F.col("_y._off") + local).alias("_hpos"), F.col("_x._hval").alias("_hval"))
+        at = (lpos + n).cast("int")
+        far = (F.get(F.col("_o._after"), at - F.col("_r._lcnt").cast("int")) if n > 0
+               else F.get(F.col("_o._before"), F.size("_o._before") + at))
+        outside_slice = at >= F.col("_r._lcnt") if n > 0 else at < 0
+        cols.append(F.when(outside_slice, far[f"v{values.index(c)}"]).otherwise(F.col(f"_r._ll_{name}")).alias(name))
+    return j.select(*cols)
 
 
 def global_rank(df: DataFrame, order: Sequence[str], pos: str = "_rank",
@@ -203,3 +179,22 @@ def global_rank(df: DataFrame, order: Sequence[str], pos: str = "_rank",
     """0-based rank of every row over the whole table, computed in
     slices (never a single-task window)."""
     return with_positions(df, [], order, pos=pos, total=total, descending=descending)
+
+
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, **aggs: Column) -> DataFrame:
+    """One row per different ``value`` of a key group: ``_cnt`` rows hold it,
+    ``_upto`` hold it or a smaller one, ``_rows`` are in the group, and
+    ``aggs`` (by name) over the rows that hold it. The rows are counted with
+    partial aggregation and only the different values are ordered, so ties,
+    however many, cost one row. Ranks, quantiles, AUC and every other score of
+    (value, label) follow from these. The counts are written once: they are
+    read for the cuts, the rows and the slices."""
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt"), *[a.alias(n) for n, a in aggs.items()])
+    counts = written(counts, "value-counts")
+    ranked = with_positions(counts, keys, [value], sums=["_cnt"], pos="_nth", total=None, sum_totals=True)
+    return ranked.select(*keys, value, "_cnt", *aggs, F.col("_cum__cnt").alias("_upto"), F.col("_all__cnt").alias("_rows"))
+
+
+def average_rank() -> Column:
+    """1-based rank of a row of ``value_ranks``, ties sharing the mean."""
+    return F.col("_upto") - (F.col("_cnt") - 1) / 2
