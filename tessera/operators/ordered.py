@@ -5,11 +5,10 @@ instead of relying on the position of rows in a file. All positions come from
 ``plans.positions.with_positions``, which never sends a whole key group to
 one task. On top of positions:
 
-* lead/lag (T04-T07) is an equi-join on ``(keys, pos + n) = (keys, pos)``:
-  hash-partitioned on the position, so a hot key spreads over all tasks;
-* time-horizon counts (T08-T10) place *probe* rows at ``t - n`` / ``t + n``
-  in the same ordered stream; the running count of real rows at a probe is
-  the number of rows before that instant;
+* lead/lag (T04-T07) look inside a slice of the key's order, and into the
+  first or last rows of the slices beside it;
+* time-horizon counts (T08-T10) are range frames inside a slice; only where a
+  horizon ends in another slice a *probe* row is sent there;
 * last-K roll-ups (T12-T15) number child rows by recency and aggregate with
   ``agg(f(when(pos < K, x)))`` for every K in one pass (partial aggregation).
 """
@@ -18,11 +17,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import col, null_unless_keys
-from tessera.plans.positions import with_positions
+from tessera.plans.positions import chunk_rows, with_positions, with_slices
 from tessera.plans.quantiles import group_quantiles
 
 
@@ -113,50 +112,106 @@ def horizon_counts(df: DataFrame, keys: Sequence[str], time: Column, id_col: str
     * ``next`` (T09): rows later in order with ``t' <= t + n``;
     * ``window`` (T10): rows with ``t <= t' <= t + n``, self included.
 
-    Probe rows at ``t - n``, ``t`` and ``t + n`` ride in the same ordered
-    stream as the rows; the running count of real rows at a probe is the
-    number of rows before (tie 0) or up to (tie 2) that instant. Several
-    horizons (``ns``) share the one stream: one positions pass for all.
+    Rows are cut into slices of their key's time order and dealt once. Inside a
+    slice, growing range frames count the rows below ``t - n`` and up to
+    ``t + n`` for all horizons (``ns``) in one window. A probe row is sent only
+    where a horizon ends in another slice, to that slice; it comes back with
+    the slice's count by the row's id. Keys without cuts send none, so rows
+    are not copied per horizon. NULL times count as equal to each other.
     """
+    keys = list(keys)
     p = prefix or "_".join(keys)
     horizons = list(ns) if ns is not None else [n]
-    kc = [F.col(k) for k in keys]
-    real = df.select(*kc, time.alias("_v"), F.lit(1).alias("_tie"), F.col(id_col).alias("_id"),
-                     F.lit(1).alias("_flag"), F.lit(None).cast("string").alias("_tag"))
-    probes, tags = [], []
-
-    def probe(tag, v, tie):
-        tags.append(tag)
-        probes.append(df.select(*kc, v.alias("_v"), F.lit(tie).alias("_tie"), F.col(id_col).alias("_id"),
-                                F.lit(0).alias("_flag"), F.lit(tag).alias("_tag")))
-
+    spark = df.sparkSession
+    base = df.withColumn("_v", time).withColumn("_id", F.col(id_col))
+    whole = base.schema["_v"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    at: dict[str, tuple[Column, bool]] = {}
     for i, h in enumerate(horizons):
         if "prev" in which:
-            probe(f"lt_lo{i}", time - F.lit(h), 0)      # rows with t' <  t - h
+            at[f"lo{i}"] = (F.col("_b._v") - F.lit(h), False)   # rows with t' <  t - h
         if "next" in which or "window" in which:
-            probe(f"le_hi{i}", time + F.lit(h), 2)      # rows with t' <= t + h
+            at[f"hi{i}"] = (F.col("_b._v") + F.lit(h), True)    # rows with t' <= t + h
     if "window" in which:
-        probe("lt_t", time, 0)                          # rows with t' <  t
-    allr = real
-    for pr in probes:
-        allr = allr.unionByName(pr)
-    pos = with_positions(allr, keys, ["_v", "_tie", "_id"], sums=["_flag"], total=None)
-    # one grouping by row id collects the row's own rank and its probes
-    per = (pos.groupBy("_id")
-           .agg(F.max(F.when(F.col("_flag") == 1, F.col("_cum__flag") - 1)).alias("_rpos"),
-                *[F.max(F.when(F.col("_tag") == t, F.col("_cum__flag"))).alias(t) for t in tags]))
-    feats = []
+        at["now"] = (F.col("_b._v"), False)                      # rows with t' <  t
+    sliced = with_slices(base, keys, ["_v", "_id"], chunk_rows(spark), at={f"_at_{t}": v for t, v in at.items()})
+
+    # the row itself, and a probe for every count that ends in another slice
+    def entry(tag, chunk, value, own):
+        return F.struct(F.lit(tag).alias("tag"), chunk.alias("chunk"), value.cast(base.schema["_v"].dataType).alias("v"),
+                        own.alias("own"))
+
+    shift = {t: (F.lit(0) if t == "now" else F.lit(-horizons[int(t[2:])]) if t[:2] == "lo" else F.lit(horizons[int(t[2:])]))
+             for t in at}
+    everything = F.struct(*[F.col(c) for c in df.columns])
+    nothing = F.lit(None).cast(sliced.select(everything).schema[0].dataType)
+    entries = [entry("", F.col("_chunk"), F.col("_v"), everything)]
+    entries += [F.when(F.col(f"_at_{t}") != F.col("_chunk"), entry(t, F.col(f"_at_{t}"), F.col("_v") + shift[t], nothing))
+                for t in at]
+    away = [(F.col(f"_at_{t}") != F.col("_chunk")).alias(f"_away_{t}") for t in at]
+    stream = sliced.select(*keys, "_id", "_hot", *away, F.explode(F.array_compact(F.array(*entries))).alias("e")) \
+        .select(*keys, "_id", "_hot", *[f"_away_{t}" for t in at], "e.*").withColumnRenamed("chunk", "_chunk") \
+        .withColumn("flag", (F.col("tag") == "").cast("long"))
+    dealt = stream.repartition(*[F.col(k) for k in keys], F.col("_chunk"))
+
+    part = Window.partitionBy(*[F.col(k) for k in keys], F.col("_chunk"))
+    by_time = part.orderBy("v")
+
+    def upto(offset) -> Column:
+        """Rows of the slice with t' <= v + offset."""
+        return F.coalesce(F.sum("flag").over(by_time.rangeBetween(Window.unboundedPreceding, offset)), F.lit(0))
+
+    def below(h) -> Column:
+        """Rows of the slice with t' < v - h."""
+        if whole:
+            return F.when(F.col("v").isNull(), 0).otherwise(upto(-int(h) - 1))  # nothing is below NULL
+        down = f"sum(flag) over (partition by {', '.join(f'`{k}`' for k in keys + ['_chunk'])} order by v desc " \
+               f"range between unbounded preceding and {float(h)}D following)"
+        return F.sum("flag").over(part) - F.coalesce(F.expr(down), F.lit(0))
+
+    def up(h) -> Column:
+        if whole:
+            return upto(int(h))
+        return F.coalesce(F.expr(f"sum(flag) over (partition by {', '.join(f'`{k}`' for k in keys + ['_chunk'])} order by v "
+                                 f"range between unbounded preceding and {float(h)}D following)"), F.lit(0))
+
+    here = F.sum("flag").over(part.orderBy("v", F.col("flag").desc(), "_id").rowsBetween(Window.unboundedPreceding, 0))
+    equal = F.sum("flag").over(by_time.rangeBetween(0, 0))
+    local = [upto(0).alias("_upto"), equal.alias("_equal")]
+    for i, h in enumerate(horizons):
+        local += [below(h).alias(f"_lo{i}")] if f"lo{i}" in at else []
+        local += [up(h).alias(f"_hi{i}")] if f"hi{i}" in at else []
+    same = F.xxhash64(*dealt.columns).bitwiseAND(F.lit(0))
+    # the finest order first: it serves the windows by time alone, too
+    counted = dealt.select("*", same.alias("_same"), here.alias("_here")).select("*", *local)
+    # rows of the slices before, for rows and probes that meet across slices
+    sizes = dealt.groupBy(*keys, "_chunk").agg(F.sum("flag").alias("_n"), F.max("_hot").alias("_cut"), F.max(same).alias("_same")) \
+        .where("_cut")
+    before = Window.partitionBy(*[F.col(k) for k in keys]).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    off = sizes.select(*keys, "_chunk", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + F.col("_same")).alias("_off"))
+    j = counted.alias("_r").join(F.broadcast(off).alias("_o"), _on("_r", "_o", [*keys, "_chunk"]), "left")
+    offset = F.coalesce(F.col("_o._off"), F.lit(0))
+    # in the order of the whole key: the row's own place, and what a probe counts
+    answer = offset + F.when(F.col("tag").startswith("hi"), F.col("_upto")).otherwise(F.col("_upto") - F.col("_equal"))
+    real = F.col("tag") == ""
+    keep = F.struct("own", (offset + F.col("_here") - 1 + F.col("_same")).alias("place"), (offset + F.col("_upto") - F.col("_equal")).alias("now"),
+                    *[(offset + F.col(f"_{t}")).alias(t) for t in at if t != "now"], *[F.col(f"_away_{t}") for t in at])
+    per = j.select(F.col("_r._id").alias("_id"), "tag", F.when(real, keep).alias("k"), answer.alias("a")).groupBy("_id").agg(
+        F.first("k", ignorenulls=True).alias("k"), *[F.max(F.when(F.col("tag") == t, F.col("a"))).alias(f"far_{t}") for t in at])
+
+    def count(t) -> Column:
+        return F.when(F.col(f"k._away_{t}"), F.col(f"far_{t}")).otherwise(F.col(f"k.{t}"))
+
+    place, feats = F.col("k.place"), []
     for i, h in enumerate(horizons):
         if "prev" in which:
-            feats.append((F.col("_rpos") - F.col(f"lt_lo{i}")).alias(f"count_prev_{_fmt(h)}__{p}"))
+            feats.append((place - count(f"lo{i}")).alias(f"count_prev_{_fmt(h)}__{p}"))
         if "next" in which:
-            feats.append((F.col(f"le_hi{i}") - F.col("_rpos") - 1).alias(f"count_next_{_fmt(h)}__{p}"))
+            feats.append((count(f"hi{i}") - place - 1).alias(f"count_next_{_fmt(h)}__{p}"))
         if "window" in which:
-            feats.append((F.col(f"le_hi{i}") - F.col("lt_t")).alias(f"count_window_{_fmt(h)}__{p}"))
-    res = per.select(F.col("_id").alias(id_col), *feats)
-    out = df.join(res, id_col, "left")
+            feats.append((count(f"hi{i}") - count("now")).alias(f"count_window_{_fmt(h)}__{p}"))
+    out = per.select(*[F.col(f"k.own.{c}").alias(c) for c in df.columns], *feats)
     return out.select(*df.columns, *[null_unless_keys(F.col(c).cast("bigint"), keys).alias(c)
-                                     for c in res.columns if c != id_col])
+                                     for c in out.columns if c not in df.columns])
 
 
 def _fmt(n) -> str:

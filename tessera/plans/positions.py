@@ -64,23 +64,34 @@ def chunk_rows(spark) -> int:
 
 
 def with_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_chunk: int,
-                descending: bool = False) -> DataFrame:
+                descending: bool = False, at: Mapping[str, tuple[Column, bool]] | None = None) -> DataFrame:
     """``df`` with ``_chunk`` (slice number along the order) and ``_hot`` (does
-    the key group have cuts)."""
+    the key group have cuts). ``at`` adds, by name, the slice in which a value
+    of the first order column falls: after all rows below it, or (True) after
+    all rows up to it."""
     mean = max(1, rows_per_chunk // SLICES)
     tuple_ = F.struct(*[F.col(o) for o in order])
     cuts = (df.where(F.pmod(F.xxhash64(*keys, *order), F.lit(mean)) == 0)
             .groupBy(*keys).agg(F.sort_array(F.collect_set(tuple_)).alias("_cuts")))
     j = df.alias("_b").join(F.broadcast(cuts).alias("_h"), _on("_b", "_h", keys), "left")
-    mine = F.struct(*[F.col(f"_b.{o}") for o in order])
     n = F.size("_h._cuts")
-    # number of cuts at or before the row, bit by bit from the highest
-    below = F.aggregate(
-        F.transform(F.sequence(F.floor(F.log2(n.cast("double"))).cast("int"), F.lit(0)), lambda b: F.pow(F.lit(2), b).cast("int")),
-        F.lit(0), lambda k, step: F.when(
-            (k + step <= n) & (F.get(F.col("_h._cuts"), k + step - 1) <= mine), k + step).otherwise(k))
-    chunk = F.when(F.col("_h._cuts").isNotNull(), (n - below) if descending else below).otherwise(F.lit(0))
-    return j.select("_b.*", chunk.cast("long").alias("_chunk"), F.col("_h._cuts").isNotNull().alias("_hot"))
+
+    def below(passes) -> Column:
+        """Number of leading cuts that pass, bit by bit from the highest."""
+        return F.aggregate(
+            F.transform(F.sequence(F.floor(F.log2(n.cast("double"))).cast("int"), F.lit(0)), lambda b: F.pow(F.lit(2), b).cast("int")),
+            F.lit(0), lambda k, step: F.when(
+                (k + step <= n) & passes(F.get(F.col("_h._cuts"), k + step - 1)), k + step).otherwise(k))
+
+    mine = F.struct(*[F.col(f"_b.{o}") for o in order])
+    own = below(lambda cut: cut <= mine)
+    extra = []
+    for name, (value, up_to) in (at or {}).items():
+        x = F.struct(value.alias(order[0]))
+        where = below(lambda cut, x=x, u=up_to: (F.struct(cut[order[0]]) <= x) if u else (F.struct(cut[order[0]]) < x))
+        extra.append(F.when(F.col("_h._cuts").isNotNull(), where).otherwise(F.lit(0)).cast("long").alias(name))
+    chunk = F.when(F.col("_h._cuts").isNotNull(), (n - own) if descending else own).otherwise(F.lit(0))
+    return j.select("_b.*", chunk.cast("long").alias("_chunk"), F.col("_h._cuts").isNotNull().alias("_hot"), *extra)
 
 
 def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],

@@ -105,3 +105,64 @@ def test_slices_stay_small_and_build_runs_no_job(spark):
     before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
     with_positions(df, ["k"], ["x", "id"], sums=["v"], leads={"a": ("v", 1)}, rows_per_chunk=100)
     assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+
+
+def _brute_horizons(rows, h):
+    """(prev, next, window) per id of (id, key, t); NULL times equal each other."""
+    out = {}
+    for i, k, t in rows:
+        prev = nxt = win = 0
+        for i2, k2, t2 in rows:
+            if k2 != k or (t is None) != (t2 is None):
+                continue
+            same = t is None
+            first = (0 if same else t2, i2) < (0 if same else t, i)
+            prev += first and (same or t2 >= t - h)
+            nxt += not first and i2 != i and (same or t2 <= t + h)
+            win += same or t <= t2 <= t + h
+        out[i] = (prev, nxt, win)
+    return out
+
+
+def test_horizons_across_slices_match_all_pairs(spark):
+    """Short and long horizons, ties, NULL times, a hot key in many slices;
+    whole and fractional times."""
+    import random
+    from tessera.operators import ordered as O
+    rng = random.Random(9)
+    rows = [(i, None if i % 40 == 0 else "hot" if i % 2 else f"k{i % 5}", None if i % 31 == 0 else rng.randrange(120)) for i in range(700)]
+    old = spark.conf.get("tessera.positions.chunkRows", None)
+    spark.conf.set("tessera.positions.chunkRows", "160")
+    try:
+        for kind, scale in (("long", 1), ("double", 0.5)):
+            data = [(i, k, None if t is None else t * scale) for i, k, t in rows]
+            df = spark.createDataFrame([(*r, "pass") for r in data], f"id long, k string, t {kind}, v string")
+            hs = [3 * scale, 17 * scale, 500 * scale]
+            got = O.horizon_counts(df, ["k"], F.col("t"), "id", ns=hs).collect()
+            assert len(got) == len(rows) and all(r["v"] == "pass" for r in got)
+            for h in hs:
+                want = _brute_horizons(data, h)
+                f = O._fmt(h)
+                for r in got:
+                    mine = tuple(r[f"count_{w}_{f}__k"] for w in ("prev", "next", "window"))
+                    assert mine == ((None,) * 3 if r["k"] is None else want[r["id"]]), (kind, h, r)
+    finally:
+        spark.conf.set("tessera.positions.chunkRows", old) if old else spark.conf.unset("tessera.positions.chunkRows")
+
+
+def test_the_input_runs_twice_at_most(spark):
+    """After execution: one scan for the cuts, one for the rows; the reader for
+    the slices reuses the exchange of the rows. Without cuts both go."""
+    import re
+    ev = _events(spark).select("event_id", "user_id", "ts", "value")
+
+    def scans(rows_per_chunk):
+        p = with_positions(ev, ["user_id"], ["ts", "event_id"], sums=["value"], rows_per_chunk=rows_per_chunk,
+                           leads={"a": ("value", 3), "b": ("value", -2)})
+        p.collect()
+        plan = p._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        reused = len(re.findall("ReusedExchange", plan))
+        return len(re.findall("Scan parquet", plan)), reused
+
+    assert scans(200) == (2, 1)
+    assert scans(10**9)[0] == 1
