@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import model as M
+from tessera.operators.batch_fit import Model, cv_aucs, fit_logistic
 
 
 def long_format(df: DataFrame, id_col: str | None, features: Sequence[str], label: str | None = None) -> DataFrame:
@@ -219,11 +220,11 @@ def importance_search(train: DataFrame, features: Sequence[str], label: str, fol
         for r in importance_intersection(train.where(F.col(fold) != i), features, label, len(features), seed).collect():
             ranks[r.feature][0] += r.gain / k
             ranks[r.feature][1] += r.splits / k
-    rows = []
+    sets = []
     for n in top:
         both = [set(sorted(features, key=lambda f: (-ranks[f][j], f))[:n]) for j in (0, 1)]
-        keep = [f for f in features if f in both[0] & both[1]]
-        rows.append((n, ",".join(keep), float(_cv_auc(train, keep, label, fold, id_col, k)) if keep else 0.5))
+        sets.append([f for f in features if f in both[0] & both[1]])
+    rows = [(n, ",".join(c), s) for n, c, s in zip(top, sets, cv_aucs(train, sets, label, fold, k)[0])]
     best = max(rows, key=lambda r: (r[2], -r[0]))[0]
     return train.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows],
                                               "n long, features string, cv_auc double, best boolean")
@@ -231,14 +232,16 @@ def importance_search(train: DataFrame, features: Sequence[str], label: str, fol
 
 def forward_rounds(train: DataFrame, candidates: Sequence[str], label: str, fold: str, id_col: str, k: int,
                    base: Sequence[str] = (), max_rounds: int | None = None) -> DataFrame:
-    """L11, round-based: each round tries every candidate that is left and
-    adds the one with the best CV AUC; ends when none improves it. One row per
-    round: (round, added, cv_auc)."""
+    """L11, round-based: each round tries every candidate that is left, all in
+    one fit, and adds the one with the best CV AUC; ends when none improves it.
+    One row per round: (round, added, cv_auc)."""
     train = _loop_input(train, [id_col, label, fold, *base, *candidates])
     cur, left, rows = list(base), list(candidates), []
-    best = _cv_auc(train, cur, label, fold, id_col, k) if cur else 0.5
+    best = None
     while left and (max_rounds is None or len(rows) < max_rounds):
-        score, f = max((_cv_auc(train, cur + [f], label, fold, id_col, k), f) for f in left)
+        now, *aucs = cv_aucs(train, [cur, *[cur + [f] for f in left]], label, fold, k)[0]
+        best = now if best is None else best
+        score, f = max(zip(aucs, left))
         if score <= best:
             break
         cur.append(f)
@@ -249,23 +252,8 @@ def forward_rounds(train: DataFrame, candidates: Sequence[str], label: str, fold
 
 
 def _cv_auc(train, feats, label, fold, id_col, k) -> float:
-    """Out-of-fold AUC, scored while the assembled frame is still cached
-    (exact ROC area: ``numBins=0`` keeps every distinct score)."""
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    tr = M.assemble(train.select(id_col, label, fold, *feats), feats).persist()
-    try:
-        parts = []
-        for f in range(k):
-            m = M.default_estimator(label).fit(tr.where(F.col(fold) != f))
-            parts.append(m.transform(tr.where(F.col(fold) == f)).select(label, "probability"))
-        oof = parts[0]
-        for p in parts[1:]:
-            oof = oof.unionByName(p)
-        ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability",
-                                           metricName="areaUnderROC", numBins=0)
-        return ev.evaluate(oof.withColumn(label, F.col(label).cast("double")))
-    finally:
-        tr.unpersist()
+    """Out-of-fold AUC of one column set."""
+    return cv_aucs(train, [feats], label, fold, k)[0][0]
 
 
 def _loop_input(train: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -275,80 +263,73 @@ def _loop_input(train: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def drop_one_report(train: DataFrame, features: Sequence[str], label: str, fold: str, id_col: str, k: int) -> DataFrame:
-    """CV AUC with all features and without each one; the gain of
-    dropping a feature = score without it - full score."""
+    """CV AUC with all features and without each one, all in one fit; the
+    gain of dropping a feature = score without it - full score."""
     train = _loop_input(train, [id_col, label, fold, *features])
-    full = _cv_auc(train, features, label, fold, id_col, k)
-    rows = [("<none>", full, 0.0)]
-    for f in features:
-        s = _cv_auc(train, [x for x in features if x != f], label, fold, id_col, k)
-        rows.append((f, s, s - full))
+    sets = [list(features), *[[x for x in features if x != f] for f in features]]
+    full, *aucs = cv_aucs(train, sets, label, fold, k)[0]
+    rows = [("<none>", full, 0.0), *[(f, s, s - full) for f, s in zip(features, aucs)]]
     return train.sparkSession.createDataFrame(rows, "dropped string, cv_auc double, gain double")
 
 
 def backward_elimination(train: DataFrame, features: Sequence[str], label: str, fold: str, id_col: str, k: int,
                          min_features: int = 1) -> DataFrame:
-    """Each round drop the feature whose removal improves CV most; stop
-    when no removal improves. Returns one row per round."""
+    """Each round drop the feature whose removal improves CV most (all
+    removals of a round in one fit); stop when none improves. One row per
+    round."""
     train = _loop_input(train, [id_col, label, fold, *features])
-    cur = list(features)
-    best = _cv_auc(train, cur, label, fold, id_col, k)
-    rows = [(0, ",".join(cur), best)]
-    rnd = 0
-    while len(cur) > min_features:
-        trial = {f: _cv_auc(train, [x for x in cur if x != f], label, fold, id_col, k) for f in cur}
-        f, s = max(trial.items(), key=lambda t: (t[1], t[0]))
-        if s <= best:
+    cur, rows = list(features), []
+    while True:
+        trial = [[x for x in cur if x != f] for f in cur] if len(cur) > min_features else []
+        now, *aucs = cv_aucs(train, [cur, *trial], label, fold, k)[0]
+        if not rows:
+            rows.append((0, ",".join(cur), now))
+        if not trial:
+            break
+        s, f = max(zip(aucs, cur))
+        if s <= rows[-1][2]:
             break
         cur.remove(f)
-        best = s
-        rnd += 1
-        rows.append((rnd, ",".join(cur), best))
+        rows.append((len(rows), ",".join(cur), s))
     return train.sparkSession.createDataFrame(rows, "round long, features string, cv_auc double")
 
 
 def forward_selection(train: DataFrame, candidates: Sequence[str], label: str, fold: str, id_col: str, k: int,
                       holdout: DataFrame | None = None, base: Sequence[str] = ()) -> DataFrame:
     """Greedy one pass: add a candidate when the CV score improves (and
-    the holdout AUC too, when a holdout is given)."""
+    the holdout AUC too, when a holdout is given). The candidates up to the
+    next addition share the columns chosen so far, so all that are left are
+    fitted together and fitted again only after an addition."""
     train = _loop_input(train, [id_col, label, fold, *base, *candidates])
-    cur = list(base)
-    best = _cv_auc(train, cur, label, fold, id_col, k) if cur else 0.5
-    best_ho = 0.5
-    rows = []
-    for f in candidates:
-        s = _cv_auc(train, cur + [f], label, fold, id_col, k)
-        ok = s > best
-        ho = None
-        if ok and holdout is not None:
-            m = M.default_estimator(label).fit(M.assemble(train, cur + [f]))
-            from pyspark.ml.functions import vector_to_array
-            p = m.transform(M.assemble(holdout, cur + [f])).select(id_col, label,
-                                                                     vector_to_array("probability")[1].alias("p"))
-            ho = M.auc(p, label, "p", id_col)
-            ok = ho > best_ho
-        if ok:
-            cur.append(f)
-            best = s
-            best_ho = ho if ho is not None else best_ho
-        rows.append((f, float(s), ho, ok))
+    cur, left, rows = list(base), list(candidates), []
+    best, best_ho = None, 0.5
+    while left:
+        (now, *cv), (_, *ho) = cv_aucs(train, [cur, *[cur + [f] for f in left]], label, fold, k, holdout=holdout)
+        best = now if best is None else best
+        for i, f in enumerate(left):
+            ok = cv[i] > best
+            shown = ho[i] if ok else None
+            ok = ok and (holdout is None or ho[i] > best_ho)
+            rows.append((f, float(cv[i]), shown, ok))
+            if ok:
+                cur.append(f)
+                best, best_ho = cv[i], ho[i] if holdout is not None else best_ho
+                break
+        left = left[i + 1:]
     return train.sparkSession.createDataFrame(rows, "candidate string, cv_auc double, holdout_auc double, added boolean")
 
 
 def recursive_elimination(train: DataFrame, features: Sequence[str], label: str, n_keep: int) -> DataFrame:
-    """Refit a logistic regression on standardised features and drop
-    the smallest |coefficient| until ``n_keep`` remain."""
+    """Refit a logistic regression and drop the smallest |coefficient| on
+    columns of unit deviation until ``n_keep`` remain."""
     train = _loop_input(train, [label, *features])
-    from pyspark.ml.feature import StandardScaler
-    cur = list(features)
-    order = []
+    std = train.agg(*[F.stddev_samp(F.col(f).cast("double")).alias(f) for f in features]).first()
+    cur, order = list(features), []
     while len(cur) > n_keep:
-        a = M.assemble(train, cur, out="_raw")
-        sc = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(a)
-        m = M.default_estimator(label).fit(sc.transform(a))
-        coef = m.coefficients.toArray()
-        i = min(range(len(cur)), key=lambda j: (abs(coef[j]), cur[j]))
-        order.append(cur.pop(i))
+        fitted = fit_logistic(train, label, [Model(tuple(cur))])
+        size = {c: abs(b) * (std[c] or 0.0) for c, b in zip(fitted.columns, fitted.coefficients[0])}
+        order.append(min(cur, key=lambda c: (size[c], c)))
+        cur.remove(order[-1])
     rows = [(f, i + 1) for i, f in enumerate(order)] + [(f, None) for f in cur]
     return train.sparkSession.createDataFrame(rows, "feature string, dropped_round long")
 
