@@ -214,6 +214,13 @@ def c16(spark, sf):
     return C.mf_oof_feature(ev, "user_id", "k", "y", "fold", 3).select("event_id", "mf_score")
 
 
+@register("C16_fm_side_features")
+def c16_fm(spark, sf):
+    ev = H.kfold(events_df(spark, sf), "event_id", 3, seed=7)
+    return C.fm_oof_feature(ev, "event_id", "user_id", "k", "y", "fold", 3, side=["day"], numeric=["hr", "value"],
+                            buckets=1 << 14, max_iter=30)
+
+
 @register("C17_sequence_builder", sql="""
 WITH r AS (SELECT o_custkey, o_totalprice,
              row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS rec FROM orders),

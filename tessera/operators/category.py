@@ -333,6 +333,40 @@ def mf_oof_feature(df: DataFrame, user: str, item: str, label: str, fold: str, k
     return out
 
 
+def fm_oof_feature(df: DataFrame, id_col: str, user: str, item: str, label: str, fold: str, k_folds: int,
+                   side: Sequence[str] = (), numeric: Sequence[str] = (), factors: int = 4, buckets: int = 1 << 16,
+                   max_iter: int = 60, step: float = 0.1, reg: float = 1e-4, seed: int = 0, name: str = "fm_score") -> DataFrame:
+    """C16 with side columns: a factorisation machine over user, item, ``side``
+    categories and ``numeric`` columns, as an out-of-fold probability. A row is
+    a sparse vector of hashed ``column=value`` slots (``FeatureHasher``), so no
+    dictionary is built and the model has ``buckets x (factors + 1)`` numbers
+    whatever the number of users; numeric columns are scaled to deviation one.
+    A value that the other folds never hold contributes its start factors only,
+    near zero: the row is scored by the rest. NULL categories are a value, NULL
+    numbers are 0 (the mean)."""
+    from pyspark.ml.classification import FMClassifier
+    from pyspark.ml.feature import FeatureHasher
+    from pyspark.ml.functions import vector_to_array
+    stats = df.agg(*[f(F.col(c).cast("double")).alias(f"{c}_{n}") for c in numeric for n, f in (("m", F.avg), ("s", F.stddev_samp))],
+                   F.count(F.lit(1)).alias("n")).first()
+    cats = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(f"_c{i}") for i, c in enumerate([user, item, *side])]
+    # a zero is left out of the vector (the machine takes no explicit zeros), like NULL
+    nums = [F.nullif((F.col(c).cast("double") - F.lit(stats[f"{c}_m"])) / F.lit(stats[f"{c}_s"] or 1.0), F.lit(0.0)).alias(f"_n{i}")
+            for i, c in enumerate(numeric)]
+    inputs = [f"_c{i}" for i in range(2 + len(side))] + [f"_n{i}" for i in range(len(numeric))]
+    hasher = FeatureHasher(inputCols=inputs, outputCol="features", numFeatures=buckets)
+    rows = _once(hasher.transform(df.select(id_col, F.col(label).cast("double").alias("_y"), F.col(fold).alias("_f"), *cats, *nums))
+                 .select(id_col, "_y", "_f", "features"))
+    out = None
+    for f in range(k_folds):
+        fm = FMClassifier(featuresCol="features", labelCol="_y", factorSize=factors, maxIter=max_iter, stepSize=step,
+                          regParam=reg, seed=seed, solver="adamW")
+        model = fm.fit(rows.where((F.col("_f") != f) & F.col("_y").isNotNull()))
+        p = model.transform(rows.where(F.col("_f") == f)).select(id_col, vector_to_array("probability")[1].alias(name))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
 # ------------------------------------------------------------------ C17-C19
 def sequence_builder(child: DataFrame, parent: str, order: Sequence[str], value: str, maxlen: int,
                      pad=0.0, name: str | None = None) -> DataFrame:
