@@ -58,3 +58,55 @@ def test_edges(spark):
     assert got[5] == "kept text" and got[7] == "5 < 6 & 7 > 2" and len(got[8]) == 5 * 50_000 - 1
     assert extract_text(df).count() == len(rows)
     assert extract_text(df.where("false")).count() == 0
+
+
+def test_no_article_is_lost_to_a_class_word():
+    text = " ".join([WORDS] * 6)
+    for attr in ("class='popular-science'", "class='legal-analysis'", "class='search-results-explained'", "id='comments'",
+                 "class='sidebar'", "class='legal'"):
+        body = f"<nav>menu words</nav><div {attr}><h1>Head</h1><p>{text}</p></div><footer>foot</footer>"
+        assert extract(page(body), {}) == f"Head {text}", attr
+    # nested frames, and a real sidebar beside the article
+    body = f"<div class='widget'><div class='legal'><p>{text}</p></div></div><div class='sidebar'><p>side words</p></div>"
+    assert extract(page(body), {}) == text
+
+
+def test_region_is_the_best_of_all():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from tessera.llm.html_extract import best_region
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(st.integers(-5, 5), max_size=12))
+    def check(scores):
+        start, end = best_region([float(x) for x in scores])
+        every = [sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+        assert sum(scores[start:end]) == max([0, *every])
+
+    check()
+
+
+def test_bad_markup_takes_linear_time():
+    import time
+    from tessera.llm.html_extract import page_runs
+
+    def seconds(n, part):
+        text = part * n
+        return min(_timed(lambda: page_runs(text)) for _ in range(3))
+
+    def _timed(f):
+        t = time.perf_counter()
+        f()
+        return time.perf_counter() - t
+
+    for part in ("</b>", "<b>", "<i><b>w</i>", "<p>x<span>", "<div class=ad>", "<td><p>"):
+        assert seconds(16_000, part) < 12 * seconds(4_000, part) + 0.05, part
+
+
+def test_deep_links_and_paragraphs():
+    deep = "<a href=x>" + "<span>" * 9 + "linked words " * 9 + "</span>" * 9 + "</a>"
+    from tessera.llm.html_extract import runs
+    assert [r.key.split()[1] for r in runs(deep) if r.words] == ["link"]
+    seq = [r for r in runs("<p>a<b><i><u><s>b<p>c<table><tr><td>d<p>e") if r.words]
+    assert len({r.block for r in seq}) == 5 - 1  # a and b are one block
+    assert extract(page("<p>" + WORDS + "<b><i><u><s>" + WORDS + "<p>" + WORDS), {}) == f"{WORDS}{WORDS} {WORDS}"
