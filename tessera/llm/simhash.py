@@ -30,8 +30,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm.common import connected_components, materialise, words
 
@@ -237,22 +238,57 @@ def simhash_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(``doc_id``, ``fingerprint``, ``component_id``): fingerprints link at
     ``radius`` or fewer differing bits, the component id is the smallest
     doc_id reachable."""
+    fp, named = _components(docs, id_col, text_col, shingle, radius)
+    return fp.join(named, "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(``doc_id``, ``fp``) per row, and (``fp``, ``component``, ``component_id``)
+    per fingerprint; ``component`` is its smallest fingerprint."""
     fp = materialise(with_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = materialise(fp.groupBy("fp").agg(F.min("doc_id").alias("low")), "fingerprint-values")
     comp = connected_components(links(distinct.select("fp"), radius), "u", "v")
     named = distinct.join(comp, distinct.fp == comp.node, "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root"))
+        "fp", "low", F.coalesce("root", "fp").alias("component"))
     named = materialise(named, "fingerprint-roots")
-    ids = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(ids, "root").select("fp", "component_id")
-    return fp.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    return fp, named.join(ids, "component").select("fp", "component", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose identifier names their component: one
-    document of each group stays."""
-    kept = simhash_dups(docs, id_col, text_col, shingle, radius) \
-        .where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    """The rows and columns of ``docs`` of which one per component stays: the
+    smallest id (NULL last), then the smallest fingerprint, then the smallest
+    text hash. Rows whose id is NULL or repeated are told apart by their own
+    fingerprint, computed again for the kept ids among them only."""
+    fp, named = _components(docs, id_col, text_col, shingle, radius)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("fp").alias("fp"))
+    best = fp.join(named, "fp").groupBy("component").agg(F.min(order).alias("b")).select("b.id", "b.fp")
+    rows_of = fp.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"))
+    kept = materialise(best.join(rows_of, F.col("id").eqNullSafe(F.col("doc_id"))).select(
+        F.col("id").alias("__id"), F.col("fp").alias("__fp"), "__rows"), "near-kept")
+    mine = F.col(id_col).cast("long")
+    alone = kept.where("__rows = 1 and __id is not null")
+    out = docs.join(alone, mine == F.col("__id"), "left_semi")
+    more = kept.where("__rows > 1 or __id is null").select("__id", "__fp")
+    if more.isEmpty():
+        return out
+    at = docs.columns.index(text_col)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = (t.as_py() for t in b.column(at))
+            fps = [fingerprint(t if isinstance(t, bytes) else t.encode(), shingle) if t else 0 for t in texts]
+            yield b.append_column("__own", pa.array(np.array(fps, np.uint64).view(np.int64)))
+
+    # ids that name several rows: those of the kept fingerprint, and one of them
+    ids = more.select("__id").distinct()
+    doubtful = docs.join(ids, mine.eqNullSafe(F.col("__id")), "left_semi")
+    schema = StructType([*doubtful.schema.fields, StructField("__own", LongType())])
+    seen = doubtful.mapInArrow(own, schema)
+    seen = seen.join(more, mine.eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__fp")), "left_semi")
+    text_hash = F.sha2(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), 256)
+    first = Window.partitionBy(F.col(id_col).cast("long"), F.col("__own")).orderBy(F.col(text_col).isNull(), text_hash)
+    one = seen.withColumn("__nth", F.row_number().over(first)).where("__nth = 1")
+    return out.unionByName(one.select(*docs.columns))

@@ -103,3 +103,12 @@ def test_stage_keeps_one_of_each_group(spark):
     ids = {r.doc_id for r in S.drop_near_copies(docs(spark, rows)).collect()}
     want = slow_components([d for d, _ in rows], [slow_fingerprint(t or "") for _, t in rows])
     assert ids == set(want)
+
+
+def test_stage_tells_rows_without_or_with_the_same_id_apart(spark):
+    a, b = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
+    kept = S.drop_near_copies(docs(spark, [(1, a), (None, a), (None, b), (None, b), (7, "x y z w"), (7, b + " eight nine ten"),
+                                           (7, "x y z w"), (8, "x y z w")]))
+    rows = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept.collect())
+    assert rows == [(False, 1, a), (False, 7, b + " eight nine ten"), (False, 7, "x y z w"), (True, 0, b)]
+    assert kept.columns == docs(spark, []).columns
