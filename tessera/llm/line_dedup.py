@@ -45,6 +45,8 @@ from tessera.llm.common import LOWER_BYTES, materialise
 
 SKETCH = 1 << 18
 PIECE = 1 << 20  # bytes hashed at a time
+NO_ID = 2**63 - 1     # a NULL id, with NO_ID_LINE added to its line numbers:
+NO_ID_LINE = 1 << 30  # no text has as many lines, so a document of that id stays another one
 HEAD = 4         # rarest tokens compared before whole sets are
 READ = "kind string, set array<long>, doc array<long>, line array<int>, n array<long>"
 POSTED = "bucket int, token array<int>, set array<long>, size array<int>, pos array<int>, low array<long>, high array<long>"
@@ -152,11 +154,12 @@ def _list(parts: list[np.ndarray], kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat, kind))
 
 
-def _chunks(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, lines per text, joined text) of a few megabytes of rows at a time."""
+def _chunks(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+    """(ids, first line numbers, lines per text, joined text) of a few megabytes
+    of rows at a time."""
     ids, texts, total = [], [], 0
     for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-        ids.append(2**63 - 1 if i is None else i)
+        ids.append(i)
         texts.append(t.as_py() or b"")
         total += len(texts[-1])
         if total >= most:
@@ -168,7 +171,8 @@ def _chunks(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[np.nda
 
 def _joined(ids, texts):
     lines = np.array([t.count(b"\n") + 1 if t else 0 for t in texts], np.int64)
-    return np.array(ids, np.int64), lines, np.frombuffer(b"\n".join(t for t in texts if t), np.uint8)
+    base = np.array([NO_ID_LINE if i is None else 0 for i in ids], np.int64)
+    return np.array([NO_ID if i is None else i for i in ids], np.int64), base, lines, np.frombuffer(b"\n".join(t for t in texts if t), np.uint8)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,12 +186,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           names=["kind", "set", "doc", "line", "n"])
 
     for b in batches:
-        for ids, lines, data in _chunks(b):
+        for ids, base, lines, data in _chunks(b):
             tok, line = hasher(data)
             freq += np.bincount(_slot(tok), minlength=SKETCH)
             tok, own, size, start = token_sets(tok, line, None)
-            number = np.arange(int(lines.sum())) - np.repeat(np.cumsum(lines) - lines, lines)
-            yield packed([("doc", none, ids, none, lines),
+            number = np.arange(int(lines.sum())) - np.repeat(np.cumsum(lines) - lines - base, lines)
+            yield packed([("doc", none, ids, base, lines),
                           ("line", set_keys(tok, size, start), np.repeat(ids, lines)[own], number[own], none)])
     at = np.flatnonzero(freq)
     yield packed([("freq", none, none, at, freq[at])])
@@ -198,7 +202,7 @@ def _post(rank, buckets: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, order = Hasher(), rank.value
         for b in batches:
-            for _, _, data in _chunks(b):
+            for *_, data in _chunks(b):
                 tok, line = hasher(data)
                 tok, _, size, start = token_sets(tok, line, order)
                 key, (low, high) = set_keys(tok, size, start), bitmaps(tok, start)
@@ -331,9 +335,10 @@ def _fetch(rank):
             for text, want in zip(b.column(0), b.column(1).to_pylist()):
                 rows = (text.as_py() or b"").split(b"\n")
                 for w in want:
-                    if w["line"] < len(rows):
+                    at = w["line"] % NO_ID_LINE
+                    if at < len(rows):
                         keys.append(w["set"])
-                        texts.append(rows[w["line"]])
+                        texts.append(rows[at])
             tok, line = hasher(np.frombuffer(b"\n".join(texts), np.uint8))
             tok, own, size, start = token_sets(tok, line, rank.value)
             # another row of the same id may hold the line
@@ -352,11 +357,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (linked other sets, summed over its lines), ``removed`` (line numbers,
     from 0, ascending)."""
     res = line_classes(docs, id_col, text_col, similarity, block_rows)
-    per_doc = res["lines"].groupBy("doc").agg(
+    per_doc = res["lines"].groupBy("doc", "none").agg(
         F.count_if("gone").alias("n_removed"), F.sum("n_links").alias("n_links"),
         F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias("removed"))
-    return (res["docs"].groupBy("doc").agg(F.sum("n_lines").alias("n_lines")).join(per_doc, "doc", "left")
-            .select(F.when(F.col("doc") != 2**63 - 1, F.col("doc")).alias("doc_id"), "n_lines",
+    return (res["docs"].groupBy("doc", "none").agg(F.sum("n_lines").alias("n_lines")).join(per_doc, ["doc", "none"], "left")
+            .select(F.when(~F.col("none"), F.col("doc")).alias("doc_id"), "n_lines",
                     F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
                     F.coalesce("n_links", F.lit(0)).alias("n_links"),
                     F.coalesce("removed", F.array().cast("array<int>")).alias("removed")))
@@ -364,8 +369,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8,
                  block_rows: int = 1024) -> dict[str, DataFrame]:
-    """``docs`` (doc, n_lines), ``lines`` (doc, line, set, gone, n_links) and
-    ``sets`` (set, keep, n_links: those that repeat or have links)."""
+    """``docs`` (doc, none, n_lines), ``lines`` (doc, none, line, set, gone,
+    n_links; ``none``: the document has no id) and ``sets`` (set, keep, n_links: those that repeat or have links)."""
     src = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("t"))
     read = materialise(src.mapInArrow(_read, READ), "line-sets")
     freq = np.zeros(SKETCH, np.int64)
@@ -385,7 +390,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # full tokens of one line of every set in a candidate pair
     wanted = cands.select("set").distinct().join(classes, "set")
     per_doc = wanted.groupBy(F.col("first.doc").alias("d")).agg(F.collect_list(F.struct("first.line", "set")).alias("want"))
-    id_of = F.coalesce(F.col("doc"), F.lit(2**63 - 1))
+    id_of = F.coalesce(F.col("doc"), F.lit(NO_ID))
     tokens = src.join(per_doc, id_of == F.col("d")).select("t", "want").mapInArrow(
         _fetch(rank), "set long, tokens array<long>").dropDuplicates(["set"])
     sets = materialise(tokens.join(wanted.select("set", "first.doc", "first.line"), "set"), "line-tokens")
@@ -396,10 +401,10 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "set", F.least("first", F.coalesce("near", "first")).alias("keep"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"))
     judged = lines.join(known, "set", "left").select(
-        "doc", "line", "set", F.coalesce(F.struct("doc", "line") > F.col("keep"), F.lit(False)).alias("gone"),
+        "doc", (F.col("line") >= NO_ID_LINE).alias("none"), (F.col("line") % NO_ID_LINE).alias("line"), "set", F.coalesce(F.struct("doc", "line") > F.col("keep"), F.lit(False)).alias("gone"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    counts = read.where("kind = 'doc'").select(F.explode(F.arrays_zip("doc", "n")).alias("x")).select(
-        "x.doc", F.col("x.n").alias("n_lines"))
+    counts = read.where("kind = 'doc'").select(F.explode(F.arrays_zip("doc", "line", "n")).alias("x")).select(
+        "x.doc", (F.col("x.line") >= NO_ID_LINE).alias("none"), F.col("x.n").alias("n_lines"))
     return {"docs": counts, "lines": judged, "sets": known}
 
 

@@ -72,3 +72,13 @@ def test_edges(spark):
     got = line_dedup(docs(spark, EDGE)).collect()
     assert {r.doc_id for r in got} == {d for d, _ in EDGE} and sum(r.n_links for r in got) == 0
     assert line_dedup(docs(spark, [])).count() == 0
+
+
+def test_the_largest_id_is_not_the_missing_one(spark):
+    line = "one two three four five six seven eight"
+    big = 2**63 - 1
+    got = {r.doc_id: r for r in line_dedup(docs(spark, [(big, line), (None, "other words\n" + line)])).collect()}
+    assert set(got) == {big, None}
+    assert got[big].n_removed == 0 and got[None].removed == [1] and got[None].n_lines == 2 and got[big].n_lines == 1
+    kept = {r.doc_id: r.text for r in drop_lines(docs(spark, [(big, line), (None, "other words\n" + line)])).collect()}
+    assert kept == {big: line, None: "other words"}
