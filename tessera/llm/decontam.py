@@ -25,10 +25,15 @@ every block in Arrow batches, so documents are never shuffled.
 4. Exact verification: Sellers' edit distance of the item against the
    document around the window, ends free.
 
-Only step 3 can miss; tests measure its recall against brute force.
+Only step 3 can miss; tests measure its recall against brute force. Items of
+fewer than ``min_words`` words have no edits to spare; they are looked up as
+they are, by the hash of their words, and compared word by word.
 
-Defined cases: NULL and empty texts contain nothing; items of fewer than
-``min_words`` words are not searched; equal items are reported under each of
+Words are runs of letters and digits, or single letters in scripts written
+without spaces.
+
+Defined cases: NULL and empty texts contain nothing, an item without a word is
+found nowhere; equal items are reported under each of
 their ids; repeated document rows are reported once per row; NULL document
 ids are kept as NULL; empty tables give no rows.
 """
@@ -44,7 +49,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[^\W_]+")
+# Scripts written without spaces (Thai, Lao, Burmese, Khmer, Kana, Han): every letter counts as a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[^\W_{UNSPACED}]+|[{UNSPACED}]")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FLAGS = 1 << 20  # slots of the word-pair pre-test
 COMMON = 64      # items of a block a counted pair may be in
@@ -61,11 +68,22 @@ class ItemBlock:
     def __init__(self, items: list[tuple[int, str]], similarity: float = 0.8, min_words: int = 5,
                  repeats: int = 24, samples: int = 2, seed: int = 7):
         toks = [(i, item_words(t)) for i, t in items if t]
-        toks = [(i, w) for i, w in toks if len(w) >= min_words]
+        toks = [(i, w) for i, w in toks if w]
         self.vocab: dict[str, int] = {}
         for _, w in toks:
             for x in w:
                 self.vocab.setdefault(x, len(self.vocab) + 1)
+        # short items go last: their numbers follow those of the searched ones
+        toks.sort(key=lambda t: len(t[1]) < min_words)
+        self.exact: dict[int, dict[int, list[int]]] = {}
+        for i, (_, w) in enumerate(toks):
+            if len(w) < min_words:
+                s = np.array([self.vocab[x] for x in w], np.int64)
+                self.exact.setdefault(len(w), {}).setdefault(int(self._rolled(s, len(w))[0]), []).append(i)
+        self.short = {i: np.array([self.vocab[x] for x in w], np.int64) for i, (_, w) in enumerate(toks) if len(w) < min_words}
+        self.every = [i for i, _ in toks]
+        self.words = [len(w) for _, w in toks]
+        toks = [t for t in toks if len(t[1]) >= min_words]
         self.ids = [i for i, _ in toks]
         self.seq = [np.array([self.vocab[x] for x in w], np.int64) for _, w in toks]
         self.sizes = sorted({len(s) for s in self.seq})
@@ -118,6 +136,26 @@ class ItemBlock:
         self.flag[self._slot(self.pair)] = True
         self.key = self.keys_of(pieces)
 
+    @staticmethod
+    def _rolled(seq: np.ndarray, n: int) -> np.ndarray:
+        """Hash of the n words from every place."""
+        h = np.zeros(max(0, len(seq) - n + 1), np.uint64)
+        for j in range(n):
+            h = (h + seq[j:len(seq) - n + 1 + j].astype(np.uint64) + np.uint64(1)) * MIX
+            h ^= h >> np.uint64(29)
+        return h.view(np.int64)
+
+    def look_up(self, seq: np.ndarray) -> dict[int, tuple[int, int]]:
+        """Short items that stand in the sequence, with their first place."""
+        found: dict[int, tuple[int, int]] = {}
+        for n, items in self.exact.items():
+            h = self._rolled(seq, n)
+            for at in np.flatnonzero(np.isin(h, np.fromiter(items, np.int64, len(items)))).tolist():
+                for i in items[int(h[at])]:
+                    if i not in found and (seq[at:at + n] == self.short[i]).all():
+                        found[i] = (0, at)
+        return found
+
     @staticmethod
     def _slot(p: np.ndarray) -> np.ndarray:
         return (p.astype(np.uint64) * MIX >> np.uint64(44)).astype(np.int64)
@@ -149,7 +187,7 @@ class ItemBlock:
 
     def search(self, seq: np.ndarray) -> dict[int, tuple[int, int]]:
         """item index -> (edit distance, start word) for one long sequence."""
-        found: dict[int, tuple[int, int]] = {}
+        found = self.look_up(seq)
         if len(seq) < 2 or not self.seq:
             return found
         pair = seq[:-1] * self.base + seq[1:]
@@ -162,12 +200,11 @@ class ItemBlock:
         pos, at = pos[hit], at[hit]
         entry, of = ranges(self.ptr[at], self.ptr[at + 1])
         item, where = self.item[entry], pos[of]
-        place = item * (len(seq) + 2**20) + where
+        place = item * (len(seq) + int(self.span.max()) + 1) + where
         order = np.argsort(place, kind="stable")
         place, item, where, entry = place[order], item[order], where[order], entry[order]
         # pairs of one match lie within n + k words
-        span = np.minimum(self.span[item], 2**19)
-        dense = np.searchsorted(place, place + span) - np.arange(len(place)) >= self.need[item]
+        dense = np.searchsorted(place, place + self.span[item]) - np.arange(len(place)) >= self.need[item]
         if not dense.any():
             return found
         for c, s in self.candidates(seq, item[dense], where[dense], entry[dense]):
@@ -252,7 +289,7 @@ def _blocks(benchmark: DataFrame, item_id: str, item_text: str, items_per_block:
 
 
 def _found(block: ItemBlock, text: str | None) -> dict[int, tuple[int, int]]:
-    if not text or not block.seq:
+    if not text or not block.every:
         return {}
     get = block.vocab.get
     return block.search(np.array([get(w, 0) for w in WORD.findall(text.lower())], np.int64))
@@ -271,7 +308,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             it = block.value
             for b in batches:
-                out = [(i, it.ids[k], d, len(it.seq[k]), s) for i, t in enumerate(b.column(1))
+                out = [(i, it.every[k], d, it.words[k], s) for i, t in enumerate(b.column(1))
                        for k, (d, s) in _found(it, t.as_py()).items()]
                 if out:
                     at, *cols = zip(*out)

@@ -153,3 +153,24 @@ def test_long_items():
                  for j, t in items]
         found, want = contained(ItemBlock(items), items, texts)
         assert len(want) >= 40 and found <= want and len(found) >= 0.95 * len(want), n
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    from tessera.llm.decontam import ItemBlock
+    han = "人工智能正在改变我们的世界和生活方式"
+    items = [(1, "two plus two equals"), (2, "Entropy!"), (3, han), (4, "... !!!"), (5, "two plus two equals"), (6, "plus two")]
+    block = ItemBlock(items)
+
+    def ids(text):
+        return sorted(block.every[k] for k in _found(block, text))
+
+    assert ids("so Two plus two equals four") == [1, 5, 6]
+    assert ids("two plus three equals") == [] and ids("entropy") == [2] and ids("entropys") == []
+    assert ids("前言" + han[:8] + "已" + han[9:] + "结束") == [3]
+    assert ids("前言" + han[::-1]) == []
+    from tessera.llm.decontam import decontaminate
+    from tests.llm.helpers import docs
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate(docs(spark, [(9, "a two plus two equals b"), (8, "nothing")]), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance, r.item_words, r.start_word) for r in got) == [
+        (9, 1, 0, 4, 1), (9, 5, 0, 4, 1), (9, 6, 0, 2, 2)]
