@@ -252,7 +252,7 @@ class ToxicityModel:
     def score(self, hits: Column) -> Column:
         z = F.lit(self.weights[-1])
         for k in range(len(PATTERNS)):
-            z = z + F.lit(self.weights[k]) * F.log1p(F.least(hits[k], F.lit(8)).cast("double"))
+            z = z + F.lit(self.weights[k]) * F.log1p(hits[k].cast("double"))
         return 1 / (1 + F.exp(-z))
 
 
@@ -270,8 +270,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
              .agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"), F.min("id").alias("i")))
     train = materialise(train.select("i", "text", "toxic"), "toxic-train")
     stems = learn_stems(train)
-    size = F.transform("hits", lambda x: F.least(x, F.lit(8)))
-    table = pattern_counts(train.select("toxic", "text"), "text", stems).groupBy(size.alias("x")).agg(
+    table = pattern_counts(train.select("toxic", "text"), "text", stems).groupBy(F.col("hits").alias("x")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("toxic").alias("y")).collect()  # bounded by the training rows
     if not table:
         return ToxicityModel(stems, list(PRIOR))
