@@ -55,7 +55,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(table(spark, sf_dir, "documents"), order=2)
+    return score_texts(table(spark, sf_dir, "documents"), order=3)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
