@@ -185,6 +185,17 @@ def f12(spark, sf):
     return apply_parts(ev, parts).select("event_id", *[_r(p.name) for p in parts])
 
 
+@register("F12_group_median", sql=f"""
+SELECT event_id,
+  RND(value - quantile_cont(value, 0.5) OVER (PARTITION BY event_type, hr), 6) AS diff_median__event_type_hr_value,
+  RND(abs(value - quantile_cont(value, 0.5) OVER (PARTITION BY event_type, hr)), 6) AS diff_median__event_type_hr_value_abs
+FROM {EV} e""")
+def f12_median(spark, sf):
+    ev = events_df(spark, sf)
+    parts = G.group_relative(["event_type", "hr"], "value", "median", df=ev)
+    return apply_parts(ev, parts).select("event_id", *[_r(p.name) for p in parts])
+
+
 _COMMON_SQL = f"""
 days AS (SELECT day, count(*) AS n FROM {EV} x GROUP BY day),
 b AS (SELECT min(day) + CASE WHEN arg_min(n, day) < 300 THEN 1 ELSE 0 END AS lo,

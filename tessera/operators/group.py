@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import col, epoch_seconds, safe_div
 from tessera.plans.fuse import AggPart, agg_alias, apply_parts
+from tessera.plans.quantiles import group_quantiles
 from tessera.spec import FeatureSpec, feature_name
 
 
@@ -126,12 +127,19 @@ def first_last_diff(keys: Sequence[str], time_col: str, time_expr=None, name: st
             AggPart(base + "_to_last", tuple(keys), [], F.col(hi) - t)]
 
 
-def group_relative(keys: Sequence[str], value: str, agg: str = "mean", name: str | None = None) -> list[AggPart]:
-    """``x - agg(x by keys)`` and its absolute value."""
+def group_relative(keys: Sequence[str], value: str, agg: str = "mean", name: str | None = None,
+                   df: DataFrame | None = None) -> list[AggPart]:
+    """``x - agg(x by keys)`` and its absolute value. The median needs the
+    rows (``df``): it comes from counted values, not from a buffer per group."""
     base = name or feature_name(f"diff_{agg}", list(keys) + [value])
     a = agg_alias(base, agg)
-    fn = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max, "sum": F.sum}[agg]
     d = col(value) - F.col(a)
+    if agg == "median":
+        if df is None:
+            raise ValueError("the median of a group needs the rows (df)")
+        frame = group_quantiles(df, keys, value, None, [0.5], names=[a])
+        return [AggPart(base, tuple(keys), [], d, frame=frame), AggPart(base + "_abs", tuple(keys), [], F.abs(d), frame=frame)]
+    fn = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum}[agg]
     return [AggPart(base, tuple(keys), [fn(col(value)).alias(a)], d),
             AggPart(base + "_abs", tuple(keys), [], F.abs(d))]
 

@@ -17,6 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import col, pandas_skew
+from tessera.plans.quantiles import group_quantiles
+
+QUANTILES = ("median", "iqr")
 
 
 def pandas_kurt(g2: Column, n: Column) -> Column:
@@ -46,10 +49,6 @@ def agg_expr(agg: str, x: Column) -> Column:
         return F.count(F.lit(1))
     if agg == "nunique":
         return F.count_distinct(x)
-    if agg == "median":
-        return F.percentile(xd, 0.5)
-    if agg == "iqr":
-        return F.percentile(xd, 0.75) - F.percentile(xd, 0.25)
     if agg == "skew":
         return F.when(F.var_pop(xd) == 0, F.lit(0.0)).otherwise(pandas_skew(F.skewness(xd), n))
     if agg == "skew_pop":
@@ -62,20 +61,50 @@ def agg_expr(agg: str, x: Column) -> Column:
         return F.max(xd) - F.min(xd)
     if agg == "n_pos":
         return F.count_if(xd > 0)
+    if agg in QUANTILES:
+        raise ValueError(f"{agg} is no aggregate of bounded memory: use grouped()")
     raise ValueError(f"unknown aggregate {agg}")
 
 
+def grouped(child: DataFrame, keys: Sequence[str], specs: Sequence[tuple[str, str, Column, Column | None]],
+            extra: Sequence[Column] = ()) -> DataFrame:
+    """One row per key with an aggregate per (name, agg, x, where): x over the
+    rows that satisfy ``where`` (None: all; NULL if a key has none). All plain
+    aggregates share one pass. Medians and interquartile ranges come from
+    ``group_quantiles``, one counting pass per column: no group, however
+    large, is held in a buffer."""
+    keys = list(keys)
+    plain, ranked = list(extra), {}
+    for name, agg, x, where in specs:
+        if agg in QUANTILES:
+            ranked.setdefault((str(x), str(where)), (x, where, []))[2].append((name, agg))
+        else:
+            e = agg_expr(agg, x if where is None else F.when(where, x))
+            plain.append((e if where is None else F.when(F.count_if(where) > 0, e)).alias(name))
+    out = child.groupBy(*keys).agg(*plain) if plain else child.select(*keys).distinct()
+    for x, where, wanted in ranked.values():
+        rows = child if where is None else child.where(where)
+        q = group_quantiles(rows.select(*keys, x.cast("double").alias("_q")), keys, "_q", None, [0.25, 0.5, 0.75],
+                            names=["_q25", "_q50", "_q75"])
+        cols_ = [F.col("_q50").alias(n) if a == "median" else (F.col("_q75") - F.col("_q25")).alias(n) for n, a in wanted]
+        q = q.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *cols_)
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        out = out.join(q, same, "left").drop(*[f"_k_{k}" for k in keys])
+    return out.select(*keys, *[c for c in out.columns if c not in keys])
+
+
 def recipe_aggregate(child: DataFrame, recipe: Sequence[tuple[Sequence[str], Sequence[tuple[str, str]]]],
                      prefix: str = "") -> dict[tuple[str, ...], DataFrame]:
     """``[(keys, [(column, agg), ...]), ...]`` -> one aggregated table per
     key set, columns named ``{prefix}{keys}_{agg}_{column}``. Entries that
     share a key set are fused into one aggregate."""
-    fused: dict[tuple[str, ...], list[Column]] = {}
+    fused: dict[tuple[str, ...], list[tuple]] = {}
     for keys, pairs in recipe:
         k = tuple(keys)
-        for c, a in pairs:
-            fused.setdefault(k, []).append(agg_expr(a, col(c)).alias(f"{prefix}{'_'.join(k)}_{a}_{c}"))
-    return {k: child.groupBy(*k).agg(*exprs) for k, exprs in fused.items()}
+        fused.setdefault(k, []).extend((f"{prefix}{'_'.join(k)}_{a}_{c}", a, col(c), None) for c, a in pairs)
+    return {k: grouped(child, k, specs) for k, specs in fused.items()}
 
 
 def dict_aggregate(child: DataFrame, key: str, spec: Mapping[str, Sequence[str]], prefix: str,
@@ -83,15 +112,11 @@ def dict_aggregate(child: DataFrame, key: str, spec: Mapping[str, Sequence[str]]
     """G02 (and G03 with ``where``): ``{column: [aggs]}`` per ``key``, names
     ``PREFIX_COLUMN_AGG`` plus a row count ``PREFIX_COUNT``. With ``where``
     the same aggregates run over the rows that satisfy it."""
-    exprs = []
-    for c, aggs in spec.items():
-        x = col(c) if where is None else F.when(where, col(c))
-        for a in aggs:
-            exprs.append(agg_expr(a, x).alias(f"{prefix}{c}_{a.upper()}"))
-    if count_name:
-        cnt = F.count(F.lit(1)) if where is None else F.count_if(where)
-        exprs.append(cnt.alias(f"{prefix}{count_name}"))
-    return child.groupBy(key).agg(*exprs)
+    wanted = [(c, a) for c, aggs in spec.items() for a in aggs]
+    specs = [(f"{prefix}{c}_{a.upper()}", a, col(c) if where is None or a in QUANTILES else F.when(where, col(c)),
+              where if a in QUANTILES else None) for c, a in wanted]
+    cnt = F.count(F.lit(1)) if where is None else F.count_if(where)
+    return grouped(child, [key], specs, [cnt.alias(f"{prefix}{count_name}")] if count_name else [])
 
 
 def conditional_aggregates(child: DataFrame, key: str, spec: Mapping[str, Sequence[str]],
@@ -99,14 +124,9 @@ def conditional_aggregates(child: DataFrame, key: str, spec: Mapping[str, Sequen
     """The G02 aggregates once per named subset, all in ONE pass. A key
     with no row in a subset gets NULL for that subset (as when the subset is
     aggregated on its own and left-joined)."""
-    exprs = []
-    for prefix, cond in subsets.items():
-        present = F.count_if(cond) > 0
-        for c, aggs in spec.items():
-            x = F.when(cond, col(c))
-            for a in aggs:
-                exprs.append(F.when(present, agg_expr(a, x)).alias(f"{prefix}{c}_{a.upper()}"))
-    return child.groupBy(key).agg(*exprs)
+    specs = [(f"{prefix}{c}_{a.upper()}", a, col(c), cond) for prefix, cond in subsets.items()
+             for c, aggs in spec.items() for a in aggs]
+    return grouped(child, [key], specs)
 
 
 def distinct_values(df: DataFrame, column: str) -> list:
