@@ -233,6 +233,12 @@ def m14(spark, sf):
     return M.bagging(tr, te, SMALL, "y", "event_id", n_bags=3, fraction=0.7, column_fraction=0.7)
 
 
+@register("M14_bootstrap_bagging")
+def m14_bootstrap(spark, sf):
+    tr, te = _train_test(spark, sf)
+    return M.bagging(tr, te, SMALL, "y", "event_id", n_bags=3, fraction=1.0, column_fraction=0.7, replace=True)
+
+
 def _m15_sql():
     """Runs = single-feature scorers; CV = mean AUC over 5 hashed folds of
     days 1-24, public = AUC on days 25-27, private = AUC on days 28-30."""

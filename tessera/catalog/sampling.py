@@ -64,6 +64,23 @@ def h05(spark, sf):
     return out.select("event_id", F.col("draw").cast("int").alias("draw"))
 
 
+def _h05_bootstrap_sql(rate, bags):
+    parts = []
+    for b in range(bags):
+        u = f"('0x' || substr({_md5(f", '|', '{b}'")}, 1, 15))::BIGINT / 1152921504606846976.0"
+        n = " + ".join(f"CASE WHEN u >= {t!r}::DOUBLE THEN 1 ELSE 0 END" for t in H.poisson_thresholds(rate))
+        parts.append(f"SELECT event_id, {b} AS bag, unnest(range(1, 1 + n))::INTEGER AS copy FROM (SELECT event_id, "
+                     f"CASE WHEN y = 0 THEN {n} ELSE 1 END AS n FROM (SELECT event_id, y, ({u})::DOUBLE AS u FROM {EV} e))")
+    return " UNION ALL ".join(parts)
+
+
+@register("H05_negative_bootstrap", sql=_h05_bootstrap_sql(0.5, 2))
+def h05_bootstrap(spark, sf):
+    ev = events_df(spark, sf)
+    out = H.sample_with_replacement(ev, "event_id", 0.5, bags=2, seed=42, where=F.col("y") == 0)
+    return out.select("event_id", "bag", "copy")
+
+
 @register("H06_rate_downsample", sql=f"""
 SELECT event_id FROM {EV} e WHERE y = 1
   OR ('0x' || substr({_md5(", '|', ''")}, 1, 15))::BIGINT / 1152921504606846976.0 < 0.25""")

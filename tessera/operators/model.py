@@ -454,20 +454,27 @@ def calibrated_svm(train: DataFrame, features: Sequence[str], label: str, fold:
 
 
 def bagging(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, id_col: str, n_bags: int = 3,
-            fraction: float = 0.7, seed: int = 0, column_fraction: float = 1.0) -> DataFrame:
-    """N models, each on a hash-drawn subsample of the rows and a seeded
-    draw of ``column_fraction`` of the columns; test predictions averaged."""
+            fraction: float = 0.7, seed: int = 0, column_fraction: float = 1.0, replace: bool = False) -> DataFrame:
+    """N models, each on a draw of the rows and a seeded draw of
+    ``column_fraction`` of the columns; test predictions averaged. The rows are
+    a hash-drawn ``fraction`` or, with ``replace``, a bootstrap sample of that
+    rate, carried as weights."""
     from pyspark.ml.functions import vector_to_array
     from tessera.functions.columns import hash_unit
+    from tessera.operators.sampling import bootstrap_weights
     rng = np.random.RandomState(seed)
-    tr = _materialise(train.select(id_col, label, *features))
+    tr = train.select(id_col, label, *features)
+    tr = _materialise(bootstrap_weights(tr, id_col, n_bags, seed, fraction, "_w") if replace else tr)
     te = _materialise(test.select(id_col, *features))
     out = []
     for b in range(n_bags):
         n = max(1, round(column_fraction * len(features)))
         cols = [features[i] for i in sorted(rng.choice(len(features), n, replace=False))]
-        bag = tr.where(hash_unit(id_col, F.lit(str(seed)), F.lit(str(b))) < fraction)
-        m = default_estimator(label).fit(assemble(bag, cols))
+        if replace:
+            m = default_estimator(label).setWeightCol(f"_w{b}").fit(assemble(tr.where(F.col(f"_w{b}") > 0), cols))
+        else:
+            bag = tr.where(hash_unit(id_col, F.lit(str(seed)), F.lit(str(b))) < fraction)
+            m = default_estimator(label).fit(assemble(bag, cols))
         out.append(m.transform(assemble(te, cols)).select(id_col, vector_to_array("probability")[1].alias("pred")))
     return functools.reduce(DataFrame.unionByName, out).groupBy(id_col).agg(F.avg("pred").alias("bag_pred"))
 

@@ -9,6 +9,8 @@ task.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
 from datetime import timedelta
 
@@ -92,6 +94,55 @@ def rate_downsample(df: DataFrame, label: str, id_col: str, rate: float, seed=42
     return df.where((F.col(label) == 1) | (unit < F.lit(rate)))
 
 
+def poisson_thresholds(rate: float) -> list[float]:
+    """Cumulative Poisson probabilities until they reach 1 in a double."""
+    out, p, total, k = [], math.exp(-rate), 0.0, 0
+    while True:
+        total += p
+        if total >= 1.0 or (out and total == out[-1]):
+            return out
+        out.append(total)
+        k += 1
+        p *= rate / k
+
+
+def poisson_weight(id_col: str, seed, bag=0, rate: float = 1.0) -> Column:
+    """How often a row is drawn in one bootstrap sample: Poisson(``rate``) by
+    inversion of the row's hash. Sampling n of n rows with replacement gives
+    each row Binomial(n, 1/n) draws, which this is for large n, without a
+    shuffle and with the same draws whatever the partitions."""
+    _, unit = _hash_cols(id_col, seed, [bag])
+    draws = F.lit(0)
+    for t in poisson_thresholds(rate):
+        draws = draws + (unit >= F.lit(t)).cast("int")
+    return draws
+
+
+def bootstrap_weights(df: DataFrame, id_col: str, bags: int, seed=42, rate: float = 1.0, prefix: str = "w") -> DataFrame:
+    """``df`` with a weight column per bag: the samples with replacement, as
+    columns a learner takes as weights instead of copies of the rows."""
+    return df.select("*", *[poisson_weight(id_col, seed, b, rate).alias(f"{prefix}{b}") for b in range(bags)])
+
+
+def _entry(bag: Column, copy: Column) -> Column:
+    return F.struct(bag, copy.alias("copy"))
+
+
+def sample_with_replacement(df: DataFrame, id_col: str, rate: float, bags: int = 1, seed=42,
+                            where: Column | None = None) -> DataFrame:
+    """H05/H06 with replacement: rows that satisfy ``where`` (None: all) occur
+    as often as they are drawn, the others once, in every bag; ``bag`` and
+    ``copy`` (from 1) tell the rows apart."""
+    entries = []
+    for b in range(bags):
+        n = poisson_weight(id_col, seed, b, rate)
+        n = n if where is None else F.when(where, n).otherwise(F.lit(1))
+        copies = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        bag = F.lit(b).alias("bag")
+        entries.append(F.transform(copies, functools.partial(_entry, bag)))
+    return df.select("*", F.explode(F.concat(*entries)).alias("_e")).select("*", "_e.bag", "_e.copy").drop("_e")
+
+
 def debug_subset(df: DataFrame, order: Sequence[str], n: int | None = None, fraction: float | None = None) -> DataFrame:
     """The first ``n`` rows (or the first ``fraction``) by ``order``."""
     if n is not None:
