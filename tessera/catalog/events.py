@@ -16,6 +16,8 @@ from tessera.functions.columns import rnd
 from tessera.operators import group as G
 from tessera.operators import ordered as O
 from tessera.plans.fuse import apply_parts
+from tessera.plans.lattice import lattice_features
+from tessera.spec import FeatureSpec
 
 ORDER = ["ts", "event_id"]
 HOUR_US = 3600 * 1_000_000
@@ -256,6 +258,35 @@ def f15(spark, sf):
                                     for s in specs])
 
 
+def _f15_lattice_specs():
+    return (G.combination_specs(_F15_COLS, [1, 2, 3], ["count", "variance"], value_col="value")
+            + [FeatureSpec.of("unique_count", ["user_id", "k"]), FeatureSpec.of("count_ratio", ["user_id", "k"])])
+
+
+def _f15_lattice_sql():
+    sel = []
+    for s in _f15_lattice_specs():
+        keys, v = ", ".join(s.cols[:-1]), s.cols[-1]
+        sel.append({
+            "count": lambda: f"count(*) OVER (PARTITION BY {', '.join(s.cols)})",
+            "variance": lambda: f"RND(coalesce(var_samp({v}) OVER (PARTITION BY {keys}), 0), 6)",
+            "unique_count": lambda: f"(SELECT count(DISTINCT {v}) FROM {EV} u WHERE u.{keys} = e.{keys})",
+            "count_ratio": lambda: f"RND(count(*) OVER (PARTITION BY {keys}, {v}) / count(*) OVER (PARTITION BY {keys}))",
+        }[s.function]() + f" AS {s.feature_name}")
+    return f"SELECT event_id, {', '.join(sel)} FROM {EV} e"
+
+
+@register("F15_aggregate_lattice", sql=_f15_lattice_sql())
+def f15_lattice(spark, sf):
+    """All combinations up to three columns: only the triples are aggregated
+    from the rows, the rest is derived."""
+    ev = events_df(spark, sf)
+    specs = _f15_lattice_specs()
+    out = lattice_features(ev, specs)
+    return out.select("event_id", *[_r(s.feature_name) if s.function in ("variance", "count_ratio") else F.col(s.feature_name)
+                                    for s in specs])
+
+
 # ----------------------------------------------------------------- T01-T03
 @register("T01_cumulative_count", sql=f"""
 SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS cum_count__user_id

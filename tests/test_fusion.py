@@ -52,3 +52,31 @@ def test_grouping_sets_scan_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"Expand", plan)) >= 1
     assert out.count() == ev.count()
+
+
+def test_lattice_equals_one_aggregate_per_key_set(spark):
+    """The same 117 specs and more, with NULL keys and NULL values: equal
+    features from one scan for the aggregates and one for the rows."""
+    from tessera.plans.lattice import Lattice
+    from tessera.spec import FeatureSpec
+    ev = _frame(spark).withColumn("k", F.when(F.col("event_id") % 7 != 0, F.col("k"))) \
+        .withColumn("value", F.when(F.col("event_id") % 11 != 0, F.col("value") + 1e6))
+    specs = _specs()
+    assert len(specs) == 117
+    specs += [FeatureSpec.of("unique_count", ["user_id", "k"]), FeatureSpec.of("unique_count_ratio", ["k", "event_type"]),
+              FeatureSpec.of("count_std_over_mean", ["event_type", "k", "hr"]), FeatureSpec.of("count", ["k"], {"dummy": "value"})]
+    lat = Lattice(ev, specs)
+    assert len(lat.maximal) == 20 and len(lat.sets) == 41
+    got = lat.rows()
+    want = G.build_group_features(ev, specs)
+    names = [s.feature_name for s in specs]
+    assert got.columns == [*ev.columns, *names]
+    a = {r["event_id"]: r for r in got.collect()}
+    b = {r["event_id"]: r for r in want.select("event_id", *names).collect()}
+    assert a.keys() == b.keys()
+    for i, r in b.items():
+        for n in names:
+            x, y = a[i][n], r[n]
+            assert (x is None) == (y is None) and (x is None or abs(x - y) <= 1e-6 * max(1, abs(y))), (i, n, x, y)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [event_id") == 1  # the aggregates are written: the rows are read for the joins only
