@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import col, hash_unit
+from tessera.session import written
 
 
 def _woe(s, n, P, N, smooth=0.5):
@@ -53,30 +54,34 @@ def leave_fold_out(df: DataFrame, keys: Sequence[str], label: str, fold: str, is
     keys = list(keys)
     name = name or f"{stat}__{'_'.join(keys)}"
     fn = STATS[stat]
-    train = df.where(is_train)
-    src = train if stats_filter is None else train.where(stats_filter)
-    kf = src.groupBy(*keys, fold).agg(F.count(col(label)).alias("_nkf"), F.sum(col(label)).alias("_skf"))
-    kt = kf.groupBy(*keys).agg(F.sum("_nkf").alias("_nk"), F.sum("_skf").alias("_sk"))
-    ft = kf.groupBy(fold).agg(F.sum("_nkf").cast("double").alias("_nf"), F.sum("_skf").cast("double").alias("_sf"))
-    tot = ft.agg(F.sum("_nf").alias("n"), F.sum("_sf").alias("s")).first()
-    n_all, s_all = float(tot["n"] or 0), float(tot["s"] or 0)
-    # every fold of every train row's key: the key may have no stats row in
-    # the filtered source, so rows drive the (key, fold) set
-    row_kf = train.select(*keys, fold).distinct()
-    t = (row_kf.join(kf, [*keys, fold], "left").join(kt, keys, "left").join(ft, fold, "left")
-         .fillna(0, subset=["_nkf", "_skf", "_nk", "_sk", "_nf", "_sf"]))
-    n_ex = F.col("_nk") - F.col("_nkf")
-    s_ex = F.col("_sk") - F.col("_skf")
-    p_ex = F.lit(s_all) - F.col("_sf")
-    t_ex = F.lit(n_all) - F.col("_nf")
-    enc = F.when(n_ex > 0, fn(s_ex, n_ex, p_ex, t_ex - p_ex))
-    tr_table = t.select(*keys, fold, F.coalesce(enc, F.lit(missing)).alias(name))
-    te_table = kt.select(*keys, F.coalesce(F.when(F.col("_nk") > 0, fn(F.col("_sk"), F.col("_nk"), F.lit(s_all),
-                                                                       F.lit(n_all - s_all))),
-                                           F.lit(missing)).alias(name))
-    tr = train.join(tr_table, [*keys, fold], "left")
-    te = df.where(~is_train).join(te_table, keys, "left")
-    return tr.unionByName(te).fillna({name: missing})
+    src = df.where(is_train if stats_filter is None else is_train & stats_filter)
+    # one scan for all statistics: key and fold totals follow from this table
+    kf = written(src.groupBy(*keys, fold).agg(F.count(col(label)).alias("_n"), F.sum(col(label)).alias("_s")), "key-folds")
+    folds = [r for r in kf.groupBy(fold).agg(F.sum("_n").cast("double").alias("n"), F.sum("_s").cast("double").alias("s")).collect()]
+    n_all, s_all = float(sum(r["n"] or 0 for r in folds)), float(sum(r["s"] or 0 for r in folds))
+    # one row per key: totals and a map of its folds, so train and test rows share one join
+    entry = F.when(F.col(fold).isNotNull(), F.struct(F.col(fold).alias("f"), F.struct("_n", F.coalesce("_s", F.lit(0)).alias("_s"))))
+    stats = kf.groupBy(*keys).agg(F.sum("_n").alias("_nk"), F.sum("_s").alias("_sk"),
+                                  F.map_from_entries(F.collect_list(entry)).alias("_by"))
+    j = df.join(stats, keys, "left")
+    known = [r for r in folds if r[fold] is not None]
+
+    def of_fold(what: str) -> Column:
+        """The row's fold in all keys: a literal per fold."""
+        if not known:
+            return F.lit(0.0)
+        table = F.map_from_arrays(F.array(*[F.lit(r[fold]) for r in known]), F.array(*[F.lit(float(r[what] or 0)) for r in known]))
+        return F.coalesce(F.element_at(table, F.col(fold)), F.lit(0.0))
+
+    own = F.element_at("_by", F.col(fold))
+    nk, sk = F.coalesce("_nk", F.lit(0)), F.coalesce("_sk", F.lit(0))
+    n_ex, s_ex = nk - F.coalesce(own["_n"], F.lit(0)), sk - F.coalesce(own["_s"], F.lit(0))
+    p_ex = F.lit(s_all) - of_fold("s")
+    t_ex = F.lit(n_all) - of_fold("n")
+    train = F.when(n_ex > 0, fn(s_ex, n_ex, p_ex, t_ex - p_ex))
+    test = F.when(nk > 0, fn(sk, nk, F.lit(s_all), F.lit(n_all - s_all)))
+    return j.where(is_train | ~is_train).select(
+        *df.columns, F.coalesce(F.when(is_train, train).otherwise(test), F.lit(missing)).alias(name))
 
 
 def in_sample_chi_square(df: DataFrame, keys: Sequence[str], label: str, is_train: Column,
