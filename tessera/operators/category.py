@@ -155,26 +155,28 @@ def word_terms(df: DataFrame, doc: str, text: str, ngram: tuple[int, int] = (1,
     stop = F.array(*[F.lit(w) for w in stop_words]) if stop_words else None
     toks = df.select(doc, F.filter(F.split(t, TOKEN_PATTERN), lambda s: (s != "") if stop is None else
                                    (s != "") & ~F.array_contains(stop, s)).alias("_t"))
-    parts = []
-    for n in range(ngram[0], ngram[1] + 1):
-        grams = F.transform(F.sequence(F.lit(0), F.size("_t") - n),
-                            lambda i: F.array_join(F.slice("_t", i + 1, n), " "))
-        parts.append(toks.where(F.size("_t") >= n).select(doc, F.explode(grams).alias("term")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    none = F.array().cast("array<string>")
+
+    def joined(n: int):
+        return lambda i: F.array_join(F.slice("_t", i + 1, n), " ")
+
+    # the n-grams of every size of a row in one list: the text is split once
+    grams = [F.col("_t") if n == 1 else F.when(F.size("_t") >= n, F.transform(F.sequence(F.lit(0), F.size("_t") - n), joined(n)))
+             .otherwise(none) for n in range(ngram[0], ngram[1] + 1)]
+    out = toks.where(F.col("_t").isNotNull()).select(doc, F.explode(F.concat(*grams)).alias("term"))
     return out.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def char_terms(df: DataFrame, doc: str, text: str, ngram: tuple[int, int] = (2, 5)) -> DataFrame:
     """(doc, term, tf) for character n-grams of the whole text."""
-    parts = []
-    for n in range(ngram[0], ngram[1] + 1):
-        grams = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
-        parts.append(df.where(F.length(text) >= n).select(doc, F.explode(grams).alias("term")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    none = F.array().cast("array<string>")
+
+    def cut(n: int):
+        return lambda i: F.substring(text, i, n)
+
+    grams = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), cut(n))).otherwise(none)
+             for n in range(ngram[0], ngram[1] + 1)]
+    out = df.select(doc, F.explode(F.concat(*grams)).alias("term"))
     return out.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -201,14 +203,16 @@ def tfidf_apply(terms: DataFrame, doc: str, idf: DataFrame, sublinear: bool = Tr
     w = terms.join(idf, "term").select(doc, "term", (tf * F.col("idf")).alias("w"))
     if not norm:
         return w.withColumnRenamed("w", "tfidf")
-    nrm = w.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_nrm"))
-    return w.join(nrm, doc).select(doc, "term", (F.col("w") / F.col("_nrm")).alias("tfidf"))
+    # the terms of a document in one row (no longer than its text): one exchange, no join back
+    per = w.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_nrm"), F.collect_list(F.struct("term", "w")).alias("_l"))
+    return per.select(doc, "_nrm", F.explode("_l").alias("x")).select(doc, "x.term", (F.col("x.w") / F.col("_nrm")).alias("tfidf"))
 
 
 def tfidf(terms: DataFrame, doc: str, n_docs: int, min_df: int = 1, max_df: float = 1.0,
           max_features: int | None = None, sublinear: bool = True, norm: bool = True) -> DataFrame:
     """TF-IDF in long format, as scikit-learn's default, fitted on and
-    applied to the same documents."""
+    applied to the same documents; the terms are written once."""
+    terms = _once(terms)
     return tfidf_apply(terms, doc, tfidf_fit(terms, n_docs, min_df, max_df, max_features), sublinear, norm)
 
 
