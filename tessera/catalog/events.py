@@ -45,6 +45,11 @@ def _r(c):
     return rnd(c).alias(c)
 
 
+def _cols(spark, sf, *cols):
+    """The order columns and ``cols``: positions deal every column they get."""
+    return events_df(spark, sf).select("event_id", "ts", *cols)
+
+
 # ----------------------------------------------------------------- F01-F07
 @register("F01_count", sql=f"""
 SELECT event_id,
@@ -292,7 +297,7 @@ def f15_lattice(spark, sf):
 SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS cum_count__user_id
 FROM {EV} e""", headline=True)
 def t01(spark, sf):
-    out = O.cumulative_counts(events_df(spark, sf), ["user_id"], ORDER)
+    out = O.cumulative_counts(_cols(spark, sf, "user_id"), ["user_id"], ORDER)
     return out.select("event_id", "cum_count__user_id")
 
 
@@ -301,7 +306,7 @@ SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts
   AS rev_cum_count__user_id_event_type
 FROM {EV} e""")
 def t02(spark, sf):
-    out = O.cumulative_counts(events_df(spark, sf), ["user_id", "event_type"], ORDER)
+    out = O.cumulative_counts(_cols(spark, sf, "user_id", "event_type"), ["user_id", "event_type"], ORDER)
     return out.select("event_id", "rev_cum_count__user_id_event_type")
 
 
@@ -311,7 +316,7 @@ SELECT event_id, CASE WHEN count(*) OVER p = 1 THEN 1.1
 FROM {EV} e
 WINDOW w AS (PARTITION BY user_id, k ORDER BY ts, event_id), p AS (PARTITION BY user_id, k)""")
 def t03(spark, sf):
-    out = O.cumulative_counts(events_df(spark, sf), ["user_id", "k"], ORDER)
+    out = O.cumulative_counts(_cols(spark, sf, "user_id", "k"), ["user_id", "k"], ORDER)
     return out.select("event_id", "cum_count_ratio__user_id_k")
 
 
@@ -324,7 +329,7 @@ def _sec(c):
 SELECT event_id, RND(coalesce(lead(t_us, 2) OVER w - t_us, -1000000) / 1e6, 6) AS time_to_2_next__user_id
 FROM {EV} e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""", headline=True)
 def t04(spark, sf):
-    out = O.time_to_n_next(events_df(spark, sf), ["user_id"], ORDER, F.col("t_us"), n=2, fill=-1_000_000)
+    out = O.time_to_n_next(_cols(spark, sf, "user_id", "t_us"), ["user_id"], ORDER, F.col("t_us"), n=2, fill=-1_000_000)
     return out.select("event_id", _sec("time_to_2_next__user_id"))
 
 
@@ -332,7 +337,7 @@ def t04(spark, sf):
 SELECT event_id, RND((lag(t_us, 1) OVER w - t_us) / 1e6, 6) AS time_to_1_previous__user_id_event_type
 FROM {EV} e WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)""")
 def t05(spark, sf):
-    out = O.time_to_n_next(events_df(spark, sf), ["user_id", "event_type"], ORDER, F.col("t_us"), n=-1,
+    out = O.time_to_n_next(_cols(spark, sf, "user_id", "event_type", "t_us"), ["user_id", "event_type"], ORDER, F.col("t_us"), n=-1,
                            name="time_to_1_previous__user_id_event_type")
     return out.select("event_id", _sec("time_to_1_previous__user_id_event_type"))
 
@@ -342,7 +347,7 @@ SELECT event_id, coalesce(RND((lead(t_us, 1) OVER w - t_us + 1000000) / 1e6), 99
 FROM {EV} e WINDOW w AS (PARTITION BY user_id, day ORDER BY ts, event_id)""")
 def t06(spark, sf):
     # lead(t) - t + 1 second, in integer microseconds until the last step
-    out = O.time_to_n_next(events_df(spark, sf), ["user_id", "day"], ORDER, F.col("t_us"), n=1, plus=1_000_000,
+    out = O.time_to_n_next(_cols(spark, sf, "user_id", "day", "t_us"), ["user_id", "day"], ORDER, F.col("t_us"), n=1, plus=1_000_000,
                            name="next_click__user_id_day")
     return out.select("event_id", F.coalesce(rnd(F.col("next_click__user_id_day") / 1e6), F.lit(999999.0))
                       .alias("next_click__user_id_day"))
@@ -354,7 +359,7 @@ SELECT event_id,
   RND(coalesce(t_us - lag(t_us) OVER w, -1000000) / 1e6, 6) AS gap_prev__user_id_event_type
 FROM {EV} e WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)""")
 def t07(spark, sf):
-    out = O.gaps(events_df(spark, sf), ["user_id", "event_type"], ORDER, F.col("t_us"), missing=-1_000_000)
+    out = O.gaps(_cols(spark, sf, "user_id", "event_type", "t_us"), ["user_id", "event_type"], ORDER, F.col("t_us"), missing=-1_000_000)
     return out.select("event_id", _sec("gap_next__user_id_event_type"), _sec("gap_prev__user_id_event_type"))
 
 
@@ -366,7 +371,7 @@ FROM {EV} a LEFT JOIN {EV} b
  AND b.t_us >= a.t_us - {HOUR_US}
 GROUP BY a.event_id""", headline=True)
 def t08(spark, sf):
-    out = O.horizon_counts(events_df(spark, sf), ["user_id"], F.col("t_us"), "event_id", HOUR_US, which=["prev"])
+    out = O.horizon_counts(_cols(spark, sf, "user_id", "t_us"), ["user_id"], F.col("t_us"), "event_id", HOUR_US, which=["prev"])
     return out.select("event_id", f"count_prev_{HOUR_US}__user_id")
 
 
@@ -377,7 +382,7 @@ FROM {EV} a LEFT JOIN {EV} b
  AND b.t_us <= a.t_us + {HOUR_US}
 GROUP BY a.event_id""")
 def t09(spark, sf):
-    out = O.horizon_counts(events_df(spark, sf), ["user_id"], F.col("t_us"), "event_id", HOUR_US, which=["next"])
+    out = O.horizon_counts(_cols(spark, sf, "user_id", "t_us"), ["user_id"], F.col("t_us"), "event_id", HOUR_US, which=["next"])
     return out.select("event_id", f"count_next_{HOUR_US}__user_id")
 
 
@@ -387,7 +392,7 @@ FROM {EV} a LEFT JOIN {EV} b
   ON a.user_id = b.user_id AND b.t_us >= a.t_us AND b.t_us <= a.t_us + {6 * HOUR_US}
 GROUP BY a.event_id""")
 def t10(spark, sf):
-    out = O.horizon_counts(events_df(spark, sf), ["user_id"], F.col("t_us"), "event_id", 6 * HOUR_US,
+    out = O.horizon_counts(_cols(spark, sf, "user_id", "t_us"), ["user_id"], F.col("t_us"), "event_id", 6 * HOUR_US,
                            which=["window"])
     return out.select("event_id", f"count_window_{6 * HOUR_US}__user_id")
 
@@ -401,7 +406,7 @@ SELECT event_id,
     AS running_mean_strict_y__user_id
 FROM {EV} e""")
 def t11(spark, sf):
-    ev = events_df(spark, sf)
+    ev = _cols(spark, sf, "user_id", "y")
     out = O.running_mean(ev, ["user_id"], ORDER, "y", strict_name="running_mean_strict_y__user_id")
     return out.select("event_id", _r("running_mean_y__user_id"), _r("running_mean_strict_y__user_id"))
 

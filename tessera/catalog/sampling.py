@@ -20,7 +20,7 @@ def _md5(extra=""):
 SELECT event_id, CAST((row_number() OVER (PARTITION BY y ORDER BY {_md5()}, event_id) - 1) % 5 AS INTEGER) AS fold
 FROM {EV} e""", headline=True)
 def h01(spark, sf):
-    return H.kfold(events_df(spark, sf), "event_id", 5, seed=42, label="y").select("event_id", "fold")
+    return H.kfold(events_df(spark, sf).select("event_id", "y"), "event_id", 5, seed=42, label="y").select("event_id", "fold")
 
 
 @register("H02_global_rank", sql="""

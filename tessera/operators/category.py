@@ -377,7 +377,8 @@ def sequence_builder(child: DataFrame, parent: str, order: Sequence[str], value:
     ``maxlen`` values, left-padded with ``pad``. Only the last ``maxlen``
     rows are collected (recency rank from the skew-safe positions)."""
     name = name or f"{value}_seq"
-    pos = with_positions(child, [parent], order, total=None, descending=True, pos="_rec")
+    need = child.select(*dict.fromkeys([parent, *order, value]))
+    pos = with_positions(need, [parent], order, total=None, descending=True, pos="_rec")
     last = pos.where(F.col("_rec") < maxlen)
     seq = last.groupBy(parent).agg(F.sort_array(F.collect_list(F.struct(F.col("_rec"), F.col(value)))).alias("_l"))
     vals = F.reverse(F.transform("_l", lambda s: s[value].cast("double")))

@@ -263,7 +263,8 @@ def last_k_aggregates(child: DataFrame, parent_key: str, order: Sequence[str], v
     Quantiles (median, iqr) of a finite K use ``percentile`` over at most K
     values; over the whole history (K = None) they come from the rank-based
     ``group_quantiles``, so a parent with a huge history is never one buffer."""
-    pos = with_positions(child, [parent_key], order, total=None, descending=True, pos="_rec")
+    need = child.select(*dict.fromkeys([parent_key, *order, *values]))  # positions deal every column they get
+    pos = with_positions(need, [parent_key], order, total=None, descending=True, pos="_rec")
     exprs, names, deferred = [], [], []
     for k in ks:
         keep = F.lit(True) if k is None else F.col("_rec") < k
@@ -298,7 +299,8 @@ def last_k_trend(child: DataFrame, parent_key: str, order: Sequence[str], value:
                  ks: Sequence[int], prefix: str = "") -> DataFrame:
     """OLS slope of ``value`` on recency position (0 = most recent) over
     the latest K rows. One row -> 0.0; any NULL value among the K -> NULL."""
-    pos = with_positions(child, [parent_key], order, total=None, descending=True, pos="_rec")
+    need = child.select(*dict.fromkeys([parent_key, *order, value]))
+    pos = with_positions(need, [parent_key], order, total=None, descending=True, pos="_rec")
     exprs = []
     for k in ks:
         keep = F.col("_rec") < k
