@@ -1,8 +1,8 @@
 """Missing values, cleaning and profiling.
 
-Profiles are one aggregate over all columns (one pass, one row per group of
-the grouping), reshaped with ``stack`` into a long (column, statistic)
-table. Fills are fitted by one statistics pass and applied as literals.
+Profiles are one aggregate over all columns (one row per group of the
+grouping), reshaped with ``stack`` into a long (column, statistic) table;
+columns with many values are counted apart (``plans/distinct.py``). Fills are fitted by one statistics pass and applied as literals.
 Model-based imputation (N06) trains ``pyspark.ml`` regressors.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import ensure_checkpoint_dir
+from tessera.plans.distinct import few_valued, many_valued_counts, more_values_than, set_count
 from tessera.plans.quantiles import group_quantiles
 
 
@@ -34,24 +35,37 @@ def null_share(df: DataFrame, cols_: Sequence[str] | None = None) -> DataFrame:
 def column_profile(df: DataFrame, cols_: Sequence[str], split: str | None = None) -> DataFrame:
     """Max, min, distinct count, rows per distinct value and NULL rate of
     each numeric column, per split value (NULL is a part named NULL) and for
-    all rows (part ``all``; grouping sets: one pass over the data)."""
-    exprs = []
-    for c in cols_:
-        x = F.col(c).cast("double")
-        exprs += [F.max(x).alias(f"{c}__max"), F.min(x).alias(f"{c}__min"),
-                  F.count_distinct(x).alias(f"{c}__nunique"), F.count(F.lit(1)).alias(f"{c}__rows"),
-                  F.avg(x.isNull().cast("double")).alias(f"{c}__null_rate")]
+    all rows (part ``all``; grouping sets). Columns with few values are counted
+    by sets in the same pass, the others by ``plans/distinct.py``: no copy of
+    the rows per column."""
+    x = df.select(*([F.col(split)] if split else []), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols_)])
+    xs = [f"_x{i}" for i in range(len(cols_))]
+    few = set(few_valued(x, xs))
+    many = [c for c in xs if c not in few]
+    exprs = [F.count(F.lit(1)).alias("_rows")]
+    for c in xs:
+        exprs += [F.max(c).alias(f"{c}_max"), F.min(c).alias(f"{c}_min"),
+                  F.avg(F.col(c).isNull().cast("double")).alias(f"{c}_null"),
+                  (set_count(x, c) if c in few else F.lit(None).cast("long")).alias(f"{c}_n")]
     if split:
         # the total is told by grouping(), so a NULL split value stays a part of its own
-        g = df.cube(split).agg(*exprs, F.grouping(split).alias("_total")).withColumn(
-            "part", F.when(F.col("_total") == 1, F.lit("all")).otherwise(F.col(split).cast("string")))
+        g = x.cube(split).agg(*exprs, (F.grouping(split) == 1).alias("_all")).withColumn(
+            "_part", F.when(~F.col("_all"), F.col(split).cast("string")))
     else:
-        g = df.agg(*exprs).withColumn("part", F.lit("all"))
-    per = ", ".join(
-        f"'{c}', `{c}__max`, `{c}__min`, `{c}__nunique`, try_divide(`{c}__rows`, `{c}__nunique`), `{c}__null_rate`"
-        for c in cols_)
-    return g.select("part", F.expr(
-        f"stack({len(cols_)}, {per}) as (column, max, min, nunique, rows_per_unique, null_rate)"))
+        g = x.agg(*exprs).select("*", F.lit(True).alias("_all"), F.lit(None).cast("string").alias("_part"))
+    per = ", ".join(f"'{c}', `{c}_max`, `{c}_min`, `{c}_n`, `{c}_null`" for c in xs)
+    long = g.select("_part", "_all", "_rows", F.expr(f"stack({len(xs)}, {per}) as (_x, max, min, _n, null_rate)"))
+    if many:
+        counted = many_valued_counts(x, many, split).withColumnRenamed("column", "_x")
+        long = long.alias("l").join(counted.alias("c"), (F.col("l._x") == F.col("c._x")) & (F.col("l._all") == F.col("c._all"))
+                                    & F.col("l._part").eqNullSafe(F.col("c._part")), "left").select("l.*", "c.nunique")
+        # a part without values has no cells
+        long = long.withColumn("nunique", F.when(F.col("_x").isin(many), F.coalesce("nunique", F.lit(0))).otherwise(F.col("_n")))
+    else:
+        long = long.withColumn("nunique", F.col("_n"))
+    name = F.element_at(F.array(*[F.lit(c) for c in cols_]), F.substring("_x", 3, 9).cast("int") + 1)
+    return long.select(F.when(F.col("_all"), F.lit("all")).otherwise(F.col("_part")).alias("part"), name.alias("column"),
+                       "max", "min", "nunique", F.try_divide("_rows", "nunique").alias("rows_per_unique"), "null_rate")
 
 
 def fill_values(df: DataFrame, rules: Mapping[str, object]) -> DataFrame:
@@ -119,9 +133,9 @@ def model_impute(df: DataFrame, cols_: Sequence[str], features: Sequence[str], m
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    prof = df.agg(*[F.count(c).alias(f"n_{c}") for c in cols_],
-                  *[F.count_distinct(c).alias(f"d_{c}") for c in cols_], F.count(F.lit(1)).alias("rows")).first()
-    todo = [c for c in cols_ if prof[f"n_{c}"] < prof["rows"] and prof[f"d_{c}"] >= min_distinct]
+    prof = df.agg(*[F.count(c).alias(f"n_{c}") for c in cols_], F.count(F.lit(1)).alias("rows")).first()
+    holes = [c for c in cols_ if prof[f"n_{c}"] < prof["rows"]]
+    todo = more_values_than(df, holes, min_distinct - 1)
     todo.sort(key=lambda c: -prof[f"n_{c}"])
     # each column's model reads the columns filled before it: written once, so
     # neither the plan nor the work grows with the number of columns
@@ -154,11 +168,19 @@ def imputation_report(df: DataFrame, truth: str, mean_fill: str, model_fill: str
 
 def drop_report(df: DataFrame, cols_: Sequence[str], null_limit: float = 0.9) -> DataFrame:
     """Which columns are constant (one distinct value) or mostly NULL
-    (share above ``null_limit``). One aggregate; one row per column."""
-    row = df.agg(*[F.count_distinct(c).alias(f"d_{c}") for c in cols_],
+    (share above ``null_limit``). One row per column; distinct counts as in
+    ``column_profile``."""
+    few = set(few_valued(df, cols_))
+    row = df.agg(*[(set_count(df, c) if c in few else F.lit(None).cast("long")).alias(f"d_{c}") for c in cols_],
                  *[F.avg(F.col(c).isNull().cast("double")).alias(f"n_{c}") for c in cols_])
     per = ", ".join(f"'{c}', `d_{c}`, `n_{c}`" for c in cols_)
-    long = row.select(F.expr(f"stack({len(cols_)}, {per}) as (column, nunique, null_share)"))
+    long = row.select(F.expr(f"stack({len(cols_)}, {per}) as (column, _n, null_share)"))
+    many = [c for c in cols_ if c not in few]
+    if many:
+        long = long.join(many_valued_counts(df, many).select("column", "nunique"), "column", "left").withColumn(
+            "nunique", F.coalesce("_n", "nunique"))
+    else:
+        long = long.withColumnRenamed("_n", "nunique")
     return long.select("column", "nunique", "null_share",
                        ((F.col("nunique") <= 1) | (F.col("null_share") > null_limit)).alias("drop"))
 
@@ -175,18 +197,16 @@ def crosstab_normalised(df: DataFrame, a: str, b: str, values: Sequence[str]) ->
 def describe(df: DataFrame, cols_: Sequence[str], id_col: str) -> DataFrame:
     """Count, mean, std, min, exact quartiles (rank-based, distributed)
     and max of each column, as long (column, stat, value) rows."""
-    out = None
-    for c in cols_:
-        basic = df.agg(F.count(c).cast("double").alias("count"), F.avg(c).alias("mean"),
-                       F.stddev_samp(c).alias("std"), F.min(F.col(c).cast("double")).alias("min"),
-                       F.max(F.col(c).cast("double")).alias("max"))
+    basic = df.agg(*[F.struct(F.count(c).cast("double").alias("count"), F.avg(c).alias("mean"),
+                              F.stddev_samp(c).alias("std"), F.min(F.col(c).cast("double")).alias("min"),
+                              F.max(F.col(c).cast("double")).alias("max")).alias(f"_s{i}") for i, c in enumerate(cols_)])
+    args = ", ".join(f"{i}, '{s}', _s{i}.`{s}`" for i in range(len(cols_)) for s in ("count", "mean", "std", "min", "max"))
+    out = basic.select(F.expr(f"stack({5 * len(cols_)}, {args}) as (_c, stat, value)"))
+    for i, c in enumerate(cols_):
         q = group_quantiles(df, [], c, id_col, [0.25, 0.5, 0.75], names=["q25", "q50", "q75"])
-        rows = (basic.select(F.expr("stack(5, 'count', count, 'mean', mean, 'std', std, 'min', min, 'max', max)"
-                                    " as (stat, value)"))
-                .unionByName(q.select(F.expr("stack(3, '25%', q25, '50%', q50, '75%', q75) as (stat, value)")))
-                .withColumn("column", F.lit(c)))
-        out = rows if out is None else out.unionByName(rows)
-    return out.select("column", "stat", "value")
+        out = out.unionByName(q.select(F.lit(i).alias("_c"), F.expr("stack(3, '25%', q25, '50%', q50, '75%', q75) as (stat, value)")))
+    name = F.element_at(F.array(*[F.lit(c) for c in cols_]), F.col("_c") + 1)
+    return out.select(name.alias("column"), "stat", "value")
 
 
 def group_means(df: DataFrame, key: str, cols_: Sequence[str]) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import col, inv_norm, safe_div
+from tessera.plans.distinct import more_values_than
 from tessera.plans.positions import average_rank, global_rank, value_ranks
 from tessera.plans.quantiles import column_quantiles
 
@@ -128,10 +129,9 @@ def squares_and_products(cols_: Sequence[str]) -> list[Column]:
 def mass_divide(df: DataFrame, cols_: Sequence[str], denominator: str, threshold: int,
                 suffix: str = "_per") -> DataFrame:
     """P10: divide every column with more than ``threshold`` distinct values
-    by ``denominator``. One aggregate pass counts distinct values (one row
-    comes back); the division is a projection."""
-    counts = df.agg(*[F.count_distinct(c).alias(c) for c in cols_]).first().asDict()
-    chosen = [c for c in cols_ if counts[c] > threshold and c != denominator]
+    by ``denominator``. One pass of sketches decides the columns far from the
+    threshold, one more the others (exactly); the division is a projection."""
+    chosen = more_values_than(df, [c for c in cols_ if c != denominator], threshold)
     return df.select("*", *[safe_div(c, denominator).alias(f"{c}{suffix}_{denominator}") for c in chosen])
 
 
