@@ -67,6 +67,28 @@ def test_base_spans_match_brute_force_and_stay(spark):
     assert "(999) 999-9999" in shapes, shapes  # a phone number the rule does not know
 
 
+def test_added_spans_are_values_the_rules_miss(spark):
+    """Values planted outside of the base patterns are found with few others."""
+    rng = random.Random(8)
+    rows, planted, misleading = [], set(), set()
+    for i, (_, text) in enumerate(corpus() * 2):
+        text, doc = f"{text} ", 1_000 + i
+        if i % 8 < 4:
+            n = "".join(rng.choice("0123456789") for _ in range(16))
+            value, cue = [(f"({n[:3]}) 555-{n[3:7]}", "call"), (f"jane{n[:2]} (at) host{n[2]} (dot) example (dot) org", "or"),
+                          ("3782 822463 10005", "amex"), (n[:-1] + next(c for c in "0123456789" if not luhn(n[:-1] + c)), "order")][i % 8]
+            at = len(text) + len(cue) + 1
+            text += f"{cue} {value} and so on"
+            (misleading if i % 8 == 3 else planted).add((doc, at, at + len(value)))
+        rows.append((doc, text))
+    got = find_pii(docs(spark, rows)).collect()
+    added = {(r.doc_id, x.s, x.e) for r in got for x in r.spans if x not in r.base}
+    known = {(r.doc_id, m.start(), m.end()) for r in got for m in re.finditer(r"\([0-9]{3}\) 555-[0-9]{4}", dict(rows)[r.doc_id])}
+    assert len(planted & added) >= 0.9 * len(planted), (len(planted & added), len(planted))
+    assert len(added & (planted | known)) >= 0.8 * len(added)
+    assert len(misleading & added) <= 0.1 * len(misleading)
+
+
 def test_edges(spark):
     got = find_pii(docs(spark, EDGE)).collect()
     assert len(got) == len(EDGE) and all(r.spans == [] for r in got)
