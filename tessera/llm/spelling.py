@@ -162,8 +162,12 @@ class Index:
             where = ((size - shorter).astype(np.uint64) << np.uint64(32)) | (pos - shift + 1).astype(np.uint64)
             return _mixed(_mixed(gram) ^ (where * np.uint64(0x9E3779B97F4A7C15)))
 
-        return (np.concatenate((key(0, 0), key(0, 1), key(1, 1))),
-                np.repeat(np.array([0, 1, 1], np.uint8), len(word)), np.tile(word, 3))
+        # the same gram one place on: its shifted key is the one before's own, posted once
+        again = (word[1:] == word[:-1]) & (gram[1:] == gram[:-1]) & (pos[1:] == pos[:-1] + 1)
+        new = np.concatenate((np.ones(min(len(word), 1), bool), ~again))
+        return (np.concatenate((key(0, 0), key(0, 1), key(1, 1)[new])),
+                np.repeat(np.array([0, 1, 1], np.uint8), [len(word), len(word), int(new.sum())]),
+                np.concatenate((word, word, word[new])))
 
 
 def _sketch(slots) -> callable:

@@ -1,5 +1,6 @@
 """Spelling variants against the deletion neighbourhoods of all words."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -75,6 +76,15 @@ def test_dense_words_in_cut_lists(spark):
     assert got(docs(spark, rows), list_rows=4) == expected([(r[0], r[1]) for r in rows])
 
 
+def test_a_gram_at_two_places_of_a_word_links_once(spark):
+    """One letter many times over: a gram and its neighbour place are one list."""
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(5, 10))) for _ in range(3000)]
+    words += [x * n for x in "abc" for n in range(5, 10)]
+    rows = [(i, " ".join(words)) for i in range(3)]
+    assert got(docs(spark, rows)) == expected([(r[0], r[1]) for r in rows])
+
+
 def test_a_chain_of_forms_ends_at_its_root(spark):
     chain = [f"word{'abcdefghij'[:i]}" for i in range(1, 11)]
     rows = [(1, " ".join(w for i, w in enumerate(chain) for _ in range(3 * 2 ** i)))]
