@@ -16,7 +16,8 @@ no marker (``+``) that would spell the rule out. What is told outside of base
 spans (``told``: a spelled-out address, a number in its national form or right
 behind a cue word, a card number of another length with a true checksum and a
 cue) is kept from training altogether. It is what the thresholds are measured
-on, against the other outside proposals of documents held back.
+on, against all other outside proposals. Nothing is sampled: proposals enter as
+counts per feature vector.
 
 Everything stays in one pass per row: spans are arrays, found with
 ``regexp_extract_all`` beside ``split`` (the texts between the matches give
@@ -33,6 +34,8 @@ scanned; with too few proposals to train on, only base spans are returned.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -196,41 +199,38 @@ def _read_tree(n):
     return s.featureIndex(), float(s.threshold()), _read_tree(n.leftChild()), _read_tree(n.rightChild())
 
 
-def fit(rows: DataFrame, precision: float = 0.8, max_training_rows: int = 20_000, trees: int = 10,
-        depth: int = 4, least: int = 200) -> Trees | None:
-    """Boosted trees on at most about ``max_training_rows`` proposals (a hash
-    sample of the documents) and a threshold per kind: the lowest margin above
-    which ``precision`` of the proposals outside of base spans are told to be
-    values. Those never train; the others outside count if their document is
-    one of the fifth held back, and then five times. A kind without told
-    proposals gets no additions."""
-    held = 5
-    x = rows.select(F.xxhash64("doc_id", "all").alias("h"), "base", F.explode("all").alias("x")).select(
-        "h", "x.kind", F.col("x.y").cast("double").alias("y"), F.col("x.f").alias("f"), F.col("x.w").alias("w"),
+def fit(rows: DataFrame, precision: float = 0.8, trees: int = 10, depth: int = 4, least: int = 200) -> Trees | None:
+    """Boosted trees on all proposals and a threshold per kind: the lowest
+    margin above which ``precision`` of the proposals outside of base spans are
+    told to be values; those never train. Proposals of equal features are one
+    weighted row, so what is fitted does not grow with the text. A kind without
+    told proposals gets no additions."""
+    x = rows.select("base", F.explode("all").alias("x")).select(
+        "x.kind", F.col("x.y").cast("double").alias("y"), F.col("x.f").alias("f"), F.col("x.w").alias("w"),
         (~F.col("x.y") & ~overlaps(F.col("x"), F.col("base"))).alias("outside"))
-    n, pos = x.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    x = materialise(x.groupBy("kind", "y", "f", "w", "outside").agg(F.count(F.lit(1)).alias("n")), "pii-formats")
+    n, pos = x.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("y") * F.col("n")), F.lit(0.0))).first()
     if n < least or not 0 < pos < n:
         return None
-    share = min(1.0, max_training_rows / n)
-    x = x.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20))).select(
-        "kind", "y", "f", "w", "outside", array_to_vector("f").alias("v"),
-        (F.pmod(F.shiftright("h", 20), F.lit(held)) == 0).alias("held"))
-    x = x.cache()
-    train = x.where("not held and not (outside and w)")
+    train = x.where("not (outside and w)").groupBy("y", "f").agg(F.sum("n").cast("double").alias("n")) \
+        .select("y", array_to_vector("f").alias("v"), "n").cache()
+    formats = train.count()
     if train.select("y").distinct().count() < 2:
-        x.unpersist()
+        train.unpersist()
         return None
-    model = GBTClassifier(featuresCol="v", labelCol="y", maxIter=trees, maxDepth=depth, seed=5,
-                          maxBins=32).fit(train)
+    # bins: split points come from all rows up to the square of their number
+    model = GBTClassifier(featuresCol="v", labelCol="y", weightCol="n", maxIter=trees, maxDepth=depth, seed=5,
+                          maxBins=max(32, math.isqrt(formats) + 1)).fit(train)
+    train.unpersist()
     t = Trees([_read_tree(t._call_java("rootNode")) for t in model.trees], list(model.treeWeights))
     # margins take at most as many values as leaf combinations occur
-    curve = x.where("outside and (w or held)").groupBy("kind", t.margin(F.col("f")).alias("m")).agg(
-        F.count_if("w").alias("p"), F.count_if(~F.col("w")).alias("other")).orderBy(F.desc("m"), "kind").collect()
-    x.unpersist()
+    told_n, other_n = (F.sum(F.when(c, F.col("n")).otherwise(0)) for c in (F.col("w"), ~F.col("w")))
+    curve = x.where("outside").groupBy("kind", t.margin(F.col("f")).alias("m")).agg(
+        told_n.alias("p"), other_n.alias("other")).orderBy(F.desc("m"), "kind").collect()
     good, total = dict.fromkeys(KINDS, 0), dict.fromkeys(KINDS, 0)
     for r in curve:
         good[r.kind] += r.p
-        total[r.kind] += r.p + held * r.other
+        total[r.kind] += r.p + r.other
         if good[r.kind] and good[r.kind] >= precision * total[r.kind]:
             t.thresholds[r.kind] = r.m
     return t

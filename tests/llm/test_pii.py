@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from tessera.llm import pii
 from tessera.llm.pii import KINDS, find_pii, joined
 from tests.llm.helpers import EDGE, docs, prose
 
@@ -89,6 +90,22 @@ def test_added_spans_are_values_the_rules_miss(spark):
     assert len(misleading & added) <= 0.1 * len(misleading)
 
 
+def test_every_proposal_counts_in_the_model(spark, monkeypatch):
+    """All proposals train, also where there are more than 20,000."""
+    seen = []
+
+    class Recorded(pii.GBTClassifier):
+        def fit(self, rows):
+            seen.append(rows.agg({self.getWeightCol(): "sum"}).first()[0] if self.isSet("weightCol") else rows.count())
+            return super().fit(rows)
+
+    monkeypatch.setattr(pii, "GBTClassifier", Recorded)
+    text = "x 1.2.3.4 y 300.1.1.1 " * 50
+    pii.fit(pii.with_proposals(docs(spark, [(i, text) for i in range(150)]), "doc_id", "text"), trees=1)
+    # two generators each propose both addresses; none is told outside of a base span
+    assert seen == [150 * 50 * 4]
+
+
 def test_edges(spark):
     got = find_pii(docs(spark, EDGE)).collect()
     assert len(got) == len(EDGE) and all(r.spans == [] for r in got)
