@@ -67,17 +67,18 @@ def row_stats(cols_: Sequence[str], weights: Sequence[float] | None = None, pref
     """Statistics across columns of one row, NULLs skipped (pandas
     ``skipna``): min, max, sum, mean, median, sample var and std; the
     weighted sum is NULL if any input is NULL."""
-    arr = F.filter(F.array(*[col(c).cast("double") for c in cols_]), lambda x: x.isNotNull())
-    n = F.size(arr)
-    total = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
+    xs = [col(c).cast("double") for c in cols_]
+    n = sum((x.isNotNull().cast("int") for x in xs), F.lit(0))
+    total = sum((F.coalesce(x, F.lit(0.0)) for x in xs), F.lit(0.0))
     mean = F.when(n > 0, total / n)
-    ss = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
+    ss = sum((F.coalesce((x - mean) * (x - mean), F.lit(0.0)) for x in xs), F.lit(0.0))
     var = F.when(n > 1, ss / (n - 1))
-    srt = F.array_sort(arr)
-    mid = F.floor((n - 1) / 2).cast("int")
-    median = F.when(n % 2 == 1, F.element_at(srt, mid + 1)).otherwise(
-        (F.element_at(srt, mid + 1) + F.element_at(srt, mid + 2)) / 2)
-    out = [F.array_min(arr).alias(f"{prefix}min"), F.array_max(arr).alias(f"{prefix}max"),
+    # NULLs are sorted to the front
+    srt, skip = F.sort_array(F.array(*xs)), F.lit(len(xs)) - n
+    mid = skip + F.floor((n - 1) / 2).cast("int")
+    median = F.when(n % 2 == 1, F.get(srt, mid)).otherwise((F.get(srt, mid) + F.get(srt, mid + 1)) / 2)
+    least, greatest = (F.least(*xs), F.greatest(*xs)) if len(xs) > 1 else (xs[0], xs[0])
+    out = [least.alias(f"{prefix}min"), greatest.alias(f"{prefix}max"),
            total.alias(f"{prefix}sum"), mean.alias(f"{prefix}mean"),
            F.when(n > 0, median).alias(f"{prefix}median"), var.alias(f"{prefix}var"),
            F.sqrt(var).alias(f"{prefix}std")]

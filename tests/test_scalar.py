@@ -44,3 +44,16 @@ def test_device_cleanup_matches_python(spark):
     got = {r["i"]: r["c"] for r in df.select("i", S.clean_device_string("s").alias("c")).collect()}
     for i, v in enumerate(vals):
         assert got[i] == _clean(v), (v, got[i], _clean(v))
+
+
+def test_row_stats_are_plain_arithmetic(spark):
+    """No function per element (those run uncompiled and again inside each other)."""
+    from tessera.operators.scalar import row_stats
+    d = spark.createDataFrame([(1.0, 4.0, None, 2.0), (None, None, None, None), (3.0, None, None, None), (5.0, 1.0, 2.0, 9.0)],
+                              "a double, b double, c double, d double")
+    out = d.select(*row_stats(["a", "b", "c", "d"]))
+    assert "lambda" not in out._jdf.queryExecution().toString()
+    got = [[r.row_min, r.row_max, r.row_sum, r.row_median, r.row_var] for r in out.collect()]
+    assert got[1] == [None, None, 0.0, None, None] and got[2] == [3.0, 3.0, 3.0, 3.0, None]
+    assert got[0][:4] == [1.0, 4.0, 7.0, 2.0] and got[3][:4] == [1.0, 9.0, 17.0, 3.5]
+    assert abs(got[0][4] - 7 / 3) < 1e-12
