@@ -117,19 +117,131 @@ def orthonormal(factor: DataFrame, key: str, k: int, passes: int = 1) -> DataFra
     return factor
 
 
+SHORT = 512  # a side with at most so many keys per matrix: its Gram matrix is small
+
+
+def _turn(m: np.ndarray) -> np.ndarray:
+    """What makes the columns with Gram matrix ``m`` orthonormal."""
+    w, u = np.linalg.eigh((m + m.T) / 2)
+    return u * np.where(w > max(w.max(), 0) * 1e-14, 1 / np.sqrt(np.maximum(w, 1e-300)), 0.0)
+
+
+def _dense(b: pa.RecordBatch, width: Mapping[str, int]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(matrix, rows of the batch, their cells as a dense block) of lines."""
+    entries = b.column("_l")
+    flat, size = entries.flatten(), np.asarray(entries.value_lengths())
+    line = np.repeat(np.arange(b.num_rows), size)
+    at, v = flat.field("_i").to_numpy(), flat.field("_v").to_numpy()
+    code = b.column("_g").dictionary_encode()
+    mine = code.indices.to_numpy()
+    for i, g in enumerate(code.dictionary.to_pylist()):
+        rows = np.flatnonzero(mine == i)
+        for s in range(0, len(rows), 2048):
+            part = rows[s:s + 2048]
+            place = np.full(b.num_rows, -1)
+            place[part] = np.arange(len(part))
+            hit = place[line] >= 0
+            x = np.zeros((len(part), width[g]))
+            x[place[line[hit]], at[hit]] = v[hit]
+            yield g, part, x
+
+
+def _short_gram(lines: DataFrame, width: Mapping[str, int]) -> dict[str, np.ndarray]:
+    """Short side x short side per matrix: one partial sum per task."""
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for b in batches:
+            for g, _, x in _dense(b, width):
+                total[g] = total.get(g, 0) + x.T @ x
+        for g, m in total.items():
+            at = np.flatnonzero(np.triu(m))
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(at), pa.string()), pa.array(at), pa.array(m.ravel()[at])],
+                                             names=["_g", "at", "v"])
+
+    out = {g: np.zeros(n * n) for g, n in width.items()}
+    for r in lines.select("_g", "_l").mapInArrow(partial, "_g string, at long, v double") \
+            .groupBy("_g", "at").agg(F.sum("v").alias("v")).collect():
+        out[r["_g"]][r["at"]] = r["v"]
+    full = {g: m.reshape(width[g], width[g]) for g, m in out.items()}
+    return {g: m + np.triu(m, 1).T for g, m in full.items()}
+
+
+def _short_svd(cells: DataFrame, short: str, k: int, size: int, max_iter: int, tol: float,
+               seed: int) -> tuple[DataFrame, dict[str, np.ndarray]]:
+    """The rounds of ``randomised_svd`` where one side is short: every product
+    of the basis with A and A' follows from that side's Gram matrix, which one
+    pass over the cells forms. Rows of U S before the signs, singular values."""
+    far = "_r" if short == "_c" else "_c"
+    start = hashed_factor(cells, "_c", size, seed, -1.0, 1.0)
+    if short == "_r":
+        start = product(cells, start, "_c", "_r", size)
+    keys: dict[str, list] = {}
+    basis: dict[str, list] = {}
+    for r in start.orderBy("_g", short).collect():  # at most SHORT rows per matrix
+        keys.setdefault(r["_g"], []).append(r[short])
+        basis.setdefault(r["_g"], []).append([r[d] or 0.0 for d in dims(size)])
+    y = {g: np.array(v) for g, v in basis.items()}
+    width = {g: len(v) for g, v in keys.items()}
+    codes = cells.sparkSession.createDataFrame([(g, x, i) for g, v in keys.items() for i, x in enumerate(v)],
+                                               f"_g string, {short} string, _i int")
+    lines = once(cells.join(F.broadcast(codes), ["_g", short]).groupBy("_g", far).agg(
+        F.collect_list(F.struct("_i", F.coalesce("_v", F.lit(0.0)).alias("_v"))).alias("_l")))
+    gram = _short_gram(lines, width)
+    before: dict[str, np.ndarray] = {}
+    for _ in range(max_iter):
+        # the basis times A'A: on the short side itself, or as A times the long side's basis
+        back = {g: gram[g] @ y[g] for g in y}
+        square = {g: (b.T @ b if short == "_c" else y[g].T @ b) for g, b in back.items()}
+        values = {g: np.maximum(np.linalg.eigvalsh((m + m.T) / 2)[::-1][:k], 0) ** 0.25 for g, m in square.items()}
+        y = {g: back[g] @ _turn(m) for g, m in square.items()}
+        if all(g in before and np.abs(v - before[g]).max() <= tol * max(v[0], 1e-300) for g, v in values.items()):
+            break
+        before = values
+    turn, sigma = {}, {}
+    for g, p in y.items():
+        for _ in range(2):  # A p, or p itself on the short side, orthonormal
+            p = p @ _turn(p.T @ gram[g] @ p if short == "_c" else p.T @ p)
+        b = gram[g] @ p
+        m = b.T @ b if short == "_c" else p.T @ b
+        w, u = np.linalg.eigh((m + m.T) / 2)
+        s = np.sqrt(np.maximum(w[::-1][:k], 0))
+        s[s < 1e-7 * s[0]] = 0.0
+        turn[g], sigma[g] = p @ (u[:, ::-1][:, :k] * s), s
+    if short == "_r":
+        rows = [(g, x, *map(float, v)) for g in keys for x, v in zip(keys[g], turn[g])]
+        return cells.sparkSession.createDataFrame(
+            rows, "_g string, _r string, " + ", ".join(f"{d} double" for d in dims(k))), sigma
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = np.empty((b.num_rows, k))
+            for g, part, x in _dense(b, width):
+                out[part] = x @ turn[g]
+            yield pa.RecordBatch.from_arrays([b.column("_g"), b.column("_r"), *[pa.array(c) for c in out.T]],
+                                             names=["_g", "_r", *dims(k)])
+
+    return lines.select("_g", "_r", "_l").mapInArrow(
+        run, "_g string, _r string, " + ", ".join(f"{d} double" for d in dims(k))), sigma
+
+
 def randomised_svd(cells: DataFrame, k: int, oversample: int = 12, max_iter: int = 30, tol: float = 1e-8,
                    seed: int = 0) -> tuple[DataFrame, dict[str, np.ndarray]]:
     """Truncated SVD of every matrix by randomised subspace iteration. A round
     multiplies a basis of l = k + oversample columns by A and A' (a join and a
     sum each) and orthonormalises it from l x l Gram matrices, until the k
-    leading singular values stand still to ``tol``. Returns (``_g``, ``_r``,
+    leading singular values stand still to ``tol``; with a side of at most
+    ``SHORT`` keys the rounds run on that side's Gram matrix. Returns (``_g``, ``_r``,
     ``_0`` ...: the rows of U S) and the singular values per matrix. Signs are
     fixed by a hashed projection; dimensions beyond the rank are zero."""
     cells = once(cells)
     # no basis is wider than the shorter side of the largest matrix
-    least = cells.groupBy("_g").agg(F.count_distinct("_r").alias("r"), F.count_distinct("_c").alias("c")) \
-        .agg(F.max(F.least("r", "c"))).first()[0] or 0
-    size = max(k, min(k + oversample, least))
+    sides = cells.groupBy("_g").agg(F.count_distinct("_r").alias("r"), F.count_distinct("_c").alias("c")) \
+        .agg(F.max(F.least("r", "c")).alias("least"), F.max("r").alias("_r"), F.max("c").alias("_c")).first()
+    size = max(k, min(k + oversample, sides["least"] or 0))
+    short = next((x for x in ("_c", "_r") if sides[x] and sides[x] <= SHORT), None)
+    if short:
+        rows, sigma = _short_svd(cells, short, k, size, max_iter, tol, seed)
+        return _signed(once(rows), k), sigma
     right = hashed_factor(cells, "_c", size, seed, -1.0, 1.0)
     before: dict[str, np.ndarray] = {}
     for _ in range(max_iter):
@@ -151,10 +263,14 @@ def randomised_svd(cells: DataFrame, k: int, oversample: int = 12, max_iter: int
         s[s < 1e-7 * s[0]] = 0.0
         turn[g], sigma[g] = u[:, ::-1][:, :k] * s, s
     rows = once(times(left, "_r", turn))
+    return _signed(rows, k), sigma
+
+
+def _signed(rows: DataFrame, k: int) -> DataFrame:
     weight = hash_unit("_g", "_r", F.lit("sign")) + 0.5
     lean = {r[0]: np.where(np.array(r[1:]) < 0, -1.0, 1.0)
             for r in rows.groupBy("_g").agg(*[F.sum(F.col(d) * weight) for d in dims(k)]).collect()}
-    return times(rows, "_r", {g: np.diag(v) for g, v in lean.items()}), sigma
+    return times(rows, "_r", {g: np.diag(v) for g, v in lean.items()})
 
 
 def non_negative(cells: DataFrame, k: int, max_iter: int = 10, seed: int = 0) -> tuple[DataFrame, DataFrame]:

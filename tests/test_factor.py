@@ -135,3 +135,23 @@ def test_factorisation_machine_beats_plain_factorisation(spark):
     a = M.auc(fm.join(df.select("id", "y"), "id"), "y", "fm_score", "id")
     b = M.auc(als.join(df.select("id", "y"), "id"), "y", "s", "id")
     assert a > 0.65 and a > b + 0.1, (a, b)
+
+
+def test_a_short_side_takes_one_pass_whatever_the_rounds(spark, monkeypatch):
+    """Rounds of a matrix with a short side write nothing; the singular values
+    and rows are those of the dense matrix, on either side."""
+    from tessera.plans import factor
+    rng = np.random.RandomState(3)
+    a = rng.rand(40, 25)
+    for m in (a, a.T):
+        cells = spark.createDataFrame([("g", f"r{i:02d}", f"c{j:02d}", float(v)) for (i, j), v in np.ndenumerate(m)],
+                                      "_g string, _r string, _c string, _v double")
+        calls, write = [], factor.written
+        with monkeypatch.context() as p:
+            p.setattr(factor, "written", lambda df, name: calls.append(name) or write(df, name))
+            rows, sigma = factor.randomised_svd(cells, 3, max_iter=200, tol=1e-12)
+        assert len(calls) <= 4
+        u, s, _ = np.linalg.svd(m)
+        assert np.allclose(sigma["g"], s[:3])
+        got = np.array([[r["_0"], r["_1"], r["_2"]] for r in rows.orderBy("_r").collect()])
+        assert np.allclose(np.abs(got), np.abs(u[:, :3] * s[:3]), atol=1e-5)
