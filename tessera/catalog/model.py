@@ -20,7 +20,7 @@ from tessera.functions.columns import rnd
 from tessera.operators import model as M
 from tessera.operators import sampling as H
 from tessera.operators import select as L
-from tessera.session import ensure_checkpoint_dir
+from tessera.session import ensure_checkpoint_dir, written
 
 K = 3
 SMALL = ["value", "hr", "user_n", "k_n"]
@@ -28,9 +28,10 @@ FOLD5 = "(row_number() OVER (PARTITION BY y ORDER BY md5(concat(CAST(event_id AS
 
 
 def _train_test(spark, sf):
-    d = evx(spark, sf)
+    """Written once: every fit and score of a job reads them again."""
+    d = written(evx(spark, sf), "model-frame")
     tr = H.kfold(d.where("day_i <= 24"), "event_id", K, seed=42, label="y")
-    return tr, d.where("day_i > 24")
+    return written(tr, "model-folds"), d.where("day_i > 24")
 
 
 @register("M01_oof_prediction")

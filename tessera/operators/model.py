@@ -162,11 +162,10 @@ def oof_predict(train: DataFrame, features: Sequence[str], label: str, fold: str
 
 
 def _materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder (survives a lost
-    executor, unlike a local checkpoint)."""
-    from tessera.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage through the shared checkpoint folder (survives a lost
+    executor). Parquet: the rows are computed once, where ``checkpoint``
+    computes its last stage twice."""
+    return written(df, "model-rows")
 
 
 def _model_names(d: DataFrame, model_col: str) -> list[str]:

@@ -64,3 +64,16 @@ def test_calibrated_scores_are_probabilities_of_the_signal(frame):
     for _, g in d.groupby("part"):
         assert abs(g.calibrated.mean() - g.y.mean()) < 0.05
         assert g[g.calibrated > 0.8].y.mean() > 0.7 > 0.3 > g[g.calibrated < 0.2].y.mean()
+
+
+def test_kept_rows_are_computed_once(spark):
+    from tessera.operators.model import _materialise
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    kept = _materialise(spark.range(100).mapInArrow(count, "id long"))
+    assert kept.count() == 100 and seen.value == 100
