@@ -324,7 +324,8 @@ def mf_oof_feature(df: DataFrame, user: str, item: str, label: str, fold: str, k
     from pyspark.ml.recommendation import ALS
     ui = label_encode(df.select(user).distinct(), user, name="_ui").select(user, "_ui")
     ii = label_encode(df.select(item).distinct(), item, name="_ii").select(item, "_ii")
-    d = df.join(ui, user).join(ii, item).withColumn("_y", F.col(label).cast("float"))
+    # written once: every fold's fit and prediction reads the rows again
+    d = _once(df.join(ui, user).join(ii, item).withColumn("_y", F.col(label).cast("float")))
     out = None
     for f in range(k_folds):
         tr = d.where(F.col(fold) != f)

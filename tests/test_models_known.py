@@ -77,3 +77,13 @@ def test_kept_rows_are_computed_once(spark):
 
     kept = _materialise(spark.range(100).mapInArrow(count, "id long"))
     assert kept.count() == 100 and seen.value == 100
+
+
+def test_folds_of_the_factorisation_read_kept_rows(spark, monkeypatch):
+    """The coded rows are written once, not coded again in every fold."""
+    from tessera.operators import category as C
+    kept, once = [], C._once
+    monkeypatch.setattr(C, "_once", lambda df: kept.append(df.columns) or once(df))
+    rows = spark.createDataFrame([(i, i % 5, i % 3, i % 2, i % 2) for i in range(60)], "id long, u long, k long, y int, fold int")
+    out = C.mf_oof_feature(rows, "u", "k", "y", "fold", 2)
+    assert out.count() == 60 and sum("_y" in c for c in kept) == 1
