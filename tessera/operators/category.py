@@ -10,11 +10,13 @@ format (doc, term, weight) until a vector is asked for.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.plans.factor import non_negative, once as _once, pair_cells, randomised_svd, topics
 from tessera.plans.positions import global_rank, with_positions
@@ -134,6 +136,19 @@ def tag_count_vector(df: DataFrame, c: str, vocabulary: Sequence[str], sep: str
 
 # ---------------------------------------------------------------------- C09
 TOKEN_PATTERN = r"[^\p{L}\p{N}_]+"
+TASK_TERMS = 1 << 21  # (document, term) rows that a task counts, sorts or packs at a time, about
+
+
+def _parts(df: DataFrame, text: str, per_char: float) -> int:
+    """Tasks that the terms of all texts take, ``per_char`` of them a character."""
+    chars = df.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0
+    return max(df.sparkSession.sparkContext.defaultParallelism, int(chars * per_char / TASK_TERMS) + 1)
+
+
+def _counted(rows: DataFrame, doc: str, grams: Column) -> DataFrame:
+    """(doc, term, tf) of rows dealt by ``doc``: all terms of a document are in one
+    task, so they are counted (and joined by document) without another exchange."""
+    return rows.select(doc, F.explode(grams).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def strip_accents(c: Column) -> Column:
@@ -153,8 +168,10 @@ def word_terms(df: DataFrame, doc: str, text: str, ngram: tuple[int, int] = (1,
     if not accents:
         t = strip_accents(t)
     stop = F.array(*[F.lit(w) for w in stop_words]) if stop_words else None
-    toks = df.select(doc, F.filter(F.split(t, TOKEN_PATTERN), lambda s: (s != "") if stop is None else
-                                   (s != "") & ~F.array_contains(stop, s)).alias("_t"))
+    sizes = ngram[1] - ngram[0] + 1
+    texts = df.select(doc, text).where(F.col(text).isNotNull()).repartition(_parts(df, text, sizes / 6), doc)
+    toks = texts.select(doc, F.filter(F.split(t, TOKEN_PATTERN), lambda s: (s != "") if stop is None else
+                                      (s != "") & ~F.array_contains(stop, s)).alias("_t"))
     none = F.array().cast("array<string>")
 
     def joined(n: int):
@@ -163,8 +180,7 @@ def word_terms(df: DataFrame, doc: str, text: str, ngram: tuple[int, int] = (1,
     # the n-grams of every size of a row in one list: the text is split once
     grams = [F.col("_t") if n == 1 else F.when(F.size("_t") >= n, F.transform(F.sequence(F.lit(0), F.size("_t") - n), joined(n)))
              .otherwise(none) for n in range(ngram[0], ngram[1] + 1)]
-    out = toks.where(F.col("_t").isNotNull()).select(doc, F.explode(F.concat(*grams)).alias("term"))
-    return out.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return _counted(toks, doc, F.concat(*grams))
 
 
 def char_terms(df: DataFrame, doc: str, text: str, ngram: tuple[int, int] = (2, 5)) -> DataFrame:
@@ -396,7 +412,10 @@ def max_scale(df: DataFrame, cols_: Sequence[str], suffix: str = "_scaled") -> D
 def nb_ratios(long: DataFrame, doc: str, feature: str, value: str, labels: DataFrame, label: str) -> DataFrame:
     """C19 fit: naive-Bayes log-count ratio per feature
     ``r = ln((sum x|y=1 + 1) / (n1 + 1)) - ln((sum x|y=0 + 1) / (n0 + 1))``."""
-    j = long.join(labels.select(doc, label), doc)
+    # an outer join whose hits are kept by a condition that the optimiser leaves where it is, not an inner join:
+    # that would put a filter below the exchange of ``long``, which the apply could then not share
+    hit = F.when(F.spark_partition_id() >= 0, F.col("_hit"))
+    j = long.join(labels.select(doc, label, F.lit(True).alias("_hit")), doc, "left").where(hit)
     cnt = labels.groupBy(label).count().collect()
     n = {r[label]: r["count"] for r in cnt}
     n1, n0 = n.get(1, 0), n.get(0, 0)
@@ -406,7 +425,34 @@ def nb_ratios(long: DataFrame, doc: str, feature: str, value: str, labels: DataF
                     .alias("nb_ratio"))
 
 
+def packed(long: DataFrame, doc: str, feature: str, value: str) -> DataFrame:
+    """(feature, ``_docs``, ``_values``): the rows of ``long``, those of one feature among each task's next
+    ``TASK_TERMS`` rows as one. The feature crosses the exchange of a join once for all of them, and no list
+    is longer, however common the feature. In Python, as no expression groups inside a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pack(some):
+            t = pa.Table.from_batches(some).group_by(feature, use_threads=False).aggregate([(doc, "list"), (value, "list")])
+            yield from t.select([feature, f"{doc}_list", f"{value}_list"]).rename_columns(
+                [feature, "_docs", "_values"]).to_batches(max_chunksize=10_000)
+
+        some, rows = [], 0
+        for b in batches:
+            some.append(b)
+            rows += b.num_rows
+            if rows >= TASK_TERMS:
+                yield from pack(some)
+                some, rows = [], 0
+        if rows:
+            yield from pack(some)
+
+    rows, kind = long.select(feature, doc, value), {f.name: f.dataType for f in long.schema.fields}
+    return rows.mapInArrow(run, T.StructType([T.StructField(feature, kind[feature]), T.StructField("_docs", T.ArrayType(kind[doc])),
+                                              T.StructField("_values", T.ArrayType(kind[value]))]))
+
+
 def nb_log_ratio(long: DataFrame, doc: str, feature: str, value: str, ratios: DataFrame, name: str = "nb") -> DataFrame:
     """C19 apply: the fitted ratio multiplied into x, long format; features
     that were not fitted are dropped."""
-    return long.join(ratios, feature).select(doc, feature, (F.col(value) * F.col("nb_ratio")).alias(name))
+    j = packed(long, doc, feature, value).join(ratios, feature)
+    return j.select(feature, "nb_ratio", F.explode(F.arrays_zip("_docs", "_values")).alias("_e")).select(
+        F.col("_e._docs").alias(doc), feature, (F.col("_e._values") * F.col("nb_ratio")).alias(name))
