@@ -192,8 +192,8 @@ def char_terms(df: DataFrame, doc: str, text: str, ngram: tuple[int, int] = (2,
 
     grams = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), cut(n))).otherwise(none)
              for n in range(ngram[0], ngram[1] + 1)]
-    out = df.select(doc, F.explode(F.concat(*grams)).alias("term"))
-    return out.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+    parts = _parts(df, text, ngram[1] - ngram[0] + 1)
+    return _counted(df.select(doc, text).repartition(parts, doc), doc, F.concat(*grams))
 
 
 def tfidf_fit(terms: DataFrame, n_docs: int, min_df: int = 1, max_df: float = 1.0,
@@ -209,7 +209,8 @@ def tfidf_fit(terms: DataFrame, n_docs: int, min_df: int = 1, max_df: float = 1.
         # top terms: the vocabulary cap is the feature; each partition keeps
         # its best max_features before one merge (bounded by the cap)
         stats = stats.orderBy(F.desc("_cf"), F.asc("term")).limit(max_features)
-    return stats.select("term", (F.log((F.lit(1.0 + n_docs)) / (F.col("_df") + 1)) + 1).alias("idf"))
+    # written: a small vocabulary is then known to be small, and the terms of the documents stay where they are
+    return _once(stats.select("term", (F.log((F.lit(1.0 + n_docs)) / (F.col("_df") + 1)) + 1).alias("idf")))
 
 
 def tfidf_apply(terms: DataFrame, doc: str, idf: DataFrame, sublinear: bool = True, norm: bool = True) -> DataFrame:

@@ -58,3 +58,18 @@ def test_words_are_dealt_by_document_and_packed_by_term(spark, monkeypatch):
     assert {(d, r["term"], x) for r in rows for d, x in zip(r["_docs"], r["_values"])} == {tuple(r) for r in terms.collect()}
     the = [len(r["_docs"]) for r in rows if r["term"] == "the"]
     assert sum(the) == 51 and 1 < len(the) < 51  # more than one row, far fewer than one per document
+
+
+def test_character_ngrams_are_dealt_by_the_length_of_the_texts(spark, monkeypatch):
+    """A task's share is bounded, whatever the texts hold; equal ids count together."""
+    monkeypatch.setattr(C, "TASK_TERMS", 100)
+    docs = spark.createDataFrame([(i % 90, f"part {i} ring") for i in range(100)] + [(None, "ring"), (7, None), (8, "")],
+                                 "d long, t string").repartition(1)
+    terms = C.char_terms(docs, "d", "t", (2, 3))
+    n = re.findall(r"hashpartitioning\(d#\d+L?, (\d+)\), REPARTITION_BY_NUM", terms._jdf.queryExecution().executedPlan().toString())
+    assert len(_exchanges(terms)) == len(n) == 1 and int(n[0]) >= 20
+    want = Counter((d, t[i:i + k]) for d, t in ((r.d, r.t) for r in docs.collect()) if t
+                   for k in (2, 3) for i in range(len(t) - k + 1))
+    assert {(r.d, r.term): r.tf for r in terms.collect()} == want
+    idf = C.tfidf_fit(terms, 103)
+    assert "Aggregate" not in idf._jdf.queryExecution().executedPlan().toString()  # a table whose size is known
