@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.machine import out_of_fold
 from tessera.plans.factor import non_negative, once as _once, pair_cells, randomised_svd, topics
 from tessera.plans.positions import global_rank, with_positions
 
@@ -364,10 +365,8 @@ def fm_oof_feature(df: DataFrame, id_col: str, user: str, item: str, label: str,
     whatever the number of users; numeric columns are scaled to deviation one.
     A value that the other folds never hold contributes its start factors only,
     near zero: the row is scored by the rest. NULL categories are a value, NULL
-    numbers are 0 (the mean)."""
-    from pyspark.ml.classification import FMClassifier
+    numbers are 0 (the mean). The machines of all folds learn in the same passes."""
     from pyspark.ml.feature import FeatureHasher
-    from pyspark.ml.functions import vector_to_array
     stats = df.agg(*[f(F.col(c).cast("double")).alias(f"{c}_{n}") for c in numeric for n, f in (("m", F.avg), ("s", F.stddev_samp))],
                    F.count(F.lit(1)).alias("n")).first()
     cats = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(f"_c{i}") for i, c in enumerate([user, item, *side])]
@@ -376,16 +375,9 @@ def fm_oof_feature(df: DataFrame, id_col: str, user: str, item: str, label: str,
             for i, c in enumerate(numeric)]
     inputs = [f"_c{i}" for i in range(2 + len(side))] + [f"_n{i}" for i in range(len(numeric))]
     hasher = FeatureHasher(inputCols=inputs, outputCol="features", numFeatures=buckets)
-    rows = _once(hasher.transform(df.select(id_col, F.col(label).cast("double").alias("_y"), F.col(fold).alias("_f"), *cats, *nums))
-                 .select(id_col, "_y", "_f", "features"))
-    out = None
-    for f in range(k_folds):
-        fm = FMClassifier(featuresCol="features", labelCol="_y", factorSize=factors, maxIter=max_iter, stepSize=step,
-                          regParam=reg, seed=seed, solver="adamW")
-        model = fm.fit(rows.where((F.col("_f") != f) & F.col("_y").isNotNull()))
-        p = model.transform(rows.where(F.col("_f") == f)).select(id_col, vector_to_array("probability")[1].alias(name))
-        out = p if out is None else out.unionByName(p)
-    return out
+    rows = hasher.transform(df.select(id_col, F.col(label).cast("double").alias("y"), F.col(fold).cast("int").alias("f"), *cats, *nums)) \
+        .select(id_col, "y", "f", "features")
+    return out_of_fold(rows, id_col, k_folds, len(inputs), buckets, factors, max_iter, step, reg, seed, name)
 
 
 # ------------------------------------------------------------------ C17-C19

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Settings every job relies on: AQE re-plans joins at runtime (broadcast only
 # when the measured side is small, split skewed partitions), UTC everywhere,
@@ -82,10 +83,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
     """``df`` written as Parquet below the shared checkpoint folder and read
     back: cuts the lineage, survives a lost executor, and the size of the files
-    (not an estimate that grows with every join before) drives later joins."""
+    (not an estimate that grows with every join before) drives later joins.
+    ``schema``: that of the rows read back, if it differs."""
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)

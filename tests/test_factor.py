@@ -155,3 +155,29 @@ def test_a_short_side_takes_one_pass_whatever_the_rounds(spark, monkeypatch):
         assert np.allclose(sigma["g"], s[:3])
         got = np.array([[r["_0"], r["_1"], r["_2"]] for r in rows.orderBy("_r").collect()])
         assert np.allclose(np.abs(got), np.abs(u[:, :3] * s[:3]), atol=1e-5)
+
+
+def test_machines_of_all_folds_learn_together_as_one_by_one(spark):
+    """The scores are FMClassifier's, fold by fold; the passes do not grow with the folds."""
+    from pyspark.ml.classification import FMClassifier
+    from pyspark.ml.feature import FeatureHasher
+    from pyspark.ml.functions import vector_to_array
+    rng = np.random.default_rng(5)
+    rows = [(i, f"u{rng.integers(30)}" if i % 31 else None, f"t{rng.integers(9)}", float(rng.standard_normal()) if i % 17 else 0.0,
+             int(rng.random() < .4) if i % 13 else None, i % 3 if i % 50 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, u string, t string, x double, y int, fold int")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("folds", "")
+    got = {r["id"]: r["fm_score"] for r in C.fm_oof_feature(df, "id", "u", "t", "y", "fold", 3, numeric=["x"], buckets=64, max_iter=12).collect()}
+    spark.sparkContext.setJobGroup("rest", "")
+    assert len(jobs.getJobIdsForGroup("folds")) < 3 * 12 + 20
+    m, s = df.agg(F.avg("x"), F.stddev("x")).first()
+    plain = df.select("id", "fold", F.col("y").cast("double").alias("_y"), F.coalesce("u", F.lit("\0")).alias("_c0"), F.col("t").alias("_c1"),
+                      F.nullif((F.col("x") - m) / s, F.lit(0.0)).alias("_n0"))
+    plain = FeatureHasher(inputCols=["_c0", "_c1", "_n0"], outputCol="features", numFeatures=64).transform(plain).cache()
+    want = {}
+    for f in range(3):
+        fm = FMClassifier(labelCol="_y", factorSize=4, maxIter=12, stepSize=0.1, regParam=1e-4, seed=0, solver="adamW")
+        model = fm.fit(plain.where((F.col("fold") != f) & F.col("_y").isNotNull()))
+        want |= {r[0]: r[1] for r in model.transform(plain.where(F.col("fold") == f)).select("id", vector_to_array("probability")[1]).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-9
