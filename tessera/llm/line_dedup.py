@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import LOWER_BYTES, materialise
 
 SKETCH = 1 << 18
-PIECE = 1 << 20  # bytes hashed at a time
+PIECE = 1 << 15  # bytes hashed at a time: their arrays stay in the cache
 NO_ID = 2**63 - 1     # a NULL id, with NO_ID_LINE added to its line numbers:
 NO_ID_LINE = 1 << 30  # no text has as many lines, so a document of that id stays another one
 HEAD = 4         # rarest tokens compared before whole sets are
@@ -87,16 +87,16 @@ class Hasher:
                     space = np.flatnonzero(_SPACE[data[at:end]])
                 if end < len(data):
                     end = at + int(space[-1]) + 1
-            h, n = self._piece(data[at:end])
+            h, n, newlines = self._piece(data[at:end])
             hashes.append(h)
             lines.append(n + line)
-            line += int((data[at:end] == 10).sum())
+            line += newlines
             at = end
         if not hashes:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         return np.concatenate(hashes), np.concatenate(lines)
 
-    def _piece(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _piece(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         if len(self.up) < len(data):
             self.up, self.down = _powers(_STEP, len(data)), _powers(pow(_STEP, -1, 2**64), len(data))
         word = np.concatenate(([False], ~_SPACE[data], [False]))
@@ -104,7 +104,8 @@ class Hasher:
         end = np.flatnonzero(word[1:-1] & ~word[2:]) + 1
         total = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[data] * self.up[:len(data)])))
         h = _mixed((total[end] - total[start]) * self.down[start])
-        return h, np.searchsorted(np.flatnonzero(data == 10), start)
+        newline = np.flatnonzero(data == 10)
+        return h, np.searchsorted(newline, start), len(newline)
 
 
 def _slot(h: np.ndarray) -> np.ndarray:

@@ -82,3 +82,15 @@ def test_the_largest_id_is_not_the_missing_one(spark):
     assert got[big].n_removed == 0 and got[None].removed == [1] and got[None].n_lines == 2 and got[big].n_lines == 1
     kept = {r.doc_id: r.text for r in drop_lines(docs(spark, [(big, line), (None, "other words\n" + line)])).collect()}
     assert kept == {big: line, None: "other words"}
+
+
+def test_words_and_lines_do_not_depend_on_where_a_text_is_cut(monkeypatch):
+    import numpy as np
+    from tessera.llm import line_dedup
+    rng = np.random.default_rng(1)
+    data = np.frombuffer(bytes(rng.choice(list(b"abcdefgh  \n\n\t"), 5000)) + b"x" * 300 + b" y\n z", np.uint8)
+    whole = line_dedup.Hasher()(data)
+    for piece in (16, 100, 1 << 10):
+        monkeypatch.setattr(line_dedup, "PIECE", piece)
+        cut = line_dedup.Hasher()(data)
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, cut))
